@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, pieces
+from orrery.llm.common import extended, materialize, pieces
 
 BROADCAST_BYTES = 128 << 20
 BUCKET_BYTES = 16 << 20
@@ -193,9 +193,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] |
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
     held = kept if text in kept else [*kept, text]
     source = docs.select(*[F.col(c).cast("string").alias(c) if c == text else c for c in held])
-    schema = source.select(*kept).schema
-    for c in columns.split(", "):
-        schema = schema.add(*c.split())
+    schema = extended(source.select(*kept).schema, columns)
     at = held.index(text)
 
     table = materialize(word_table(distinct_words(docs, path, text=text), path), what="words")

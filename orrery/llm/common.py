@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A batch is cut into pieces of about this many bytes of text before numpy sees it.
 PIECE_BYTES = 2 << 20
@@ -47,6 +48,11 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
+def extended(schema: T.StructType, columns: str) -> T.StructType:
+    """The schema with columns given as DDL appended."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(columns).fields])
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop the shuffle files of plans nobody holds any more."""
     import gc
