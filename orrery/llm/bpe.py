@@ -26,11 +26,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from orrery.llm.common import extended, materialize, pieces
 
 BROADCAST_BYTES = 128 << 20
 BUCKET_BYTES = 16 << 20
+PIECE_BYTES = 4 << 20
+AT_HAND = 60_000  # words a task keeps rendered
 #: The pre-tokenizer's word pattern of the vocabulary file.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for texts of plain characters only, in the standard library's syntax.
@@ -95,7 +98,7 @@ def distinct_words(docs: DataFrame, path: str, *, text: str = "text") -> DataFra
             for x in batch.column(0).to_pylist():
                 if x:
                     have.update(words(x))
-            if len(have) > 400_000:
+            if len(have) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string())], names=["word"])
                 have = set()
         yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string())], names=["word"])
@@ -150,19 +153,24 @@ def packed(table: DataFrame) -> PackedTable:
     return PackedTable(keys, join("sizes", np.int32), join("ids", np.int32), apart)
 
 
-Render = Callable[[list[list[int]]], list]
-
-
 def digests(ids: list[list[int]], pieces_of: list[str]) -> list[tuple[int, str, str]]:
     """For each word: how many ids, the ids and the pieces, both joined by one space."""
     return [(len(x), " ".join(map(str, x)), " ".join([pieces_of[i] for i in x])) for x in ids]
 
 
-def _digest_rows(texts: list[str | None], split: Callable[[str], list[str]], look_up: Callable[[list[str]], list[list[int]]], names: list[str]) -> tuple[list[int], list[str], list[str]]:
+def _ready(worded: list[list[str]], look_up: Callable[[list[str]], list[list[int]]], make: Callable[[list[list[int]]], list], kept: dict) -> dict:
+    """What each word of these texts becomes; words met early stay at hand, a bounded number of them."""
+    fresh = list({w for ws in worded for w in ws if w not in kept})
+    got = dict(zip(fresh, make(look_up(fresh)), strict=True)) if fresh else {}
+    for w in fresh[: max(0, AT_HAND - len(kept))]:
+        kept[w] = got[w]
+    return kept | got
+
+
+def _digest_rows(texts: list[str | None], split: Callable[[str], list[str]], look_up: Callable[[list[str]], list[list[int]]], names: list[str], kept: dict) -> tuple[list[int], list[str], list[str]]:
     n, first, second = [], [], []
     worded = [split(x) if x else [] for x in texts]
-    known = list({w for ws in worded for w in ws})
-    ready = dict(zip(known, digests(look_up(known), names), strict=True)) if known else {}
+    ready = _ready(worded, look_up, lambda ids: digests(ids, names), kept)
     for ws in worded:
         got = [ready[w] for w in ws]
         got = [g for g in got if g[0]]
@@ -172,10 +180,9 @@ def _digest_rows(texts: list[str | None], split: Callable[[str], list[str]], loo
     return n, first, second
 
 
-def _id_rows(texts: list[str | None], split: Callable[[str], list[str]], look_up: Callable[[list[str]], list[list[int]]], names: list[str]) -> tuple[list[list[int]]]:
+def _id_rows(texts: list[str | None], split: Callable[[str], list[str]], look_up: Callable[[list[str]], list[list[int]]], names: list[str], kept: dict) -> tuple[list[list[int]]]:
     worded = [split(x) if x else [] for x in texts]
-    known = list({w for ws in worded for w in ws})
-    ready = dict(zip(known, look_up(known), strict=True)) if known else {}
+    ready = _ready(worded, look_up, lambda ids: ids, kept)
     return ([[i for w in ws for i in ready[w]] for ws in worded],)
 
 
@@ -199,17 +206,18 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] |
     table = materialize(word_table(distinct_words(docs, path, text=text), path), what="words")
     size = table.agg(F.coalesce(F.sum(F.length("ids") + 20), F.lit(0))).first()[0]
 
-    def emit(piece: pa.RecordBatch, look_up: Callable[[list[str]], list[list[int]]]) -> pa.RecordBatch:
-        got = rows(piece.column(at).to_pylist(), splitter(path).words, look_up, id_pieces(path))
+    def emit(piece: pa.RecordBatch, look_up: Callable[[list[str]], list[list[int]]], kept_words: dict) -> pa.RecordBatch:
+        got = rows(piece.column(at).to_pylist(), splitter(path).words, look_up, id_pieces(path), kept_words)
         return pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], *(pa.array(g, k) for g, k in zip(got, kinds, strict=True))], names=schema.names)
 
     if size <= broadcast_bytes:
         shared = docs.sparkSession.sparkContext.broadcast(packed(table))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at_hand: dict = {}
             for batch in batches:
-                for piece in pieces(batch, text, BUCKET_BYTES):
-                    yield emit(piece, shared.value.look_up)
+                for piece in pieces(batch, text, PIECE_BYTES):
+                    yield emit(piece, shared.value.look_up, at_hand)
 
         return source.mapInArrow(run, schema)
     return _encode_by_bucket(source, table, path, text, emit, schema)
@@ -231,8 +239,9 @@ def _encode_by_bucket(source: DataFrame, table: DataFrame, path: str, text: str,
 
     def meet(docs: pa.Table, words: pa.Table) -> pa.Table:
         ids = dict(zip(words["word"].to_pylist(), words["ids"].to_pylist(), strict=True))
-        out = [emit(b.select(docs.column_names[:-1]), lambda ws: [np.frombuffer(ids[w], np.int32).tolist() for w in ws]) for b in docs.combine_chunks().to_batches()]
-        return pa.Table.from_batches(out) if out else pa.table([pa.array([], f.type) for f in emit(docs.schema.empty_table().select(docs.column_names[:-1]).to_batches()[0], lambda ws: []).schema], names=schema.names)
+        rows = docs.drop_columns(["__bucket"]).combine_chunks().to_batches()
+        out = [emit(p, lambda ws: [np.frombuffer(ids[w], np.int32).tolist() for w in ws], {}) for b in rows for p in pieces(b, text, PIECE_BYTES)]
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([], to_arrow_schema(schema))
 
     return dealt.groupBy("__bucket").cogroup(pairs.groupBy("__bucket")).applyInArrow(meet, schema)
 
