@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, decontam, hilbert, lang_id, minhash, quality, secrets, topk, url_filter
+from orrery.llm import bpe, decontam, hilbert, lang_id, minhash, quality, secrets, suffix_dedup, topk, url_filter
 from orrery.llm.common import table
 
 #: The filter rules of the url query.
@@ -31,6 +31,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES, blocked_hosts=BLOCKED_HOSTS).drop("url")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(table(spark, sf_dir, "documents"), shards=SHARDS)
 
@@ -64,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_hilbert_shards, op4_decontamination, op5_exact_top_k, op6_secret_scan, op7_near_duplicates, op8_quality, op9_bpe, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_hilbert_shards, op4_decontamination, op5_exact_top_k, op6_secret_scan, op7_near_duplicates, op8_quality, op9_bpe, op10_language_id)}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""
