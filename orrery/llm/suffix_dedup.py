@@ -38,7 +38,7 @@ from orrery.llm.words import mix, powers, prefix_hashes, span_hashes
 LENGTH, GRAM = 100, 24
 PIECE = 2 << 20  # bytes of text a piece
 BUCKET = 16 << 20  # bytes of the corpus a bucket of anchors stands for
-ARRAY = 2_500_000  # bytes a suffix array holds; cubes of its names stay below 2^63
+ARRAY = 600_000  # bytes a suffix array holds: about 150 MB of work space; cubes of its names stay below 2^63
 LAST = (1 << 63) - 1
 
 
@@ -54,6 +54,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     # sort sampled triples and name them
     triples = (p[sample] * base + p[sample + 1]) * base + p[np.minimum(sample + 2, n + 2)]
     names, at = np.unique(triples, return_inverse=True)
+    del triples
     # recurse on the names where they don't tell all apart
     order = suffix_array(at + 1) if len(names) < len(sample) else np.argsort(at)
     rank = np.zeros(n + 4, np.int64)
