@@ -29,9 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
 
 
-def materialize(df: DataFrame, *, what: str = "table") -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it back."""
+def files_for(rows: int, a_file: int = 1_000_000) -> int:
+    """How many files a table of so many rows is written to."""
+    return 1 + rows // a_file
+
+
+def materialize(df: DataFrame, *, what: str = "table", files: int | None = None) -> DataFrame:
+    """Cut the lineage: write a table to the shared folder and read it back.
+
+    A number of files, from the rows at hand, keeps narrow tables behind wide shuffles from
+    becoming one small file a task; the rows are dealt evenly, without a key.
+    """
     spark = df.sparkSession
+    if files is not None:
+        df = df.repartition(files)
     path = f"{shared_dir(spark).rstrip('/')}/orrery-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _remove_at_exit(spark, path)

@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import free_shuffles, materialize, ranges
+from orrery.llm.common import files_for, free_shuffles, materialize, ranges
 from orrery.llm.words import mix, powers, prefix_hashes, span_hashes
 
 LENGTH, GRAM = 100, 24
-PIECE = 2 << 20  # bytes of text a piece
+PIECE = 256 << 10  # bytes of text a piece: rows stay far below a JVM heap region
 BUCKET = 16 << 20  # bytes of the corpus a bucket of anchors stands for
 ARRAY = 600_000  # bytes a suffix array holds: about 150 MB of work space; cubes of its names stay below 2^63
 LAST = (1 << 63) - 1
@@ -216,7 +216,7 @@ def _piece_table(docs: DataFrame, leaders: DataFrame) -> DataFrame:
             cols = [ids.tobytes(), offs.tobytes(), b"".join(b for _, b, _ in held), "".join(s for _, _, s in held)]
             return pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), *(pa.array([c], pa.binary()) for c in cols[:3]), pa.array([cols[3]], pa.string())], names=["piece", "ids", "offs", "data", "shas"])
 
-        for batch in batches:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             for d, text, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 b = text.encode("utf-8", "surrogatepass")
                 if hashlib.sha256(b).hexdigest() != sha:
@@ -362,21 +362,22 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, with_kept: bool = Fal
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc"), text.alias("text"))
     keys = materialize(source.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), what="keys")
-    leaders = materialize(keys.groupBy("sha").agg(F.min("doc").alias("doc"), F.max("n_bytes").alias("n_bytes")), what="leaders")
+    n = keys.count()
+    leaders = materialize(keys.groupBy("sha").agg(F.min("doc").alias("doc"), F.max("n_bytes").alias("n_bytes")), what="leaders", files=files_for(n))
     total = leaders.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = int(total // BUCKET) + 8
     long = leaders.where(F.col("n_bytes") >= length).select("doc", "sha")
     pieces = _piece_table(source.select("doc", "text"), long)
     free_shuffles(spark)
-    repeated = materialize(repeated_anchors(pieces, buckets=buckets, length=length), what="anchors")
+    repeated = materialize(repeated_anchors(pieces, buckets=buckets, length=length), what="anchors", files=files_for(n))
     free_shuffles(spark)
-    spans = materialize(spans_to_remove(pieces, repeated, buckets=buckets, length=length), what="spans")
+    spans = materialize(spans_to_remove(pieces, repeated, buckets=buckets, length=length), what="spans", files=files_for(n))
     free_shuffles(spark)
     by_piece = spans.groupBy("piece").agg(F.collect_list("spans").alias("spans"))
     done = pieces.join(by_piece, "piece", "left").select("ids", "offs", "data", "shas", "spans").mapInArrow(_kept, "doc long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not with_kept:
         done = done.drop("kept")
-    done = materialize(done, what="done").dropDuplicates(["doc", "sha"])
+    done = materialize(done, what="done", files=files_for(n, 20_000) if with_kept else files_for(n)).dropDuplicates(["doc", "sha"])
     free_shuffles(spark)
     first = leaders.select(F.col("doc").alias("first"), "sha")
     # rows: leaders with their result; copies of an earlier text go whole; short texts stay whole

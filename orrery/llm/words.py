@@ -24,7 +24,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i below n, modulo 2^64; kept for later calls."""
     if len(_powers[0]) < n:
         for k, b in enumerate((BASE, INVERSE)):
-            p = np.full(max(n, 1 << 21), b, np.uint64)
+            p = np.full(max(n, 1 << 19), b, np.uint64)
             p[0] = 1
             _powers[k] = np.cumprod(p)
     return _powers[0][:n], _powers[1][:n]
