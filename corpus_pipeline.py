@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, decontam, lang_id, minhash, secrets
-from orrery.llm.common import materialize, table
-from orrery.llm.queries import tokenizer_path
+from orrery.llm.common import materialize
+from orrery.llm.queries import small_batches, table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MASK = "[secret]"
@@ -27,12 +27,14 @@ MASK = "[secret]"
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language; it learns from those with a known one."""
+    small_batches(spark)
     model = lang_id.learn(docs)
     return lang_id.predict(docs.select(*COLUMNS), model).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    small_batches(spark)
     found = materialize(minhash.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), what="kept")
     same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
     rows = docs.select(*COLUMNS).join(found, same).drop("kept_id")
@@ -45,11 +47,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
+    small_batches(spark)
     return decontam.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with every secret masked; n_chars follows the text where it changed."""
+    small_batches(spark)
     found = secrets.find_secrets(docs.select(*COLUMNS), redact=MASK)
     changed = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", changed).select(*COLUMNS)
@@ -57,6 +61,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the number of ids, and the digests of ids and decoded text."""
+    small_batches(spark)
     return bpe.encode(docs.select("doc_id", "text"), tokenizer_path(), keep=["doc_id"], output="digests")
 
 

@@ -32,8 +32,8 @@ from orrery.llm.common import extended, materialize, pieces
 
 BROADCAST_BYTES = 128 << 20
 BUCKET_BYTES = 16 << 20
-PIECE_BYTES = 4 << 20
-AT_HAND = 60_000  # words a task keeps rendered
+PIECE_BYTES = 2 << 20
+AT_HAND = 30_000  # words a task keeps rendered
 #: The pre-tokenizer's word pattern of the vocabulary file.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for texts of plain characters only, in the standard library's syntax.
@@ -98,7 +98,7 @@ def distinct_words(docs: DataFrame, path: str, *, text: str = "text") -> DataFra
             for x in batch.column(0).to_pylist():
                 if x:
                     have.update(words(x))
-            if len(have) > 200_000:
+            if len(have) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string())], names=["word"])
                 have = set()
         yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string())], names=["word"])
@@ -125,7 +125,8 @@ class PackedTable:
     def __init__(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, apart: dict[str, list[int]]) -> None:
         order = np.argsort(keys, kind="stable")
         ends = np.cumsum(sizes)
-        self.keys, self.starts, self.sizes, self.ids, self.apart = keys[order], (ends - sizes)[order].astype(np.int64), sizes[order], ids, apart
+        narrow = lambda a: a.astype(np.min_scalar_type(int(a.max(initial=0))))
+        self.keys, self.starts, self.sizes, self.ids, self.apart = keys[order], narrow((ends - sizes)[order]), narrow(sizes[order]), narrow(ids), apart
 
     def look_up(self, words: list[str]) -> list[list[int]]:
         at = np.searchsorted(self.keys, np.array([key_of(w) for w in words], np.uint64))

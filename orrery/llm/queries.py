@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import bpe, decontam, hilbert, lang_id, minhash, quality, secrets, suffix_dedup, topk, url_filter
-from orrery.llm.common import table
+from orrery.llm.common import small_batches
+from orrery.llm.common import table as read_table
 
 #: The filter rules of the url query.
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -17,6 +18,11 @@ SHARDS = 40
 TOP_K = 10
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return read_table(spark, sf_dir, name)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json", folder: str | None = None) -> str:
     """Where a public tokenizer's file lies: in the given folder, else where the package of public tokenizers says."""
     if folder is not None:

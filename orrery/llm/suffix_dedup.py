@@ -37,8 +37,8 @@ from orrery.llm.words import mix, powers, prefix_hashes, span_hashes
 
 LENGTH, GRAM = 100, 24
 PIECE = 256 << 10  # bytes of text a piece: rows stay far below a JVM heap region
-BUCKET = 16 << 20  # bytes of the corpus a bucket of anchors stands for
-ARRAY = 600_000  # bytes a suffix array holds: about 150 MB of work space; cubes of its names stay below 2^63
+BUCKET = 8 << 20  # bytes of the corpus a bucket of anchors stands for
+ARRAY = 400_000  # bytes a suffix array holds: about 100 MB of work space; cubes of its names stay below 2^63
 LAST = (1 << 63) - 1
 
 
