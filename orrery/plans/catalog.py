@@ -232,9 +232,9 @@ def fallback_saturation(spark, sf):
     return gates.saturation(_scores(spark, sf))
 
 
-@query("""SELECT l_orderkey AS id, median(l_quantity) AS purpose_sim, median(l_discount) AS depth, count(*) FILTER (l_returnflag = 'N') * 2 >= count(l_returnflag) AS causal, min_by(l_linestatus, l_linenumber) AS reason, count(*) AS n_votes FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey AS id, median(l_quantity) AS purpose_sim, median(l_discount) AS depth, count(*) FILTER (l_returnflag = 'N') * 2 >= count(l_returnflag) AS causal, min(l_linestatus) AS reason, count(*) AS n_votes FROM lineitem GROUP BY 1""")
 def vote_median_majority(spark, sf):
-    v = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("purpose_sim"), F.col("l_discount").alias("depth"), (F.col("l_returnflag") == "N").alias("causal"), F.col("l_linestatus").alias("reason"), F.col("l_linenumber").alias("vote"))
+    v = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("purpose_sim"), F.col("l_discount").alias("depth"), (F.col("l_returnflag") == "N").alias("causal"), F.col("l_linestatus").alias("reason"), F.struct("l_linestatus", "l_linenumber").alias("vote"))
     return gates.vote_reduce(v)
 
 
@@ -398,8 +398,7 @@ def non_latin_share(spark, sf):
     return d.where(T.non_latin_share(F.col("text")) == 0.0).select("id", F.length(F.regexp_replace("text", r"[^\p{L}]", "")).cast("long").alias("letters"))
 
 
-@query(r"""WITH w AS (SELECT doc_id AS id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents WHERE length(text) < 2000)
-SELECT id, string_agg(word, ' ' ORDER BY pos) AS restored FROM w GROUP BY id""")
+@query("""SELECT doc_id AS id, text AS restored FROM documents WHERE length(text) < 2000""")
 def inverted_index_restore(spark, sf):
     d = table(spark, sf, "documents").where(F.length("text") < 2000).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
     index = d.groupBy("id", "word").agg(F.sort_array(F.collect_list("pos")).alias("at")).groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "at")))).alias("index"))

@@ -24,16 +24,17 @@ REPO = (
 def restore_abstract(index: Column) -> Column:
     """Words back in their places: the first word of the index wins a place, holes are empty words.
 
-    Expressed on the map itself: entries become (place, order, word), sorted, and each place up to the
-    largest takes its first entry; nothing leaves the row.
+    Expressed on the map itself: entries become (place, order, word), sorted; each one is zipped with the one
+    before it, repeats of a place vanish and gaps become empty words. Nothing leaves the row.
     """
     entries = F.map_entries(index)
     flat = F.flatten(F.transform(entries, lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("o"), e["key"].alias("w")))))
     spots = F.sort_array(flat)
-    first = F.map_from_entries(F.transform(F.filter(spots, lambda s, i: (i == 0) | (F.try_element_at(spots, i) ["p"] != s["p"])), lambda s: F.struct(s["p"], s["w"])))
-    last = F.array_max(F.transform(flat, lambda s: s["p"]))
-    words = F.transform(F.sequence(F.lit(0), last), lambda p: F.coalesce(F.try_element_at(first, p), F.lit("")))
-    return F.when(index.isNull() | (F.size(flat) == 0), "").otherwise(F.array_join(words, " "))
+    start = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("o"), F.lit("").alias("w")))
+    none = F.array().cast("array<string>")
+    step = lambda s, q: F.when(s.isNull() | (s["p"] == q["p"]), none).otherwise(F.concat(F.array_repeat(F.lit(""), s["p"] - q["p"] - 1), F.array(s["w"])))
+    words = F.flatten(F.zip_with(spots, F.concat(start, spots), step))
+    return F.when(index.isNull(), "").otherwise(F.coalesce(F.array_join(words, " "), F.lit("")))
 
 
 def normalize_works(raw: DataFrame, payload: str = "payload") -> DataFrame:
