@@ -12,7 +12,7 @@ smallest k-gram hash in it, so equal strings have equal anchors and meet in one
 Anchors that occur once in the whole corpus rule their strings out before any text moves.
 Equal contexts are folded inside a piece of texts and again inside a bucket, so a passage
 that a third of the corpus shares is one context a piece; contexts of one anchor that
-still outgrow a suffix array are folded by the strings' own bytes.
+still outgrow a suffix array are compared in the order of the strings' hashes.
 
 Defined results: null and empty texts have no bytes and nothing removed; texts below
 ``length`` bytes stay whole; a whole text that also stands under a smaller doc_id is removed
@@ -196,9 +196,25 @@ class Contexts:
         return np.stack([head[2][owner[f]], head[3][owner[f]], start[f], start[t] + self.length])
 
     def _by_string(self, places: np.ndarray) -> np.ndarray:
-        """One anchor with more contexts than an array holds: its strings are folded by their bytes, in order."""
-        raw, seen = self.data.tobytes(), {}
-        return np.array([seen.setdefault(raw[p : p + self.length], i) for i, p in enumerate(places.tolist())], np.int64)
+        """One anchor with more contexts than an array holds: its strings are sorted by their hashes
+        and adjacent ones compared byte by byte; the first place of each string, by position in places."""
+        h = span_hashes(prefix_hashes(self.data), places, places + self.length)
+        order = np.argsort(h, kind="stable")
+        same = np.flatnonzero(h[order[1:]] == h[order[:-1]]) + 1
+        view = np.lib.stride_tricks.sliding_window_view(self.data, self.length)
+        equal = np.zeros(len(order), bool)
+        for i in range(0, len(same), 20_000):
+            part = same[i : i + 20_000]
+            equal[part] = (view[places[order[part]]] == view[places[order[part - 1]]]).all(1)
+        out = np.empty(len(places), np.int64)
+        heads = np.flatnonzero(~equal)
+        out[order] = np.repeat(order[heads], np.diff(np.append(heads, len(order))))  # stable: a head is its string's first place
+        clash = same[~equal[same]]
+        if len(clash):  # two strings under one hash: fold those few by their bytes
+            seen: dict[bytes, int] = {}
+            for i in np.flatnonzero(np.isin(h, h[order[clash]])).tolist():
+                out[i] = seen.setdefault(view[places[i]].tobytes(), i)
+        return out
 
 
 def _piece_table(docs: DataFrame, leaders: DataFrame) -> DataFrame:
