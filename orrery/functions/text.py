@@ -151,7 +151,7 @@ def theme_hash(c: Column) -> Column:
 
 def clean_query(c: Column) -> Column:
     """Quotes at the ends and cross-product signs dropped."""
-    q = F.trim(F.lit("'"), F.trim(F.lit('"'), F.trim(text_or_empty(c))))
+    q = F.trim(F.trim(F.trim(text_or_empty(c)), F.lit('"')), F.lit("'"))
     for sign in (" x ", " X ", " × ", "×"):
         q = F.replace(q, F.lit(sign), F.lit(" "))
     return collapse_ws(q)
