@@ -74,7 +74,7 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 40, dims: dict[str, Column]
     dims = dims or {"source": _string_code("source"), "lang": _string_code("lang"), "size": size}
     place = curve_places(docs, dims, bits=bits)
     rows = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), place.alias("place"))
-    rows = rows.withColumn("sub", F.pmod("text_crc32", F.lit(sub)).cast("int"))
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(sub)).cast("int"))
     counts = rows.groupBy("place", "sub").agg(F.count("*").alias("n"))
     # at most 2^(bits * dims) * sub buckets, whatever the input
     before = W.orderBy("place", "sub").rowsBetween(W.unboundedPreceding, -1)
