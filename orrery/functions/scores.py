@@ -45,7 +45,8 @@ def at_most(value: Column, tiers: Sequence[tuple[int, int]], otherwise: int) ->
 
 def days_since(ts: Column, as_of: Column) -> Column:
     """Whole days, never negative; null for bad stamps."""
-    return F.greatest(F.datediff(as_of, F.try_to_timestamp(ts.cast("string")).cast("date")), F.lit(0))
+    days = F.datediff(as_of, F.try_to_timestamp(ts.cast("string")).cast("date"))
+    return F.when(days < 0, 0).otherwise(days)
 
 
 def updated_year(ts: Column) -> Column:
