@@ -105,7 +105,8 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(starts)))
     first = starts[begin]
-    return first, count, np.searchsorted(offs, first, "right") - 1, grams[at[begin]]
+    # minima crowd at the low end of their hash, so anchors are named by another one: buckets come out even
+    return first, count, np.searchsorted(offs, first, "right") - 1, mix(grams[at[begin]] ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def later_strings(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -141,8 +142,8 @@ class Contexts:
 
     def later(self) -> np.ndarray:
         """Rows piece, text, first byte, end of the bytes to remove."""
-        found = [np.zeros((4, 0), np.int64)]
         head, n = self.head, self.head.shape[1]
+        folded: list[int] = []
         raw = self.data.tobytes()
         distinct = np.ones(n, bool)
         groups = np.flatnonzero(np.append(True, head[0][1:] != head[0][:-1])) if n else np.zeros(0, np.int64)
@@ -155,8 +156,9 @@ class Contexts:
                 if k != i:
                     distinct[i] = False
                     if (head[1, k], head[4, k]) != (head[1, i], head[4, i]):
-                        found.append(np.array([[head[2, i]], [head[3, i]], [head[4, i]], [head[4, i] + self.sizes[i]]]))
+                        folded.append(i)
             many[s:e] = len(seen) > 1
+        found = [np.stack([head[2, folded], head[3, folded], head[4, folded], head[4, folded] + self.sizes[folded]])]
         left = np.flatnonzero(distinct & many)
         # whole groups fill suffix arrays of bounded size
         edges, size = [0], 0
@@ -184,7 +186,7 @@ class Contexts:
             starts = at[owner] + offset
             least = np.searchsorted(starts, later_strings(text, starts, self.length))
         else:
-            least = self._by_string(begins[owner] + offset)
+            least = self._by_string(begins, sizes, head[5])
         doc, start = head[1][owner], head[4][owner] + offset
         gone = (doc != doc[least]) | (start != start[least])
         # runs of strings that go, as byte spans
@@ -195,10 +197,19 @@ class Contexts:
         f, t = np.flatnonzero(run), np.flatnonzero(stop)
         return np.stack([head[2][owner[f]], head[3][owner[f]], start[f], start[t] + self.length])
 
-    def _by_string(self, places: np.ndarray) -> np.ndarray:
+    def _by_string(self, begins: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """One anchor with more contexts than an array holds: its strings are sorted by their hashes
-        and adjacent ones compared byte by byte; the first place of each string, by position in places."""
-        h = span_hashes(prefix_hashes(self.data), places, places + self.length)
+        and adjacent ones compared byte by byte; for each string the first one like it, by their order."""
+        places = ranges(begins, counts)
+        h, done, row = np.empty(len(places), np.uint64), 0, 0
+        ends = np.cumsum(sizes)
+        while row < len(sizes):  # hashes over a bounded stretch of contexts at a time
+            stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + PIECE, "right")))
+            size, count = sizes[row:stop], counts[row:stop]
+            starts = ranges(np.cumsum(size) - size, count)
+            text = prefix_hashes(self.data[ranges(begins[row:stop], size)])
+            h[done : done + len(starts)] = span_hashes(text, starts, starts + self.length)
+            done, row = done + len(starts), stop
         order = np.argsort(h, kind="stable")
         same = np.flatnonzero(h[order[1:]] == h[order[:-1]]) + 1
         view = np.lib.stride_tricks.sliding_window_view(self.data, self.length)
@@ -341,7 +352,9 @@ def spans_to_remove(pieces: DataFrame, repeated: DataFrame, *, buckets: int, len
         sent = [r for r in got if r["head"]]
         if sent:
             head = np.concatenate([np.frombuffer(r["head"], np.int64).reshape(6, -1) for r in sent], 1)
-            gone = Contexts(head, np.frombuffer(b"".join(r["data"] for r in sent), np.uint8), length).later()
+            data = np.frombuffer(b"".join(r["data"] for r in sent), np.uint8)
+            del got, sent
+            gone = Contexts(head, data, length).later()
             gone = gone[:, np.argsort(gone[0], kind="stable")]
             cuts = [*np.flatnonzero(np.append(True, gone[0][1:] != gone[0][:-1])).tolist(), gone.shape[1]] if gone.shape[1] else [0]
             out += [(int(gone[0, s]), np.ascontiguousarray(gone[1:, s:e].T).tobytes()) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
