@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -164,13 +164,18 @@ def issue_points(issues: Column, with_body: Column, closed: Column, labelled: Co
     return F.when(issues == 0, none).otherwise(F.least(some, F.lit(10)))
 
 
-def pool_relative(days: Column, score: Column, *pool: str) -> Column:
-    """Lift a maintenance score by the recency rank within the pool; only lifts, from three rankable rows on."""
-    w = W.partitionBy(*pool)
-    n = F.count(days).over(w)
-    staler = n - F.sum(F.when(days.isNotNull(), 1).otherwise(0)).over(w.orderBy(days.asc_nulls_last()))
-    lifted = F.bround(2 + staler * 10 / F.greatest(n - 1, F.lit(1)), 0).cast("int")
-    return F.when(days.isNotNull() & (n >= 3), F.greatest(score, lifted)).otherwise(score)
+def pool_relative(rows: DataFrame, days: str, score: str, pool: str) -> DataFrame:
+    """rows with the maintenance score lifted by the recency rank within the pool; only lifts, from three rankable rows on.
+
+    Ranks come from counts of distinct days, so a large pool is never sorted in one task.
+    """
+    per_day = rows.where(F.col(days).isNotNull()).groupBy(pool, days).agg(F.count("*").alias("__c"))
+    w = W.partitionBy(pool)
+    staler = F.sum("__c").over(w) - F.sum("__c").over(w.orderBy(days))
+    side = per_day.select(pool, days, F.sum("__c").over(w).alias("__n"), staler.alias("__staler"))
+    lifted = F.bround(2 + F.col("__staler") * 10 / F.greatest(F.col("__n") - 1, F.lit(1)), 0).cast("int")
+    got = rows.join(side, [pool, days], "left")
+    return got.withColumn(score, F.when(F.col("__n") >= 3, F.greatest(F.col(score), lifted)).otherwise(F.col(score))).drop("__n", "__staler")
 
 
 def quality_band(score: Column) -> Column:

@@ -327,8 +327,8 @@ def duplicate_components(spark, sf):
 
 @query()
 def multi_key_first_wins(spark, sf):
-    rows = _docs(spark, sf).orderBy("id").limit(1000).select("id", T.title_match_key(F.col("title")).alias("tk"), T.abstract_key(F.col("text")).alias("ak"), F.col("id").alias("pos"), F.col("n_chars").alias("standing"), F.lit(0).alias("theme"))
-    return diversify.keep_first_of_keys(rows, ["tk", "ak"]).select("slot", "id")
+    rows = _docs(spark, sf).select("id", T.title_match_key(F.col("title")).alias("tk"), T.abstract_key(F.col("text")).alias("ak"), F.col("id").alias("pos"), F.col("n_chars").alias("standing"), F.concat_ws("/", "lang", F.substring("text", 1, 2)).alias("theme"))
+    return diversify.keep_first_of_keys(rows, ["tk", "ak"]).select("theme", "slot", "id")
 
 
 @query(KEY_SQL + r""", b AS (SELECT trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS tk, item_id FROM benchmark) SELECT id FROM k WHERE tk NOT IN (SELECT tk FROM b WHERE tk <> '') AND id NOT IN (SELECT item_id FROM b)""")
@@ -366,9 +366,10 @@ def pool_keyword_breakdown(spark, sf):
     return stats.keyword_breakdown(_docs(spark, sf), WORDS, F.col("title"), F.col("text"))
 
 
-@query(DOC_SQL + r" SELECT id, [x FOR x IN list_distinct(list_transform(regexp_extract_all(text, '\d+(?:[.,]\d+)?'), lambda x: replace(x, ',', '.'))) IF NOT list_contains(list_transform(regexp_extract_all(title, '\d+(?:[.,]\d+)?'), lambda x: replace(x, ',', '.')), x)] AS numbers FROM d WHERE false")
+@query(DOC_SQL + r""", n AS (SELECT id, list_transform(regexp_extract_all(text, '\d+(?:[.,]\d+)?'), lambda x: replace(x, ',', '.')) AS a, list_transform(regexp_extract_all(title, '\d+(?:[.,]\d+)?'), lambda x: replace(x, ',', '.')) AS b FROM d)
+SELECT id, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS n_unsupported FROM n""")
 def numeric_guard(spark, sf):
-    return _docs(spark, sf).where("false").select("id", T.unsupported_numbers(F.col("text"), F.col("title")).alias("numbers"))
+    return _docs(spark, sf).select("id", F.size(T.unsupported_numbers(F.col("text"), F.col("title"))).cast("long").alias("n_unsupported"))
 
 
 @query(r"""WITH u AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS before FROM conversations),
@@ -398,9 +399,9 @@ def non_latin_share(spark, sf):
     return d.where(T.non_latin_share(F.col("text")) == 0.0).select("id", F.length(F.regexp_replace("text", r"[^\p{L}]", "")).cast("long").alias("letters"))
 
 
-@query("""SELECT doc_id AS id, text AS restored FROM documents WHERE length(text) < 2000""")
+@query("""SELECT doc_id AS id, text AS restored FROM documents""")
 def inverted_index_restore(spark, sf):
-    d = table(spark, sf, "documents").where(F.length("text") < 2000).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
     index = d.groupBy("id", "word").agg(F.sort_array(F.collect_list("pos")).alias("at")).groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "at")))).alias("index"))
     return index.select("id", parse.restore_abstract(F.col("index")).alias("restored"))
 
@@ -451,15 +452,16 @@ s AS (SELECT id, lma, 2 + (count(*) OVER (PARTITION BY pool) - count(*) OVER (PA
 SELECT id, greatest(lma, CAST(round_even(rel, 0) AS INTEGER)) AS lifted FROM s""")
 def pool_relative_lift(spark, sf):
     r = _reliability(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("pool")), "id")
-    return r.select("id", S.pool_relative(F.col("days"), F.col("lma"), "pool").alias("lifted"))
+    return S.pool_relative(r, "days", "lma", "pool").select("id", F.col("lma").alias("lifted"))
 
 
 @query("""WITH a AS (SELECT s_suppkey AS id, CAST(s_suppkey * 37 % 101 AS INTEGER) AS reliability, CAST(s_suppkey * 13 % 31 AS INTEGER) AS fit FROM supplier), r AS (SELECT *, least(greatest(fit / 30.0::DOUBLE, 0), 1) AS rel FROM a)
 SELECT id, CAST(floor(reliability * (0.35::DOUBLE + 0.65::DOUBLE * rel) * 10000 + 0.5) AS BIGINT) AS score_e4, CASE WHEN rel >= 0.67::DOUBLE THEN '高' WHEN rel >= 0.35::DOUBLE THEN '中' ELSE '低' END AS level,
-CAST(row_number() OVER (ORDER BY CASE WHEN rel > 0 THEN 0 ELSE 1 END, reliability * (0.35::DOUBLE + 0.65::DOUBLE * rel) DESC, id) AS INTEGER) AS place FROM r""")
+CAST(row_number() OVER (ORDER BY CASE WHEN rel > 0 THEN 0 ELSE 1 END, reliability * (0.35::DOUBLE + 0.65::DOUBLE * rel) DESC, id) AS INTEGER) AS place FROM r ORDER BY place LIMIT 100""")
 def anchor_rank(spark, sf):
     a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 37 % 101).cast("int").alias("reliability"), (F.col("s_suppkey") * 13 % 31).cast("int").alias("fit"))
     a = a.withColumn("relevance", S.relevance(F.col("fit"), 30)).withColumn("anchor_rank_score", S.anchor_score(F.col("reliability"), F.col("relevance")))
+    a = a.orderBy(*rank.anchor_order()).limit(100)
     place = F.row_number().over(graph.W.orderBy(*rank.anchor_order()))
     return a.select("id", F.floor(F.col("anchor_rank_score") * 10000 + 0.5).alias("score_e4"), S.relevance_level(F.col("relevance")).alias("level"), place.alias("place"))
 

@@ -128,9 +128,9 @@ def reliability(repos: DataFrame, as_of: Column, *, rich: bool) -> DataFrame:
     return out.withColumn("reliability_score", F.least(F.col("impl_doc_score") + F.col("lma_score") + F.col("community_score") + F.col("security_score"), F.lit(100)))
 
 
-def lift_pool(repos: DataFrame, *pool: str) -> DataFrame:
+def lift_pool(repos: DataFrame, pool: str) -> DataFrame:
     """Maintenance lifted by the recency rank within the pool, and the total with it."""
-    out = repos.withColumn("lma_score", S.pool_relative(F.col("days"), F.col("lma_score"), *pool))
+    out = S.pool_relative(repos, "days", "lma_score", pool)
     return out.withColumn("reliability_score", F.least(F.col("impl_doc_score") + F.col("lma_score") + F.col("community_score") + F.col("security_score"), F.lit(100)))
 
 
