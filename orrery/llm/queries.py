@@ -88,6 +88,19 @@ ORACLE_SQL = {
                CASE WHEN said IS NOT NULL THEN said WHEN host = 'spam-farm.example.org' OR ends_with(host, '.spam-farm.example.org') THEN 'block' ELSE 'allow' END AS verdict
         FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id
     """,
+    "op2_suffix_dedup": r"""
+        WITH h AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS v FROM h, unnest(range(0, greatest(n - 99, 0))) AS u(i)),
+        f AS (SELECT v, min((doc_id, i)) AS first FROM w GROUP BY v HAVING count(*) > 1),
+        gone AS (SELECT doc_id, i FROM w JOIN f USING (v) WHERE (doc_id, i) <> first),
+        marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM gone),
+        runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+        spans AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS t FROM runs GROUP BY doc_id, run),
+        cuts AS (SELECT doc_id, s AS until, coalesce(lag(t) OVER (PARTITION BY doc_id ORDER BY s), 0) AS since FROM spans UNION ALL SELECT h.doc_id, n, coalesce(max(t), 0) FROM h LEFT JOIN spans ON spans.doc_id = h.doc_id GROUP BY h.doc_id, n),
+        kept AS (SELECT c.doc_id, string_agg(substr(x, 2 * since + 1, 2 * (until - since)), '' ORDER BY since) AS k FROM cuts c JOIN h ON h.doc_id = c.doc_id GROUP BY c.doc_id),
+        sums AS (SELECT doc_id, sum(t - s) AS removed, count(*) AS spans FROM spans GROUP BY doc_id)
+        SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM h JOIN kept ON kept.doc_id = h.doc_id LEFT JOIN sums ON sums.doc_id = h.doc_id
+    """,
     "op5_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
@@ -95,4 +108,12 @@ ORACLE_SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
         SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 10
     """,
+    "op7_near_duplicates": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM t),
+        e AS (SELECT doc_id, len(g) AS n, unnest(g) AS v FROM s),
+        links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.v = y.v AND x.doc_id <> y.doc_id AND x.n * 100 >= y.n * 80 AND y.n * 100 >= x.n * 80 GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        r(id, g) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, l.b FROM r JOIN links l ON l.a = r.g)
+        SELECT s.doc_id, CAST(len(any_value(s.g)) AS BIGINT) AS n_shingles, min(r.g) AS component_id, s.doc_id = min(r.g) AS kept FROM s JOIN r ON r.id = s.doc_id GROUP BY s.doc_id
+    """,
 }
