@@ -72,9 +72,11 @@ def extended(schema: T.StructType, columns: str) -> T.StructType:
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop the shuffle files of plans nobody holds any more."""
     import gc
+    import time
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)  # the cleaner works beside us
 
 
 def id_crc(col: str = "doc_id"):

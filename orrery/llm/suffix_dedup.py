@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,6 +229,15 @@ class Contexts:
         return out
 
 
+def _packed(b: bytes) -> bytes:
+    """Texts travel and rest as zstd: half of what the shuffle's own compression leaves."""
+    return zstandard.ZstdCompressor(level=3).compress(b)
+
+
+def _unpacked(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def _piece_table(docs: DataFrame, leaders: DataFrame) -> DataFrame:
     """piece, ids, offsets, data: the leading texts, packed."""
     rows = docs.join(leaders, "doc").select("doc", "text", "sha")
@@ -240,7 +250,7 @@ def _piece_table(docs: DataFrame, leaders: DataFrame) -> DataFrame:
         def pack() -> pa.RecordBatch:
             ids = np.array([d for d, _, _ in held], np.int64)
             offs = np.concatenate([[0], np.cumsum([len(b) for _, b, _ in held])]).astype(np.int64)
-            cols = [ids.tobytes(), offs.tobytes(), b"".join(b for _, b, _ in held), "".join(s for _, _, s in held)]
+            cols = [ids.tobytes(), offs.tobytes(), _packed(b"".join(b for _, b, _ in held)), "".join(s for _, _, s in held)]
             return pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), *(pa.array([c], pa.binary()) for c in cols[:3]), pa.array([cols[3]], pa.string())], names=["piece", "ids", "offs", "data", "shas"])
 
         for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
@@ -259,8 +269,9 @@ def _piece_table(docs: DataFrame, leaders: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(run, "piece long, ids binary, offs binary, data binary, shas string"), what="pieces")
 
 
-def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["data"], np.uint8), np.frombuffer(row["offs"], np.int64), np.frombuffer(row["ids"], np.int64)
+def _open(row: dict) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    raw = _unpacked(row["data"])
+    return raw, np.frombuffer(raw, np.uint8), np.frombuffer(row["offs"], np.int64), np.frombuffer(row["ids"], np.int64)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -279,7 +290,7 @@ def repeated_anchors(pieces: DataFrame, *, buckets: int, length: int) -> DataFra
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            data, offs, _ = _open(row)
+            _, data, offs, _ = _open(row)
             h, n = np.unique(anchors(data, offs, length)[3], return_counts=True)
             cuts = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
             part = [(b, s, e) for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
@@ -306,7 +317,7 @@ def spans_to_remove(pieces: DataFrame, repeated: DataFrame, *, buckets: int, len
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            data, offs, ids = _open(row)
+            raw, data, offs, ids = _open(row)
             first, count, text, h = anchors(data, offs, length)
             uniq, at = np.unique(h, return_inverse=True)
             bounds = np.searchsorted(_bucket(uniq, buckets), np.arange(buckets + 1))
@@ -319,7 +330,7 @@ def spans_to_remove(pieces: DataFrame, repeated: DataFrame, *, buckets: int, len
             if not len(first):
                 continue
             # fold equal contexts inside the piece: only the earliest travels
-            raw, size = row["data"], count + length - 1
+            size = count + length - 1
             order = np.lexsort((first - offs[text], ids[text]))
             seen: dict[bytes, int] = {}
             send, local = [], []
@@ -341,7 +352,7 @@ def spans_to_remove(pieces: DataFrame, repeated: DataFrame, *, buckets: int, len
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 i = send_at[s:e]
                 head = np.stack([h[i].view(np.int64), ids[text[i]], np.full(len(i), row["piece"]), text[i], first[i] - offs[text[i]], count[i]]).astype(np.int64)
-                out.append((int(b[s]), row["piece"], head.tobytes(), data[ranges(first[i], size[i])].tobytes()))
+                out.append((int(b[s]), row["piece"], _packed(head.tobytes()), _packed(data[ranges(first[i], size[i])].tobytes())))
             if local:
                 out.append((int(b[0]), row["piece"], b"", np.array(local, np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "piece", "head", "data"])
@@ -351,8 +362,8 @@ def spans_to_remove(pieces: DataFrame, repeated: DataFrame, *, buckets: int, len
         out = [(r["piece"], r["data"]) for r in got if not r["head"]]
         sent = [r for r in got if r["head"]]
         if sent:
-            head = np.concatenate([np.frombuffer(r["head"], np.int64).reshape(6, -1) for r in sent], 1)
-            data = np.frombuffer(b"".join(r["data"] for r in sent), np.uint8)
+            head = np.concatenate([np.frombuffer(_unpacked(r["head"]), np.int64).reshape(6, -1) for r in sent], 1)
+            data = np.frombuffer(b"".join(_unpacked(r["data"]) for r in sent), np.uint8)
             del got, sent
             gone = Contexts(head, data, length).later()
             gone = gone[:, np.argsort(gone[0], kind="stable")]
@@ -366,7 +377,7 @@ def spans_to_remove(pieces: DataFrame, repeated: DataFrame, *, buckets: int, len
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        data, offs, ids = _open(row)
+        raw, data, offs, ids = _open(row)
         gone = np.zeros(len(data) + 1, np.int32)
         for s in row["spans"] or []:
             text, first, end = np.frombuffer(s, np.int64).reshape(-1, 3).T
@@ -378,7 +389,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = removed[s:e]
             n = int(r.sum())
             spans = int(np.count_nonzero(r[1:] & ~r[:-1]) + (len(r) and r[0])) if n else 0
-            kept = data[s:e][~r].tobytes() if n else row["data"][s:e]
+            kept = data[s:e][~r].tobytes() if n else raw[s:e]
             sha = row["shas"][64 * i : 64 * i + 64]
             for c, v in zip(cols, (int(ids[i]), sha, n, spans, hashlib.sha256(kept).hexdigest() if n else sha, kept), strict=True):
                 c.append(v)
