@@ -496,3 +496,55 @@ def structured_query(spark, sf):
 def fallback_scan(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return gates.fallback_if_empty(o.where("o_totalprice < 0"), o).agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey * 37 % 120000 AS d, p_partkey * 13 % 1200 AS l, p_partkey * 7 % 600 AS v, p_size / 50.0::DOUBLE AS u FROM part)
+SELECT id, CASE WHEN d >= 100000 THEN 25 WHEN d >= 10000 THEN 20 WHEN d >= 1000 THEN 14 WHEN d >= 100 THEN 8 WHEN d >= 10 THEN 4 WHEN d > 0 THEN 1 ELSE 0 END + CASE WHEN l >= 1000 THEN 15 WHEN l >= 200 THEN 12 WHEN l >= 50 THEN 8 WHEN l >= 10 THEN 4 WHEN l > 0 THEN 1 ELSE 0 END AS hub,
+least(CASE WHEN d >= 100000 THEN 22 WHEN d >= 10000 THEN 18 WHEN d >= 1000 THEN 12 WHEN d >= 100 THEN 7 WHEN d >= 10 THEN 3 WHEN d > 0 THEN 1 ELSE 0 END + CASE WHEN v >= 1000 THEN 12 WHEN v >= 200 THEN 9 WHEN v >= 50 THEN 6 WHEN v >= 10 THEN 3 WHEN v > 0 THEN 1 ELSE 0 END + CAST(round_even(greatest(least(u, 1), 0) * 6, 0) AS INTEGER), 40) AS dataset,
+CASE WHEN v >= 500 THEN 28 WHEN v >= 100 THEN 22 WHEN v >= 30 THEN 15 WHEN v >= 10 THEN 9 WHEN v >= 3 THEN 4 WHEN v > 0 THEN 1 ELSE 0 END AS notebook FROM p""")
+def hub_tiers(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 120000).alias("d"), (F.col("p_partkey") * 13 % 1200).alias("l"), (F.col("p_partkey") * 7 % 600).alias("v"), (F.col("p_size") / 50.0).alias("u"))
+    return p.select("id", S.hub_adoption(F.col("d"), F.col("l")).alias("hub"), S.dataset_adoption(F.col("d"), F.col("v"), F.col("u")).alias("dataset"), S.notebook_adoption(F.col("v"), F.lit("")).alias("notebook"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, s_suppkey % 8 AS r, s_suppkey * 3 % 11 AS ok, s_suppkey * 5 % 13 AS runs, s_suppkey % 10 AS ext, s_suppkey * 7 % 9 AS rep FROM supplier)
+SELECT id, CASE WHEN r >= 6 THEN 6 WHEN r >= 3 THEN 4 WHEN r >= 1 THEN 2 ELSE 0 END AS cadence, CASE WHEN runs <= 0 THEN 0 ELSE 3 + CASE WHEN ok * 5 >= runs * 4 THEN 3 WHEN ok * 2 >= runs THEN 1 ELSE 0 END END AS ci,
+CASE WHEN ext >= 8 THEN 3 WHEN ext >= 3 THEN 2 WHEN ext >= 1 THEN 1 ELSE 0 END + CASE WHEN rep >= 5 THEN 3 WHEN rep >= 3 THEN 2 WHEN rep >= 1 THEN 1 ELSE 0 END AS people FROM s""")
+def signal_tiers(spark, sf):
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(k.alias("id"), S.release_cadence(k % 8).alias("cadence"), S.ci_health(k * 3 % 11, k * 5 % 13).alias("ci"), S.third_party(k % 10, k * 7 % 9).alias("people"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value, event_type = 'click' AS is_pr, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS pos FROM events QUALIFY pos < 100),
+f AS (SELECT *, count(*) FILTER (pos < 5 AND NOT is_pr) OVER (PARTITION BY user_id) AS near, sum(CASE WHEN is_pr THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY pos) AS nth FROM e),
+u AS (SELECT *, NOT is_pr AND CASE WHEN near > 0 THEN pos < 5 ELSE nth <= 5 END AS used FROM f)
+SELECT CAST(user_id AS VARCHAR) AS repo, count(*) FILTER (used) AS issues, count(*) FILTER (used AND event_id % 2 = 0) AS opened, count(*) FILTER (used AND event_id % 2 = 1) AS closed, count(DISTINCT CASE WHEN used AND event_id % 7 <> 0 THEN event_id % 7 END) AS reporters FROM u GROUP BY 1""")
+def issue_signals(spark, sf):
+    from orrery.sources import anchors
+
+    pos = F.row_number().over(graph.W.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())) - 1
+    login = F.when(F.col("event_id") % 7 == 0, "").otherwise((F.col("event_id") % 7).cast("string"))
+    items = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("repo"), F.lit("owner").alias("owner"), pos.alias("pos"), F.when(F.col("event_id") % 2 == 0, "open").otherwise("closed").alias("state"), F.lit("").alias("body"), login.alias("login"), F.array().cast("array<string>").alias("labels"), (F.col("event_type") == "click").alias("is_pr"))
+    return anchors.issue_signal(items).select("repo", "issues", "opened", "closed", "reporters")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END AS leg, row_number() OVER (PARTITION BY o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey) - 1 AS own FROM orders)
+SELECT CAST(id AS VARCHAR) AS full_name, leg FROM o ORDER BY CASE leg WHEN 0 THEN own // 2 ELSE own END, leg, own LIMIT 30""")
+def search_pool_turns(spark, sf):
+    from orrery.sources import anchors
+
+    leg = F.when(F.col("o_orderpriority") == "1-URGENT", 0).otherwise(1)
+    legs = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("full_name"), leg.alias("leg"), F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey").alias("pos"))
+    return anchors.seat_by_turns(legs, [2, 1], limit=30).select("full_name", "leg")
+
+
+@query(r"""WITH p AS (SELECT page_id, url FROM pages) SELECT page_id, regexp_extract(url, '[^/]*$') AS tail, substr(sha256(url), 1, 16) AS hash, trim(regexp_replace(translate(url, ',|!:', '    '), '\s+', ' ', 'g')) AS clean FROM p""")
+def scalar_keys(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", T.strip_id(u).alias("tail"), T.theme_hash(u).alias("hash"), T.sanitize_filter_value(u).alias("clean"))
+
+
+@query("""SELECT day, CAST(floor(spent * 10000 + 0.5) AS BIGINT) AS spent_e4, spent >= 0.1 AS exhausted FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'click') * 0.001::DOUBLE AS spent FROM events GROUP BY 1)""")
+def budget_meter(spark, sf):
+    e = table(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg((F.count_if(F.col("event_type") == "click") * 0.001).alias("spent"))
+    return e.select("day", F.floor(F.col("spent") * 10000 + 0.5).alias("spent_e4"), (F.col("spent") >= 0.1).alias("exhausted"))
