@@ -479,10 +479,10 @@ def request_telemetry(spark, sf):
 
 
 @query("""WITH refs AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS ref FROM lineitem), n AS (SELECT id, count(*) AS n FROM refs GROUP BY id HAVING count(*) >= 10)
-SELECT x.id AS a, y.id AS b FROM refs x JOIN refs y ON x.ref = y.ref AND x.id < y.id JOIN n nx ON nx.id = x.id JOIN n ny ON ny.id = y.id GROUP BY 1, 2 HAVING count(*) * 100 >= (any_value(nx.n) + any_value(ny.n) - count(*)) * 30""")
+SELECT x.id AS a, y.id AS b FROM refs x JOIN refs y ON x.ref = y.ref AND x.id < y.id JOIN n nx ON nx.id = x.id JOIN n ny ON ny.id = y.id GROUP BY 1, 2 HAVING count(*) * 100 >= (any_value(nx.n) + any_value(ny.n) - count(*)) * 18""")
 def shared_reference_pairs(spark, sf):
     refs = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("ref")).distinct()
-    return graph.shared_reference_pairs(refs, percent=30)
+    return graph.shared_reference_pairs(refs, percent=18)
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1994 AND 1996 AND o_custkey % 25 IN (3, 7)")
