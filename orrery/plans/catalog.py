@@ -33,7 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Frame:
-    """The graph view of the tables."""
+    """The graph view of the tables. Roster, pool and candidates have at most 60 rows by their own limits and are
+    cached, so that the joins on them don't run the scans below again."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         t = lambda n: table(spark, sf_dir, n)
@@ -41,10 +42,10 @@ class Frame:
         region = t("nation").select(F.col("n_nationkey").alias("field"), F.col("n_regionkey").alias("domain"))
         self.works = t("orders").join(place, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(region), "field").select(F.col("o_orderkey").alias("id"), "field", "domain", F.col("o_totalprice").alias("cites"))
         self.refs = t("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("ref")).distinct()
-        self.seeds = graph.top_seeds(self.works)
+        self.seeds = graph.top_seeds(self.works).persist()
         self.home = graph.dominant(self.seeds, "field").select("field")
-        self.pool = graph.bridge_pool_by_citers(self.seeds, self.refs)
-        self.candidates = graph.two_hop(self.works, self.refs, self.seeds, self.pool, self.home)
+        self.pool = graph.bridge_pool_by_citers(self.seeds, self.refs).persist()
+        self.candidates = graph.two_hop(self.works, self.refs, self.seeds, self.pool, self.home).persist()
         self.cand_hits = graph.hits(self.candidates, self.refs, self.pool)
         self.seed_hits = graph.hits(self.seeds, self.refs, self.pool)
 
