@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ SUPPLEMENT_TITLE = (
 )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated one time, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -187,18 +192,23 @@ def keyword_fit(strong: Column, body: Column, include: Sequence[str], exclude: S
     A keyword in the identity text earns full credit, in the body text its density a 10,000
     characters, at most one. credit_e6 is the sum in millionths.
     """
-    s, b = padded(strong), padded(body)
-    unit = F.greatest(F.length(text_or_empty(body)), F.lit(1000)) / F.lit(10000.0)
     terms = [t.strip() for t in include if t and t.strip()]
+    drop = [t.strip() for t in exclude if t and t.strip()]
 
-    def credit(t: str) -> Column:
+    def credit(r: Column, t: str) -> Column:
         n = padded(F.lit(t))
-        part = F.least(phrase_count(b, n) / unit, F.lit(1.0))
-        return F.when(phrase_in(s, n), 1.0).when(F.trim(b) != "", part).otherwise(0.0)
-
-    total = sum((credit(t) for t in terms), F.lit(0.0))
-    hits = sum(((phrase_in(s, padded(F.lit(t))) | phrase_in(b, padded(F.lit(t)))).cast("int") for t in (x.strip() for x in exclude) if t), F.lit(0))
-    covered = total / len(terms) if terms else F.lit(0.0)
-    score = F.greatest(F.bround(covered * scale, 0).cast("int") - F.least(hits * penalty, F.lit(most)), F.lit(0))
-    matched = F.filter(F.array(*[F.when(credit(t) > 0, F.lit(t)) for t in terms]) if terms else F.array().cast("array<string>"), lambda m: m.isNotNull())
-    return F.struct(F.floor(total * 1_000_000 + 0.5).cast("long").alias("credit_e6"), score.alias("score"), hits.alias("exclude_hits"), matched.alias("matched"))
+        part = F.least(phrase_count(r["b"], n) / r["u"], F.lit(1.0))
+        return F.when(phrase_in(r["s"], n), 1.0).when(F.trim(r["b"]) != "", part).otherwise(0.0)
+
+    def parts(r: Column, credits: Column) -> Column:
+        total = F.aggregate(credits, F.lit(0.0), lambda x, y: x + y)
+        hits = sum(((phrase_in(r["s"], padded(F.lit(t))) | phrase_in(r["b"], padded(F.lit(t)))).cast("int") for t in drop), F.lit(0))
+        covered = total / len(terms) if terms else F.lit(0.0)
+        score = F.greatest(F.bround(covered * scale, 0).cast("int") - F.least(hits * penalty, F.lit(most)), F.lit(0))
+        names = F.array(*map(F.lit, terms)).cast("array<string>")
+        matched = F.array_compact(F.zip_with(names, credits, lambda n, c: F.when(c > 0, n)))
+        return F.struct(F.floor(total * 1_000_000 + 0.5).cast("long").alias("credit_e6"), score.alias("score"), hits.alias("exclude_hits"), matched.alias("matched"))
+
+    unit = F.greatest(F.length(text_or_empty(body)), F.lit(1000)) / F.lit(10000.0)
+    normal = F.struct(padded(strong).alias("s"), padded(body).alias("b"), unit.alias("u"))
+    return once(normal, lambda r: once(F.array(*[credit(r, t) for t in terms]).cast("array<double>"), lambda c: parts(r, c)))

@@ -57,9 +57,9 @@ def keyword_breakdown(rows: DataFrame, include: Sequence[str], strong: Column, b
     """keyword, strong, readme, total: how many records match each keyword, by surface."""
     from orrery.functions import text as T
 
-    s, b = T.padded(strong), T.padded(body)
-    kinds = F.array(*[F.struct(F.lit(k).alias("keyword"), T.phrase_in(s, T.padded(F.lit(k))).alias("s"), T.phrase_in(b, T.padded(F.lit(k))).alias("b")) for k in include])
-    e = rows.select(F.explode(kinds).alias("e")).select("e.*")
+    normal = F.struct(T.padded(strong).alias("s"), T.padded(body).alias("b"))
+    kinds = lambda r: F.array(*[F.struct(F.lit(k).alias("keyword"), T.phrase_in(r["s"], T.padded(F.lit(k))).alias("s"), T.phrase_in(r["b"], T.padded(F.lit(k))).alias("b")) for k in include])
+    e = rows.select(F.explode(T.once(normal, kinds)).alias("e")).select("e.*")
     return e.groupBy("keyword").agg(F.count_if("s").alias("strong"), F.count_if(~F.col("s") & F.col("b")).alias("readme"), F.count_if(F.col("s") | F.col("b")).alias("total"))
 
 
