@@ -50,6 +50,22 @@ def anchor_order(relevance: str = "relevance", score: str = "anchor_rank_score",
     return [(F.col(relevance) > 0).cast("int").desc(), F.col(score).desc(), F.col(key).asc()]
 
 
+def anchor_places(rows: DataFrame, *, relevance: str = "relevance", score: str = "anchor_rank_score", key: str = "id", steps: int = 64) -> DataFrame:
+    """rows plus place: every row's number (from 1) in anchor_order.
+
+    A histogram of (tier, score in steps of 1/64) gives each bin its first place, and only a bin's rows are
+    sorted; scores of 0..100 give at most 12,802 bins, whatever the rows.
+    """
+    tier = F.coalesce((F.col(relevance) > 0).cast("int"), F.lit(-1))
+    rows = rows.withColumn("__t", tier).withColumn("__b", F.coalesce(F.floor(F.col(score) * steps), F.lit(-1)))
+    bins = rows.groupBy("__t", "__b").agg(F.count("*").alias("__n"))
+    before = W.orderBy(F.col("__t").desc(), F.col("__b").desc()).rowsBetween(W.unboundedPreceding, -1)
+    starts = bins.select("__t", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(W.partitionBy("__t", "__b").orderBy(F.col(score).desc(), F.col(key).asc()))
+    placed = rows.withColumn("__own", own).join(F.broadcast(starts), ["__t", "__b"])
+    return placed.withColumn("place", F.col("__start") + F.col("__own")).drop("__t", "__b", "__start", "__own")
+
+
 def leg_turns(legs: DataFrame, or_total: Column, n_legs: Column) -> DataFrame:
     """legs(keyword, total) plus own_turn: a keyword rarer than an equal share of the OR total keeps its own turn."""
     return legs.withColumn("own_turn", F.col("total") * n_legs < or_total)

@@ -462,9 +462,8 @@ CAST(row_number() OVER (ORDER BY CASE WHEN rel > 0 THEN 0 ELSE 1 END, reliabilit
 def anchor_rank(spark, sf):
     a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 37 % 101).cast("int").alias("reliability"), (F.col("s_suppkey") * 13 % 31).cast("int").alias("fit"))
     a = a.withColumn("relevance", S.relevance(F.col("fit"), 30)).withColumn("anchor_rank_score", S.anchor_score(F.col("reliability"), F.col("relevance")))
-    a = a.orderBy(*rank.anchor_order()).limit(100)
-    place = F.row_number().over(graph.W.orderBy(*rank.anchor_order()))
-    return a.select("id", F.floor(F.col("anchor_rank_score") * 10000 + 0.5).alias("score_e4"), S.relevance_level(F.col("relevance")).alias("level"), place.alias("place"))
+    a = rank.anchor_places(a)
+    return a.select("id", F.floor(F.col("anchor_rank_score") * 10000 + 0.5).alias("score_e4"), S.relevance_level(F.col("relevance")).alias("level"), F.col("place").cast("int").alias("place"))
 
 
 @query("""WITH r AS (SELECT DISTINCT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS run, o_custkey AS key FROM orders), f AS (SELECT *, min(run) OVER (PARTITION BY key) AS first FROM r)
