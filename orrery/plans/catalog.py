@@ -225,7 +225,7 @@ def percentile_gate(spark, sf):
 
 @query(GATE_SQL + "SELECT id, rejected_by AS floor, CASE rejected_by WHEN 'anomaly' THEN ps WHEN 'hollow' THEN depth END AS value FROM r WHERE rejected_by IN ('anomaly', 'hollow')")
 def rejection_log(spark, sf):
-    return gates.rejection_log(_scores(spark, sf)).where("floor IN ('anomaly', 'hollow')").select("id", "floor", "value")
+    return gates.rejection_log(_scores(spark, sf))
 
 
 @query(GATE_SQL + "SELECT count(*) AS scored, count(*) FILTER (rejected_by = 'anomaly') AS anomaly, count(*) FILTER (rejected_by = 'hollow') AS hollow, count(*) FILTER (rejected_by = 'percentile_gate') AS gated, count(*) FILTER (rejected_by = 'output_floor') AS floored, count(*) FILTER (rejected_by IS NULL) AS qualified, CASE WHEN count(*) FILTER (rejected_by IS NULL) = 0 THEN 'no_qualified' ELSE 'ok' END AS status FROM r")

@@ -21,3 +21,17 @@ def test_anchor_rank_places_every_supplier(spark, tmp_path):
     whole = catalog.ORACLE_SQL["anchor_rank"].removesuffix(" ORDER BY place LIMIT 100")  # the registered SQL stops at 100
     assert got == sorted(con.execute(f"SELECT id, score_e4, level, place FROM ({whole})").fetchall())
     assert len(got) == 4000
+
+
+def test_rejection_log_has_all_four_stages(spark, tmp_path):
+    import duckdb
+
+    keys = [i for i in range(1, 3000) if (i * 37 % 100) * (i * 53 % 100) < 4500]  # few high products: the gate is below the output floor
+    sf = stored(spark, tmp_path, "orders", [(i,) for i in keys], "o_orderkey long")
+    got = sorted((r.id, r.floor, int(r.value * 1e6 + 0.5), int(r.threshold * 1e6 + 0.5)) for r in catalog.rejection_log(spark, sf).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{sf}/orders.parquet/*.parquet')")
+    want = con.execute(catalog.GATE_SQL + """SELECT id, rejected_by, CAST(floor(1e6 * CASE rejected_by WHEN 'anomaly' THEN ps WHEN 'hollow' THEN depth ELSE ser END + 0.5) AS BIGINT),
+        CAST(floor(1e6 * CASE rejected_by WHEN 'anomaly' THEN 0.2 WHEN 'hollow' THEN 0.5 WHEN 'percentile_gate' THEN gate ELSE 0.35 END + 0.5) AS BIGINT) FROM r WHERE rejected_by IS NOT NULL""").fetchall()
+    assert got == sorted(want)
+    assert {r[1] for r in got} == {"anomaly", "hollow", "percentile_gate", "output_floor"}
