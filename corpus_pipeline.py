@@ -33,14 +33,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    """The smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8).
+
+    Rows are told apart by id and text together: a text whose id is kept for another text stays out.
+    """
     small_batches(spark)
-    found = materialize(minhash.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), what="kept")
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    rows = docs.select(*COLUMNS).join(found, same).drop("kept_id")
+    docs = docs.select(*COLUMNS).withColumn("__text", F.xxhash64("doc_id", "text"))
+    kept = minhash.near_duplicates(docs, carry=["__text"]).where("kept")
+    found = materialize(kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("__text").alias("kept_text")).agg(F.count("*").alias("n")), what="kept")
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__text") == F.col("kept_text"))
+    rows = docs.join(found, same).select(*COLUMNS, "n")
     if found.where("n > 1").isEmpty():
         return rows.drop("n")
-    # an id that stands on several rows: each of its texts leaves once
+    # rows that repeat an id and a text leave once
     once = rows.where("n > 1").groupBy("doc_id", "text").agg(*[F.min(c).alias(c) for c in COLUMNS[2:]])
     return rows.where("n = 1").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 

@@ -35,3 +35,13 @@ def test_rejection_log_has_all_four_stages(spark, tmp_path):
         CAST(floor(1e6 * CASE rejected_by WHEN 'anomaly' THEN 0.2 WHEN 'hollow' THEN 0.5 WHEN 'percentile_gate' THEN gate ELSE 0.35 END + 0.5) AS BIGINT) FROM r WHERE rejected_by IS NOT NULL""").fetchall()
     assert got == sorted(want)
     assert {r[1] for r in got} == {"anomaly", "hollow", "percentile_gate", "output_floor"}
+
+
+def test_pipeline_near_duplicates_by_id_and_text(spark):
+    import corpus_pipeline as p
+
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, a), (7, a), (7, b), (None, a), (None, c), (9, c), (3, "own text"), (3, "own text")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, a), (3, "own text"), (7, b), (9, c)]
