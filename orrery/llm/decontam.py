@@ -5,12 +5,12 @@ benchmark items and of all training texts are hashed; where a training hash is o
 benchmark's, the two texts are aligned at the hit and the overlap around it is verified
 word by word: some window of ``window`` words (or the whole item, if shorter) must agree
 in ``share`` of its places. With the masks below, every window of 12 words with up to two
-substitutions holds at least one seed, so no such overlap is missed.
+substitutions holds at least one seed, so no such overlap is missed. Items below the window
+have masks of their own length, which meet every set of substitutions that ``share`` allows.
 
 Words are runs of letters and digits, lower-cased, so punctuation does not matter.
 
-Defined results: null and empty texts, and items below ``least`` words, take no part; items
-too short for a mask need one whole, exact occurrence; one row per text and item, with the
+Defined results: null and empty texts, and items below ``least`` words, take no part; one row per text and item, with the
 best window; rows that repeat are reported one by one; items that repeat each count; extra
 columns are ignored; an empty benchmark or corpus gives no rows.
 """
@@ -18,6 +18,7 @@ columns are ignored; an empty benchmark or corpus gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,22 +47,52 @@ def seeds(h: np.ndarray, first: np.ndarray, mask: tuple[int, ...], salt: int) ->
     return at, mix(out)
 
 
+def least_equal(w: int, share: float) -> int:
+    """Places that must agree in a window of w words."""
+    return int(np.ceil(share * w - 1e-9))
+
+
+def short_masks(w: int, off: int) -> list[tuple[int, ...]]:
+    """Masks over w words of which at least one misses any off places.
+
+    Each mask leaves out a part of the places, chosen greedily until every set of off places lies in a part;
+    beyond two substitutions one of off + 1 blocks is always whole.
+    """
+    off = min(off, w - 1)
+    if off > 2:
+        return [tuple(range(w * i // (off + 1), w * (i + 1) // (off + 1))) for i in range(off + 1)]
+    left = set(combinations(range(w), off))
+    out = []
+    while left:
+        part = max(combinations(range(w), max(off, w * off // (off + 2))), key=lambda p: len(left.intersection(combinations(p, off))))
+        left -= set(combinations(part, off))
+        out.append(tuple(i for i in range(w) if i not in part))
+    return out
+
+
 class SeedIndex:
     """The seeds of a block of benchmark items, with the items' words for verification."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array, masks: tuple[tuple[int, ...], ...] = MASKS, least: int = LEAST) -> None:
+    def __init__(self, ids: pa.Array, texts: pa.Array, masks: tuple[tuple[int, ...], ...] = MASKS, least: int = LEAST, window: int = WINDOW, share: float = SHARE) -> None:
         texts = pc.utf8_lower(texts)
         _, _, self.words, self.first = tokens(*flat(texts), ALNUM)
         self.ids = ids
         n = np.diff(self.first)
-        longest = max(m[-1] + 1 for m in masks)
-        self.masks = [*masks, *(tuple(range(k)) for k in range(least, longest) if (n == k).any())]
+        full = max(window, *(m[-1] + 1 for m in masks))  # items from here on hold the given masks
+        width = np.minimum(window, n)
+        widths = np.unique(width[(n >= least) & (n < full)]).tolist()
+        short = [(w, m) for w in widths for m in short_masks(w, w - least_equal(w, share))]
+        self.masks = [*masks, *(m for _, m in short)]
         found = []
         for i, mask in enumerate(self.masks):
-            fit = n >= longest if i < len(masks) else n == len(mask)
             at, h = seeds(self.words, self.first, mask, i)
             item = np.searchsorted(self.first, at, "right") - 1
-            found += [(h[fit[item]], at[fit[item]], item[fit[item]])]
+            if i < len(masks):
+                fit = n[item] >= full
+            else:  # where a whole window begins
+                w = short[i - len(masks)][0]
+                fit = (n[item] >= least) & (n[item] < full) & (width[item] == w) & (at - self.first[item] + w <= n[item])
+            found += [(h[fit], at[fit], item[fit])]
         h, at, item = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(h, kind="stable")
         self.hashes, self.at, self.item = h[order], at[order], item[order]
@@ -96,8 +127,7 @@ def verify(words: np.ndarray, start: int, end: int, item: np.ndarray, at: int, w
     same = np.concatenate([[0], np.cumsum(words[at + lo : at + hi] == item[lo:hi])])
     inside = same[w:] - same[:-w]
     best = int(inside.argmax())
-    need = int(np.ceil(share * w - 1e-9))
-    return (int(inside[best]), w, at + lo + best - start, lo + best) if inside[best] >= need else None
+    return (int(inside[best]), w, at + lo + best - start, lo + best) if inside[best] >= least_equal(w, share) else None
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, share: float = SHARE, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -134,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
         got = block.toArrow()
         if not got.num_rows:
             continue
-        shared = spark.sparkContext.broadcast(SeedIndex(got["item_id"].combine_chunks(), got["text"].combine_chunks(), masks, least))
+        shared = spark.sparkContext.broadcast(SeedIndex(got["item_id"].combine_chunks(), got["text"].combine_chunks(), masks, least, window, share))
         found = source.mapInArrow(scan(shared), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)

@@ -45,3 +45,25 @@ def test_pipeline_near_duplicates_by_id_and_text(spark):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = p.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
     assert sorted(map(tuple, got)) == [(1, a), (3, "own text"), (7, b), (9, c)]
+
+
+def test_decontamination_meets_every_allowed_substitution(spark):
+    """Items of 5 to 12 words, each set of substituted places once: found up to the share, not beyond."""
+    from itertools import combinations
+
+    from orrery.llm import decontam
+
+    items, docs, want = [], [], set()
+    for w in range(5, 13):
+        words = [f"w{w}x{i}" for i in range(w)]
+        items.append((w, " ".join(words)))
+        allowed = w - -(-4 * w // 5)
+        for n in range(allowed + 2):
+            for off in combinations(range(w), n):
+                if n <= allowed:
+                    want.add((len(docs), w))
+                docs.append((len(docs), "before it " + " ".join("zz" if i in off else x for i, x in enumerate(words)) + " behind"))
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+    got = decontam.contaminated(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert len(want) == sum(1 + w for w in range(5, 10)) + sum(w * (w - 1) // 2 + w + 1 for w in (10, 11, 12))
