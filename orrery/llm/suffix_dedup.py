@@ -239,8 +239,12 @@ def _unpacked(b: bytes) -> bytes:
 
 
 def _piece_table(docs: DataFrame, leaders: DataFrame) -> DataFrame:
-    """piece, ids, offsets, data: the leading texts, packed."""
-    rows = docs.join(leaders, "doc").select("doc", "text", "sha")
+    """piece, ids, offsets, data: the leading texts, packed; each once, however many rows repeat it."""
+    rows = docs.join(leaders.where("copies = 1"), "doc").select("doc", "text", "sha")
+    again = leaders.where("copies > 1")
+    if not again.isEmpty():  # only these texts are dealt by their key
+        repeats = docs.join(again, "doc").where(F.sha2("text", 256) == F.col("sha")).select("doc", "text", "sha")
+        rows = rows.unionByName(repeats.groupBy("doc", "sha").agg(F.min("text").alias("text")).select("doc", "text", "sha"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, str]] = []
@@ -403,10 +407,12 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, with_kept: bool = Fal
     source = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc"), text.alias("text"))
     keys = materialize(source.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), what="keys")
     n = keys.count()
-    leaders = materialize(keys.groupBy("sha").agg(F.min("doc").alias("doc"), F.max("n_bytes").alias("n_bytes")), what="leaders", files=files_for(n))
+    per_doc = keys.groupBy("sha", "doc").agg(F.max("n_bytes").alias("n_bytes"), F.count("*").alias("copies"))
+    lead = per_doc.groupBy("sha").agg(F.min(F.struct("doc", "copies")).alias("lead"), F.max("n_bytes").alias("n_bytes"))
+    leaders = materialize(lead.select("sha", "lead.doc", "lead.copies", "n_bytes"), what="leaders", files=files_for(n))
     total = leaders.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = int(total // BUCKET) + 8
-    long = leaders.where(F.col("n_bytes") >= length).select("doc", "sha")
+    long = leaders.where(F.col("n_bytes") >= length).select("doc", "sha", "copies")
     pieces = _piece_table(source.select("doc", "text"), long)
     free_shuffles(spark)
     repeated = materialize(repeated_anchors(pieces, buckets=buckets, length=length), what="anchors", files=files_for(n))
@@ -417,7 +423,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, with_kept: bool = Fal
     done = pieces.join(by_piece, "piece", "left").select("ids", "offs", "data", "shas", "spans").mapInArrow(_kept, "doc long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not with_kept:
         done = done.drop("kept")
-    done = materialize(done, what="done", files=files_for(n, 20_000) if with_kept else files_for(n)).dropDuplicates(["doc", "sha"])
+    done = materialize(done, what="done", files=files_for(n, 20_000) if with_kept else files_for(n))
     free_shuffles(spark)
     first = leaders.select(F.col("doc").alias("first"), "sha")
     # rows: leaders with their result; copies of an earlier text go whole; short texts stay whole
