@@ -115,11 +115,15 @@ def prose_ratio(c: Column) -> Column:
     return F.when(F.length(t) == 0, 0.0).otherwise(good / F.length(t))
 
 
+def letter_counts(c: Column) -> tuple[Column, Column]:
+    """Number of letters, and of letters beyond code point 0x24F."""
+    letters = F.regexp_replace(text_or_empty(c), r"[^\p{L}]", "")
+    return F.length(letters), F.length(F.regexp_replace(letters, "[\\x{0}-\\x{24F}]", ""))
+
+
 def non_latin_share(c: Column) -> Column:
     """Share of letters beyond code point 0x24F."""
-    t = text_or_empty(c)
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    far = F.length(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}]", ""), "[\\x{0}-\\x{24F}]", ""))
+    letters, far = letter_counts(c)
     return F.when(letters == 0, 0.0).otherwise(far / letters)
 
 

@@ -396,8 +396,8 @@ def prose_ratio(spark, sf):
 
 @query(DOC_SQL + r" SELECT id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters FROM d WHERE regexp_matches(text, '\p{L}')")
 def non_latin_share(spark, sf):
-    d = _docs(spark, sf).where(F.col("text").rlike(r"\p{L}"))
-    return d.where(T.non_latin_share(F.col("text")) == 0.0).select("id", F.length(F.regexp_replace("text", r"[^\p{L}]", "")).cast("long").alias("letters"))
+    letters, far = T.letter_counts(F.col("text"))
+    return _docs(spark, sf).select("id", letters.cast("long").alias("letters"), far.cast("long").alias("non_latin"))
 
 
 @query("""SELECT doc_id AS id, text AS restored FROM documents""")

@@ -101,3 +101,14 @@ def test_suffix_dedup_of_repeated_rows(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = suffix_dedup.suffix_dedup(docs).select("doc_id", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_non_latin_share_of_every_document(spark, tmp_path):
+    texts = {1: "plain words", 2: "мир и peace", 3: "日本語 abc", 4: "12345 --- !!!", 5: "", 6: None, 7: "größe Ǆ ɐ"}
+    sf = stored(spark, tmp_path, "documents", [(i, t, "en", "s", 1) for i, t in texts.items()], DOCS)
+    got = {r.id: (r.letters, r.non_latin) for r in catalog.non_latin_share(spark, sf).collect()}
+    assert got == {i: (sum(c.isalpha() for c in t or ""), sum(c.isalpha() and ord(c) > 0x24F for c in t or "")) for i, t in texts.items()}
+    assert got[2] == (9, 4) and got[4] == got[6] == (0, 0)
