@@ -322,8 +322,8 @@ e AS (SELECT x.id AS a, y.id AS b FROM a x JOIN a y ON x.ak = y.ak WHERE x.id <>
 r(id, g) AS (SELECT id, id FROM a UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.g)
 SELECT id, min(g) AS grp FROM r GROUP BY id""")
 def duplicate_components(spark, sf):
-    rows = _docs(spark, sf).select("id", T.abstract_key(F.col("text")).alias("ak"))
-    return dedup.duplicate_groups(rows.select("id"), dedup.key_edges(rows, ["ak"]))
+    rows = _docs(spark, sf).select("id", T.title_key(F.col("title")).alias("tk"), T.abstract_key(F.col("text")).alias("ak"))
+    return dedup.duplicate_groups(rows.select("id"), dedup.key_edges(rows, ["tk", "ak"]))
 
 
 @query()

@@ -112,3 +112,12 @@ def test_non_latin_share_of_every_document(spark, tmp_path):
     got = {r.id: (r.letters, r.non_latin) for r in catalog.non_latin_share(spark, sf).collect()}
     assert got == {i: (sum(c.isalpha() for c in t or ""), sum(c.isalpha() and ord(c) > 0x24F for c in t or "")) for i, t in texts.items()}
     assert got[2] == (9, 4) and got[4] == got[6] == (0, 0)
+
+
+def test_duplicate_components_chain_across_keys(spark, tmp_path):
+    long = {c: c * 3 + " " + " ".join(f"{c}{i}" for i in range(90)) for c in "xyz"}
+    # one chain: 1 and 2 by title, 2 and 3 by abstract key (a label before it), 3 and 4 by title; 5 and 6 by title only
+    texts = {1: "Abstract\n" + long["x"], 2: "ABSTRACT\n" + long["y"], 3: long["y"] + "\n", 4: long["y"] + "\n" + long["z"], 5: "Short title\none", 6: "short  TITLE!\ntwo", 7: "\nno title", 8: "\nnor here"}
+    sf = stored(spark, tmp_path, "documents", [(i, t, "en", "s", 1) for i, t in texts.items()], DOCS)
+    got = {r.id: r.grp for r in catalog.duplicate_components(spark, sf).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 8}
