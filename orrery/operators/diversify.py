@@ -7,11 +7,14 @@ bounded by their own operator must be cut by rank first.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import dedup
+
 
 def _per_theme(rows: DataFrame, pick: Callable[[pd.DataFrame], list[int]], theme: str) -> DataFrame:
     """rows in the picked order, with slot (from 0)."""
@@ -197,3 +200,30 @@ def keep_first_of_keys(rows: DataFrame, keys: Sequence[str], *, theme: str = "th
         return slots
 
     return _per_theme(rows, pick, theme)
+
+
+def keep_first_in_components(rows: DataFrame, keys: Sequence[str], *, key: str = "id", pos: str = "pos", standing: str = "standing") -> DataFrame:
+    """keep_first_of_keys over a whole table of distinct ids and positions: theme is the component of rows that share
+    keys, so rows that can meet are in one list and others need not be.
+
+    A row goes before if it surely changes nothing: the first row of its first key is the first of its other keys too, so
+    it holds the key, and its standing is no lower. Large groups of copies are one row then; what is left of a component
+    is one list.
+    """
+    lead = keys[0]
+    # whether a row is the first of each of its other keys
+    sure = rows
+    for i, k in enumerate(keys[1:]):
+        firsts = rows.where(F.col(k) != "").groupBy(F.col(k).alias("__k")).agg(F.min(pos).alias(f"__first{i}"))
+        sure = sure.join(firsts, F.col(k) == F.col("__k"), "left").drop("__k")
+    first = [F.coalesce(F.col(pos) == F.col(f"__first{i}"), F.lit(True)) for i in range(len(keys) - 1)]
+    sure = sure.withColumn("__sure", reduce(lambda a, b: a & b, first, F.lit(True))).select(*rows.columns, "__sure")
+    heads = sure.where(F.col(lead) != "").groupBy(F.col(lead).alias("__k")).agg(F.min(F.struct(F.col(pos).alias("at"), "__sure", F.col(standing).alias("standing"))).alias("__head"))
+    same = sure.drop("__sure").join(heads, F.col(lead) == F.col("__k"), "left")
+    idle = F.col("__head.__sure") & (F.col(pos) > F.col("__head.at")) & (F.col(standing) <= F.col("__head.standing"))
+    live = same.where(~F.coalesce(idle, F.lit(False))).select(*rows.columns).persist()
+    groups = dedup.duplicate_groups(live.select(key), dedup.key_edges(live, keys, key=key), key=key).select(F.col("id").alias("__id"), F.col("grp").alias("theme"))
+    sizes = groups.groupBy("theme").agg(F.count("*").alias("__n"))
+    listed = live.join(groups, F.col(key) == F.col("__id")).drop("__id").join(sizes, "theme")
+    alone = listed.where("__n = 1").drop("__n").withColumn("slot", F.lit(0))
+    return alone.unionByName(keep_first_of_keys(listed.where("__n > 1").drop("__n"), keys, pos=pos, standing=standing))

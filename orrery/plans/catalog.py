@@ -328,8 +328,8 @@ def duplicate_components(spark, sf):
 
 @query()
 def multi_key_first_wins(spark, sf):
-    rows = _docs(spark, sf).select("id", T.title_match_key(F.col("title")).alias("tk"), T.abstract_key(F.col("text")).alias("ak"), F.col("id").alias("pos"), F.col("n_chars").alias("standing"), F.concat_ws("/", "lang", F.substring("text", 1, 2)).alias("theme"))
-    return diversify.keep_first_of_keys(rows, ["tk", "ak"]).select("theme", "slot", "id")
+    rows = _docs(spark, sf).select("id", T.title_match_key(F.col("title")).alias("tk"), T.abstract_key(F.col("text")).alias("ak"), F.col("id").alias("pos"), F.col("n_chars").alias("standing"))
+    return diversify.keep_first_in_components(rows, ["tk", "ak"]).select("theme", "slot", "id")
 
 
 @query(KEY_SQL + r""", b AS (SELECT trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS tk, item_id FROM benchmark) SELECT id FROM k WHERE tk NOT IN (SELECT tk FROM b WHERE tk <> '') AND id NOT IN (SELECT item_id FROM b)""")

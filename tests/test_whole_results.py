@@ -1,6 +1,5 @@
 """Queries that must return every row of their job: small tables that hold what the driver tables lack."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from orrery.plans import catalog
@@ -121,3 +120,39 @@ def test_duplicate_components_chain_across_keys(spark, tmp_path):
     sf = stored(spark, tmp_path, "documents", [(i, t, "en", "s", 1) for i, t in texts.items()], DOCS)
     got = {r.id: r.grp for r in catalog.duplicate_components(spark, sf).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 8}
+
+
+def test_multi_key_first_wins_is_the_sequential_rule(spark, tmp_path):
+    """Against one pass over the whole table in order: keys in other case, behind a label, in other languages."""
+    import random
+
+    from orrery.functions import text as T
+
+    rng = random.Random(11)
+    bodies = [" ".join(f"{c}{i}" for i in range(90)) for c in "abcdefgh"]
+    rows = []
+    for i in range(300):
+        title = rng.choice(["", *(f"title number {n} of them" for n in range(60))])
+        title = rng.choice([title, title.upper(), title.title()])
+        body = rng.choice([f"own {i}", f"own {i}", f"own {i}", *bodies])
+        text = rng.choice(["", "", "Abstract: "]) + (title + "\n" + body if rng.random() < 0.8 else body)
+        rows.append((i, text, rng.choice(["en", "de"]), "s", rng.randint(1, 9)))
+    rows += [(300 + i, rows[7][1], "fr", "s", rng.randint(1, 9)) for i in range(40)]
+    sf = stored(spark, tmp_path, "documents", rows, DOCS)
+    keyed = spark.createDataFrame(rows, DOCS).select("doc_id", "n_chars", T.title_match_key(F.split_part("text", F.lit("\n"), F.lit(1))), T.abstract_key(F.col("text")))
+    slots, seen = [], ({}, {})
+    for i, standing, *keys in sorted(map(tuple, keyed.collect())):
+        at = next((s[k] for s, k in zip(seen, keys, strict=True) if k and k in s), None)
+        if at is None:
+            at = len(slots)
+            slots.append((standing, i))
+        elif standing > slots[at][0]:
+            slots[at] = (standing, i)
+        else:
+            continue
+        for s, k in zip(seen, keys, strict=True):
+            if k:
+                s.setdefault(k, at)
+    got = catalog.multi_key_first_wins(spark, sf).collect()
+    assert sorted(r.id for r in got) == sorted(i for _, i in slots)
+    assert len({(r.theme, r.slot) for r in got}) == len(got)
