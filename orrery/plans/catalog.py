@@ -33,8 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Frame:
-    """The graph view of the tables. Roster, pool and candidates have at most 60 rows by their own limits and are
-    cached, so that the joins on them don't run the scans below again."""
+    """The graph view of the tables. Roster, pool and candidates have at most 60 rows by their own limits and become
+    local relations, so that the joins on them don't run the scans below again and nothing stays cached."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         t = lambda n: table(spark, sf_dir, n)
@@ -42,10 +42,11 @@ class Frame:
         region = t("nation").select(F.col("n_nationkey").alias("field"), F.col("n_regionkey").alias("domain"))
         self.works = t("orders").join(place, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(region), "field").select(F.col("o_orderkey").alias("id"), "field", "domain", F.col("o_totalprice").alias("cites"))
         self.refs = t("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("ref")).distinct()
-        self.seeds = graph.top_seeds(self.works).persist()
+        local = lambda df: spark.createDataFrame(df.limit(60).collect(), df.schema)
+        self.seeds = local(graph.top_seeds(self.works))
         self.home = graph.dominant(self.seeds, "field").select("field")
-        self.pool = graph.bridge_pool_by_citers(self.seeds, self.refs).persist()
-        self.candidates = graph.two_hop(self.works, self.refs, self.seeds, self.pool, self.home).persist()
+        self.pool = local(graph.bridge_pool_by_citers(self.seeds, self.refs))
+        self.candidates = local(graph.two_hop(self.works, self.refs, self.seeds, self.pool, self.home))
         self.cand_hits = graph.hits(self.candidates, self.refs, self.pool)
         self.seed_hits = graph.hits(self.seeds, self.refs, self.pool)
 
@@ -147,7 +148,19 @@ def bridge_pool_tier1(spark, sf):
     return per.where("n >= 2").withColumn("rn", rn).where("rn <= 12").orderBy(F.col("n").desc(), "ref").limit(50).select("ref", "n")
 
 
-@query()
+POOL_SQL = BASE_SQL.replace("WITH works", "WITH RECURSIVE works") + """, own AS (SELECT s.grp, r.ref, s.grp * 1000000 + r.ref AS pos FROM (SELECT id, CAST(row_number() OVER (ORDER BY cites DESC, id) - 1 AS INTEGER) AS grp FROM seeds) s JOIN refs r ON r.id = s.id),
+q AS (SELECT ref, count(*) AS n, min(pos) AS first, arg_min(grp, pos) AS owner FROM own GROUP BY ref), g AS (SELECT max(grp) + 1 AS n FROM own),
+one AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY n DESC, first) AS rn FROM q WHERE n >= 2 QUALIFY rn <= 12), top AS (SELECT * FROM one ORDER BY n DESC, first LIMIT 50),
+two(step, idle, got, used) AS (
+  SELECT 0, 0, coalesce((SELECT list(ref ORDER BY n DESC, first) FROM top), []::BIGINT[]), (SELECT list((SELECT count(*) FROM top WHERE owner = i) ORDER BY i) FROM g, range(g.n) AS u(i)) UNION ALL
+  SELECT step + 1, CASE WHEN x.ref IS NULL THEN idle + 1 ELSE 0 END, CASE WHEN x.ref IS NULL THEN got ELSE list_append(got, x.ref) END, CASE WHEN x.ref IS NULL THEN used ELSE list_transform(used, lambda u, i: CASE WHEN i - 1 = step % g.n THEN u + 1 ELSE u END) END
+  FROM two, g, LATERAL (SELECT min(own.ref) AS ref FROM own WHERE own.grp = two.step % g.n AND NOT list_contains(two.got, own.ref) AND two.used[CAST(two.step % g.n AS BIGINT) + 1] < 12) x WHERE idle < g.n AND len(got) < 50),
+fin AS (SELECT got FROM two ORDER BY step DESC LIMIT 1), tail AS (SELECT coalesce(list(ref ORDER BY first), []::BIGINT[]) AS t FROM q, fin WHERE NOT list_contains(got, ref))
+SELECT 0 AS theme, CAST(i - 1 AS INTEGER) AS slot, list_concat(got, t)[i] AS ref FROM fin, tail, range(1, least(len(got) + len(t), 50) + 1) AS u(i)
+"""
+
+
+@query(POOL_SQL)
 def bridge_pool_full(spark, sf):
     f = Frame(spark, sf)
     order = F.row_number().over(graph.W.orderBy(F.col("cites").desc(), "id")) - 1
@@ -223,7 +236,7 @@ def percentile_gate(spark, sf):
     return _scores(spark, sf).where("gate IS NOT NULL").select(F.floor(F.col("gate") * 1_000_000 + 0.5).alias("gate_e6")).distinct()
 
 
-@query(GATE_SQL + "SELECT id, rejected_by AS floor, CASE rejected_by WHEN 'anomaly' THEN ps WHEN 'hollow' THEN depth END AS value FROM r WHERE rejected_by IN ('anomaly', 'hollow')")
+@query(GATE_SQL + "SELECT id, rejected_by AS floor, CASE rejected_by WHEN 'anomaly' THEN ps WHEN 'hollow' THEN depth ELSE ser END AS value, CASE rejected_by WHEN 'anomaly' THEN 0.2::DOUBLE WHEN 'hollow' THEN 0.5::DOUBLE WHEN 'percentile_gate' THEN gate ELSE 0.35::DOUBLE END AS threshold FROM r WHERE rejected_by IS NOT NULL")
 def rejection_log(spark, sf):
     return gates.rejection_log(_scores(spark, sf))
 
@@ -276,17 +289,35 @@ def _bounded(spark, sf, n=60):
     return top.join(names, "id", "left").withColumn("theme", F.lit(0)).withColumn("pos", F.row_number().over(graph.W.orderBy(F.col("score").desc(), "id")))
 
 
-@query()
+LIST_SQL = TAG_SQL.replace("WITH t", "WITH RECURSIVE t") + """, top AS (SELECT o_orderkey AS id, o_totalprice / 1e6::DOUBLE AS score, o_orderpriority AS facet FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 60),
+c AS (SELECT top.*, row_number() OVER (ORDER BY score DESC, id) AS pos FROM top),
+nm AS (SELECT DISTINCT id, name FROM t WHERE id IN (SELECT id FROM top)), k AS (SELECT id, count(*) AS n FROM nm GROUP BY id),
+i AS (SELECT x.id AS a, y.id AS b, count(*) AS inter FROM nm x JOIN nm y USING (name) GROUP BY 1, 2),
+s AS (SELECT p.id AS a, q.id AS b, coalesce(inter / (kp.n + kq.n - inter)::DOUBLE, 0) AS sim, kp.n IS NOT NULL AND kq.n IS NOT NULL AS named, p.facet = q.facet AS same
+      FROM c p CROSS JOIN c q LEFT JOIN i ON i.a = p.id AND i.b = q.id LEFT JOIN k kp ON kp.id = p.id LEFT JOIN k kq ON kq.id = q.id)
+"""
+
+
+@query(LIST_SQL + """, r(slot, id, chosen) AS (SELECT 0, id, [id] FROM c WHERE pos = 1 UNION ALL
+  SELECT r.slot + 1, x.id, list_append(chosen, x.id) FROM r, LATERAL (SELECT c.id FROM c JOIN s ON s.a = c.id WHERE list_contains(r.chosen, s.b) AND NOT list_contains(r.chosen, c.id) GROUP BY c.id, c.pos ORDER BY max(s.sim), c.pos LIMIT 1) x WHERE r.slot < 19)
+SELECT slot, id FROM r""")
 def maxmin_select(spark, sf):
     return diversify.farthest_first(_bounded(spark, sf), 20).select("slot", "id")
 
 
-@query()
+@query(LIST_SQL + """, r(slot, id, chosen) AS (SELECT 0, id, [id] FROM c WHERE pos = 1 UNION ALL
+  SELECT r.slot + 1, x.id, list_append(chosen, x.id) FROM r, LATERAL (SELECT c.id FROM c JOIN s ON s.a = c.id WHERE list_contains(r.chosen, s.b) AND NOT list_contains(r.chosen, c.id) GROUP BY c.id, c.pos, c.score
+    ORDER BY 0.7::DOUBLE * c.score - (1 - 0.7::DOUBLE) * max(CASE WHEN s.named THEN s.sim WHEN s.same THEN 0.18::DOUBLE ELSE 0 END) DESC, c.pos LIMIT 1) x WHERE r.slot < 9)
+SELECT slot, id FROM r""")
 def mmr_rerank(spark, sf):
     return diversify.mmr(_bounded(spark, sf), 10).select("slot", "id")
 
 
-@query()
+@query(LIST_SQL + """, r(pos, head) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT c.pos, CASE WHEN len(r.head) < 10 AND (x.n = 0 OR x.least < 2) THEN list_append(r.head, c.id) ELSE r.head END FROM r JOIN c ON c.pos = r.pos + 1,
+  LATERAL (SELECT count(*) AS n, min(y.m) AS least FROM (SELECT nm.name, (SELECT count(*) FROM nm z WHERE z.name = nm.name AND list_contains(r.head, z.id)) AS m FROM nm WHERE nm.id = c.id) y) x),
+h AS (SELECT head FROM r ORDER BY pos DESC LIMIT 1)
+SELECT CAST(row_number() OVER (ORDER BY CASE WHEN list_contains(head, id) THEN 0 ELSE 1 END, pos) - 1 AS INTEGER) AS slot, id FROM c, h""")
 def head_window(spark, sf):
     return diversify.head_window(_bounded(spark, sf).withColumnRenamed("names", "bridges")).select("slot", "id")
 
@@ -297,7 +328,7 @@ def _docs(spark, sf):
 
 
 DOC_SQL = "WITH d AS (SELECT doc_id AS id, text, lang, split_part(text, chr(10), 1) AS title, n_chars FROM documents)"
-KEY_SQL = DOC_SQL + r""", k AS (SELECT id, trim(regexp_replace(regexp_replace(lower(title), '&[a-z]+;', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS tk, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS ak FROM d)"""
+KEY_SQL = DOC_SQL + r""", k AS (SELECT id, trim(regexp_replace(regexp_replace(lower(title), '&[a-z]+;', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS tk, regexp_replace(regexp_replace(ltrim(lower(text)), '^(?:(?:abstract|summary|preliminary and incomplete|preliminary draft)\b[\s:.\-–—]*)+', ''), '[^a-z0-9]+', '', 'g') AS ak FROM d)"""
 
 
 @query(KEY_SQL + " SELECT ak AS k, min(id) AS id, count(*) AS n FROM (SELECT id, substr(ak, 1, 200) AS ak FROM k WHERE length(ak) >= 200) GROUP BY ak HAVING count(*) > 1")
@@ -317,8 +348,9 @@ def record_standing(spark, sf):
     return k.groupBy("k").agg(F.max_by("id", F.struct("n_chars", -F.col("id"))).alias("id"))
 
 
-@query(KEY_SQL.replace("WITH d", "WITH RECURSIVE d") + """, a AS (SELECT id, tk, CASE WHEN length(ak) >= 200 THEN substr(ak, 1, 200) END AS ak FROM k),
-e AS (SELECT x.id AS a, y.id AS b FROM a x JOIN a y ON x.ak = y.ak WHERE x.id <> y.id),
+@query(KEY_SQL.replace("WITH d", "WITH RECURSIVE d") + """, a AS (SELECT id, tk, CASE WHEN length(ak) >= 200 THEN substr(ak, 1, 200) ELSE '' END AS ak FROM k),
+s AS (SELECT id, min(id) OVER (PARTITION BY tk) AS hub FROM a WHERE tk <> '' UNION SELECT id, min(id) OVER (PARTITION BY ak) FROM a WHERE ak <> ''),
+e AS (SELECT id AS a, hub AS b FROM s WHERE id <> hub UNION SELECT hub, id FROM s WHERE id <> hub),
 r(id, g) AS (SELECT id, id FROM a UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.g)
 SELECT id, min(g) AS grp FROM r GROUP BY id""")
 def duplicate_components(spark, sf):
@@ -394,7 +426,7 @@ def prose_ratio(spark, sf):
     return d.select("id", F.floor(T.prose_ratio(F.col("text")) * F.length("text") + 0.5).alias("good"), F.length("text").cast("long").alias("total"))
 
 
-@query(DOC_SQL + r" SELECT id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters FROM d WHERE regexp_matches(text, '\p{L}')")
+@query(DOC_SQL + r", l AS (SELECT id, regexp_replace(coalesce(text, ''), '[^\p{L}]', '', 'g') AS s FROM d) SELECT id, length(s) AS letters, length(regexp_replace(s, '[\x{0}-\x{24F}]', '', 'g')) AS non_latin FROM l")
 def non_latin_share(spark, sf):
     letters, far = T.letter_counts(F.col("text"))
     return _docs(spark, sf).select("id", letters.cast("long").alias("letters"), far.cast("long").alias("non_latin"))
@@ -407,7 +439,11 @@ def inverted_index_restore(spark, sf):
     return index.select("id", parse.restore_abstract(F.col("index")).alias("restored"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<ref-list\b.*?</ref-list>', ' ', 'g'), '(?is)<fig\b.*?</fig>', ' ', 'g'), '(?is)<table-wrap\b.*?</table-wrap>', ' ', 'g'), '(?is)<math\b.*?</math>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM b),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM c)
+SELECT page_id, trim(regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM d""")
 def html_body_extract(spark, sf):
     return table(spark, sf, "pages").select("page_id", parse.html_text(F.col("html")).alias("body"))
 
@@ -458,7 +494,7 @@ def pool_relative_lift(spark, sf):
 
 @query("""WITH a AS (SELECT s_suppkey AS id, CAST(s_suppkey * 37 % 101 AS INTEGER) AS reliability, CAST(s_suppkey * 13 % 31 AS INTEGER) AS fit FROM supplier), r AS (SELECT *, least(greatest(fit / 30.0::DOUBLE, 0), 1) AS rel FROM a)
 SELECT id, CAST(floor(reliability * (0.35::DOUBLE + 0.65::DOUBLE * rel) * 10000 + 0.5) AS BIGINT) AS score_e4, CASE WHEN rel >= 0.67::DOUBLE THEN '高' WHEN rel >= 0.35::DOUBLE THEN '中' ELSE '低' END AS level,
-CAST(row_number() OVER (ORDER BY CASE WHEN rel > 0 THEN 0 ELSE 1 END, reliability * (0.35::DOUBLE + 0.65::DOUBLE * rel) DESC, id) AS INTEGER) AS place FROM r ORDER BY place LIMIT 100""")
+CAST(row_number() OVER (ORDER BY CASE WHEN rel > 0 THEN 0 ELSE 1 END, reliability * (0.35::DOUBLE + 0.65::DOUBLE * rel) DESC, id) AS INTEGER) AS place FROM r""")
 def anchor_rank(spark, sf):
     a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 37 % 101).cast("int").alias("reliability"), (F.col("s_suppkey") * 13 % 31).cast("int").alias("fit"))
     a = a.withColumn("relevance", S.relevance(F.col("fit"), 30)).withColumn("anchor_rank_score", S.anchor_score(F.col("reliability"), F.col("relevance")))
