@@ -24,6 +24,10 @@ SUPPLEMENT_TITLE = (
 )
 
 
+#: Letters whose case folding is more than their lower case.
+FOLDS = {"ß": "ss", "ſ": "s", "ς": "σ", "µ": "μ", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value evaluated one time, however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -92,8 +96,11 @@ def phrase_count(hay: Column, needle: Column) -> Column:
 
 
 def quote_form(c: Column) -> Column:
-    """All white space removed, lower case."""
-    return F.lower(F.regexp_replace(text_or_empty(c), r"\s+", ""))
+    """All white space removed, case folded."""
+    t = F.lower(F.regexp_replace(text_or_empty(c), r"(?U)\s+", ""))
+    for sign, folded in FOLDS.items():
+        t = F.replace(t, F.lit(sign), F.lit(folded))
+    return t
 
 
 def cap_at_sentence(c: Column, limit: int) -> Column:
@@ -182,6 +189,18 @@ def arxiv_id(c: Column) -> Column:
     return F.when(old != "", old).when(new != "", new)
 
 
+def simple_summary(c: Column, *, chars: int = 120) -> Column:
+    """The first characters, with dots where the text goes on."""
+    t = text_or_empty(c)
+    return F.when(F.length(t) <= chars, t).otherwise(F.concat(F.substring(t, 1, chars), F.lit("...")))
+
+
+def seed_text(overview: Column, problem: Column, abstract: Column, *, far: float = 0.5) -> Column:
+    """The prose that a semantic search starts from: overview and problem, or an abstract where they are mostly non-Latin."""
+    own = F.concat_ws(" ", F.nullif(collapse_ws(overview), F.lit("")), F.nullif(collapse_ws(problem), F.lit("")))
+    return F.when((non_latin_share(own) > far) & (collapse_ws(abstract) != ""), collapse_ws(abstract)).otherwise(own)
+
+
 def structured_summary(c: Column, *, n: int = 3, chars: int = 160) -> Column:
     """The first sentences, cut at a word."""
     joined = F.array_join(F.slice(sentences(c), 1, n), ". ")

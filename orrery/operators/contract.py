@@ -37,19 +37,80 @@ def empty_echo() -> Column:
     return F.array_compact(F.array(*[F.when(blank(c), F.lit(c)) for c in ECHO]))
 
 
+#: Words that an echo may add to its title, words and letters of a heading, its share of capitals.
+ECHO_WORDS, HEADING_WORDS, HEADING_LETTERS, HEADING_CAPITALS = 25, 40, 20, 0.9
+
+
 def title_only_class(title: Column, abstract: Column) -> Column:
-    """echo: the abstract repeats the title; fragment: it is a piece of it; caps: all upper case; else null."""
-    t, a = T.padded(title), T.padded(abstract)
-    raw = F.trim(T.text_or_empty(abstract))
-    return F.when(F.trim(a) == "", None).when(a == t, "echo").when(t.contains(a), "fragment").when((F.upper(raw) == raw) & (F.lower(raw) != raw), "caps")
+    """title_echo: the abstract holds the title as one run and little more; title_fragment: it has no word beside the
+    title's; caps_heading: a short text in capitals; else null."""
+    words = lambda c: F.regexp_extract_all(F.lower(T.text_or_empty(c)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    run = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    letters = F.regexp_replace(T.text_or_empty(abstract), r"\P{L}", "")
+    capitals = F.length(F.regexp_replace(letters, r"\P{Lu}", ""))
+
+    def judged(t: Column, a: Column) -> Column:
+        echo = (F.size(t) >= 3) & (F.size(a) <= F.size(t) + ECHO_WORDS) & run(a).contains(run(t))
+        fragment = (F.size(t) > 0) & (F.size(F.array_except(a, t)) == 0) & (F.size(a) <= F.size(t))
+        heading = (F.size(a) <= HEADING_WORDS) & (F.length(letters) >= HEADING_LETTERS) & (capitals >= HEADING_CAPITALS * F.length(letters))
+        return F.when(F.size(a) == 0, None).when(echo, "title_echo").when(fragment, "title_fragment").when(heading, "caps_heading")
+
+    return T.once(F.struct(words(title).alias("t"), words(abstract).alias("a")), lambda r: judged(r["t"], r["a"]))
 
 
 def score_row(rows: DataFrame) -> DataFrame:
-    """rows plus purpose_pct between 0 and 100 and fine_rank, scores between 0 and 1."""
+    """rows plus purpose_pct between 0 and 100 and fine_rank (null without a percentage), scores between 0 and 1."""
     unit = lambda c: F.greatest(F.least(F.col(c).cast("double"), F.lit(1.0)), F.lit(0.0))
     rows = rows.withColumn("purpose_sim", unit("purpose_sim")).withColumn("mechanism_dist", unit("mechanism_dist"))
-    pct = F.greatest(F.least(F.col("purpose_pct"), F.lit(100)), F.lit(0))
-    return rows.withColumn("purpose_pct", pct).withColumn("fine_rank", F.coalesce(pct / 100.0, F.col("purpose_sim")) * F.col("mechanism_dist"))
+    pct = F.when(F.col("purpose_pct").isNotNull(), F.greatest(F.least(F.col("purpose_pct"), F.lit(100)), F.lit(0)))
+    return rows.withColumn("purpose_pct", pct).withColumn("fine_rank", F.round(pct / 100.0 * F.col("mechanism_dist"), 4))
+
+
+def theme_text(theme: dict[str, Column]) -> Column:
+    """The submitted text that a theme quote may come from: overview, goal, problem, assumptions, concern."""
+    parts = [theme[c] for c in ("theme_overview", "goal", "why_problem") if c in theme]
+    parts += [F.array_join(theme["assumptions"], " ")] if "assumptions" in theme else []
+    parts += [theme["concern"]] if "concern" in theme else []
+    return F.concat_ws(" ", *[F.nullif(T.text_or_empty(p), F.lit("")) for p in parts])
+
+
+def score_only() -> Column:
+    """Neither title nor abstract came back, and the source did not mark them as empty."""
+    marked = F.coalesce(F.col("upstream_empty"), F.array().cast("array<string>"))
+    gone = lambda c: F.col(c).isNull() & ~F.array_contains(marked, c)
+    return gone("title") & gone("abstract")
+
+
+def echo_gaps() -> Column:
+    """struct(upstream, missing): which recommended fields are empty because the source was, and which the caller left out.
+
+    A field that came back blank, or that the source marked, is the source's; one that did not come back is the caller's.
+    """
+    marked = F.coalesce(F.col("upstream_empty"), F.array().cast("array<string>"))
+    return T.once(empty_echo(), lambda e: F.struct(_of_source(e, marked).alias("upstream"), F.array_except(e, _of_source(e, marked)).alias("missing")))
+
+
+def _of_source(empty: Column, marked: Column) -> Column:
+    there = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in ECHO]))
+    return F.filter(empty, lambda c: F.array_contains(marked, c) | F.array_contains(there, c))
+
+
+def submission_report(rows: DataFrame, rendered: DataFrame) -> DataFrame:
+    """id, what, fields of what a caller should know of its rows: score_only, unwritten, upstream_empty, missing.
+
+    rendered: id, failed (its quotes did not hold, so its prose was dropped on purpose). A row of scores alone that is not
+    rendered gets one line and no list of fields.
+    """
+    shown = rendered.select(F.col("id").alias("__id"), F.coalesce("failed", F.lit(False)).alias("__failed"))
+    j = rows.join(F.broadcast(shown), F.col("id") == F.col("__id"), "left").withColumn("__gaps", echo_gaps()).withColumn("__only", score_only() & F.col("__id").isNull())
+    none = F.array().cast("array<string>")
+    unwritten = F.col("__id").isNotNull() & ~F.col("__failed") & (F.trim(T.text_or_empty(F.col("relationship"))) == "")
+    said = [
+        F.when(F.col("__only"), F.struct(F.lit("score_only").alias("what"), none.alias("fields"))), F.when(unwritten, F.struct(F.lit("unwritten").alias("what"), none.alias("fields"))),
+        F.when(~F.col("__only") & (F.size("__gaps.upstream") > 0), F.struct(F.lit("upstream_empty").alias("what"), F.col("__gaps.upstream").alias("fields"))),
+        F.when(~F.col("__only") & (F.size("__gaps.missing") > 0), F.struct(F.lit("missing").alias("what"), F.col("__gaps.missing").alias("fields"))),
+    ]
+    return j.select("id", F.explode(F.array_compact(F.array(*said))).alias("e")).select("id", "e.what", "e.fields")
 
 
 def envelope(c: Column) -> Column:

@@ -28,15 +28,18 @@ def duplicate_groups(nodes: DataFrame, edges: DataFrame, *, key: str = "id", max
     spark = nodes.sparkSession
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().persist()
     keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    labels = keep(nodes.select(F.col(key).alias("id"), F.col(key).alias("grp")))
+    labels = held = keep(nodes.select(F.col(key).alias("id"), F.col(key).alias("grp")))
     for _ in range(max_rounds):
         said = both.join(labels, both.a == labels.id).groupBy(F.col("b").alias("id")).agg(F.min("grp").alias("said"))
         near = labels.join(said, "id", "left").select("id", F.col("grp").alias("old"), F.least("grp", F.coalesce("said", "grp")).alias("near"))
         jump = labels.select(F.col("id").alias("near"), F.col("grp").alias("far"))
         new = keep(near.join(jump, "near", "left").select("id", F.least("near", F.coalesce("far", "near")).alias("grp"), "old"))
-        labels = new.select("id", "grp")
-        if new.where("grp <> old").isEmpty():
+        done = new.where("grp <> old").isEmpty()  # fills the cache of new, so the round before can go
+        held.unpersist()
+        labels, held = new.select("id", "grp"), new
+        if done:
             break
+    both.unpersist()
     return labels
 
 

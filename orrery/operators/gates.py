@@ -116,10 +116,11 @@ def percentile_gate(rows: DataFrame, value: str, *, floor: float = GATE, group:
     down = W.partitionBy("__g").orderBy(F.col("__b").desc())
     spot = bins.withColumn("__upto", F.sum("__c").over(down)).withColumn("__k", percentile_rank(F.sum("__c").over(W.partitionBy("__g"))))
     spot = spot.where((F.col("__upto") >= F.col("__k")) & (F.col("__upto") - F.col("__c") < F.col("__k"))).select("__g", "__b", (F.col("__k") - F.col("__upto") + F.col("__c")).alias("__k"))
-    values = binned.join(F.broadcast(spot), ["__g", "__b"]).groupBy("__g", "__v", "__k").agg(F.count("*").alias("__c"))  # one spot a group
+    few = F.broadcast if group is None else (lambda d: d)  # one row without groups
+    values = binned.join(few(spot), ["__g", "__b"]).groupBy("__g", "__v", "__k").agg(F.count("*").alias("__c"))
     values = values.withColumn("__upto", F.sum("__c").over(W.partitionBy("__g").orderBy(F.col("__v").desc())))
     bar = values.where((F.col("__upto") >= F.col("__k")) & (F.col("__upto") - F.col("__c") < F.col("__k"))).select("__g", F.greatest(F.col("__v"), F.lit(floor)).alias("gate"))
-    return rows.withColumn("__g", g).join(F.broadcast(bar), "__g", "left").drop("__g")
+    return rows.withColumn("__g", g).join(few(bar), "__g", "left").drop("__g")
 
 
 def post_gates(scores: DataFrame, *, gate: float = GATE, depth_gate: float = DEPTH, output_floor: float = FLOOR) -> DataFrame:

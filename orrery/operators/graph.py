@@ -104,7 +104,7 @@ def filing(candidates: DataFrame, roster_topics: DataFrame, pool_topics: DataFra
     """candidates plus filed: roster, pool, new or none (no topic)."""
     a = roster_topics.select(F.col(roster_topics.columns[0]).alias("__a")).distinct()
     b = pool_topics.select(F.col(pool_topics.columns[0]).alias("__b")).distinct()
-    j = candidates.join(F.broadcast(a), F.col(topic) == F.col("__a"), "left").join(F.broadcast(b), F.col(topic) == F.col("__b"), "left")
+    j = candidates.join(a, F.col(topic) == F.col("__a"), "left").join(b, F.col(topic) == F.col("__b"), "left")
     filed = F.when(F.col(topic).isNull(), "none").when(F.col("__a").isNotNull(), "roster").when(F.col("__b").isNotNull(), "pool").otherwise("new")
     return j.withColumn("filed", filed).drop("__a", "__b")
 

@@ -18,26 +18,38 @@ def vocabulary(seen: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return both.groupBy("subfield_id").agg(F.min_by("name", F.struct("o", "name")).alias("name"))
 
 
-def _whole(text: Column, name: Column) -> Column:
-    """name stands in text between word borders."""
-    letters = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
-    return letters.contains(F.concat(F.lit(" "), F.trim(F.regexp_replace(name, r"[^\p{L}\p{N}_]+", " ")), F.lit(" ")))
+def _normal(c: Column) -> Column:
+    """Lower case, every other run than letters, digits and underscores one space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
+
+
+def _phrases(themes: DataFrame, text: str, longest: int) -> DataFrame:
+    """themes plus __phrase: every run of up to so many words of a text, each once."""
+    words = F.split(_normal(F.col(text)), " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(longest))), lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
+    return themes.withColumn("__phrase", F.explode(F.array_distinct(runs))).where("__phrase <> ''")
+
+
+def _longest(names: DataFrame, name: str) -> int:
+    """Words of the longest name; a taxonomy's names are short."""
+    return names.agg(F.coalesce(F.max(F.size(F.split(_normal(F.col(name)), " "))), F.lit(1))).first()[0]
 
 
 def resolve_strict(themes: DataFrame, vocab: DataFrame, *, text: str = "scope_field", key: str = "subfield_id") -> DataFrame:
-    """themes x ids whose name is the text or a whole phrase of it."""
-    t = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
-    n = F.lower(F.trim(F.col("name")))
-    return themes.join(F.broadcast(vocab), (n != "") & ((t == n) | _whole(t, n))).select(*themes.columns, key)
+    """themes x ids whose name is the text or a whole phrase of it: the text's phrases meet the names in an equi-join."""
+    named = vocab.select(_normal(F.col("name")).alias("__phrase"), key).where("__phrase <> ''").distinct()
+    return _phrases(themes, text, _longest(vocab, "name")).join(named, "__phrase").select(*themes.columns, key).distinct()
 
 
 def resolve_fields(themes: DataFrame, fields: DataFrame, aliases: DataFrame, *, text: str = "scope_field") -> DataFrame:
     """themes x field_id: by alias (short ones only as the whole text), by name, whole name in the text, or the text within a name."""
     t = F.lower(F.trim(F.coalesce(F.col(text), F.lit(""))))
-    a, n = F.lower(F.col("alias")), F.lower(F.col("name"))
-    by_alias = themes.join(F.broadcast(aliases), (t != "") & ((t == a) | ((F.length(a) >= 4) & _whole(t, a)))).select(*themes.columns, "field_id")
-    by_name = themes.join(F.broadcast(fields), (t != "") & ((t == n) | _whole(t, n) | ((F.length(t) >= 4) & n.contains(t)))).select(*themes.columns, "field_id")
-    return by_alias.union(by_name).distinct()
+    named = aliases.select(_normal(F.col("alias")).alias("__phrase"), (F.length("alias") < 4).alias("__short"), "field_id").unionByName(fields.select(_normal(F.col("name")).alias("__phrase"), F.lit(False).alias("__short"), "field_id")).where("__phrase <> ''").distinct()
+    longest = max(_longest(aliases, "alias"), _longest(fields, "name"))
+    by_phrase = _phrases(themes, text, longest).join(named, "__phrase").where(~F.col("__short") | (_normal(F.col(text)) == F.col("__phrase"))).select(*themes.columns, "field_id")
+    # the text within a name: the fields of a taxonomy are a few dozen rows
+    within = themes.join(F.broadcast(fields), (F.length(t) >= 4) & F.lower("name").contains(t)).select(*themes.columns, "field_id")
+    return by_phrase.unionByName(within).distinct()
 
 
 def labels_line(rows: DataFrame, *, id_col: str = "field_id", name: str = "name") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
@@ -23,11 +24,31 @@ def material(*, abstract_chars: int | None = None, lean: bool = False) -> Column
 
 
 def abstract_tail(c: Column, limit: int) -> Column:
-    """The last characters, from the first sentence start in their first fifth, if there is one."""
+    """The last characters, from a sentence that starts in their first fifth, else from the first word that does in their first 30."""
     t = T.text_or_empty(c)
     end = F.right(t, F.lit(limit))
-    at = F.locate(". ", end)
-    return F.when(F.length(t) <= limit, t).otherwise(F.when((at > 0) & (at <= limit // 5), F.substring(end, at + 2, F.lit(limit))).otherwise(end))
+    head = F.length(F.regexp_extract(end, r"""(?s)^(.*?[.!?]\s+)(?=[A-Z0-9("'])""", 1))
+    space = F.locate(" ", F.substring(end, 1, 30))
+    inside = ~F.substring(t, F.length(t) - limit, F.lit(1)).rlike(r"^\s$")
+    cut = F.when((head > 0) & (head <= limit // 5), head).when((space > 0) & inside, space).otherwise(0)
+    return F.when(F.length(t) <= limit, t).otherwise(F.substring(end, cut + 1, F.lit(limit)))
+
+
+def cut_for_budget(rows: DataFrame, *, budget: int, text: str = "abstract", other: int = 0) -> DataFrame:
+    """One row: the longest cut of every text so that all rows together keep within a budget of characters (null: no cut needed).
+
+    A histogram of lengths decides, so no text travels: with n texts above the cut and s characters in the others,
+    the cut is the largest c with s + n c below what is left.
+    """
+    sizes = rows.select(F.length(T.text_or_empty(F.col(text))).alias("len")).groupBy("len").agg(F.count("*").alias("n"))
+    up = W.orderBy("len").rowsBetween(W.unboundedPreceding, W.currentRow)  # lengths are few, whatever the rows
+    below = sizes.withColumn("shorter", F.sum(F.col("len") * F.col("n")).over(up)).withColumn("longer", F.sum("n").over(W.orderBy(F.col("len").desc())) - F.col("n"))
+    left = F.lit(budget - other)
+    fits = below.where((F.col("longer") > 0) & (F.col("shorter") + F.col("longer") * F.col("len") <= left))
+    best = fits.agg(F.max(F.floor((left - F.col("shorter")) / F.col("longer"))).alias("cut"), F.max("len").alias("at"))
+    whole = sizes.agg(F.coalesce(F.sum(F.col("len") * F.col("n")), F.lit(0)).alias("total"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    flat = F.greatest(F.floor(left / F.greatest(F.col("rows"), F.lit(1))), F.lit(0))
+    return whole.join(best, how="cross").select(F.when(F.col("total") > left, F.coalesce("cut", flat)).cast("long").alias("cut"))  # one row each
 
 
 def write_materials(works: DataFrame, path: str, **options) -> None:

@@ -6,7 +6,6 @@ resolves.
 
 from __future__ import annotations
 
-import gzip
 import io
 import re
 import tarfile
@@ -22,28 +21,41 @@ from orrery.functions import text as T
 from orrery.sources.parse import clean_latex
 
 #: Limits of excerpts and of texts taken from PDF.
-EXCERPT, PDF_LEAST, PDF_PROSE, MEMBER_BYTES = 4000, 400, 0.85, 8 << 20
+EXCERPT, PDF_LEAST, PDF_PROSE, MEMBER_BYTES, ARCHIVE_BYTES = 4000, 400, 0.85, 8 << 20, 64 << 20
 #: Parts of an article that are not prose.
 NOT_PROSE = frozenset({"ref-list", "fig", "table-wrap", "disp-formula", "inline-formula", "math", "tex-math", "xref", "fn", "ack", "label"})
 _ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "", "f": "", "\n": ""}
 
 
-def tex_of_eprint(data: bytes) -> str:
-    """TeX of a gzip or tar archive: the file with a document class first, then the others by name."""
+def gunzipped(data: bytes, limit: int) -> bytes:
+    """At most so many bytes of a gzip stream; other bytes as they are."""
+    if data[:2] != b"\x1f\x8b":
+        return data
     try:
-        inner = gzip.decompress(data)
-    except (OSError, EOFError, zlib.error):
-        inner = data
+        return zlib.decompressobj(31).decompress(data, limit)
+    except zlib.error:
+        return data
+
+
+def tex_of_eprint(data: bytes) -> str:
+    """TeX of a gzip or tar archive: bodies of main files in the archive's order, then the fragments they include."""
+    inner = gunzipped(data, ARCHIVE_BYTES)
+    if b"%PDF-" in (data[:5], inner[:5]):
+        return ""
     try:
         with tarfile.open(fileobj=io.BytesIO(inner)) as tar:
-            files = {m.name: tar.extractfile(m).read(MEMBER_BYTES).decode("utf-8", "replace") for m in tar if m.isfile() and m.name.endswith(".tex")}
-    except tarfile.TarError:
-        return inner.decode("utf-8", "replace") if b"\\" in inner else ""
-    return "\n".join(files[n] for n in sorted(files, key=lambda n: ("\\documentclass" not in files[n], n)))
+            files = [tar.extractfile(m).read(MEMBER_BYTES).decode("utf-8", "replace") for m in tar if m.isfile() and m.name.lower().endswith((".tex", ".txt"))]
+    except (tarfile.TarError, EOFError):
+        files = [inner.decode("utf-8", "replace")]
+    body = lambda t: re.search(r"(?s)\\begin\{document\}(.*?)(?:\\end\{document\}|\Z)", t)[1]
+    main = [f for f in files if "\\begin{document}" in f]
+    return "\n".join([*map(body, main), *(f for f in files if "\\begin{document}" not in f)])
 
 
 def prose_of_jats(data: bytes) -> str:
     """Abstract and body, paragraph texts in order, without references, figures and mathematics."""
+    if re.search(rb"<!ENTITY", data):  # expansions have no bound
+        return ""
     try:
         root = ElementTree.fromstring(data)
     except ElementTree.ParseError:
@@ -57,12 +69,11 @@ def prose_of_jats(data: bytes) -> str:
             for child in e:
                 walk(child)
                 out.append(child.tail or "")
-            out.append(" ")
 
     for part in root.iter():
         if local(part) in ("abstract", "body"):
             walk(part)
-    return " ".join("".join(out).split())
+    return " ".join(" ".join(out).split())
 
 
 def _literals(stream: str) -> str:
@@ -95,6 +106,8 @@ def _literals(stream: str) -> str:
 
 
 def text_of_pdf(data: bytes) -> str:
+    if data[:5] != b"%PDF-":
+        return ""
     parts = []
     for m in re.finditer(rb"stream\r?\n(.*?)\r?\n?endstream", data, re.S):
         try:

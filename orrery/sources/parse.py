@@ -99,15 +99,24 @@ def html_text(html: Column) -> Column:
     return T.collapse_ws(t)
 
 
+#: Environments and commands that carry no prose, commands whose argument is a heading.
+TEX_FLOATS = "equation|align|eqnarray|figure|table|tabular|thebibliography|displaymath|gather|multline"
+TEX_SILENT = (
+    "cite[a-z]*|ref|eqref|autoref|label|usepackage|documentclass|input|include|includepdf|includepdfmerge|pdfimport|bibliography|bibliographystyle|includegraphics|"
+    "newcommand|renewcommand|hypersetup|color|textcolor|colorbox|definecolor|pagecolor|setlength|vspace|hspace|setcounter|pagestyle|thispagestyle"
+)
+TEX_HEADINGS = "section|subsection|subsubsection|paragraph|title|chapter"
+
+
 def clean_latex(tex: Column) -> Column:
-    """Prose of a TeX source: body only, comments, maths, floats and commands dropped, arguments of text commands kept."""
-    t = F.regexp_replace(T.text_or_empty(tex), r"(?m)(?<!\\)%.*$", "")
+    """Prose of a TeX source: the body, without comments, maths, floats and silent commands; headings become sentences and other commands leave their argument."""
+    t = T.text_or_empty(tex)
     body = F.regexp_extract(t, r"(?s)\\begin\{document\}(.*?)(?:\\end\{document\}|\z)", 1)
-    t = F.when(body != "", body).otherwise(t)
+    t = F.when(t.contains("\\begin{document}"), body).otherwise(F.regexp_replace(t, r"(?s)\\end\{document\}.*", ""))
     for pattern, by in (
-        (r"(?s)\\begin\{(equation|align|eqnarray|figure|table|tabular|thebibliography|verbatim)\*?\}.*?\\end\{\1\*?\}", " "), (r"(?s)\$\$.*?\$\$|\\\[.*?\\\]", " "), (r"(?s)\$[^$]*\$|\\\(.*?\\\)", " "),
-        (r"\\(?:cite|ref|label|eqref|citep|citet|url|bibliography|bibliographystyle|includegraphics|usepackage|documentclass)\*?(?:\[[^\]]*\])*\{[^}]*\}", " "), (r"\\(?:begin|end)\{[^}]*\}", " "),
-        (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", "$1"), (r"\\[a-zA-Z]+\*?", " "), (r"\\(.)", "$1"), (r"[{}~]", " "),
+        (r"(?<!\\)%.*", ""), (rf"(?s)\\begin\{{({TEX_FLOATS})\*?\}}.*?\\end\{{\1\*?\}}", " "), (rf"\\(?:{TEX_SILENT})\b\s*(?:\[[^\]]*\])?\s*(?:\{{[^}}]*\}})?", " "),
+        (r"\\(?:begin|end)\*?\s*(?:\[[^\]]*\])?\s*\{[^{}]*\}", " "), (rf"\\(?:{TEX_HEADINGS})\*?\s*\{{([^{{}}]*)\}}", " $1. "), (r"\\(?:textbf|textit|emph|texttt|mathrm|textrm|text|mbox)\s*\{([^{}]*)\}", "$1"),
+        (r"\$[^$]*\$", " "), (r"\\@?[a-zA-Z]+\*?\s*(?:\[[^\]]*\])?\s*\{([^{}]*)\}", "$1"), (r"\\@?[a-zA-Z]+\*?", " "), (r"[{}\\]", " "),
     ):
         t = F.regexp_replace(t, pattern, by)
     return T.collapse_ws(t)
