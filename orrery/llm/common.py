@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,11 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; one of our own only where that is unset and all work is local."""
     sc = spark.sparkContext
     if not (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))
     return sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
 
@@ -39,29 +43,80 @@ def files_for(rows: int, a_file: int = 1_000_000) -> int:
     return 1 + rows // a_file
 
 
+#: Written tables that still stand: path -> what deletes it.
+_tables: dict[str, Callable[[], None]] = {}
+
+
 def materialize(df: DataFrame, *, what: str = "table", files: int | None = None) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it back.
 
     A number of files, from the rows at hand, keeps narrow tables behind wide shuffles from
-    becoming one small file a task; the rows are dealt evenly, without a key.
+    becoming one small file a task; the rows are dealt evenly, without a key. The table goes
+    with release(), at the latest when the process ends.
     """
     spark = df.sparkSession
     if files is not None:
         df = df.repartition(files)
     path = f"{shared_dir(spark).rstrip('/')}/orrery-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
     def remove() -> None:
         jvm = spark.sparkContext._jvm
         if jvm is not None and spark.sparkContext._jsc is not None:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    atexit.register(remove)
+    _tables[path] = remove
+    out = spark.read.schema(df.schema).parquet(path)
+    out._orrery_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more: only finished, rewritten results may stand on them."""
+    for t in tables:
+        _tables.pop(t._orrery_path, lambda: None)()
+
+
+@atexit.register
+def _remove_the_rest() -> None:
+    while _tables:
+        _tables.popitem()[1]()
+
+
+@lru_cache(1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Return the memory that a task has freed: workers live on and would hold it."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow whose workers give memory back when a task ends."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def bucket_runs(buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of the runs of an ordered array of buckets."""
+    if not len(buckets):
+        return []
+    cuts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+    return list(zip(buckets[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(buckets)], strict=True))
 
 
 def extended(schema: T.StructType, columns: str) -> T.StructType:
