@@ -1,9 +1,12 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words in Spark; each distinct word is encoded once by the public
-tokenizer; ids come back to the texts by position. Decoding goes from ids to pieces
-through the vocabulary and joins the pieces as the tokenizer (which has no decoder) does:
-with one space.
+Texts are split into words by numpy over whole batches; each distinct word is encoded once by
+the public tokenizer's model; ids come back to the texts by the words' positions. Decoding
+joins ids to the pieces of the vocabulary and the pieces of a text, as the tokenizer (which
+has no decoder) does, with one space.
+
+Words meet the table by 64-bit hashes. Every hash that is looked up must be in the table, else
+the job fails; words that share a hash are told apart by their bytes.
 
 The word table is broadcast as packed arrays only while its counted size is under
 ``broadcast_bytes``; a larger table is joined to the (bucket, word) pairs of the texts
@@ -11,7 +14,7 @@ and texts meet their own bucket's words, so no task holds more than one bucket.
 
 Defined results: null and empty texts have no ids and decode to the empty text; special
 tokens written in a text are encoded as such, as the library does; repeated rows are
-encoded one by one; extra columns are ignored.
+encoded one by one; extra columns are ignored, and columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -23,54 +26,163 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from orrery.llm.common import extended, materialize, pieces
+from orrery.llm.common import arrow_map, extended, flat, materialize, pieces, ranges
+from orrery.llm.words import prefix_hashes, second_prefix_hashes, span_hashes
 
 BROADCAST_BYTES = 128 << 20
 BUCKET_BYTES = 16 << 20
-PIECE_BYTES = 2 << 20
-AT_HAND = 30_000  # words a task keeps rendered
-#: The pre-tokenizer's word pattern of the vocabulary file.
+PIECE_BYTES = 1 << 20
+SENT = 100_000  # words a task remembers to have sent
+#: The pre-tokenizer's word pattern of the vocabulary file, and its contractions.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same for texts of plain characters only, in the standard library's syntax.
-PLAIN_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
-#: Anything else than ASCII, Latin-1 and Latin Extended-A letters and common punctuation: such texts take the library's own splitter.
-UNUSUAL = re.compile(r"[^\t\n\r -~¡-¬®-±´-¸º»¿-įı-ž‐-‧]")
+SHORT = ("s", "t", "re", "ve", "m", "ll", "d")
+SPACE, LETTER, DIGIT, SIGN, UNUSUAL = range(5)
+
+
+@lru_cache(1)
+def _plain_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of ASCII bytes; classes and lower-case bytes of U+0080 to U+017F as two-byte sequences.
+
+    Plain are ASCII without control characters, letters and signs of Latin-1 and Latin Extended-A:
+    composed already, lower-cased one to one. Digits, spaces and whatever else is left to the library.
+    """
+    ascii_class = np.full(256, UNUSUAL, np.uint8)
+    for c in range(32, 127):
+        ascii_class[c] = LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else SIGN
+    ascii_class[[9, 10, 13, 32]] = SPACE
+    wide_class = np.full(0x180, UNUSUAL, np.uint8)
+    lower = np.zeros((0x180, 2), np.uint8)
+    for c in range(0xA1, 0x180):
+        low = chr(c).lower().encode()
+        if chr(c).isnumeric() or not chr(c).isprintable() or len(low) != 2 or chr(c) == "ſ":
+            continue
+        wide_class[c] = LETTER if chr(c).isalpha() else SIGN
+        lower[c] = np.frombuffer(low, np.uint8)
+    return ascii_class, wide_class, lower
+
+
+class Words:
+    """The words of a batch of texts: bytes, starts, ends, hashes; those of text i are first[i]:first[i + 1]."""
+
+    def __init__(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> None:
+        self.low, self.starts, self.ends, self.first = low, starts, ends, first
+        self.hashes = span_hashes(prefix_hashes(low), starts, ends)
+
+    def second_hashes(self) -> np.ndarray:
+        return span_hashes(second_prefix_hashes(self.low), self.starts, self.ends)
+
+    def strings(self, at: np.ndarray) -> pa.Array:
+        sizes = self.ends[at] - self.starts[at]
+        offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offs), pa.py_buffer(self.low[ranges(self.starts[at], sizes)].tobytes()))
 
 
 class Splitter:
-    """Words of a text, exactly as the tokenizer splits it; special tokens stand as words of their own."""
+    """Words of texts, exactly as the tokenizer splits them; special tokens stand as words of their own."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Regex, Tokenizer
         from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.plain = re.compile(PLAIN_WORD).findall
         self.exact = Split(Regex(WORD), "removed", invert=True)
-
-    def words(self, text: str) -> list[str]:
-        if self.cut is not None and any(s in text for s in self.special):
-            return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self._part(part))]
-        return self._part(text)
-
-    def _part(self, text: str) -> list[str]:
-        if UNUSUAL.search(text) is None:
-            return self.plain(text.lower())
-        return [w for w, _ in self.exact.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+        # the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on
+        own = [b for b in range(256) if chr(b).isprintable() and chr(b) != " "]
+        self.letters = {b: b for b in own} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+
+    def slow(self, text: str) -> list[str]:
+        """The library's own way, for any text."""
+        part = lambda s: [w for w, _ in self.exact.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(s))]
+        if self.cut is None:
+            return part(text)
+        return [w for p in self.cut.split(text) for w in ([p] if p in self.special else part(p))]
+
+    def words(self, texts: pa.Array) -> Words:
+        data, offs = flat(texts)
+        n = len(data)
+        if not n:
+            return Words(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64))
+        ascii_class, wide_class, lower = _plain_tables()
+        kind, low = ascii_class[data], data + ((data >= 65) & (data <= 90)).astype(np.uint8) * 32
+        beyond = np.flatnonzero(data >= 128)
+        if len(beyond):
+            two = beyond[(data[beyond] >= 0xC2) & (data[beyond] <= 0xC5)]
+            code = (data[two].astype(np.int64) & 31) << 6 | data[two + 1] & 63
+            kind[two] = kind[two + 1] = wide_class[code]
+            low[two], low[two + 1] = lower[code, 0], lower[code, 1]
+            three = beyond[data[beyond] == 0xE2]  # U+2010 to U+2027: dashes, quotes, bullets, dots
+            three = three[(data[three + 1] == 0x80) & (data[three + 2] >= 0x90) & (data[three + 2] <= 0xA7)]
+            kind[three] = kind[three + 1] = kind[three + 2] = SIGN
+        text_of = lambda at: np.searchsorted(offs, at, "right") - 1
+        odd = set(np.unique(text_of(np.flatnonzero(kind == UNUSUAL))).tolist())
+        raw = data.tobytes() if self.special else b""
+        for s in self.special:
+            b = s.encode()
+            at = raw.find(b)
+            while at >= 0:  # over a border of texts it does no harm
+                odd.add(int(text_of(at)))
+                at = raw.find(b, at + 1)
+        for i in odd:
+            kind[offs[i] : offs[i + 1]] = SPACE
+        edge = np.ones(n + 1, bool)
+        edge[1:-1] = (kind[1:] != kind[:-1])
+        edge[:-1] |= kind == DIGIT
+        edge[offs] = True
+        cuts = np.flatnonzero(edge)
+        word = kind[cuts[:-1]] != SPACE
+        starts, ends = cuts[:-1][word], cuts[1:][word]
+        starts, ends = self._contracted(low, kind, offs, starts, ends)
+        if not odd:
+            return Words(low, starts, ends, np.searchsorted(starts, offs))
+        owner, extra, size = text_of(starts), [], n
+        for i in sorted(odd):
+            for w in self.slow(texts[i].as_py()):
+                b = w.encode("utf-8", "surrogatepass")
+                extra.append((i, size, size + len(b), b))
+                size += len(b)
+        low = np.concatenate([low, np.frombuffer(b"".join(x[3] for x in extra), np.uint8)])
+        more = np.array([x[:3] for x in extra], np.int64).reshape(-1, 3)
+        owner = np.concatenate([owner, more[:, 0]])
+        order = np.argsort(owner, kind="stable")
+        return Words(low, np.concatenate([starts, more[:, 1]])[order], np.concatenate([ends, more[:, 2]])[order], np.searchsorted(owner[order], np.arange(len(offs))))
+
+    @staticmethod
+    def _contracted(low: np.ndarray, kind: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An apostrophe alone before letters takes those of a contraction along."""
+        lone = np.flatnonzero((ends - starts == 1) & (low[starts] == 39))
+        lone = lone[lone + 1 < len(starts)]
+        lone = lone[(starts[lone + 1] == ends[lone]) & (kind[starts[lone + 1]] == LETTER)]
+        lone = lone[~np.isin(ends[lone], offs)]
+        if not len(lone):
+            return starts, ends
+        starts, ends = starts.copy(), ends.copy()
+        begin = starts[lone + 1]
+        long = ends[lone + 1] - begin > 1
+        c, d = low[begin], low[np.minimum(begin + 1, len(low) - 1)]
+        take = np.zeros(len(lone), np.int64)
+        for s in SHORT:
+            take[(c == ord(s)) if len(s) == 1 else (c == ord(s[0])) & long & (d == ord(s[1]))] = len(s)
+        ends[lone] += take
+        starts[lone + 1] += take
+        some = ends > starts
+        return starts[some], ends[some]
 
     def ids(self, words: list[str]) -> list[list[int]]:
-        plain = [w for w in words if w not in self.special]
-        got = dict(zip(plain, (e.ids for e in self.tokenizer.encode_batch(plain, add_special_tokens=False)), strict=True))
-        return [got[w] if w in got else [self.special[w]] for w in words]
+        """Each word's ids, straight from the model."""
+        tokenize = self.tokenizer.model.tokenize
+        out = []
+        for w in words:
+            if w in self.special:
+                out.append([self.special[w]])
+            else:
+                out.append([t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))])
+        return out
 
 
 @lru_cache(2)
@@ -79,31 +191,62 @@ def splitter(path: str) -> Splitter:
 
 
 @lru_cache(2)
-def id_pieces(path: str) -> list[str]:
-    """id -> piece: the vocabulary as a table."""
+def vocabulary(path: str) -> list[str]:
+    """Pieces by id, all of them."""
     t = splitter(path).tokenizer
     return [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
 
 
-def key_of(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+class Joined:
+    """Strings of ids, each followed by a space, as packed bytes: what ids are joined to."""
+
+    def __init__(self, strings: list[str]) -> None:
+        blobs = [s.encode("utf-8", "surrogatepass") + b" " for s in strings]
+        self.sizes = np.array([len(b) for b in blobs], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(blobs), np.uint8)
+
+    def texts(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """For each text (ids first[i]:first[i + 1]) its ids' strings, joined by one space."""
+        sizes = self.sizes[ids]
+        whole = self.data[ranges(self.starts[ids], sizes)].tobytes()
+        at = np.concatenate([[0], np.cumsum(sizes)])[first].tolist()
+        return [whole[s : max(s, e - 1)] for s, e in zip(at[:-1], at[1:], strict=True)]
+
+
+@lru_cache(2)
+def joined(path: str) -> tuple[Joined, Joined]:
+    """Ids as decimal numbers, and as pieces."""
+    names = vocabulary(path)
+    return Joined([str(i) for i in range(len(names))]), Joined(names)
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    data, offs = flat(words)
+    return span_hashes(prefix_hashes(data), offs[:-1], offs[1:])
 
 
 def distinct_words(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """Every word that any text has, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, have = splitter(path).words, set()
+        split, sent = splitter(path), {}
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                if x:
-                    have.update(words(x))
-            if len(have) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string())], names=["word"])
-                have = set()
-        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string())], names=["word"])
-
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "word string").distinct()
+            for piece in pieces(batch, "text", PIECE_BYTES):
+                words = split.words(piece.column(0))
+                if not len(words.hashes):
+                    continue
+                h, second = words.hashes, words.second_hashes()
+                _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+                clash = np.flatnonzero(second != second[at][inverse])  # other words under the same hash
+                keys, seconds = h[at].tolist(), second[at].tolist()
+                fresh = [i for i, k, s in zip(at.tolist(), keys, seconds, strict=True) if sent.get(k) != s]
+                if len(sent) > SENT:
+                    sent.clear()
+                sent.update(zip(keys, seconds, strict=True))
+                yield pa.RecordBatch.from_arrays([words.strings(np.array([*fresh, *clash.tolist()], np.int64))], names=["word"])
+
+    return arrow_map(docs.select(F.col(text).cast("string").alias("text")), run, "word string").distinct()
 
 
 def word_table(words: DataFrame, path: str) -> DataFrame:
@@ -113,90 +256,107 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
         ids = splitter(path).ids
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
-                words = batch.slice(at, 20_000).column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([np.array(x, np.int32).tobytes() for x in ids(words)], pa.binary())], names=["word", "ids"])
+                words = batch.slice(at, 20_000).column(0)
+                yield pa.RecordBatch.from_arrays([words, pa.array([np.array(x, np.int32).tobytes() for x in ids(words.to_pylist())], pa.binary())], names=["word", "ids"])
 
-    return words.mapInArrow(run, "word string, ids binary")
+    return arrow_map(words, run, "word string, ids binary")
 
 
 class PackedTable:
-    """word -> ids in three arrays; words whose hashes meet stand apart."""
+    """word -> ids in packed arrays by the words' hashes; words whose hashes meet stand apart, by their bytes."""
 
-    def __init__(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, apart: dict[str, list[int]]) -> None:
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, apart: dict[bytes, list[int]]) -> None:
+        ids = ids.astype(np.min_scalar_type(int(ids.max(initial=0))))
         order = np.argsort(keys, kind="stable")
-        ends = np.cumsum(sizes)
-        narrow = lambda a: a.astype(np.min_scalar_type(int(a.max(initial=0))))
-        self.keys, self.starts, self.sizes, self.ids, self.apart = keys[order], narrow((ends - sizes)[order]), narrow(sizes[order]), narrow(ids), apart
-
-    def look_up(self, words: list[str]) -> list[list[int]]:
-        at = np.searchsorted(self.keys, np.array([key_of(w) for w in words], np.uint64))
-        starts, sizes = self.starts[at].tolist(), self.sizes[at].tolist()
-        return [self.apart[w] if w in self.apart else self.ids[s : s + n].tolist() for w, s, n in zip(words, starts, sizes, strict=True)]
+        starts = np.cumsum(sizes) - sizes
+        self.keys = keys[order]
+        sizes = sizes[order]
+        self.ids = ids[ranges(starts[order], sizes)] if len(keys) else ids
+        extra = list(apart.values())
+        self.ids = np.concatenate([self.ids, np.array([i for x in extra for i in x], self.ids.dtype)])
+        self.sizes = np.concatenate([sizes, np.array([len(x) for x in extra], sizes.dtype)])
+        self.sizes = self.sizes.astype(np.min_scalar_type(int(self.sizes.max(initial=0))))
+        self.apart = {w: len(keys) + i for i, w in enumerate(apart)}
+        self.shared = hash_words(pa.array(list(apart), pa.binary())) if apart else np.zeros(0, np.uint64)
+
+    def look_up(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, how many each word has)."""
+        uniq, inverse = np.unique(words.hashes, return_inverse=True)
+        at = np.searchsorted(self.keys, uniq)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == uniq[known]
+        if not known.all():
+            raise RuntimeError(f"{int((~known).sum())} words are not in the word table")
+        entry = at[inverse]
+        for k in np.flatnonzero(np.isin(words.hashes, self.shared)).tolist() if self.apart else ():
+            entry[k] = self.apart.get(words.low[words.starts[k] : words.ends[k]].tobytes(), -1)
+        if (entry < 0).any():
+            raise RuntimeError(f"{int((entry < 0).sum())} words are not in the word table")
+        starts = self._starts()
+        sizes = self.sizes[entry].astype(np.int64)
+        return self.ids[ranges(starts[entry], sizes)].astype(np.int64), sizes
+
+    def _starts(self) -> np.ndarray:
+        if not hasattr(self, "starts"):
+            self.starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(np.uint32 if len(self.ids) < 1 << 32 else np.int64)
+        return self.starts
+
+
+def _clashes(keys: np.ndarray) -> set[int]:
+    ordered = np.sort(keys)
+    return set(ordered[1:][ordered[1:] == ordered[:-1]].tolist())
 
 
 def packed(table: DataFrame) -> PackedTable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            keys = np.array([key_of(w) for w in batch.column(0).to_pylist()], np.uint64)
-            cols = [keys.tobytes(), np.array([len(b) // 4 for b in blobs], np.uint8 if all(len(b) < 1020 for b in blobs) else np.int32).astype(np.int32).tobytes(), b"".join(blobs)]
+            blobs, offs = flat(batch.column(1))
+            ids = np.frombuffer(blobs.tobytes(), np.int32)
+            cols = [hash_words(batch.column(0)).tobytes(), (np.diff(offs) // 4).astype(np.uint16).tobytes(), ids.astype(np.uint16 if ids.max(initial=0) < 1 << 16 else np.int32).astype(np.int32).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=["keys", "sizes", "ids"])
 
-    got = table.select("word", "ids").mapInArrow(run, "keys binary, sizes binary, ids binary").toArrow()
+    got = arrow_map(table.select("word", "ids"), run, "keys binary, sizes binary, ids binary").toArrow()
     join = lambda name, kind: np.frombuffer(b"".join(got[name].to_pylist()), kind)
-    keys = join("keys", np.uint64)
-    uniq, n = np.unique(keys, return_counts=True)
-    apart: dict[str, list[int]] = {}
-    if (n > 1).any():  # two words with one hash: fetch those few by their words
-        twice = set(uniq[n > 1].tolist())
-        clash = table.where(F.udf(lambda w: key_of(w) in twice, "boolean")("word")).collect()
-        apart = {r.word: np.frombuffer(r.ids, np.int32).tolist() for r in clash}
-    return PackedTable(keys, join("sizes", np.int32), join("ids", np.int32), apart)
+    keys, sizes, ids = join("keys", np.uint64), join("sizes", np.uint16).astype(np.int64), join("ids", np.int32)
+    del got
+    apart: dict[bytes, list[int]] = {}
+    if twice := _clashes(keys):  # two words with one hash: fetch those few by their words
+        same = F.udf(lambda w: int(hash_words(pa.array([w], pa.string()))[0]) in twice, "boolean")
+        apart = {r.word.encode("utf-8", "surrogatepass"): np.frombuffer(r.ids, np.int32).tolist() for r in table.where(same("word")).collect()}
+    return PackedTable(keys, sizes, ids, apart)
 
 
-def digests(ids: list[list[int]], pieces_of: list[str]) -> list[tuple[int, str, str]]:
-    """For each word: how many ids, the ids and the pieces, both joined by one space."""
-    return [(len(x), " ".join(map(str, x)), " ".join([pieces_of[i] for i in x])) for x in ids]
+def packed_words(words: pa.Array, ids: list[bytes]) -> PackedTable:
+    """The same from words at hand."""
+    keys = hash_words(words)
+    twice = _clashes(keys)
+    apart = {w.encode("utf-8", "surrogatepass"): np.frombuffer(i, np.int32).tolist() for w, i, k in zip(words.to_pylist(), ids, keys.tolist(), strict=True) if k in twice} if twice else {}
+    return PackedTable(keys, np.array([len(i) // 4 for i in ids], np.int64), np.frombuffer(b"".join(ids), np.int32), apart)
 
 
-def _ready(worded: list[list[str]], look_up: Callable[[list[str]], list[list[int]]], make: Callable[[list[list[int]]], list], kept: dict) -> dict:
-    """What each word of these texts becomes; words met early stay at hand, a bounded number of them."""
-    fresh = list({w for ws in worded for w in ws if w not in kept})
-    got = dict(zip(fresh, make(look_up(fresh)), strict=True)) if fresh else {}
-    for w in fresh[: max(0, AT_HAND - len(kept))]:
-        kept[w] = got[w]
-    return kept | got
+def _ids_of(words: Words, table: PackedTable) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first): the ids of text i are first[i]:first[i + 1]."""
+    ids, sizes = table.look_up(words)
+    return ids, np.concatenate([[0], np.cumsum(sizes)])[words.first]
 
 
-def _digest_rows(texts: list[str | None], split: Callable[[str], list[str]], look_up: Callable[[list[str]], list[list[int]]], names: list[str], kept: dict) -> tuple[list[int], list[str], list[str]]:
-    n, first, second = [], [], []
-    worded = [split(x) if x else [] for x in texts]
-    ready = _ready(worded, look_up, lambda ids: digests(ids, names), kept)
-    for ws in worded:
-        got = [ready[w] for w in ws]
-        got = [g for g in got if g[0]]
-        n.append(sum(g[0] for g in got))
-        first.append(hashlib.sha256(" ".join([g[1] for g in got]).encode()).hexdigest())
-        second.append(hashlib.sha256(" ".join([g[2] for g in got]).encode("utf-8", "surrogatepass")).hexdigest())
-    return n, first, second
+def _digest_rows(ids: np.ndarray, first: np.ndarray, path: str) -> list[pa.Array]:
+    numbers, names = joined(path)
+    sha = lambda texts: pa.array([hashlib.sha256(b).hexdigest() for b in texts], pa.string())
+    return [pa.array(np.diff(first), pa.int64()), sha(numbers.texts(ids, first)), sha(names.texts(ids, first))]
 
 
-def _id_rows(texts: list[str | None], split: Callable[[str], list[str]], look_up: Callable[[list[str]], list[list[int]]], names: list[str], kept: dict) -> tuple[list[list[int]]]:
-    worded = [split(x) if x else [] for x in texts]
-    ready = _ready(worded, look_up, lambda ids: ids, kept)
-    return ([[i for w in ws for i in ready[w]] for ws in worded],)
+def _id_rows(ids: np.ndarray, first: np.ndarray, path: str) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))]
 
 
-#: What encode() can return: its columns, their Arrow types and how rows are made.
-OUTPUTS = {
-    "ids": ("ids array<int>", [pa.list_(pa.int32())], _id_rows),
-    "digests": ("n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()], _digest_rows),
-}
+#: What encode() can return: its columns and how they are made.
+OUTPUTS = {"ids": ("ids array<int>", _id_rows), "digests": ("n_tokens long, ids_sha256 string, decoded_sha256 string", _digest_rows)}
 
 
 def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] | None = None, output: str = "ids", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The kept columns plus ids (or their digests) of every text."""
-    columns, kinds, rows = OUTPUTS[output]
+    columns, rows = OUTPUTS[output]
     names = [c.split()[0] for c in columns.split(", ")]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
     held = kept if text in kept else [*kept, text]
@@ -205,22 +365,21 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] |
     at = held.index(text)
 
     table = materialize(word_table(distinct_words(docs, path, text=text), path), what="words")
-    size = table.agg(F.coalesce(F.sum(F.length("ids") + 20), F.lit(0))).first()[0]
+    size = table.agg(F.coalesce(F.sum(F.length("ids") / 2 + 13), F.lit(0))).first()[0]
 
-    def emit(piece: pa.RecordBatch, look_up: Callable[[list[str]], list[list[int]]], kept_words: dict) -> pa.RecordBatch:
-        got = rows(piece.column(at).to_pylist(), splitter(path).words, look_up, id_pieces(path), kept_words)
-        return pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], *(pa.array(g, k) for g, k in zip(got, kinds, strict=True))], names=schema.names)
+    def emit(piece: pa.RecordBatch, own: PackedTable) -> pa.RecordBatch:
+        got = rows(*_ids_of(splitter(path).words(piece.column(at)), own), path)
+        return pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], *got], names=schema.names)
 
     if size <= broadcast_bytes:
         shared = docs.sparkSession.sparkContext.broadcast(packed(table))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at_hand: dict = {}
             for batch in batches:
                 for piece in pieces(batch, text, PIECE_BYTES):
-                    yield emit(piece, shared.value.look_up, at_hand)
+                    yield emit(piece, shared.value)
 
-        return source.mapInArrow(run, schema)
+        return arrow_map(source, run, schema)
     return _encode_by_bucket(source, table, path, text, emit, schema)
 
 
@@ -231,33 +390,39 @@ def _encode_by_bucket(source: DataFrame, table: DataFrame, path: str, text: str,
     dealt = source.withColumn("__bucket", F.pmod(F.xxhash64(*source.columns), F.lit(n)).cast("int"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = splitter(path).words
+        split = splitter(path)
         for batch in batches:
-            have = {(b, w) for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x for w in words(x)}
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in have], pa.int32()), pa.array([w for _, w in have], pa.string())], names=["__bucket", "word"])
+            for piece in pieces(batch, text, PIECE_BYTES):
+                words = split.words(piece.column(1))
+                if len(words.hashes):
+                    bucket = np.repeat(piece.column(0).to_numpy().astype(np.int64), np.diff(words.first))
+                    order = np.lexsort((words.second_hashes(), words.hashes, bucket))
+                    mark = np.stack([bucket.view(np.uint64), words.hashes, words.second_hashes()])[:, order]
+                    at = order[np.append(True, (mark[:, 1:] != mark[:, :-1]).any(0))]
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), words.strings(at)], names=["__bucket", "word"])
 
-    pairs = dealt.select("__bucket", text).mapInArrow(words_of, "__bucket int, word string").distinct().join(table, "word")
+    pairs = arrow_map(dealt.select("__bucket", text), words_of, "__bucket int, word string").distinct().join(table, "word")
 
     def meet(docs: pa.Table, words: pa.Table) -> pa.Table:
-        ids = dict(zip(words["word"].to_pylist(), words["ids"].to_pylist(), strict=True))
+        own = packed_words(words["word"].combine_chunks(), words["ids"].to_pylist())
         rows = docs.drop_columns(["__bucket"]).combine_chunks().to_batches()
-        out = [emit(p, lambda ws: [np.frombuffer(ids[w], np.int32).tolist() for w in ws], {}) for b in rows for p in pieces(b, text, PIECE_BYTES)]
+        out = [emit(p, own) for b in rows for p in pieces(b, text, PIECE_BYTES)]
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([], to_arrow_schema(schema))
 
     return dealt.groupBy("__bucket").cogroup(pairs.groupBy("__bucket")).applyInArrow(meet, schema)
 
 
 def decode(rows: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
-    """rows plus decoded: each id is joined to its piece (a vocabulary of fixed size); null ids give null."""
-    shared = rows.sparkSession.sparkContext.broadcast(id_pieces(path))
-    kept = [c for c in rows.columns if c != "decoded"]
-    schema = rows.select(*kept).schema.add("decoded", "string")
-    at = kept.index(ids)
+    """rows plus decoded: ids are numbered by position, joined to the vocabulary's (id, piece) rows and gathered again.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value
-        for b in batches:
-            out = [None if x is None else " ".join([names[i] for i in x if i is not None and 0 <= i < len(names)]) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=schema.names)
-
-    return rows.select(*kept).mapInArrow(run, schema)
+    The vocabulary is a table of fixed size and the only broadcast side. Null ids give null,
+    null members and ids outside the vocabulary give nothing, no ids give the empty text.
+    """
+    spark = rows.sparkSession
+    kept = [c for c in rows.columns if c != "decoded"]
+    numbered = materialize(rows.select(*kept).withColumn("__row", F.monotonically_increasing_id()), what="rows")
+    pieces_of = spark.createDataFrame(list(enumerate(vocabulary(path))), "__id int, __piece string")
+    at = numbered.select("__row", F.posexplode(ids).alias("__pos", "__id"))
+    own = at.join(F.broadcast(pieces_of), "__id").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__pos", "__piece"))).alias("__pieces"))
+    text = F.array_join(F.transform(F.coalesce("__pieces", F.array().cast("array<struct<__pos:int,__piece:string>>")), lambda p: p.getField("__piece")), " ")
+    return numbered.join(own, "__row", "left").select(*kept, F.when(F.col(ids).isNotNull(), text).alias("decoded"))

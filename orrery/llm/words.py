@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 LETTERS = np.random.Generator(np.random.PCG64(20240131)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OTHER_LETTERS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Bytes of words: everything but ASCII white space.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
-#: Bytes of words: ASCII letters, digits and all of UTF-8 beyond ASCII.
+#: ASCII letters and digits.
 ALNUM = np.zeros(256, bool)
-ALNUM[np.r_[48:58, 65:91, 97:123, 128:256]] = True
+ALNUM[np.r_[48:58, 65:91, 97:123]] = True
 #: A-Z to a-z.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -44,18 +48,49 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def second_prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """The same with other letters: two spans that agree in both hashes are equal but for a chance of 2^-120 or so."""
+    h = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(OTHER_LETTERS[data] * powers(len(data))[0], out=h[1:])
+    return h
+
+
 def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((h[ends] - h[starts]) * powers(len(h))[1][starts])
 
 
-def tokens(data: np.ndarray, offs: np.ndarray, inside: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes, first): words are maximal runs of inside bytes that no text border cuts;
-    the words of text i are first[i]:first[i + 1]. A-Z count as a-z."""
+@lru_cache(1 << 16)
+def _in_word(code: int) -> bool:
+    return unicodedata.category(chr(code))[0] in "LNM" if code < 0x110000 and not 0xD800 <= code < 0xE000 else False
+
+
+def alnum(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to letters, digits or marks, by Unicode category."""
+    out = ALNUM[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return out
+    b = np.concatenate([data, np.zeros(3, np.uint8)])
+    size = np.where(data[lead] < 0xE0, 2, np.where(data[lead] < 0xF0, 3, 4))
+    code = data[lead].astype(np.int64) & np.array([0, 0, 31, 15, 7])[size]
+    for i in range(1, 4):
+        code = np.where(size > i, code << 6 | b[lead + i] & 63, code)
+    uniq, inverse = np.unique(code, return_inverse=True)
+    good = np.array([_in_word(int(c)) for c in uniq], bool)[inverse]
+    for i in range(4):
+        at = lead[good & (size > i)] + i
+        out[at[at < len(data)]] = True
+    return out
+
+
+def tokens(data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes, first): words are maximal runs of inside bytes (None: of letters, digits and
+    marks) that no text border cuts; the words of text i are first[i]:first[i + 1]. A-Z count as a-z."""
     n = len(data)
     if not n:
         return (*(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64), np.zeros(len(offs), np.int64))
     low = FOLD[data]
-    m = inside[low]
+    m = alnum(data) if inside is None else inside[low]
     begin = m.copy()
     begin[1:] &= ~m[:-1]
     borders = offs[1:-1]
