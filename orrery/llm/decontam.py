@@ -8,11 +8,13 @@ in ``share`` of its places. With the masks below, every window of 12 words with
 substitutions holds at least one seed, so no such overlap is missed. Items below the window
 have masks of their own length, which meet every set of substitutions that ``share`` allows.
 
-Words are runs of letters and digits, lower-cased, so punctuation does not matter.
+Words are runs of letters, digits and marks by Unicode category, lower-cased, so punctuation of any
+script does not matter.
 
 Defined results: null and empty texts, and items below ``least`` words, take no part; one row per text and item, with the
 best window; rows that repeat are reported one by one; items that repeat each count; extra
-columns are ignored; an empty benchmark or corpus gives no rows.
+columns are ignored; ties of the best window go to the earliest place in the document, then in the item; an empty benchmark
+or corpus gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import extended, flat, materialize, pieces, ranges
-from orrery.llm.words import ALNUM, mix, tokens
+from orrery.llm.common import arrow_map, extended, flat, materialize, pieces, ranges
+from orrery.llm.words import mix, tokens
 
 #: Three masks of six words; together they meet any two substitutions in twelve words.
 MASKS = ((0, 2, 5, 6, 7, 8), (0, 1, 4, 5, 7, 9), (0, 1, 2, 3, 4, 8))
@@ -75,7 +77,7 @@ class SeedIndex:
 
     def __init__(self, ids: pa.Array, texts: pa.Array, masks: tuple[tuple[int, ...], ...] = MASKS, least: int = LEAST, window: int = WINDOW, share: float = SHARE) -> None:
         texts = pc.utf8_lower(texts)
-        _, _, self.words, self.first = tokens(*flat(texts), ALNUM)
+        _, _, self.words, self.first = tokens(*flat(texts), None)
         self.ids = ids
         n = np.diff(self.first)
         full = max(window, *(m[-1] + 1 for m in masks))  # items from here on hold the given masks
@@ -119,7 +121,7 @@ class SeedIndex:
 
 
 def verify(words: np.ndarray, start: int, end: int, item: np.ndarray, at: int, window: int, share: float) -> tuple[int, int, int, int] | None:
-    """Best (equal words, window, place in the text, place in the item) on this diagonal, if it suffices."""
+    """Best (equal words, window, place in the text, place in the item) on this diagonal, if it suffices; ties go to the first place."""
     lo, hi = max(0, start - at), min(len(item), end - at)
     w = min(window, len(item))
     if hi - lo < w:
@@ -145,11 +147,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
             index: SeedIndex = shared.value
             for batch in batches:
                 for piece in pieces(batch, "text"):
-                    _, _, words, first = tokens(*flat(pc.utf8_lower(piece.column(1))), ALNUM)
+                    _, _, words, first = tokens(*flat(pc.utf8_lower(piece.column(1))), None)
                     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
                     for t, i, at in zip(*(x.tolist() for x in index.hits(words, first)), strict=True):
                         got = verify(words, int(first[t]), int(first[t + 1]), index.words[index.first[i] : index.first[i + 1]], at, window, share)
-                        if got and got[:2] > best.get((t, i), (0, 0))[:2]:
+                        if got and (t, i) not in best or got and (-got[0], *got[2:]) < (-best[t, i][0], *best[t, i][2:]):
                             best[t, i] = got
                     if best:
                         ts, its = (np.array(x) for x in zip(*best, strict=True))
@@ -165,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
         if not got.num_rows:
             continue
         shared = spark.sparkContext.broadcast(SeedIndex(got["item_id"].combine_chunks(), got["text"].combine_chunks(), masks, least, window, share))
-        found = source.mapInArrow(scan(shared), schema)
+        found = arrow_map(source, scan(shared), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
