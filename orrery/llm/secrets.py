@@ -1,9 +1,10 @@
 """Secret scans with structural confirmation.
 
 Base patterns (assignments, access keys, hex runs) are always reported. Beyond them,
-base64 and hex candidates are decoded and reported only when their structure holds:
-DER keys whose nested lengths close exactly, OpenSSH blobs whose length-prefixed fields
-fill the blob, and signed tokens whose header is JSON that names an algorithm.
+base64 (standard and url-safe) and hex candidates are decoded and reported only when their
+structure holds: private keys in DER whose nested lengths close exactly (PKCS#1, SEC1, PKCS#8 plain
+and encrypted), OpenSSH private keys whose length-prefixed fields fill the blob, and signed tokens whose
+header is JSON that names an algorithm. Public keys are no secrets and are not reported.
 
 Defined results: null and empty texts have no span; spans count code points, end
 exclusive; repeated rows are scanned one by one; extra columns are ignored; texts are
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import flat, pieces
+from orrery.llm.common import arrow_map, flat, pieces
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "der", "ssh", "jwt")
@@ -39,8 +40,12 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}={0,2}")
+BASE64_URL = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{20,}={0,2}")
 HEX_BLOB = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
-LONG_RUN = 20  # no kind but assign fits into a shorter run of these characters
+LONG_RUN = 20  # only assign, signed tokens and PEM blocks fit into shorter runs of these characters
+MARKS = (b"eyJ", b"PRIVATE KEY-----")  # what signed tokens and PEM blocks hold
+#: The object identifiers that name an encryption by password.
+PASSWORD_OIDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 RUN_BYTES = np.zeros(256, bool)
 RUN_BYTES[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", np.uint8)] = True
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -75,7 +80,7 @@ def der_parts(b: bytes, start: int, end: int) -> list[tuple[int, int, int]] | No
 
 
 def is_der_key(b: bytes) -> bool:
-    """PKCS#1, PKCS#8, SEC1 or SubjectPublicKeyInfo, with nested lengths that close exactly."""
+    """A private key in PKCS#1, PKCS#8 (plain or encrypted) or SEC1, with nested lengths that close exactly."""
     top = der_length(b, 0) if b[:1] == b"\x30" else None
     if top is None or top[1] != len(b):
         return False
@@ -83,35 +88,34 @@ def is_der_key(b: bytes) -> bool:
     if not parts:
         return False
     tags = [t for t, _, _ in parts]
-    if len(tags) >= 9 and set(tags[:9]) == {2} or tags[:2] == [2, 4] and len(tags) >= 2 and b[parts[0][1] : parts[0][2]] == b"\x01":
+    if len(tags) >= 9 and set(tags[:9]) == {2} or tags[:2] == [2, 4] and b[parts[0][1] : parts[0][2]] == b"\x01":
         return True
-    named = 1 if tags[:3] == [2, 48, 4] else 0 if tags == [48, 3] else None
+    named = 1 if tags[:3] == [2, 48, 4] else 0 if tags == [48, 4] else None
     if named is None:
         return False
     inner = der_parts(b, parts[named][1], parts[named][2])
-    return bool(inner) and inner[0][0] == 6
+    if not inner or inner[0][0] != 6:
+        return False
+    return named == 1 or b[inner[0][1] : inner[0][2]].startswith(PASSWORD_OIDS)
 
 
 def is_ssh_key(b: bytes) -> bool:
-    """An OpenSSH private key file or a public key blob: every field's length fits and the fields fill the blob."""
+    """An OpenSSH private key file: every field's length fits and the fields fill the blob."""
     magic = b"openssh-key-v1\0"
-    private = b.startswith(magic)
-    at, fields = (len(magic), []) if private else (0, [])
+    if not b.startswith(magic):
+        return False
+    at, fields = len(magic), 0
     while at < len(b):
-        if private and len(fields) == 3:  # the number of keys stands bare
-            at += 4
-            fields.append(b"")
-            continue
-        if at + 4 > len(b):
+        if fields == 3:  # the number of keys stands bare
+            n = 0
+        elif at + 4 > len(b):
             return False
-        n = int.from_bytes(b[at : at + 4], "big")
+        else:
+            n = int.from_bytes(b[at : at + 4], "big")
         if at + 4 + n > len(b):
             return False
-        fields.append(b[at + 4 : at + 4 + n])
-        at += 4 + n
-    if private:
-        return len(fields) >= 6
-    return len(fields) >= 2 and re.fullmatch(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]+", fields[0]) is not None
+        at, fields = at + 4 + n, fields + 1
+    return fields >= 6
 
 
 def unbase64(s: str, *, url: bool = False) -> bytes | None:
@@ -136,7 +140,7 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
     out = [("pem", *m.span()) for m in PEM.finditer(text) if (b := unbase64(re.sub(r"\s", "", m[2]))) and (is_der_key(b) or is_ssh_key(b))]
     blocks = list(out)
     out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_token_header(m[1])]
-    for pattern, decode in ((BASE64, unbase64), (HEX_BLOB, bytes.fromhex)):
+    for pattern, decode in ((BASE64, unbase64), (BASE64_URL, lambda s: unbase64(s, url=True)), (HEX_BLOB, bytes.fromhex)):
         for m in pattern.finditer(text):
             if any(s <= m.start() and m.end() <= e for _, s, e in blocks):
                 continue
@@ -157,7 +161,7 @@ def scan(text: str, worded: bool = True, runs: bool = True) -> list[tuple[str, i
 
 
 def possible(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each text: has it a keyword, has it a long run of key characters."""
+    """For each text: has it a keyword, has it a long run of key characters or the mark of a token or key block."""
     data, offs = flat(texts)
     n = len(offs) - 1
     low = data.tobytes().translate(LOWER)
@@ -169,6 +173,13 @@ def possible(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             worded[i] = True
             at = low.find(w, int(offs[i + 1]))
     runs = np.zeros(n, bool)
+    raw = data.tobytes()
+    for w in MARKS:
+        at = raw.find(w)
+        while at >= 0:  # over a border of texts it does no harm
+            i = int(np.searchsorted(offs, at, "right")) - 1
+            runs[i] = True
+            at = raw.find(w, int(offs[i + 1]))
     inside = np.concatenate([[False], RUN_BYTES[data], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     long = edges[::2][edges[1::2] - edges[::2] >= LONG_RUN]
@@ -206,7 +217,7 @@ def find_secrets(docs: DataFrame, *, text: str = "text", keep: list[str] | None
                 spans = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in f] for f in found], kind)
                 yield pa.RecordBatch.from_arrays([*cols, spans], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
