@@ -3,8 +3,8 @@
 Source, language and size are quantised, their cell's place on the curve is the sort key,
 and the sorted rows are cut into runs. The law is ``rows``: shard counts are at most one
 apart. Ranks come from a histogram of (curve place, sub-bucket), so that no task ever
-sorts more than one bucket and a hot cell is dealt over its sub-buckets; texts are read
-once and never shuffled.
+sorts more than one bucket and a hot cell is dealt over as many buckets as its rows need; texts are
+never shuffled: from them a narrow table is written that the ranks are made from. Strings are quantised by the seven bytes behind what all of a column's values share.
 
 Defined results: null text has size 16 and the crc32 of no bytes; null metadata sorts
 first; ties and repeated rows take neighbouring slots; an empty table gives no rows and
@@ -13,12 +13,16 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.llm.common import materialize
+
 BITS = 3
-SUB = 32
+BUCKET_ROWS, BUCKETS = 1024, 1 << 17  # rows that a task sorts together, and how many such buckets at most beside one a cell
 ROW_BYTES = 16
 
 
@@ -47,9 +51,16 @@ def hilbert_place(cell: tuple[int, ...], bits: int) -> int:
     return place
 
 
-def _string_code(c: str) -> Column:
+def _string_code(c: Column) -> Column:
     """A number in the order of the strings' first seven bytes."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(c), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1))
+    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1))
+
+
+def string_dims(rows: DataFrame, names: list[str]) -> dict[str, Column]:
+    """Order-keeping numbers of string columns: what all strings of a column begin with is left out (one narrow pass)."""
+    got = rows.agg(*[f(F.col(c).cast("string")).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    shared = [len(os.path.commonprefix([got[f"lo{i}"] or "", got[f"hi{i}"] or ""])) for i in range(len(names))]
+    return {c: _string_code(F.substring(F.col(c).cast("string"), n + 1, 7)) for c, n in zip(names, shared, strict=True)}
 
 
 def _bin(value: Column, cuts: list[int]) -> Column:
@@ -67,16 +78,20 @@ def curve_places(rows: DataFrame, dims: dict[str, Column], *, bits: int = BITS)
     return F.element_at(F.lit(table), (cell + 1).cast("int"))
 
 
-def hilbert_shards(docs: DataFrame, *, shards: int = 40, dims: dict[str, Column] | None = None, bits: int = BITS, sub: int = SUB) -> DataFrame:
+def hilbert_shards(docs: DataFrame, *, shards: int = 40, dims: dict[str, Column] | None = None, bits: int = BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and the row's place on the curve."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = (F.octet_length(text) + ROW_BYTES).cast("long")
-    dims = dims or {"source": _string_code("source"), "lang": _string_code("lang"), "size": size}
+    dims = dims or {**string_dims(docs, ["source", "lang"]), "size": size}
     place = curve_places(docs, dims, bits=bits)
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), place.alias("place"))
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(sub)).cast("int"))
+    rows = materialize(docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), place.alias("place")), what="cells")
+    # a cell's rows are dealt over as many buckets as they need; both tables have a bounded number of rows
+    cells = rows.groupBy("place").agg(F.count("*").alias("m"))
+    least = F.greatest(F.lit(bucket_rows), F.floor(F.sum("m").over(W.partitionBy()) / BUCKETS))
+    cells = cells.select("place", F.ceil(F.col("m") / least).cast("int").alias("subs"))
+    spread = F.xxhash64("doc_id", "text_crc32")
+    rows = rows.join(F.broadcast(cells), "place").withColumn("sub", F.pmod(spread, F.col("subs")).cast("int")).drop("subs")
     counts = rows.groupBy("place", "sub").agg(F.count("*").alias("n"))
-    # at most 2^(bits * dims) * sub buckets, whatever the input
     before = W.orderBy("place", "sub").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("place", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(W.orderBy("place", "sub").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
     ranked = rows.withColumn("rn", F.row_number().over(W.partitionBy("place", "sub").orderBy("text_crc32", "doc_id", "size")))
