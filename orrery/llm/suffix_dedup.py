@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import files_for, free_shuffles, materialize, ranges
+from orrery.llm.common import arrow_map, bucket_runs, files_for, free_shuffles, give_back, materialize, ranges, release
 from orrery.llm.words import mix, powers, prefix_hashes, span_hashes
 
 LENGTH, GRAM = 100, 24
@@ -270,7 +270,7 @@ def _piece_table(docs: DataFrame, leaders: DataFrame) -> DataFrame:
         if held:
             yield pack()
 
-    return materialize(rows.mapInArrow(run, "piece long, ids binary, offs binary, data binary, shas string"), what="pieces")
+    return materialize(arrow_map(rows, run, "piece long, ids binary, offs binary, data binary, shas string"), what="pieces")
 
 
 def _open(row: dict) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -296,8 +296,7 @@ def repeated_anchors(pieces: DataFrame, *, buckets: int, length: int) -> DataFra
         for row in _rows(batches):
             _, data, offs, _ = _open(row)
             h, n = np.unique(anchors(data, offs, length)[3], return_counts=True)
-            cuts = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
-            part = [(b, s, e) for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
+            part = bucket_runs(_bucket(h, buckets))
             cols = [pa.array([b for b, _, _ in part], pa.int64()), pa.array([row["piece"]] * len(part), pa.int64()), pa.array([h[s:e].tobytes() for _, s, e in part], pa.binary()), pa.array([(n[s:e] > 1).tobytes() for _, s, e in part], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["bucket", "piece", "hashes", "again"])
 
@@ -311,7 +310,7 @@ def repeated_anchors(pieces: DataFrame, *, buckets: int, length: int) -> DataFra
         bits = [np.packbits(hit[e - len(x) : e]).tobytes() for e, x in zip(ends, hs, strict=True)]
         return pa.table({"piece": rows["piece"], "bucket": rows["bucket"], "bits": pa.chunked_array([pa.array(bits, pa.binary())])})
 
-    asked = pieces.select("piece", "ids", "offs", "data").mapInArrow(ask, "bucket long, piece long, hashes binary, again binary")
+    asked = arrow_map(pieces.select("piece", "ids", "offs", "data"), ask, "bucket long, piece long, hashes binary, again binary")
     return asked.groupBy("bucket").applyInArrow(answer, "piece long, bucket long, bits binary")
 
 
@@ -324,10 +323,10 @@ def spans_to_remove(pieces: DataFrame, repeated: DataFrame, *, buckets: int, len
             raw, data, offs, ids = _open(row)
             first, count, text, h = anchors(data, offs, length)
             uniq, at = np.unique(h, return_inverse=True)
-            bounds = np.searchsorted(_bucket(uniq, buckets), np.arange(buckets + 1))
+            own = _bucket(uniq, buckets)
             hit = np.zeros(len(uniq), bool)
             for x in row["said"]:
-                s, e = bounds[x["bucket"]], bounds[x["bucket"] + 1]
+                s, e = np.searchsorted(own, [x["bucket"], x["bucket"] + 1])
                 hit[s:e] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=e - s).astype(bool)
             keep = hit[at]
             first, count, text, h = first[keep], count[keep], text[keep], h[keep]
@@ -373,9 +372,11 @@ def spans_to_remove(pieces: DataFrame, repeated: DataFrame, *, buckets: int, len
             gone = gone[:, np.argsort(gone[0], kind="stable")]
             cuts = [*np.flatnonzero(np.append(True, gone[0][1:] != gone[0][:-1])).tolist(), gone.shape[1]] if gone.shape[1] else [0]
             out += [(int(gone[0, s]), np.ascontiguousarray(gone[1:, s:e].T).tobytes()) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+            del head, data, gone
+        give_back()
         return pa.table({"piece": pa.array([p for p, _ in out], pa.int64()), "spans": pa.array([s for _, s in out], pa.binary())})
 
-    sent = pieces.select("piece", "ids", "offs", "data").join(said, "piece").mapInArrow(contexts, "bucket long, piece long, head binary, data binary")
+    sent = arrow_map(pieces.select("piece", "ids", "offs", "data").join(said, "piece"), contexts, "bucket long, piece long, head binary, data binary")
     return sent.groupBy("bucket").applyInArrow(find, "piece long, spans binary")
 
 
@@ -418,12 +419,14 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, with_kept: bool = Fal
     repeated = materialize(repeated_anchors(pieces, buckets=buckets, length=length), what="anchors", files=files_for(n))
     free_shuffles(spark)
     spans = materialize(spans_to_remove(pieces, repeated, buckets=buckets, length=length), what="spans", files=files_for(n))
+    release(repeated)
     free_shuffles(spark)
     by_piece = spans.groupBy("piece").agg(F.collect_list("spans").alias("spans"))
-    done = pieces.join(by_piece, "piece", "left").select("ids", "offs", "data", "shas", "spans").mapInArrow(_kept, "doc long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = arrow_map(pieces.join(by_piece, "piece", "left").select("ids", "offs", "data", "shas", "spans"), _kept, "doc long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not with_kept:
         done = done.drop("kept")
     done = materialize(done, what="done", files=files_for(n, 20_000) if with_kept else files_for(n))
+    release(pieces, spans)
     free_shuffles(spark)
     first = leaders.select(F.col("doc").alias("first"), "sha")
     # rows: leaders with their result; copies of an earlier text go whole; short texts stay whole

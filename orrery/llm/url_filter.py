@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import materialize, release
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BITS_A_KEY = 10
 HASHES = 7
@@ -96,12 +98,16 @@ def _passing(keys: DataFrame, level: Bloom) -> DataFrame:
 
 def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     """Both tables hold one column ``key`` of distinct, non-null strings."""
-    inside, outside, levels = listed, universe.join(listed, "key", "left_anti"), []
+    inside, outside, levels, held = listed, universe.join(listed, "key", "left_anti"), [], []
     while (level := _bloom(inside, len(levels))) is not None:
         if len(levels) == LEVELS:
             raise RuntimeError("the cascade does not end: more levels than hashes can tell apart")
         levels.append(level)
-        inside, outside = _passing(outside, level).persist(), inside
+        held.append(materialize(_passing(outside, level), what="keys"))
+        inside, outside = held[-1], inside
+        if len(held) > 2:
+            release(held[-3])  # a level reads the two before it
+    release(*held[-2:])
     return Cascade(levels)
 
 
