@@ -172,36 +172,40 @@ def test_language_id(docs, rows):
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (20, 21, 22, 29))
 
 
-def test_language_code_lengths_are_exact(spark):
-    """Order-2 contexts with escapes and exclusion, against a plain dictionary model."""
-    text = "abracadabra abacus"
-    model = lang_id.learn(spark.createDataFrame([("x", text)], "lang string, text string"))
-    b = [256, 256, *text.encode()]
-    counts = [{}, {}, {}]
-    for i in range(2, len(b)):
-        for k in range(3):
+def ppm_bits(text, probe, order=4):
+    """Code length of a probe under order-4 contexts with escapes and exclusion: a plain dictionary model."""
+    b = [0] * order + list(text.encode())
+    counts = [{} for _ in range(order + 1)]
+    for i in range(order, len(b)):
+        for k in range(order + 1):
             c = counts[k].setdefault(tuple(b[i - k : i]), {})
             c[b[i]] = c.get(b[i], 0) + 1
 
-    def p(ctx, s, out=frozenset()):
+    def p(ctx, s):
         if ctx is None:
             return 1 / 256
-        c = {x: n for x, n in counts[len(ctx)].get(ctx, {}).items()}
+        c = counts[len(ctx)].get(ctx, {})
         shorter = ctx[1:] if ctx else None
         if not c:
             return p(shorter, s)
         n = sum(c.values()) + len(c)
         if s in c:
             return c[s] / n
-        left = 1 - sum(p(shorter, x) for x in c)
-        return len(c) / n * p(shorter, s) / left
-
-    probe = "cab ra"
-    q = [256, 256, *probe.encode()]
-    want = -sum(np.log2(p(tuple(q[i - 2 : i]), q[i])) for i in range(2, len(q)))
-    x = model.code[np.frombuffer(probe.encode(), np.uint8)]
-    one, two = np.r_[0, x[:-1]], np.r_[0, 0, x[:-2]]
-    assert model.bits[0][(two * model.size + one) * model.size + x].sum() == pytest.approx(want, rel=1e-4)
+        return len(c) / n * p(shorter, s) / (1 - sum(p(shorter, x) for x in c))
+
+    q = [0] * order + list(probe.encode())
+    return -sum(np.log2(p(tuple(q[i - order : i]), q[i])) for i in range(order, len(q)))
+
+
+@pytest.mark.parametrize("probe", ["cab ra", "a", "abracadabra", "zzz", "abacus\x00é abr"])
+def test_language_code_lengths_are_exact(spark, probe):
+    text = "abracadabra abacus"
+    model = lang_id.learn(spark.createDataFrame([("x", text)], "lang string, text string"))
+    keys, _ = lang_id.grams(pa.array([probe]))
+    assert model.trees[0].code_lengths(keys).sum() == pytest.approx(ppm_bits(text, probe), rel=1e-4)
+    scorer = model.scorer()
+    for _ in range(2):  # fresh, and from the memo
+        assert scorer.code_lengths(keys)[:, 0].sum() == pytest.approx(ppm_bits(text, probe), rel=1e-4)
 
 
 def brute_spans(text):

@@ -40,16 +40,21 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert len(c.levels) > 1
 
 
-@pytest.mark.parametrize("chunk", [100, 2])
+@pytest.mark.parametrize("chunk", [1 << 20, 300])
 def test_top_k(spark, chunk):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=16).astype(np.float32).tolist(), 1) for i in range(300)]
     rows += [(400, None, 1), (500, [1.0] * 15 + [None], 1), (600, [float("nan")] * 16, 1), (700, [1.0] * 5, 1), (None, [1.0] * 16, 1), (701, rows[3][1], 1), (702, rows[3][1], 1), (100, rows[100][1], 1), (800, [1.0] * 5, 1)]
+    # an unusable vector of a query does not displace its usable one; a smaller one of two usable ones stands
+    rows += [(200, [None] + [9.0] * 15, 1), (0, [float("-inf")] * 16, 1), (900, [2.0] * 16, 1), (900, [-2.0] * 16, 1)]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
-    got = topk.exact_top_k(e, e.where("vec_id % 100 = 0"), k=5, chunk=chunk, block=64)
+    got = topk.exact_top_k(e, e.where("vec_id % 100 = 0"), k=5, chunk_bytes=chunk, block=64)
     good = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = {}
-    for q, v in {i: v for i, v in good if i % 100 == 0}.items():
+    least = {}
+    for i, v in good:
+        least[i] = min((tuple(v), v), least.get(i, (tuple(v), v)), key=lambda x: (len(x[0]), x[0]))
+    for q, (_, v) in {i: v for i, v in least.items() if i % 100 == 0}.items():
         best = sorted(((-int(v @ w), i) for i, w in good if i != q and len(w) == len(v)))[:5]
         for n, (s, i) in enumerate(best):
             want[q, n + 1] = (i, -s)
@@ -71,6 +76,36 @@ def test_impact_index_stops_on_proof_only():
     assert (scores == exact[rows, cols]).all()
 
 
+def test_top_k_of_huge_components(spark):
+    """Beyond exact doubles scores are wide integers; a reported score beyond 64 bits fails."""
+    big = [(0, [3e4, -2e4]), (1, [2.5e4, 1.0]), (2, [1e5, 7e4]), (3, [-1e5, 3.0]), (4, [0.5, 0.25]), (100, [1.0, 1.0]), (5, [12345678.0, 1e7])]
+    e = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.exact_top_k(e, e.where("vec_id % 100 = 0"), k=3).collect()}
+    ints = {i: [int(np.floor(1024 * x)) for x in v] for i, v in big}
+    want = {}
+    for q in (0, 100):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], w, strict=True)), i) for i, w in ints.items() if i != q)[:3]
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
+    far = spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large|too big|overflow|Overflow"):
+        topk.exact_top_k(far, far.where("vec_id = 0")).collect()
+
+
+def test_index_skips_postings():
+    """On skewed and on dense vectors fewer postings are processed than all queries have."""
+    rng = np.random.default_rng(1)
+    for vectors, most in ((np.floor(rng.pareto(1.2, (4000, 32)) * 20 * rng.choice([-1, 1], (4000, 32))).clip(-(10**5), 10**5).astype(np.int64), 0.9), (np.floor(rng.normal(size=(4000, 64)) * 1024 / 8).astype(np.int64), 0.95)):
+        index = topk.ImpactIndex(np.arange(4000), vectors)
+        rows, cols, scores = index.search(np.arange(50), vectors[:50], 10)
+        exact = vectors[:50] @ vectors.T
+        exact[np.arange(50), np.arange(50)] = exact.min() - 1
+        for i in range(50):
+            best = np.sort(exact[i])[-10:]
+            assert np.array_equal(np.sort(scores[rows == i])[-10:], best)
+        assert index.processed < most * 50 * index.postings
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path):
     import corpus_pipeline as p
 
