@@ -19,13 +19,19 @@ def z_score(value: Column, *group: str) -> Column:
 
 
 def hybrid_score(rows: DataFrame, channels: Sequence[str], cites: str, *, weight: float = CITATION_WEIGHT, group: Sequence[str] = ()) -> DataFrame:
-    """rows plus hybrid: mean z-score of the channels that have any signal, with the citations' z-score at a small weight."""
-    w = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))
-    on = {c: F.max(F.col(c)).over(w) > 0 for c in channels}
-    n = sum((on[c].cast("int") for c in channels), F.lit(0))
-    total = sum((F.when(on[c], z_score(F.col(c).cast("double"), *group)).otherwise(0.0) for c in channels), F.lit(0.0))
-    z = z_score(F.log1p(F.greatest(F.col(cites).cast("double"), F.lit(0.0))), *group)
-    return rows.withColumn("hybrid", F.when(n == 0, 0.0).otherwise((1 - weight) * total / n + weight * z))
+    """rows plus hybrid: mean z-score of the channels that have any signal, with the citations' z-score at a small weight.
+
+    Means and deviations are aggregated first and joined back, one row a group, so no task gathers a group.
+    """
+    values = {c: F.col(c).cast("double") for c in channels} | {"__log": F.log1p(F.greatest(F.col(cites).cast("double"), F.lit(0.0)))}
+    aggs = [f(v).alias(f"__{n}{i}") for i, v in enumerate(values.values()) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("x", F.max))]
+    joined = rows.crossJoin(F.broadcast(rows.agg(*aggs))) if not group else rows.join(rows.groupBy(*group).agg(*aggs), list(group))  # one row without groups
+    z = [F.when(F.col(f"__s{i}") == 0, 0.0).otherwise((v - F.col(f"__m{i}")) / F.col(f"__s{i}")) for i, v in enumerate(values.values())]
+    on = [F.col(f"__x{i}") > 0 for i in range(len(channels))]
+    n = sum((x.cast("int") for x in on), F.lit(0))
+    total = sum((F.when(x, v).otherwise(0.0) for x, v in zip(on, z, strict=False)), F.lit(0.0))
+    hybrid = F.when(n == 0, 0.0).otherwise((1 - weight) * total / n + weight * z[-1])
+    return joined.withColumn("hybrid", hybrid).select(*rows.columns, "hybrid")
 
 
 def interleave(rows: DataFrame, bucket: str, *order: str | Column, limit: int) -> DataFrame:

@@ -138,16 +138,6 @@ def roster_alignment(spark, sf):
     return stats.alignment(Frame(spark, sf).seeds, F.col("domain"), [0, 1])
 
 
-@query(BASE_SQL + """, per AS (SELECT ref, count(DISTINCT id) AS n, min(id) AS owner FROM seed_refs GROUP BY ref), q AS (SELECT ref, n, row_number() OVER (PARTITION BY owner ORDER BY n DESC, ref) AS rn FROM per WHERE n >= 2)
-SELECT ref, n FROM q WHERE rn <= 12 ORDER BY n DESC, ref LIMIT 50""".replace("seed_refs", "(SELECT r.* FROM refs r WHERE id IN (SELECT id FROM seeds)) AS sr"))
-def bridge_pool_tier1(spark, sf):
-    f = Frame(spark, sf)
-    own = graph.edges_of(f.seeds, f.refs).select(F.col("id").alias("grp"), "ref", F.struct("id", "ref").alias("pos"))
-    per = own.groupBy("ref").agg(F.countDistinct("grp").alias("n"), F.min("grp").alias("owner"))
-    rn = F.row_number().over(graph.W.partitionBy("owner").orderBy(F.col("n").desc(), "ref"))
-    return per.where("n >= 2").withColumn("rn", rn).where("rn <= 12").orderBy(F.col("n").desc(), "ref").limit(50).select("ref", "n")
-
-
 POOL_SQL = BASE_SQL.replace("WITH works", "WITH RECURSIVE works") + """, own AS (SELECT s.grp, r.ref, s.grp * 1000000 + r.ref AS pos FROM (SELECT id, CAST(row_number() OVER (ORDER BY cites DESC, id) - 1 AS INTEGER) AS grp FROM seeds) s JOIN refs r ON r.id = s.id),
 q AS (SELECT ref, count(*) AS n, min(pos) AS first, arg_min(grp, pos) AS owner FROM own GROUP BY ref), g AS (SELECT max(grp) + 1 AS n FROM own),
 one AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY n DESC, first) AS rn FROM q WHERE n >= 2 QUALIFY rn <= 12), top AS (SELECT * FROM one ORDER BY n DESC, first LIMIT 50),
@@ -160,12 +150,20 @@ SELECT 0 AS theme, CAST(i - 1 AS INTEGER) AS slot, list_concat(got, t)[i] AS ref
 """
 
 
+def _mentions(f: Frame) -> DataFrame:
+    """What the seeds cite, in their order, each seed a group."""
+    order = F.row_number().over(graph.W.orderBy(F.col("cites").desc(), "id")) - 1
+    return f.seeds.select("id", order.alias("grp")).join(f.refs, "id").select(F.lit(0).alias("theme"), "grp", "ref", (F.col("grp") * 1_000_000 + F.col("ref")).alias("pos"))
+
+
+@query(POOL_SQL[: POOL_SQL.index(",\ntwo(")] + " SELECT ref, n FROM top")
+def bridge_pool_tier1(spark, sf):
+    return graph.bridge_pool_tier1(_mentions(Frame(spark, sf)))
+
+
 @query(POOL_SQL)
 def bridge_pool_full(spark, sf):
-    f = Frame(spark, sf)
-    order = F.row_number().over(graph.W.orderBy(F.col("cites").desc(), "id")) - 1
-    own = f.seeds.select("id", order.alias("grp")).join(f.refs, "id").select(F.lit(0).alias("theme"), "grp", "ref", (F.col("grp") * 1_000_000 + F.col("ref")).alias("pos"))
-    return diversify.pool_three_tiers(own)
+    return diversify.pool_three_tiers(_mentions(Frame(spark, sf)))
 
 
 @query(BASE_SQL + """, z AS (SELECT id, (bridge_strength - avg(bridge_strength) OVER ()) / nullif(stddev_pop(bridge_strength) OVER (), 0) AS zs, (ln(1 + cites) - avg(ln(1 + cites)) OVER ()) / nullif(stddev_pop(ln(1 + cites)) OVER (), 0) AS zc FROM top60)
@@ -345,7 +343,7 @@ def title_key_dedup(spark, sf):
 @query(KEY_SQL + ", n AS (SELECT k.id, tk, n_chars FROM k JOIN d ON d.id = k.id WHERE tk <> '') SELECT tk AS k, arg_max(id, (n_chars, -id)) AS id FROM n GROUP BY tk".replace("arg_max(id, (n_chars, -id))", "(list(id ORDER BY n_chars DESC, id))[1]"))
 def record_standing(spark, sf):
     k = _docs(spark, sf).select("id", "n_chars", T.title_key(F.col("title")).alias("k")).where("k <> ''")
-    return k.groupBy("k").agg(F.max_by("id", F.struct("n_chars", -F.col("id"))).alias("id"))
+    return rank.first_wins(k.withColumn("less", -F.col("n_chars")), "k", "less", "id").select("k", "id")
 
 
 @query(KEY_SQL.replace("WITH d", "WITH RECURSIVE d") + """, a AS (SELECT id, tk, CASE WHEN length(ak) >= 200 THEN substr(ak, 1, 200) ELSE '' END AS ak FROM k),
@@ -405,14 +403,18 @@ def numeric_guard(spark, sf):
     return _docs(spark, sf).select("id", F.size(T.unsupported_numbers(F.col("text"), F.col("title"))).cast("long").alias("n_unsupported"))
 
 
-@query(r"""WITH u AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS before FROM conversations),
-q AS (SELECT conv_id, turn, lower(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS quote, lower(regexp_replace(coalesce(before, ''), '\s+', '', 'g')) AS hay FROM u)
-SELECT conv_id, turn, CASE WHEN length(quote) < 10 THEN 'source_missing' WHEN hay = '' THEN 'source_unverifiable' WHEN NOT contains(hay, quote) THEN 'source_mismatch' END AS failure FROM q""")
+FOLD_SQL = "replace(replace(lower(regexp_replace(coalesce({0}, ''), '\\s+', '', 'g')), 'ß', 'ss'), 'µ', 'μ')"
+
+
+@query("""WITH u AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations),
+q AS (SELECT conv_id, turn, role, text, """ + FOLD_SQL.format("text") + """ AS own, """ + FOLD_SQL.format("substr(text, 1, 24)") + """ AS theme, """ + FOLD_SQL.format("before") + """ AS hay, """ + FOLD_SQL.format("role || ' ' || coalesce(before, '')") + """ AS source FROM u)
+SELECT conv_id, turn, CASE WHEN text = '' OR text IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN length(theme) < 10 THEN 'theme_missing' WHEN hay = '' THEN 'theme_unverifiable' WHEN NOT contains(hay, theme) THEN 'theme_mismatch' END,
+  CASE WHEN length(own) < 10 THEN 'source_missing' WHEN source = '' THEN 'source_unverifiable' WHEN NOT contains(source, own) THEN 'source_mismatch' END], lambda x: x IS NOT NULL), ',') END AS failures FROM q""")
 def grounding_check(spark, sf):
-    w = graph.W.partitionBy("conv_id").orderBy("turn", "text")
-    c = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(w))
-    q, hay = T.quote_form(F.col("text")), T.quote_form(F.col("before"))
-    return c.select("conv_id", "turn", F.when(F.length(q) < 10, "source_missing").when(hay == "", "source_unverifiable").when(~hay.contains(q), "source_mismatch").alias("failure"))
+    w = graph.W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    c = table(spark, sf, "conversations").withColumn("abstract", F.lag("text").over(w))
+    rows = c.select("conv_id", "turn", F.col("role").alias("title"), "abstract", F.col("text").alias("relationship"), F.lit("").alias("serendipity_rationale"), F.substring("text", 1, 24).alias("theme_quote"), F.col("text").alias("source_quote"))
+    return rows.select("conv_id", "turn", F.array_join(contract.grounding(F.col("abstract")), ",").alias("failures"))
 
 
 @query(DOC_SQL + " SELECT lang, count(*) AS n FROM d WHERE lang IS NULL OR trim(lower(lang)) IN ('', 'en') GROUP BY lang")
@@ -580,7 +582,7 @@ def scalar_keys(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.strip_id(u).alias("tail"), T.theme_hash(u).alias("hash"), T.sanitize_filter_value(u).alias("clean"))
 
 
-@query("""SELECT day, CAST(floor(spent * 10000 + 0.5) AS BIGINT) AS spent_e4, spent >= 0.1 AS exhausted FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'click') * 0.001::DOUBLE AS spent FROM events GROUP BY 1)""")
+@query("""SELECT day, CAST(floor(spent * 10000 + 0.5) AS BIGINT) AS spent_e4, n >= 100 AS exhausted FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'click') AS n, n * 0.001::DOUBLE AS spent FROM events GROUP BY 1)""")
 def budget_meter(spark, sf):
-    e = table(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg((F.count_if(F.col("event_type") == "click") * 0.001).alias("spent"))
-    return e.select("day", F.floor(F.col("spent") * 10000 + 0.5).alias("spent_e4"), (F.col("spent") >= 0.1).alias("exhausted"))
+    e = table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return telemetry.budget(e, {"click": 0.001}, 0.1, group=["day"]).select("day", F.floor(F.col("spent") * 10000 + 0.5).alias("spent_e4"), "exhausted")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +22,18 @@ def dedupe_stream(rows: DataFrame, keys: list[str], *, late: str = "1 day") -> D
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def budget(events: DataFrame, prices: dict[str, float], limit: float) -> DataFrame:
-    """One row: spent, remaining, exhausted, of priced event types."""
-    price = F.lit(0.0)
+def budget(events: DataFrame, prices: dict[str, float], limit: float, *, group: Sequence[str] = ()) -> DataFrame:
+    """One row (or one a group): spent, remaining, exhausted, of priced event types. Prices are added as decimals, so no sum rounds."""
+    price = F.lit(Decimal("0.000000"))
     for kind, p in prices.items():
-        price = F.when(F.col("event_type") == kind, p).otherwise(price)
-    return events.agg(F.sum(price).alias("spent")).select("spent", (F.lit(limit) - F.col("spent")).alias("remaining"), (F.col("spent") >= limit).alias("exhausted"))
+        price = F.when(F.col("event_type") == kind, F.lit(Decimal(str(p)).quantize(Decimal("0.000001")))).otherwise(price)
+    spent = events.groupBy(*group).agg(F.sum(price).alias("spent"))
+    whole = F.lit(Decimal(str(limit)).quantize(Decimal("0.000001")))
+    return spent.select(*group, F.col("spent").cast("double").alias("spent"), (whole - F.col("spent")).cast("double").alias("remaining"), (F.col("spent") >= whole).alias("exhausted"))
+
+
+def token_usage(calls: DataFrame, *, group: Sequence[str] = ("model",)) -> DataFrame:
+    """group, calls, input_tokens, output_tokens, total_tokens over the calls of external models; missing counts are 0."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    got = calls.groupBy(*group).agg(F.count("*").alias("calls"), n("input_tokens"), n("output_tokens"))
+    return got.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
