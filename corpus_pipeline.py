@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, decontam, lang_id, minhash, secrets
-from orrery.llm.common import materialize
+from orrery.llm.common import materialize, release
 from orrery.llm.queries import small_batches, table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -83,10 +83,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again."""
+    """All stages over documents; each result is written and read again, and goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, what=f"stage-{name}")
+            if before is not None:
+                release(before)
+            before = docs
     return docs
