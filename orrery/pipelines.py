@@ -7,18 +7,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import scores as S
-from orrery.operators import contract, diversify, gates, graph, rank
+from orrery.operators import collect, contract, diversify, documents, gates, graph, rank
 
 
-def collect_bridges(works: DataFrame, refs: DataFrame, seeds: DataFrame, *, home: DataFrame | None = None, cap: int = 50, limit: int = 60, window: int = 10) -> DataFrame:
-    """Candidates across shared references: two-hop scan, hybrid rank, head window. works: id, field, cites."""
+def collect_bridges(works: DataFrame, refs: DataFrame, seeds: DataFrame, *, home: DataFrame | None = None, cap: int = 50, limit: int = 60, window: int = 10, used: DataFrame | None = None, home_topics: DataFrame | None = None, home_domains: DataFrame | None = None) -> DataFrame:
+    """Candidates across shared references: seed groups, three-tier pool, fair share with backfill, hybrid rank, head window.
+
+    works: id, field, cites, and where they are known domain, topic, type, n_refs and retracted; seeds: works' rows, with dk
+    and tk (keys of DOI and title) where they are known.
+    """
     home = graph.dominant(seeds, "field").select("field") if home is None else home
-    pool = graph.bridge_pool_by_citers(seeds, refs, cap=cap)
-    found = graph.two_hop(works, refs, seeds, pool, home, limit=limit)
-    ranked = rank.hybrid_score(found, ["bridge_strength"], "cites")
+    known = {"domain": "string", "topic": "string", "type": "string", "n_refs": "int", "retracted": "boolean"}
+    full = works.select("*", *[(F.lit(0) if c == "n_refs" else F.lit(None)).cast(k).alias(c) for c, k in known.items() if c not in works.columns])
+    keyed = seeds.select("id", "cites", *[F.col(c) if c in seeds.columns else F.lit("").alias(c) for c in ("dk", "tk")])
+    listed = keyed.withColumn("pos", F.row_number().over(W.orderBy(F.col("cites").desc(), "id")))  # a roster
+    groups = collect.seed_groups(listed, refs)
+    own = graph.edges_of(seeds, refs)
+    pool = collect.pool_of_groups(groups, own.withColumn("at", F.lit(0)), cap=cap)
+    kind = "article" if "type" in works.columns else None
+    found = collect.collect_candidates(full, refs, seeds, pool, home_fields=home, home_topics=home_topics, home_domains=home_domains, used=used, limit=limit, work_type=kind)
+    cited = works.join(F.broadcast(found.select("id")), "id")
+    strength = own.groupBy("ref").agg(F.countDistinct("id").alias("seed_citers"))
+    pool = pool.join(strength, "ref")
+    through = graph.hits(cited, refs, pool)
+    signals = graph.bridge_signals(cited, through, pool)
+    ranked = rank.hybrid_score(signals, ["bridge_strength"], "cites")
     order = [F.col("hybrid").desc(), *graph.rank_keys()]
-    through = graph.hits(found, refs, pool).groupBy("id").agg(F.collect_set("ref").alias("bridges"))
-    listed = ranked.join(through, "id", "left").withColumn("theme", F.lit(0)).withColumn("pos", F.row_number().over(W.orderBy(*order)))
+    bridges = through.groupBy("id").agg(F.collect_set("ref").alias("bridges"))
+    listed = ranked.join(bridges, "id", "left").withColumn("theme", F.lit(0)).withColumn("pos", F.row_number().over(W.orderBy(*order)))
     return diversify.head_window(listed, window=window)
 
 
@@ -45,3 +61,27 @@ def rank_anchors(works: DataFrame, *, count: int = 3) -> DataFrame:
     rel = F.greatest(F.least(F.col("theme_fit_score") / scale, F.lit(1.0)), F.lit(0.0))
     scored = works.withColumn("relevance", rel).withColumn("anchor_rank_score", S.anchor_score(F.col("reliability_score"), F.col("relevance"))).withColumn("level", S.relevance_level(F.col("relevance")))
     return scored.orderBy(*rank.anchor_order()).limit(count)
+
+
+def bridge_document(works: DataFrame, refs: DataFrame, seeds: DataFrame, overlap: DataFrame, *, count: int = 3, concern: str = "", assumptions: tuple[str, ...] = (), **scope) -> DataFrame:
+    """Filled entries of the first count bridge candidates, without any external model. overlap: id, inter, union_n, near."""
+    found = collect_bridges(works, refs, seeds, **scope).drop("slot", "theme", "pos")
+    chosen = documents.select_bridges(found.drop("bridges"), found.select("id", "bridges"), count=count, near=overlap.select("id", "near"))
+    entries = documents.bridge_entries(chosen, overlap).join(works, "id")
+    blank = [F.lit(None).cast("string").alias(c) for c in ("level", "relationship", "summary", "hypothesis", "caution", "abstract", "title") if c not in entries.columns]
+    listed = F.array(*map(F.lit, assumptions)).cast("array<string>")
+    return documents.fill(entries.select("*", *blank), concern=F.lit(concern), assumptions=listed)
+
+
+def delegated_document(materials: DataFrame, theme_text: str, *, count: int = 1, concern: str = "", assumptions: tuple[str, ...] = (), **gates_of) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(filled entries in order, rejection log, what the caller should know of its rows) of rows that a caller scored."""
+    picked, log = finalize(materials, theme_text, count=count, **gates_of)
+    label = documents.connection_label(F.col("connection_label") if "connection_label" in picked.columns else F.lit(None).cast("string"), F.col("has_causal_pm"))
+    blank = [F.lit(None).cast("string").alias(c) for c in ("level", "summary", "hypothesis", "caution") if c not in picked.columns]
+    ok = F.size("failures") == 0  # prose whose quotes do not hold is dropped as a whole
+    rows = picked.select("*", *blank).withColumn("track", F.lit("B")).withColumn("label", label).withColumn("hypothesis", F.when(ok, F.col("serendipity_rationale")))
+    rows = rows.withColumn("summary", F.when(ok, F.col("summary"))).withColumn("caution", F.when(ok, F.col("caution")))
+    entries = documents.fill(rows, concern=F.lit(concern), assumptions=F.array(*map(F.lit, assumptions)).cast("array<string>"))
+    echoed = materials if "upstream_empty" in materials.columns else materials.withColumn("upstream_empty", F.array().cast("array<string>"))
+    report = contract.submission_report(echoed, picked.select("id", (F.size("failures") > 0).alias("failed")))
+    return entries, log, report

@@ -142,3 +142,22 @@ def test_themes_from_files(spark, tmp_path):
     assert (r.q, r.s, r.r, r.g) == ("k1 k2", "o / g / w / 懸念: c", "k1 k2|k1|f g", "o g w p q c") and len(r.h) == 16
     cut = spark.createDataFrame([("Structure here", "Body one. " + "x" * 40)], "s string, p string").select(themes.semantic_text(F.col("s"), F.col("p"), chars=40).alias("t")).first()
     assert cut.t == "Structure here Body one."
+
+
+def test_documents_without_an_external_model(spark):
+    from orrery import pipelines
+
+    works = spark.createDataFrame([(i, i % 5, float(100 - i), f"title {i}", "One. Two.") for i in range(40)], "id long, field int, cites double, title string, abstract string")
+    refs = spark.createDataFrame([(i, j) for i in range(40) for j in range(6) if (i + j) % 3 == 0], "id long, ref long")
+    overlap = works.select("id", F.lit(1).alias("inter"), F.lit(4).alias("union_n"), (F.col("id") % 2 == 0).alias("near"))
+    got = pipelines.bridge_document(works, refs, works.where("id < 6"), overlap, count=3, concern="c").orderBy("pos").collect()
+    assert len(got) == 3 and all(r.id % 2 for r in got) and got[0].distance == 0.75 and got[0].summary.endswith("One. Two.") and "不安点" in got[0].caution
+    cols = "id string, purpose_sim double, mechanism_dist double, structural_depth double, has_causal_pm boolean, near boolean, purpose_pct int, relationship string, serendipity_rationale string, summary string, caution string, theme_quote string, source_quote string, title string, abstract string, year int, venue string, cited_by_count int, concepts array<string>, facet string"
+    prose = ("claim", "why", "short", "careful")
+    rows = [("x", 0.45, 0.9, 0.8, False, False, 80, *prose, "long enough quote", "another source quote", "t", "Another source quote. More.", 1999, "", 3, ["A"], "f"), ("bad", 0.45, 0.9, 0.8, True, False, 80, *prose, "not in the theme at all", "x", "t", "Other. More.", 1999, "v", None, ["B"], "f"), ("only", 0.1, 0.9, 0.9, True, False, 10, None, None, None, None, None, None, None, None, None, None, None, None, None)]
+    entries, log, report = pipelines.delegated_document(spark.createDataFrame(rows, cols), "a LONG enough quote", count=2)
+    by = {r.id: r for r in entries.collect()}
+    assert by["x"].relationship == "claim" and by["x"].hypothesis == "why" and by["x"].caution.endswith("careful") and "ゆるめ" in by["x"].label
+    assert by["bad"].relationship.startswith("（記入なし）") and by["bad"].summary.startswith("（記入なし）原文の冒頭") and by["bad"].hypothesis == "（記入なし）"
+    assert {(r.id, r.what, tuple(r.fields)) for r in report.collect()} == {("x", "upstream_empty", ("venue",)), ("bad", "missing", ("cited_by_count",)), ("only", "score_only", ())}
+    assert {r.id for r in log.collect()} == {"only"}
