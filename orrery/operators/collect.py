@@ -18,6 +18,17 @@ from orrery.operators import dedup, diversify, gates, graph
 
 #: Share of one bridge, references of an article at most, rows of a page, pages of the backfill.
 QUOTA_DIVISOR, MAX_REFS, PER_PAGE, MAX_PAGES = 10, 100, 50, 3
+#: The four domains by their fields.
+FIELD_DOMAINS = {"1": ("11", "13", "24", "28", "30"), "2": ("12", "14", "18", "20", "32", "33"), "3": ("15", "16", "17", "19", "21", "22", "23", "25", "26", "31"), "4": ("27", "29", "34", "35", "36")}
+DOMAIN_NAMES = {"1": "Life Sciences", "2": "Social Sciences", "3": "Physical Sciences", "4": "Health Sciences"}
+
+
+def domain_of(field: Column) -> Column:
+    """The domain of a field; null where there is none."""
+    out = F.lit(None).cast("string")
+    for domain, fields in FIELD_DOMAINS.items():
+        out = F.when(field.cast("string").isin(*fields), domain).otherwise(out)
+    return out
 
 
 def seed_groups(seeds: DataFrame, refs: DataFrame, *, percent: int = graph.DUP_JACCARD_PERCENT, least: int = graph.DUP_MIN_REFS) -> DataFrame:
@@ -157,7 +168,6 @@ def facet_buckets(kept: DataFrame, keys: list[str], *, standing: str = "standing
     kept: facet, pos, id, the keys and standing, of one theme (some dozens of records a facet). With off_language
     such records go to the end of their facet's list, in order.
     """
-    order = F.struct("facet", "pos")
     rows = kept.withColumn("theme", F.lit(0)).withColumn("__at", F.row_number().over(W.orderBy("facet", "pos")))
     held = diversify.keep_first_of_keys(rows, keys, pos="__at", standing=standing)
     # a better record that came later keeps the facet of the place that it takes over
@@ -166,7 +176,7 @@ def facet_buckets(kept: DataFrame, keys: list[str], *, standing: str = "standing
     at = at.withColumn("facet", F.coalesce(F.col("__facet"), F.col("facet")))
     last = F.lit(0) if off_language is None else F.coalesce(off_language, F.lit(False)).cast("int")
     slot = F.row_number().over(W.partitionBy("facet").orderBy(last, "slot")) - 1
-    return at.withColumn("__slot", slot).select("facet", F.col("__slot").alias("slot"), "id", last.alias("off_language")) if order is not None else at
+    return at.withColumn("__slot", slot).select("facet", F.col("__slot").alias("slot"), "id", last.alias("off_language"))
 
 
 def _places(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -142,3 +142,44 @@ def home_line(themes: DataFrame, resolved: DataFrame, fields: DataFrame, parents
     scope = T.collapse_ws(F.col(text))
     line = F.when(F.col("names").isNotNull(), F.concat(F.lit("home "), scope, F.lit(": "), F.col("names"))).when(F.col("above").isNotNull(), F.concat(F.lit("home "), scope, F.lit(": a subfield of "), F.col("above"), F.lit(", not a field"))).otherwise(F.concat(F.lit("home "), scope, F.lit(": no field")))
     return themes.join(names, key, "left").join(above, key, "left").select(key, line.alias("line"))
+
+
+def ids_line(rows: DataFrame, *, pos: str = "pos") -> DataFrame:
+    """line: every candidate's short id in order. A candidate list is bounded by its limit."""
+    ids = F.transform(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), T.short_id(F.col("id")).alias("i")))), lambda x: x["i"])
+    return rows.agg(F.concat_ws("", F.lit("candidates ("), F.count("*"), F.lit("): "), F.array_join(ids, ", ")).alias("line"))
+
+
+def home_domain_line(candidates: DataFrame, home: DataFrame, *, deferred: int, domain: str = "domain") -> DataFrame:
+    """line: how many candidates lie in the home domains, and how many of those waited. One row."""
+    h = home.select(F.col(home.columns[0]).alias("__h")).distinct()
+    j = candidates.join(F.broadcast(h), F.col(domain) == F.col("__h"), "left")
+    return j.agg(F.concat_ws("", F.lit("home domain: "), F.count("__h"), F.lit(" of "), F.count("*"), F.lit(f" candidates inside, {deferred} deferred")).alias("line"))
+
+
+def title_only_line(rows: DataFrame, *, cls: str = "class") -> DataFrame:
+    """line: the candidates whose abstract only restates the title (null: none)."""
+    hit = F.collect_list(F.when(F.col(cls).isNotNull(), T.short_id(F.col("id"))))
+    return rows.agg(F.when(F.count(cls) > 0, F.concat_ws("", F.lit("abstracts that restate the title: "), F.array_join(F.sort_array(hit), ", "))).alias("line"))
+
+
+def score_only_line(report: DataFrame) -> DataFrame:
+    """line: how many candidates came as scores alone (null: none), from contract.submission_report."""
+    n = F.count_if(F.col("what") == "score_only")
+    return report.agg(F.when(n > 0, F.concat_ws("", n, F.lit(" candidates sent as scores alone count for the gate and are not rendered"))).alias("line"))
+
+
+def saturation_text(run: DataFrame) -> DataFrame:
+    """line: why a run gave nothing new, or what it kept, from gates.saturation."""
+    kept = F.concat_ws("", F.lit("kept "), F.col("qualified"), F.lit(" of "), F.col("scored"))
+    lost = F.concat_ws("", F.lit(" (anomaly "), F.col("anomaly"), F.lit(", hollow "), F.col("hollow"), F.lit(", gate "), F.col("gated"), F.lit(", floor "), F.col("floored"), F.lit(")"))
+    return run.select(F.when(F.col("status") == "ok", F.concat(kept, lost)).otherwise(F.concat(F.lit("saturated, "), F.col("status"), F.lit(": nothing new this run"), lost)).alias("line"))
+
+
+def block(*lines: DataFrame) -> DataFrame:
+    """pos, line: one-row lines under each other, without the empty ones."""
+    out = None
+    for i, one in enumerate(lines):
+        row = one.select(F.lit(i).alias("pos"), "line").where("line IS NOT NULL AND line <> ''")
+        out = row if out is None else out.unionByName(row)
+    return out

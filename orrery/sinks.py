@@ -23,6 +23,22 @@ def material(*, abstract_chars: int | None = None, lean: bool = False) -> Column
     return F.to_json(F.struct(*cols))
 
 
+#: Schema of a material that comes back.
+MATERIAL = "struct<id:string,title:string,abstract:string,year:int,venue:string,doi:string,cited_by_count:long,abstract_full_chars:int,concepts:array<string>,refs:array<string>>"
+
+
+def works_of_materials(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """Works from materials as they come back; what is missing has the defaults of a work."""
+    m = rows.select(F.from_json(payload, MATERIAL).alias("m")).select("m.*")
+    none = F.array().cast("array<string>")
+    return m.select(T.text_or_empty(F.col("id")).alias("id"), T.text_or_empty(F.col("title")).alias("title"), "abstract", F.coalesce("year", F.lit(0)).alias("year"), T.text_or_empty(F.col("venue")).alias("venue"), "doi", F.coalesce("cited_by_count", F.lit(0)).alias("cited_by_count"), F.coalesce("concepts", none).alias("concepts"), F.coalesce("refs", none).alias("refs"))
+
+
+def spread_material(**options) -> Column:
+    """A material with one field a line."""
+    return F.to_json(F.from_json(material(**options), MATERIAL), {"pretty": "true"})
+
+
 def abstract_tail(c: Column, limit: int) -> Column:
     """The last characters, from a sentence that starts in their first fifth, else from the first word that does in their first 30."""
     t = T.text_or_empty(c)

@@ -80,6 +80,19 @@ def low_budget(m: dict[str, float | None] | None, share: float = LOW_SHARE) -> b
     return bool(m) and m["remaining"] is not None and bool(m["limit"]) and m["remaining"] < share * m["limit"]
 
 
+def run_caveat(stats: dict[str, int], m: dict[str, float | None] | None) -> str:
+    """One line where requests failed for a time or for good; empty for a clean run."""
+    if not stats["retried"] and not stats["gave_up"]:
+        return ""
+    left = searches_left(m)
+    parts = [f"{stats['requests']} requests", f"{stats['retried']} retried"] + [f"{stats['gave_up']} given up: a thin result may be a failed fetch"] * bool(stats["gave_up"]) + [f"budget for {left} more searches"] * (left is not None)
+    return ", ".join(parts)
+
+
+def budget_caveat(m: dict[str, float | None] | None) -> str:
+    return f"low budget: {m['remaining']:g} of {m['limit']:g} left, {searches_left(m)} searches" if low_budget(m) else ""
+
+
 class Client:
     """Requests one after another, paced, with bounded retries; counts what happened."""
 

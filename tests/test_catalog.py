@@ -9,7 +9,7 @@ from orrery.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
-SOME = ("bridge_two_hop", "bridge_usage", "hybrid_rank", "post_gates", "facet_interleave", "keyword_fit", "pool_relative_lift", "inverted_index_restore")
+SOME = ("two_hop_fair_share", "facet_counts", "repository_pillars", "submission_report", "normalize_works", "maxmin_select", "bridge_pool_full", "rejection_log", "anchor_rank", "bridge_two_hop", "bridge_usage", "hybrid_rank", "post_gates", "facet_interleave", "keyword_fit", "pool_relative_lift", "inverted_index_restore")
 
 
 def plain(v):
