@@ -1,7 +1,7 @@
 """Exact top-k inner-product search over an impact-ordered, score-at-a-time index.
 
 Vectors become integers. A block of vectors is indexed by impact: a posting (vector, value) stands
-under its dimension and the level of its size, where levels halve from the block's largest
+under its dimension and the level of its size, where two levels halve from the block's largest
 value down. Posting segments are processed level by level from the largest impact down, each
 adding its value times the query's to the scores. What a vector can still gain is at most the
 smaller of two bounds: the query's absolute sum over the dimensions that have postings left
@@ -38,9 +38,9 @@ from orrery.llm.common import arrow_map, materialize
 
 CHUNK_BYTES = 32 << 20  # of query vectors a pass takes along
 BLOCK = 4096  # vectors an index block
-LEVELS = 12
+LEVELS = 20
 STRIP = 256  # queries scored together
-FEW = 24  # one possible member in so many vectors is cheaper to score than to go on
+FEW = 12  # one possible member in so many vectors is cheaper to score than to go on
 
 
 class ImpactIndex:
@@ -50,8 +50,8 @@ class ImpactIndex:
         self.ids, self.vectors = ids, vectors
         size = np.abs(vectors)
         top = int(size.max(initial=0))
-        # ceilings fall by halves; the last level takes all the rest, zeros have no posting
-        self.ceilings = [top >> i for i in range(levels)]
+        # two levels halve the ceiling; the last level takes all the rest, zeros have no posting
+        self.ceilings = [int(top * 2.0 ** (-i / 2)) for i in range(levels)]
         self.segments: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
         self.lengths = []  # of what each vector has left after a level
         for i in range(levels):
