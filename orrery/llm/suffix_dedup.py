@@ -11,8 +11,9 @@ The array is distributed by content: every string of ``length`` bytes has an anc
 smallest k-gram hash in it, so equal strings have equal anchors and meet in one bucket.
 Anchors that occur once in the whole corpus rule their strings out before any text moves.
 Equal contexts are folded inside a piece of texts and again inside a bucket, so a passage
-that a third of the corpus shares is one context a piece; contexts of one anchor that
-still outgrow a suffix array are compared in the order of the strings' hashes.
+that a third of the corpus shares is one context a piece. Contexts of one anchor that
+outgrow a suffix array are split by the strings' second anchors, third ones, and so on; only what six
+anchors leave in one group beyond an array's size is compared in the order of the strings' hashes.
 
 Defined results: null and empty texts have no bytes and nothing removed; texts below
 ``length`` bytes stay whole; a whole text that also stands under a smaller doc_id is removed
@@ -39,6 +40,7 @@ from orrery.llm.words import mix, powers, prefix_hashes, span_hashes
 LENGTH, GRAM = 100, 24
 PIECE = 256 << 10  # bytes of text a piece: rows stay far below a JVM heap region
 BUCKET = 8 << 20  # bytes of the corpus a bucket of anchors stands for
+DEEPEST = 6  # anchors that split a group of strings one after another
 ARRAY = 400_000  # bytes a suffix array holds: about 100 MB of work space; cubes of its names stay below 2^63
 LAST = (1 << 63) - 1
 
@@ -82,15 +84,24 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts that share an anchor: (first start, number of starts, text, anchor hash)."""
+def gram_hashes(data: np.ndarray, gram: int, banned: np.ndarray | None) -> np.ndarray:
+    """A hash for the gram at each place; the largest number where none begins or it is banned."""
+    n = len(data)
+    grams = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    h = prefix_hashes(data)
+    grams[: n - gram + 1] = mix((h[gram:] - h[: n - gram + 1]) * powers(n)[1][: n - gram + 1])
+    if banned is not None:
+        grams[banned] = np.iinfo(np.uint64).max
+    return grams
+
+
+def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM, banned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of string starts that share an anchor: (first start, number of starts, text, anchor hash). Banned grams are no anchors."""
     n, width = len(data), length - gram + 1
     ends = np.repeat(offs[1:], np.diff(offs))
     if n < length:
         return (*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64))
-    grams = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    h = prefix_hashes(data)
-    grams[: n - gram + 1] = mix((h[gram:] - h[: n - gram + 1]) * powers(n)[1][: n - gram + 1])
+    grams = gram_hashes(data, gram, banned)
     x = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
     done = 1
     while done < width:  # minimum over done places from each place on; ties go left
@@ -132,9 +143,14 @@ def later_strings(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
 
 
 class Contexts:
-    """Contexts of anchors: bytes around the strings of a run, with where they stand."""
+    """Contexts of anchors: bytes around the strings of a run, with where they stand.
 
-    def __init__(self, head: np.ndarray, data: np.ndarray, length: int) -> None:
+    A group of one anchor's contexts that outgrows a suffix array is split by the strings' next anchors, the smallest
+    grams besides those used already, and so on ``DEEPEST`` times.
+    """
+
+    def __init__(self, head: np.ndarray, data: np.ndarray, length: int, *, banned: np.ndarray | None = None, depth: int = 0) -> None:
+        self.banned, self.depth = banned, depth
         # rows of head: anchor, doc, piece, text in the piece, first start, number of starts
         order = np.lexsort((head[4], head[1], head[0]))
         sizes = head[5] + length - 1
@@ -161,6 +177,15 @@ class Contexts:
             many[s:e] = len(seen) > 1
         found = [np.stack([head[2, folded], head[3, folded], head[4, folded], head[4, folded] + self.sizes[folded]])]
         left = np.flatnonzero(distinct & many)
+        # a group that is too large is split by further anchors
+        bounds = [*groups.tolist(), n]
+        weight = np.add.reduceat(np.where(distinct & many, self.sizes + 1, 0), groups) if n else np.zeros(0, np.int64)
+        if self.depth < DEEPEST:
+            for g in np.flatnonzero(weight > ARRAY).tolist():
+                own = np.arange(bounds[g], bounds[g + 1])
+                found.append(self._refined(own[distinct[own]]).later())
+                distinct[own] = False
+            left = np.flatnonzero(distinct & many)
         # whole groups fill suffix arrays of bounded size
         edges, size = [0], 0
         for j, i in enumerate(left.tolist()):
@@ -172,6 +197,23 @@ class Contexts:
             found.append(self._one(left[s:e]))
         return np.concatenate(found, 1)
 
+    def _refined(self, rows: np.ndarray) -> Contexts:
+        """The strings of these contexts as contexts of their next anchors."""
+        sizes, head = self.sizes[rows], self.head[:, rows]
+        at = ranges(self.begins[rows], sizes)
+        data = self.data[at]
+        banned = np.zeros(len(data), bool) if self.banned is None else self.banned[at]
+        offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        tail = offs[1:, None] - np.arange(1, GRAM)[None, :]  # grams that would reach into the next context
+        grams = gram_hashes(data, GRAM, banned)
+        grams[tail.ravel()] = np.iinfo(np.uint64).max
+        least = np.minimum.reduceat((grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(data), dtype=np.uint64), offs[:-1])
+        banned[(least & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+        first, count, own, h = anchors(data, offs, self.length, banned=banned)
+        part = ranges(first, count + self.length - 1)
+        narrow = np.stack([h.view(np.int64), head[1][own], head[2][own], head[3][own], head[4][own] + first - offs[own], count])
+        return Contexts(narrow, data[part], self.length, banned=banned[part], depth=self.depth + 1)
+
     def _one(self, rows: np.ndarray) -> np.ndarray:
         head, sizes = self.head[:, rows], self.sizes[rows]
         if not len(rows):

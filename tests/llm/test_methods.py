@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from orrery.llm import bpe, decontam, hilbert, lang_id, secrets
+from orrery.llm import bpe, decontam, hilbert, lang_id, quality, secrets, suffix_dedup
 from orrery.llm.queries import tokenizer_path
 
 
@@ -243,3 +243,87 @@ def test_decode_joins_ids_to_pieces(spark):
     assert sorted((r.doc_id, r.decoded) for r in got.collect() if r.decoded is not None) == sorted([(1, t.decode([320, 1125, 5])), (1, t.decode([320, 1125, 5])), (2, ""), (4, t.decode([320]))])
     again = bpe.encode(spark.createDataFrame(rows[:1], "doc_id long, ids array<int>, text string, n_tokens int"), path, output="digests")
     assert again.columns == ["doc_id", "ids", "text", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def brute_removed(texts, length):
+    seen, out = {}, []
+    for d, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for j in range(len(t) - length + 1):
+            if seen.setdefault(t[j : j + length], (d, j)) != (d, j):
+                gone[j : j + length] = b"\1" * length
+        out.append(bytes(gone))
+    return out
+
+
+@pytest.mark.parametrize("deepest", [0, 1, 6])
+def test_hot_anchors_are_split_by_further_anchors(monkeypatch, deepest):
+    """One passage among many different neighbours and with small changes: groups far beyond an array, against brute force."""
+    rng = random.Random(8)
+    text = lambda n: bytes(rng.choice(b"abcdefghij ") for _ in range(n))
+    passage = text(260)
+    texts = []
+    for _ in range(120):
+        p = bytearray(passage)
+        for _ in range(rng.randint(0, 2)):
+            p[rng.randrange(len(p))] = rng.choice(b"xyz")
+        texts.append(text(rng.randint(0, 60)) + bytes(p) + text(rng.randint(0, 60)))
+    texts += [b"a" * 700, b"ab" * 300, texts[3], texts[5] + texts[6]]
+    monkeypatch.setattr(suffix_dedup, "ARRAY", 3000)
+    monkeypatch.setattr(suffix_dedup, "DEEPEST", deepest)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    first, count, own, h = suffix_dedup.anchors(data, offs)
+    head = np.stack([h.view(np.int64), own, np.zeros(len(own), np.int64), own, first - offs[own], count])
+    part = suffix_dedup.ranges(first, count + 99)
+    spans = suffix_dedup.Contexts(head, data[part], 100).later()
+    got = [bytearray(len(t)) for t in texts]
+    for _, i, s, e in spans.T.tolist():
+        got[i][s:e] = b"\1" * (e - s)
+    assert [bytes(g) for g in got] == brute_removed(texts, 100)
+
+
+def plain_features(text):
+    """The surface features, text by text, in plain Python."""
+    b = (text or "").encode()
+    if not b:
+        return [0.0] * len(quality.FEATURES)
+    space, stops = b" \t\n\x0b\x0c\r", b".,;:?'\"()-"
+    kind = lambda c: 0 if c in space else 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in stops else 5 if c >= 128 else 6
+    share = [sum(kind(c) == k for c in b) / len(b) for k in range(7)]
+    words = b.split()
+    low = [w.lower() for w in words]
+    n = max(len(words), 1)
+    lines = [x.lower() for x in b.split(b"\n") if x]
+    letters = max(share[1] + share[2] + share[5], 1e-9)
+    per = lambda c: sum(c) / n
+    return [
+        np.log1p(len(b)), np.log1p(len(words)), share[2] / letters, share[3], share[4], share[5], share[6], b.count(b"!") / n, b.count(b"|") / n, share[0], len(b) * (1 - share[0]) / n, len(set(low)) / n,
+        per(a == c for a, c in zip(low, low[1:], strict=False)), per(kind(w[-1]) == 6 for w in words), per(len(w) > 1 and kind(w[0]) == 2 and kind(w[1]) == 2 for w in words), b.count(b"\n") / n,
+        (len(lines) - len(set(lines))) / max(len(lines), 1), per(kind(w[-1]) == 4 for w in words), per(len(w) > 24 for w in words),
+    ]
+
+
+def test_features_against_plain_python():
+    rng = random.Random(4)
+    alphabet = "abcXYZ019 \n\t.,;!|#é日-" + " " * 6
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 200))) for _ in range(200)] + [None, "", "AB cd ab ab\nx\nx\n", "w" * 30]
+    got = quality.features(pa.array(texts, pa.string()))
+    assert np.allclose(got, [plain_features(t) for t in texts], atol=1e-9)
+
+
+def test_ranking_nears_the_best_pairwise_loss():
+    """The fit against full-batch descent on all pairs: nearly its loss, and its order of texts."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(160, 5))
+    y = (x @ np.array([2.0, -1.0, 0.5, 0.0, 0.0]) + rng.normal(size=160) > 0).astype(int)
+    fit = quality.fit_ranker(x, y, pairs=40_000)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 5)
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean()
+    w = np.zeros(5)
+    for _ in range(4000):
+        w += 0.5 * (d / (1 + np.exp(d @ w))[:, None]).mean(0)
+    assert loss(fit.w) < loss(w) + 0.02 < loss(np.zeros(5)) - 0.2
+    assert np.corrcoef(np.argsort(np.argsort(fit.raw(x))), np.argsort(np.argsort(z @ w)))[0, 1] > 0.98
+    assert abs(np.mean(fit.score(x) < 0.5) - np.mean(y == 0)) < 0.02  # the quantile that the bad labels' share names
