@@ -101,6 +101,16 @@ ORACLE_SQL = {
         sums AS (SELECT doc_id, sum(t - s) AS removed, count(*) AS spans FROM spans GROUP BY doc_id)
         SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM h JOIN kept ON kept.doc_id = h.doc_id LEFT JOIN sums ON sums.doc_id = h.doc_id
     """,
+    "op4_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}]+') AS w FROM benchmark),
+        dw AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS i FROM d), bw AS (SELECT item_id, least(12, len(w)) AS win, CAST(ceil(0.8 * least(12, len(w)) - 1e-9) AS INTEGER) AS need, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS j FROM b WHERE len(w) >= 5),
+        m AS (SELECT doc_id, item_id, i - j AS g, j, win, need FROM dw JOIN bw USING (t)),
+        c AS (SELECT *, lead(j, need - 1) OVER (PARTITION BY doc_id, item_id, g ORDER BY j) - j < win AS ok FROM m),
+        h AS (SELECT DISTINCT doc_id, item_id, g, win, need FROM c WHERE ok),
+        s AS (SELECT h.*, u.s FROM h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id, range(greatest(0, -g), least(len(b.w), len(d.w) - g) - win + 1) AS u(s)),
+        n AS (SELECT s.doc_id, s.item_id, s.g, s.s, s.win, s.need, count(*) AS n FROM s JOIN m ON m.doc_id = s.doc_id AND m.item_id = s.item_id AND m.g = s.g AND m.j BETWEEN s.s AND s.s + s.win - 1 GROUP BY ALL)
+        SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_equal, CAST(win AS INTEGER) AS n_window, CAST(g + s AS INTEGER) AS doc_word, CAST(s AS INTEGER) AS item_word FROM n WHERE n >= need QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, g + s, s) = 1
+    """,
     "op5_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
