@@ -93,8 +93,8 @@ def components(pairs, n):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("n", [2, 5])
-def test_near_duplicates_against_brute_force(docs, rows, n):
+@pytest.mark.parametrize(("n", "exact"), [(2, False), (5, False), (2, True)])
+def test_near_duplicates_against_brute_force(docs, rows, n, exact):
     sets = [shingles(r[1], n) for r in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     root = components(links, len(rows))
@@ -103,7 +103,7 @@ def test_near_duplicates_against_brute_force(docs, rows, n):
         d = LAST if r[0] is None else r[0]
         least[root[i]] = min(least.get(root[i], LAST), d)
     want = [(r[0], len(sets[i]), None if least[root[i]] == LAST else least[root[i]]) for i, r in enumerate(rows)]
-    got = minhash.near_duplicates(docs, words=n)
+    got = minhash.near_duplicates(docs, words=n, exact=exact)
     assert in_order(got.select("doc_id", "n_shingles", "component_id").collect()) == in_order(want)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.collect())
 
@@ -126,6 +126,8 @@ def test_near_duplicate_crowd(spark):
     got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=2)
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(root))
     assert len(set(root)) > 1
+    whole = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=2, exact=True)
+    assert {r.doc_id: r.component_id for r in whole.collect()} == dict(enumerate(root))
 
 
 def test_block_links_against_sets():

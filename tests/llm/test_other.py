@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from orrery.llm import topk, url_filter
+from orrery.llm import quality, topk, url_filter
 from orrery.llm.queries import BLOCKED_HOSTS, URL_RULES
 
 
@@ -129,6 +129,27 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert p.run(spark, str(tmp_path)).count() == len(left["bpe"])
 
 
+def test_pipeline_of_nothing_and_of_repeated_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "a plain text of some words that stands here for itself and for nobody else"
+    for name, rows in (("none", []), ("twice", [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, text, "en", "s", 5), (None, None, None, None, None), (3, "other words altogether in this one", "en", None, 1)])):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    assert p.run(spark, str(tmp_path / "none")).count() == 0
+    assert sorted(r.doc_id for r in p.run(spark, str(tmp_path / "twice")).collect()) == [1, 3]
+
+
+def test_quality_of_repeated_rows_and_without_id(spark):
+    rows = [(i % 40, ("good words here " if i % 2 else "BAD!! ") * (i % 5 + 1)) for i in range(40)] * 2 + [(None, "no id here"), (None, None)]
+    docs = spark.createDataFrame([(*r, 0.5, 7) for r in rows], "doc_id long, text string, score double, predicted int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    got = quality.quality_scores(docs, labels, pairs=2000).collect()
+    assert len(got) == len(rows) and len({(r.doc_id, r.score) for r in got if r.doc_id is not None}) == 40
+    assert sum(r.doc_id is None for r in got) == 2 and all(0 <= r.score <= 1 for r in got)
+
+
 def test_queries_have_their_contract():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
