@@ -211,3 +211,65 @@ def read_by_id(spark, sf):
     works = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("id")).distinct()
     found, gone = taxonomy.read_works(asked, works)
     return found.select("id", "title", F.lit(False).alias("missing")).unionByName(gone.select("id", "title", F.lit(True).alias("missing")))
+
+
+SUPPLEMENT_SQL = r"(?i)^\s*(?:additional\s+files?|supplement(?:ary|al)\s+(?:materials?|files?|tables?|figures?|data|information)|supporting\s+information|(?:figure|fig\.?|table|movie|video|data|appendix)(?:\s+s?\d+[a-z]?)|\S*moesm\d+(?:_esm)?)(?:\s+s?\d+[a-z]?)?\s*[:.]?\s+(?:of|from|for)\s"
+
+
+@query(DOC_SQL + rf""", r AS (SELECT id, coalesce(text, '') AS t, CASE id % 6 WHEN 0 THEN 'Additional file ' || id || ': of ' || title WHEN 1 THEN 'Table S' || id || ' from x' WHEN 2 THEN 'https://arxiv.org/abs/2101.' || lpad(CAST(id % 100000 AS VARCHAR), 5, '0') || 'v2' WHEN 3 THEN 'arXiv:hep-th/' || lpad(CAST(id % 10000000 AS VARCHAR), 7, '0') WHEN 4 THEN '"one x two × three' || id || '"' ELSE title END AS h FROM d),
+c AS (SELECT *, substr(t, 1, 300) AS cut FROM r), p AS (SELECT *, greatest(CASE WHEN strpos(reverse(cut), ' .') > 0 THEN 300 - strpos(reverse(cut), ' .') - 1 ELSE -1 END, CASE WHEN strpos(reverse(cut), '。') > 0 THEN 300 - strpos(reverse(cut), '。') ELSE -1 END) AS back FROM c)
+SELECT id, CASE WHEN length(t) <= 300 THEN t WHEN back > 150 THEN substr(cut, 1, CAST(back + 1 AS BIGINT)) ELSE cut END AS capped, coalesce(regexp_matches(h, '{SUPPLEMENT_SQL}'), false) AS supplement,
+coalesce(nullif(regexp_extract(coalesce(h, ''), '(?i)(?:arxiv[.:/]|/abs/|/pdf/)([a-z\-]+(?:\.[a-z]{{2}})?/\d{{7}})', 1), ''), nullif(regexp_extract(coalesce(h, ''), '(?i)(?:arxiv[.:/]|/abs/|/pdf/)(\d{{4}}\.\d{{4,5}})', 1), '')) AS arxiv FROM p""")
+def caps_and_marks(spark, sf):
+    i, s = F.col("id"), F.col("id").cast("string")
+    h = F.when(i % 6 == 0, F.concat(F.lit("Additional file "), s, F.lit(": of "), F.col("title"))).when(i % 6 == 1, F.concat(F.lit("Table S"), s, F.lit(" from x"))).when(i % 6 == 2, F.concat(F.lit("https://arxiv.org/abs/2101."), F.lpad((i % 100000).cast("string"), 5, "0"), F.lit("v2")))
+    h = h.when(i % 6 == 3, F.concat(F.lit("arXiv:hep-th/"), F.lpad((i % 10000000).cast("string"), 7, "0"))).when(i % 6 == 4, F.concat(F.lit('"one x two × three'), s, F.lit('"'))).otherwise(F.col("title"))
+    rows = _docs(spark, sf).select("id", "text", h.alias("h"))
+    return rows.select("id", T.cap_at_sentence(F.col("text"), 300).alias("capped"), T.is_supplement_title(F.col("h")).alias("supplement"), T.arxiv_id(F.col("h")).alias("arxiv"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, (o_orderkey * 37 % 130) / 100.0::DOUBLE AS ps, (o_orderkey * 53 % 110) / 100.0::DOUBLE AS md, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 140 - 20 AS INTEGER) END AS pct, CASE o_orderkey % 5 WHEN 0 THEN ' Strong ' WHEN 1 THEN 'none' WHEN 2 THEN 'partial' ELSE '?' END AS lv FROM orders)
+SELECT id, CAST(floor(least(ps, 1) * 100 + 0.5) AS BIGINT) AS purpose_e2, CASE WHEN pct IS NOT NULL THEN least(greatest(pct, 0), 100) END AS purpose_pct, CASE WHEN pct IS NOT NULL THEN CAST(floor(round(least(greatest(pct, 0), 100) / 100.0::DOUBLE * least(md, 1), 4) * 10000 + 0.5) AS BIGINT) END AS fine_e4, CAST(floor(least(CASE lower(trim(lv)) WHEN 'none' THEN 0.1::DOUBLE WHEN 'partial' THEN 0.45::DOUBLE WHEN 'strong' THEN 0.7::DOUBLE ELSE ps END, 1) * 100 + 0.5) AS BIGINT) AS level_e2 FROM r""")
+def score_rows(spark, sf):
+    from orrery.operators import contract
+
+    k = F.col("o_orderkey")
+    lv = F.when(k % 5 == 0, " Strong ").when(k % 5 == 1, "none").when(k % 5 == 2, "partial").otherwise("?")
+    rows = table(spark, sf, "orders").select(k.alias("id"), (k * 37 % 130 / 100.0).alias("purpose_sim"), (k * 53 % 110 / 100.0).alias("mechanism_dist"), F.when(k % 4 != 0, (k % 140 - 20).cast("int")).alias("purpose_pct"), lv.alias("lv"), (k * 37 % 130 / 100.0).alias("raw"))
+    e2 = lambda c: F.floor(c * 100 + 0.5)
+    return contract.score_row(rows).select("id", e2(F.col("purpose_sim")).alias("purpose_e2"), "purpose_pct", F.floor(F.col("fine_rank") * 10000 + 0.5).alias("fine_e4"), e2(gates.level_value(F.col("lv"), F.col("raw"))).alias("level_e2"))
+
+
+@query(DOC_SQL + """, t AS (SELECT id, trim(coalesce(text, '')) AS o, CASE WHEN id % 3 = 0 THEN ' ' ELSE 'g' END AS g, id % 7 AS na, id % 8 AS nk, CASE id % 4 WHEN 0 THEN 'theory' WHEN 1 THEN 'other' WHEN 2 THEN NULL ELSE 'experiment' END AS kind FROM d)
+SELECT id, array_to_string(list_filter([CASE WHEN length(o) < 200 OR length(o) > 1200 THEN 'theme_overview' END, CASE WHEN trim(g) = '' THEN 'goal' END, CASE WHEN na < 2 OR na > 5 THEN 'assumptions' END, CASE WHEN nk > 5 THEN 'keywords_include' END, CASE WHEN coalesce(kind, '') NOT IN ('theory', 'experiment', 'application') THEN 'approach_type' END, CASE WHEN id % 5 = 0 THEN 'scale' END], lambda x: x IS NOT NULL), ',') AS errors FROM t""")
+def theme_validation(spark, sf):
+    from orrery.operators import contract
+
+    i = F.col("id")
+    some = lambda n: F.when(n > 0, F.array_repeat(F.lit("a"), n.cast("int"))).otherwise(F.array().cast("array<string>"))
+    rows = _docs(spark, sf).select("id", F.col("text").alias("theme_overview"), F.when(i % 3 == 0, " ").otherwise("g").alias("goal"), F.lit("w").alias("why_problem"), some(i % 7).alias("assumptions"), some(i % 8).alias("keywords_include"), F.lit(None).cast("array<string>").alias("keywords_exclude"), F.when(i % 4 == 0, "theory").when(i % 4 == 1, "other").when(i % 4 == 3, "experiment").alias("approach_type"), F.when(i % 5 == 0, "odd").otherwise("small").alias("scale"), F.lit("no_limit").alias("time_range"))
+    return rows.select("id", F.array_join(contract.theme_errors(), ",").alias("errors"))
+
+
+@query(BASE_SQL + "SELECT CAST(field AS BIGINT) AS topic, count(*) AS n FROM top60 GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, topic LIMIT 5")
+def dominant_topics(spark, sf):
+    return graph.dominant(Frame(spark, sf).candidates.select(F.col("field").cast("long").alias("topic")), "topic", top=5)
+
+
+@query("""SELECT 0 AS leg, '全語 OR' AS label, 'drift OR self-play in:name,description,readme NOT toy pushed:>1998-07-01' AS text UNION ALL SELECT 1, 'drift', 'drift in:name,description,readme NOT toy pushed:>1998-07-01' UNION ALL SELECT 2, 'self-play', '"self-play" in:name,description,readme NOT toy pushed:>1998-07-01'""")
+def search_legs(spark, sf):
+    legs = anchors.search_legs(["drift", "self-play"], ["toy"], dt.date(2000, 1, 2))
+    return spark.createDataFrame([(i, *leg) for i, leg in enumerate(legs)], "leg int, label string, text string")
+
+
+@query("""WITH c AS (SELECT user_id % 7 AS model, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 500 END AS i, event_id % 90 AS o FROM events) SELECT CAST(model AS VARCHAR) AS model, count(*) AS calls, CAST(coalesce(sum(i), 0) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(coalesce(sum(i), 0) + sum(o) AS BIGINT) AS total_tokens FROM c GROUP BY 1""")
+def token_usage(spark, sf):
+    from orrery.streaming import telemetry
+
+    e = F.col("event_id")
+    return telemetry.token_usage(table(spark, sf, "events").select((F.col("user_id") % 7).cast("string").alias("model"), F.when(e % 9 != 0, e % 500).alias("input_tokens"), (e % 90).alias("output_tokens")))
+
+
+@query("""SELECT 'lang' AS field, CAST(sum(CASE WHEN lang IS NULL THEN 2 ELSE length(lang) + 11 END) AS BIGINT) AS chars FROM documents UNION ALL SELECT 'source', CAST(sum(CASE WHEN source IS NULL THEN 2 ELSE length(source) + 13 END) AS BIGINT) FROM documents""")
+def material_sizes(spark, sf):
+    return sinks.size_by_field(table(spark, sf, "documents"), ["lang", "source"])

@@ -16,6 +16,7 @@ from orrery.sources.parse import hub_license
 #: Search limits, source names.
 OPERATORS, QUERY_CHARS, PUSHED_WITHIN_DAYS, ISSUE_PAGE = 5, 256, 550, 100
 SOURCES = ("github", "huggingface", "kaggle")
+ALL_LEG = "全語 OR"
 ALIASES = {"github": "github", "gh": "github", "huggingface": "huggingface", "hf": "huggingface", "huggingface_hub": "huggingface", "kaggle": "kaggle", "kg": "kaggle", "kaggle_hub": "kaggle"}
 HUB = "struct<id:string,modelId:string,_id:string,tags:array<string>,pipeline_tag:string,library_name:string,downloads:long,downloadsAllTime:long,likes:long,lastModified:string,createdAt:string>"
 SET = "struct<ref:string,title:string,subtitle:string,tags:array<struct<name:string,fullPath:string,ref:string>>,downloadCount:long,voteCount:long,usabilityRating:double,licenseName:string,lastUpdated:string>"
@@ -48,6 +49,13 @@ def search_text(terms: Sequence[str], exclude: Sequence[str], as_of: dt.date) ->
     return " ".join([" OR ".join(terms), "in:name,description,readme", *nots, f"pushed:>{as_of - dt.timedelta(days=PUSHED_WITHIN_DAYS)}"])
 
 
+def search_legs(keywords: Sequence[str], exclude: Sequence[str], as_of: dt.date, *, extra: Sequence[str] = ()) -> list[tuple[str, str]]:
+    """(label, query): all keywords by OR, then, where there are several, each one by itself, hyphenated ones as phrases."""
+    legs = [(ALL_LEG, search_text(search_terms([*keywords, *extra]), exclude, as_of))]
+    own = search_terms(keywords, quote_hyphen=True)
+    return legs + ([(t.strip('"'), search_text([t], exclude, as_of)) for t in own] if len(own) > 1 else [])
+
+
 def search_predicate(terms: Sequence[str], exclude: Sequence[str], as_of: Column, *, text: Column, pushed: Column) -> Column:
     """The same search over a table of repositories."""
     hay = T.padded(text)
@@ -198,3 +206,10 @@ def union_sources(*works: DataFrame) -> DataFrame:
     for w in works[1:]:
         out = out.unionByName(w, allowMissingColumns=True)
     return out
+
+
+def collect_sources(works: dict[str, DataFrame], failures: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """(works of all sources with their source's name, what failed): a source that failed costs only itself; with none left that is an error."""
+    if not works:
+        raise ValueError("no source gave anything: " + "; ".join(f"{k}: {v}" for k, v in (failures or {}).items()))
+    return union_sources(*(w.withColumn("anchor_source", F.lit(name)) for name, w in works.items())), dict(failures or {})
