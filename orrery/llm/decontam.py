@@ -35,6 +35,7 @@ from orrery.llm.words import mix, tokens
 #: Three masks of six words; together they meet any two substitutions in twelve words.
 MASKS = ((0, 2, 5, 6, 7, 8), (0, 1, 4, 5, 7, 9), (0, 1, 2, 3, 4, 8))
 WINDOW, SHARE, LEAST = 12, 0.8, 5
+STRETCH = 1 << 20  # postings or compared words at a time
 BLOCK_BYTES = 32 << 20  # of benchmark text that one pass over the corpus takes along
 
 
@@ -104,24 +105,70 @@ class SeedIndex:
         self.coarse[self.hashes >> self.shift] = True
 
     def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (text, item, place of the item's first word in the words) of all seed hits."""
-        out = []
+        """Distinct (text, item, place of the item's first word in the words) of all seed hits.
+
+        Seeds that many items share are spread out a bounded number of postings at a time; what repeats a diagonal folds at once.
+        """
+        out = [np.zeros((0, 3), np.int64)]
         for i, mask in enumerate(self.masks):
             at, h = seeds(words, first, mask, i)
             maybe = self.coarse[h >> self.shift]
             at, h = at[maybe], h[maybe]
             lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            which = ranges(lo, hi - lo)
-            at = np.repeat(at, hi - lo)
-            item = self.item[which]
-            text = np.searchsorted(first, at, "right") - 1
-            out.append(np.stack([text, item, at - (self.at[which] - self.first[item])], 1))
+            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            for s, e in stretches(n):
+                which = ranges(lo[s:e], n[s:e])
+                place = np.repeat(at[s:e], n[s:e])
+                item = self.item[which]
+                text = np.searchsorted(first, place, "right") - 1
+                out.append(np.unique(np.stack([text, item, place - (self.at[which] - self.first[item])], 1), axis=0))
         got = np.unique(np.concatenate(out), axis=0)
         return got[:, 0], got[:, 1], got[:, 2]
 
+    def overlaps(self, words: np.ndarray, first: np.ndarray, window: int, share: float) -> np.ndarray:
+        """Rows text, item, equal words, window, place in the text, place in the item: the best window of each pair that suffices."""
+        text, item, at = self.hits(words, first)
+        length = np.diff(self.first)[item]
+        lo, hi = np.maximum(0, first[text] - at), np.minimum(length, first[text + 1] - at)
+        w = np.minimum(window, length)
+        ok = hi - lo >= w
+        text, item, at, lo, size, w = text[ok], item[ok], at[ok], lo[ok], (hi - lo)[ok], w[ok]
+        need = np.array([least_equal(int(x), share) for x in range(window + 1)], np.int64)[w]
+        out = [np.zeros((0, 6), np.int64)]
+        for s, e in stretches(size):
+            z, begin = size[s:e], np.cumsum(size[s:e]) - size[s:e]
+            same = words[ranges((at + lo)[s:e], z)] == self.words[ranges((self.first[item] + lo)[s:e], z)]
+            total = np.concatenate([[0], np.cumsum(same)])
+            rooms = z - w[s:e] + 1
+            start = ranges(begin, rooms)
+            inside = total[start + np.repeat(w[s:e], rooms)] - total[start]
+            heads = np.cumsum(rooms) - rooms
+            best = np.maximum.reduceat(inside, heads)
+            spot = np.flatnonzero(inside == np.repeat(best, rooms))
+            of = np.searchsorted(heads, spot, "right") - 1
+            _, lead = np.unique(of, return_index=True)  # the first of equal windows
+            k = start[spot[lead]] - begin
+            rows = np.stack([text[s:e], item[s:e], best, w[s:e], (at + lo - first[text])[s:e] + k, lo[s:e] + k], 1)
+            out.append(rows[best >= need[s:e]])
+        got = np.concatenate(out)
+        got = got[np.lexsort((got[:, 5], got[:, 4], -got[:, 2], got[:, 1], got[:, 0]))]
+        lead = np.ones(len(got), bool)
+        lead[1:] = (got[1:, :2] != got[:-1, :2]).any(1)
+        return got[lead]
+
+
+def stretches(sizes: np.ndarray, limit: int = STRETCH) -> list[tuple[int, int]]:
+    """Cut rows into stretches of bounded total size; a row over the limit stands alone."""
+    ends, out, s = np.cumsum(sizes), [], 0
+    while s < len(sizes):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + limit, "right")))
+        out.append((s, e))
+        s = e
+    return out
+
 
 def verify(words: np.ndarray, start: int, end: int, item: np.ndarray, at: int, window: int, share: float) -> tuple[int, int, int, int] | None:
-    """Best (equal words, window, place in the text, place in the item) on this diagonal, if it suffices; ties go to the first place."""
+    """One diagonal of ``overlaps`` by itself: best (equal words, window, place in the text, place in the item) on this diagonal, if it suffices; ties go to the first place."""
     lo, hi = max(0, start - at), min(len(item), end - at)
     w = min(window, len(item))
     if hi - lo < w:
@@ -148,15 +195,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
             for batch in batches:
                 for piece in pieces(batch, "text"):
                     _, _, words, first = tokens(*flat(pc.utf8_lower(piece.column(1))), None)
-                    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-                    for t, i, at in zip(*(x.tolist() for x in index.hits(words, first)), strict=True):
-                        got = verify(words, int(first[t]), int(first[t + 1]), index.words[index.first[i] : index.first[i + 1]], at, window, share)
-                        if got and (t, i) not in best or got and (-got[0], *got[2:]) < (-best[t, i][0], *best[t, i][2:]):
-                            best[t, i] = got
-                    if best:
-                        ts, its = (np.array(x) for x in zip(*best, strict=True))
-                        cols = [pa.array(c, pa.int32()) for c in zip(*best.values(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(ts)), index.ids.take(pa.array(its)), *cols], names=schema.names)
+                    found = index.overlaps(words, first, window, share)
+                    if len(found):
+                        cols = [pa.array(c, pa.int32()) for c in found[:, 2:].T]
+                        yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(found[:, 0])), index.ids.take(pa.array(found[:, 1])), *cols], names=schema.names)
 
         return run
 

@@ -327,3 +327,26 @@ def test_ranking_nears_the_best_pairwise_loss():
     assert loss(fit.w) < loss(w) + 0.02 < loss(np.zeros(5)) - 0.2
     assert np.corrcoef(np.argsort(np.argsort(fit.raw(x))), np.argsort(np.argsort(z @ w)))[0, 1] > 0.98
     assert abs(np.mean(fit.score(x) < 0.5) - np.mean(y == 0)) < 0.02  # the quantile that the bad labels' share names
+
+
+def test_overlaps_are_the_best_windows_of_all_diagonals(monkeypatch):
+    """In small stretches and with a phrase that many items share, against every diagonal by itself."""
+    rng = random.Random(6)
+    phrase = [f"p{i}" for i in range(9)]
+    text = lambda n: [rng.choice(["a", "b", "c", *phrase[:3]]) if rng.random() < 0.2 else f"u{rng.randint(0, 60)}" for _ in range(n)]
+    items = [text(rng.randint(3, 30)) + phrase + text(rng.randint(0, 20)) for _ in range(25)] + [phrase[:5], ["solo"] * 20]
+    docs = [text(rng.randint(0, 40)) + (rng.choice(items) if rng.random() < 0.6 else phrase) + text(rng.randint(0, 30)) for _ in range(40)] + [[], ["solo"] * 50]
+    index = decontam.SeedIndex(pa.array(range(len(items))), pa.array([" ".join(x) for x in items]))
+    _, _, words, first = decontam.tokens(*decontam.flat(pa.array([" ".join(x) for x in docs])), None)
+    real = decontam.stretches
+    whole = index.overlaps(words, first, 12, 0.8)
+    monkeypatch.setattr(decontam, "stretches", lambda sizes: real(sizes, 50))
+    assert (index.overlaps(words, first, 12, 0.8) == whole).all()
+    want = {}
+    for t in range(len(docs)):
+        for i in range(len(items)):
+            for at in range(int(first[t]) - len(items[i]), int(first[t + 1])):
+                got = decontam.verify(words, int(first[t]), int(first[t + 1]), index.words[index.first[i] : index.first[i + 1]], at, 12, 0.8)
+                if got and ((t, i) not in want or (-got[0], *got[2:]) < (-want[t, i][0], *want[t, i][2:])):
+                    want[t, i] = got
+    assert {(t, i): tuple(rest) for t, i, *rest in whole.tolist()} == want and len(want) > 30
