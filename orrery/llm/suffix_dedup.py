@@ -39,6 +39,7 @@ from orrery.llm.words import mix, powers, prefix_hashes, span_hashes
 
 LENGTH, GRAM = 100, 24
 PIECE = 256 << 10  # bytes of text a piece: rows stay far below a JVM heap region
+SLICE_PIECES = 8192  # pieces whose contexts of one bucket are folded together
 BUCKET = 8 << 20  # bytes of the corpus a bucket of anchors stands for
 DEEPEST = 6  # anchors that split a group of strings one after another
 ARRAY = 400_000  # bytes a suffix array holds: about 100 MB of work space; cubes of its names stay below 2^63
@@ -157,8 +158,8 @@ class Contexts:
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         self.head, self.sizes, self.begins, self.data, self.length = head[:, order], sizes[order], begins[order], data, length
 
-    def later(self) -> np.ndarray:
-        """Rows piece, text, first byte, end of the bytes to remove."""
+    def fold(self) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
+        """(which contexts are the first of their bytes, which are later copies, which stand in groups of several, where groups begin)."""
         head, n = self.head, self.head.shape[1]
         folded: list[int] = []
         raw = self.data.tobytes()
@@ -175,7 +176,17 @@ class Contexts:
                     if (head[1, k], head[4, k]) != (head[1, i], head[4, i]):
                         folded.append(i)
             many[s:e] = len(seen) > 1
-        found = [np.stack([head[2, folded], head[3, folded], head[4, folded], head[4, folded] + self.sizes[folded]])]
+        return distinct, folded, many, groups
+
+    def spans_of(self, rows: list[int]) -> np.ndarray:
+        head = self.head
+        return np.stack([head[2, rows], head[3, rows], head[4, rows], head[4, rows] + self.sizes[rows]])
+
+    def later(self) -> np.ndarray:
+        """Rows piece, text, first byte, end of the bytes to remove."""
+        head, n = self.head, self.head.shape[1]
+        distinct, folded, many, groups = self.fold()
+        found = [self.spans_of(folded)]
         left = np.flatnonzero(distinct & many)
         # a group that is too large is split by further anchors
         bounds = [*groups.tolist(), n]
@@ -356,8 +367,9 @@ def repeated_anchors(pieces: DataFrame, *, buckets: int, length: int) -> DataFra
     return asked.groupBy("bucket").applyInArrow(answer, "piece long, bucket long, bits binary")
 
 
-def spans_to_remove(pieces: DataFrame, repeated: DataFrame, *, buckets: int, length: int) -> DataFrame:
-    """piece, spans (packed rows of text, first byte, end)."""
+def spans_to_remove(pieces: DataFrame, repeated: DataFrame, *, buckets: int, length: int, slices: int = 1) -> DataFrame:
+    """piece, spans (packed rows of text, first byte, end). With slices a bucket's contexts are folded slice by slice first,
+    so a passage that all pieces share meets its bucket as few contexts."""
     said = repeated.groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("said"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,23 +414,45 @@ def spans_to_remove(pieces: DataFrame, repeated: DataFrame, *, buckets: int, len
                 out.append((int(b[0]), row["piece"], b"", np.array(local, np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "piece", "head", "data"])
 
-    def find(rows: pa.Table) -> pa.Table:
+    def gathered(rows: pa.Table) -> tuple[list[tuple[int, bytes]], Contexts | None]:
+        """(spans found on the way, the contexts)."""
         got = rows.select(["piece", "head", "data"]).to_pylist()
         out = [(r["piece"], r["data"]) for r in got if not r["head"]]
         sent = [r for r in got if r["head"]]
-        if sent:
-            head = np.concatenate([np.frombuffer(_unpacked(r["head"]), np.int64).reshape(6, -1) for r in sent], 1)
-            data = np.frombuffer(b"".join(_unpacked(r["data"]) for r in sent), np.uint8)
-            del got, sent
-            gone = Contexts(head, data, length).later()
-            gone = gone[:, np.argsort(gone[0], kind="stable")]
-            cuts = [*np.flatnonzero(np.append(True, gone[0][1:] != gone[0][:-1])).tolist(), gone.shape[1]] if gone.shape[1] else [0]
-            out += [(int(gone[0, s]), np.ascontiguousarray(gone[1:, s:e].T).tobytes()) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-            del head, data, gone
+        if not sent:
+            return out, None
+        head = np.concatenate([np.frombuffer(_unpacked(r["head"]), np.int64).reshape(6, -1) for r in sent], 1)
+        return out, Contexts(head, np.frombuffer(b"".join(_unpacked(r["data"]) for r in sent), np.uint8), length)
+
+    def by_piece(gone: np.ndarray) -> list[tuple[int, bytes]]:
+        gone = gone[:, np.argsort(gone[0], kind="stable")]
+        return [(int(gone[0, s]), np.ascontiguousarray(gone[1:, s:e].T).tobytes()) for _, s, e in bucket_runs(gone[0])]
+
+    def fold(rows: pa.Table) -> pa.Table:
+        """A slice of a bucket: of equal contexts only the earliest goes on."""
+        spans, c = gathered(rows)
+        out = [(rows["bucket"][0].as_py(), p, b"", d) for p, d in spans]
+        if c is not None:
+            first, folded, _, _ = c.fold()
+            out += [(rows["bucket"][0].as_py(), p, b"", d) for p, d in by_piece(c.spans_of(folded))]
+            kept = np.flatnonzero(first)
+            out.append((rows["bucket"][0].as_py(), 0, _packed(np.ascontiguousarray(c.head[:, kept]).tobytes()), _packed(c.data[ranges(c.begins[kept], c.sizes[kept])].tobytes())))
+        del c
+        give_back()
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "piece", "head", "data"])
+
+    def find(rows: pa.Table) -> pa.Table:
+        out, c = gathered(rows)
+        if c is not None:
+            out += by_piece(c.later())
+        del c
         give_back()
         return pa.table({"piece": pa.array([p for p, _ in out], pa.int64()), "spans": pa.array([s for _, s in out], pa.binary())})
 
     sent = arrow_map(pieces.select("piece", "ids", "offs", "data").join(said, "piece"), contexts, "bucket long, piece long, head binary, data binary")
+    if slices > 1:
+        salt = F.pmod(F.xxhash64("piece"), F.lit(slices))
+        sent = sent.withColumn("slice", salt).groupBy("bucket", "slice").applyInArrow(lambda _, rows: fold(rows), "bucket long, piece long, head binary, data binary")
     return sent.groupBy("bucket").applyInArrow(find, "piece long, spans binary")
 
 
@@ -443,7 +477,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["doc", "sha", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, with_kept: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, with_kept: bool = False, slice_pieces: int = SLICE_PIECES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -460,7 +494,8 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, with_kept: bool = Fal
     free_shuffles(spark)
     repeated = materialize(repeated_anchors(pieces, buckets=buckets, length=length), what="anchors", files=files_for(n))
     free_shuffles(spark)
-    spans = materialize(spans_to_remove(pieces, repeated, buckets=buckets, length=length), what="spans", files=files_for(n))
+    slices = pieces.count() // slice_pieces + 1
+    spans = materialize(spans_to_remove(pieces, repeated, buckets=buckets, length=length, slices=slices), what="spans", files=files_for(n))
     release(repeated)
     free_shuffles(spark)
     by_piece = spans.groupBy("piece").agg(F.collect_list("spans").alias("spans"))
