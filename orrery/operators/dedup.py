@@ -34,7 +34,7 @@ def duplicate_groups(nodes: DataFrame, edges: DataFrame, *, key: str = "id", max
         near = labels.join(said, "id", "left").select("id", F.col("grp").alias("old"), F.least("grp", F.coalesce("said", "grp")).alias("near"))
         jump = labels.select(F.col("id").alias("near"), F.col("grp").alias("far"))
         new = keep(near.join(jump, "near", "left").select("id", F.least("near", F.coalesce("far", "near")).alias("grp"), "old"))
-        done = new.where("grp <> old").isEmpty()  # fills the cache of new, so the round before can go
+        done = new.where("grp <> old").count() == 0  # a whole pass fills the cache of new, so the round before can go
         held.unpersist()
         labels, held = new.select("id", "grp"), new
         if done:

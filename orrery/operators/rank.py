@@ -35,7 +35,7 @@ def hybrid_score(rows: DataFrame, channels: Sequence[str], cites: str, *, weight
 
 
 def interleave(rows: DataFrame, bucket: str, *order: str | Column, limit: int) -> DataFrame:
-    """Round-robin over buckets in bucket order: rows plus turn."""
+    """Round-robin over buckets in bucket order: rows plus turn. A bucket is cut to the limit by rank, in each partition first."""
     turn = F.row_number().over(W.partitionBy(bucket).orderBy(*order))
     return rows.withColumn("turn", turn).where(F.col("turn") <= limit).orderBy("turn", bucket).limit(limit)
 
@@ -80,7 +80,9 @@ def leg_turns(legs: DataFrame, or_total: Column, n_legs: Column) -> DataFrame:
 def rarity_weights(rows: DataFrame, own: str, or_total: Column, *, floor: float = 0.1) -> DataFrame:
     """rows plus weight: log of the OR total over the own total, floored, normalised to sum 1."""
     raw = F.greatest(F.ln(or_total.cast("double") / F.greatest(F.col(own), F.lit(1))), F.lit(floor))
-    return rows.withColumn("__raw", raw).withColumn("weight", F.col("__raw") / F.sum("__raw").over(W.partitionBy(F.lit(1)))).drop("__raw")
+    weighed = rows.withColumn("__raw", raw)
+    total = weighed.agg(F.sum("__raw").alias("__total"))  # one row
+    return weighed.join(F.broadcast(total), how="cross").withColumn("weight", F.col("__raw") / F.col("__total")).drop("__raw", "__total")
 
 
 def domain_first(rows: DataFrame, domain: str, home: Column, *order: str) -> list[Column]:

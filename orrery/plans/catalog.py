@@ -356,7 +356,25 @@ def duplicate_components(spark, sf):
     return dedup.duplicate_groups(rows.select("id"), dedup.key_edges(rows, ["tk", "ak"]))
 
 
-@query()
+FIRST_WINS_SQL = KEY_SQL.replace("WITH d", "WITH RECURSIVE d") + r""", w AS (SELECT id, n_chars, coalesce(title, '') AS t, regexp_extract(coalesce(title, ''), '\.\s+([^.]{1,60})$', 1) AS tail, regexp_replace(coalesce(title, ''), '\.\s+([^.]{1,60})$', '') AS head FROM d),
+c AS (SELECT id, n_chars, trim(regexp_replace(split_part(lower(CASE WHEN tail <> '' AND len(list_filter(string_split_regex(tail, '\s+'), lambda x: x <> '')) <= 6 AND len(list_filter(string_split_regex(head, '\s+'), lambda x: x <> '')) >= 4 AND NOT regexp_matches(tail, '(?i)^(?:part|vol|volume|chapter|section|[ivx]+|\d)\b') THEN head ELSE t END), ':', 1), '\s+', ' ', 'g')) AS h FROM w),
+m AS (SELECT c.id, n_chars AS st, trim(regexp_replace(regexp_replace(h, '&[a-z]+;', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS tk, CASE WHEN length(ak) >= 200 THEN substr(ak, 1, 200) ELSE '' END AS ak FROM c JOIN k ON k.id = c.id),
+f AS (SELECT *, ak = '' OR id = min(id) OVER (PARTITION BY ak) AS sure FROM m), g AS (SELECT *, first_value(sure) OVER o AS hs, first_value(st) OVER o AS hst, min(id) OVER (PARTITION BY tk) AS hid FROM f WINDOW o AS (PARTITION BY tk ORDER BY id)),
+live AS (SELECT id, st, tk, ak FROM g WHERE tk = '' OR NOT (hs AND id > hid AND st <= hst)),
+s AS (SELECT id, min(id) OVER (PARTITION BY tk) AS hub FROM live WHERE tk <> '' UNION SELECT id, min(id) OVER (PARTITION BY ak) FROM live WHERE ak <> ''), e AS (SELECT id AS a, hub AS b FROM s WHERE id <> hub UNION SELECT hub, id FROM s WHERE id <> hub),
+r(id, g) AS (SELECT id, id FROM live UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.g), th AS (SELECT id, min(g) AS theme FROM r GROUP BY id),
+q AS (SELECT live.*, theme, row_number() OVER (PARTITION BY theme ORDER BY live.id) AS rn FROM live JOIN th ON th.id = live.id),
+z(theme, rn, ids, sts, keys, spots) AS (SELECT theme, 0::BIGINT, []::BIGINT[], []::BIGINT[], []::VARCHAR[], []::BIGINT[] FROM q WHERE rn = 1 UNION ALL
+  SELECT y.theme, y.next, CASE WHEN y.at IS NULL THEN list_append(y.ids, y.id) WHEN y.st > y.sts[y.at] THEN list_transform(y.ids, lambda x, i: CASE WHEN i = y.at THEN y.id ELSE x END) ELSE y.ids END,
+    CASE WHEN y.at IS NULL THEN list_append(y.sts, y.st) WHEN y.st > y.sts[y.at] THEN list_transform(y.sts, lambda x, i: CASE WHEN i = y.at THEN y.st ELSE x END) ELSE y.sts END,
+    CASE WHEN y.at IS NULL OR y.st > y.sts[y.at] THEN list_concat(y.keys, y.fresh) ELSE y.keys END, CASE WHEN y.at IS NULL OR y.st > y.sts[y.at] THEN list_concat(y.spots, list_transform(y.fresh, lambda x: coalesce(y.at, len(y.ids) + 1))) ELSE y.spots END
+  FROM (SELECT z.*, q.id, q.st, q.rn AS next, coalesce(z.spots[nullif(list_position(z.keys, 't:' || q.tk), 0)], z.spots[nullif(list_position(z.keys, 'a:' || q.ak), 0)]) AS at, list_filter([CASE WHEN q.tk <> '' THEN 't:' || q.tk END, CASE WHEN q.ak <> '' THEN 'a:' || q.ak END], lambda x: x IS NOT NULL AND NOT list_contains(z.keys, x)) AS fresh
+    FROM z JOIN q ON q.theme = z.theme AND q.rn = z.rn + 1) y),
+fin AS (SELECT theme, ids, row_number() OVER (PARTITION BY theme ORDER BY rn DESC) AS back FROM z)
+SELECT theme, CAST(i - 1 AS INTEGER) AS slot, ids[i] AS id FROM fin, range(1, len(ids) + 1) AS u(i) WHERE back = 1"""
+
+
+@query(FIRST_WINS_SQL)
 def multi_key_first_wins(spark, sf):
     rows = _docs(spark, sf).select("id", T.title_match_key(F.col("title")).alias("tk"), T.abstract_key(F.col("text")).alias("ak"), F.col("id").alias("pos"), F.col("n_chars").alias("standing"))
     return diversify.keep_first_in_components(rows, ["tk", "ak"]).select("theme", "slot", "id")

@@ -273,3 +273,12 @@ def token_usage(spark, sf):
 @query("""SELECT 'lang' AS field, CAST(sum(CASE WHEN lang IS NULL THEN 2 ELSE length(lang) + 11 END) AS BIGINT) AS chars FROM documents UNION ALL SELECT 'source', CAST(sum(CASE WHEN source IS NULL THEN 2 ELSE length(source) + 13 END) AS BIGINT) FROM documents""")
 def material_sizes(spark, sf):
     return sinks.size_by_field(table(spark, sf, "documents"), ["lang", "source"])
+
+
+@query("""WITH n AS (SELECT c_nationkey AS id, count(*) AS own FROM customer GROUP BY 1), t AS (SELECT count(*) AS total FROM customer), r AS (SELECT id, greatest(ln(total / CAST(greatest(own, 1) AS DOUBLE)), 0.1::DOUBLE) AS raw FROM n, t) SELECT CAST(id AS BIGINT) AS id, CAST(floor(raw / sum(raw) OVER () * 1000000 + 0.5) AS BIGINT) AS weight_e6 FROM r""")
+def rarity_weights(spark, sf):
+    from orrery.operators import rank
+
+    c = table(spark, sf, "customer")
+    n = c.groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.count("*").alias("own")).crossJoin(F.broadcast(c.agg(F.count("*").alias("total"))))  # one row
+    return rank.rarity_weights(n, "own", F.col("total")).select("id", F.floor(F.col("weight") * 1_000_000 + 0.5).alias("weight_e6"))
