@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import materialize
 
 BITS = 3
-BUCKET_ROWS, BUCKETS = 1024, 1 << 17  # rows that a task sorts together, and how many such buckets at most beside one a cell
+BUCKET_ROWS, BUCKETS = 256, 1 << 17  # rows that a task sorts together, and how many such buckets at most beside one a cell
 ROW_BYTES = 16
 
 
