@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import materialize, release
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = str.maketrans(UPPER, UPPER.lower())
 BITS_A_KEY = 10
 HASHES = 7
 LEVELS = 64
@@ -131,11 +132,14 @@ def url_keys(host: str, path: str, lengths: tuple[int, ...]) -> list[str]:
     return [h + p for h in host_suffixes(host) for p in heads]
 
 
-def judge_urls(pages: DataFrame, rules: dict[str, str], *, blocked_hosts: tuple[str, ...] = (), url: str = "url") -> DataFrame:
-    """pages plus host, path, rule, verdict. rules: host and path in one string -> allow or block."""
+def judge_urls(pages: DataFrame, rules: dict[str, str], *, blocked_hosts: DataFrame | tuple[str, ...] = (), url: str = "url") -> DataFrame:
+    """pages plus host, path, rule, verdict. rules: host and path in one string -> allow or block; blocked_hosts: a table with one column of hosts, of any size, or a few of them."""
     spark = pages.sparkSession
     lengths = tuple(sorted({len(r) - r.index("/") for r in rules if "/" in r}))
-    marks = {f"\0{h.translate(LOWER)}": "block" for h in blocked_hosts}  # a host by itself, apart from rules
+    if not isinstance(blocked_hosts, DataFrame):
+        blocked_hosts = spark.createDataFrame([(h,) for h in blocked_hosts], "host string")
+    # a host by itself is marked, apart from rules
+    marks = blocked_hosts.select(F.concat(F.lit("\0"), F.translate(F.col(blocked_hosts.columns[0]), UPPER, UPPER.lower())).alias("key")).where("key IS NOT NULL")
 
     def keys_of(u: str | None) -> list[str]:
         host, path = split_url(u)
@@ -146,7 +150,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], *, blocked_hosts: tuple[
             have = {k for u in b.column(0).to_pylist() for k in keys_of(u)}
             yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string())], names=["key"])
 
-    listed = spark.createDataFrame([(k,) for k in [*rules, *marks]], "key string")
+    listed = materialize(spark.createDataFrame([(k,) for k in rules], "key string").union(marks).distinct(), what="listed")
     universe = pages.select(F.col(url).cast("string")).mapInArrow(run_keys, "key string").distinct()
     shared = spark.sparkContext.broadcast(build_cascade(listed, universe))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]

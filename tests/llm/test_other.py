@@ -31,6 +31,13 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.where("false"), URL_RULES).count() == 0
 
 
+def test_blocked_hosts_may_be_a_table(spark):
+    hosts = spark.createDataFrame([(f"Bad{i}.Example.org",) for i in range(300)] + [(None,)], "host string")
+    pages = spark.createDataFrame([(i, f"http://x.bad{i}.example.org/p", "kept") for i in range(0, 600, 3)], "page_id long, url string, note string")
+    got = url_filter.judge_urls(pages, {"com/": "allow"}, blocked_hosts=hosts).collect()
+    assert all(r.verdict == ("block" if r.page_id < 300 else "allow") and r.note == "kept" for r in got) and len(got) == 200
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = [f"k{i}" for i in range(3000)]
     listed = keys[::7]
