@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from orrery.llm.common import arrow_map, extended, flat, materialize, pieces, ranges
+from orrery.llm.common import arrow_map, extended, flat, materialize, pieces, ranges, release
 from orrery.llm.words import prefix_hashes, second_prefix_hashes, span_hashes
 
 BROADCAST_BYTES = 128 << 20
@@ -373,6 +373,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] |
 
     if size <= broadcast_bytes:
         shared = docs.sparkSession.sparkContext.broadcast(packed(table))
+        release(table)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -14,7 +14,8 @@ Bytes before a text's first one count as NUL.
 
 Defined results: null text, empty text and text without a letter are ``und`` with score 0;
 ties go to the alphabetically first language; repeated rows are judged one by one; a
-learned table of no rows makes every prediction ``und``; extra columns are ignored.
+learned table of no rows makes every prediction ``und``; extra columns are ignored; every distinct
+value of the language column is a language with a tree of its own, so it must be a column of languages.
 Bytes that no training text has cost a uniform byte after all escapes.
 """
 
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import arrow_map, flat, id_crc, materialize, pieces
+from orrery.llm.common import arrow_map, flat, id_crc, materialize, pieces, release
 
 ORDER = 4
 SHARE, CONTEXTS = 2.0**-17, 1 << 20
@@ -194,6 +195,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", share: flo
         order = np.lexsort((key, which))
         cuts = np.searchsorted(which[order], np.arange(len(langs) + 1))
         held.append({x: (key[order[s:e]], n[order[s:e]]) for x, s, e in zip(langs, cuts[:-1], cuts[1:], strict=True)})
+    release(counts)
     return Model(langs, [Tree([h[x] for h in held]) for x in langs])
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.llm.common import arrow_map, materialize
+from orrery.llm.common import arrow_map, materialize, release
 
 CHUNK_BYTES = 32 << 20  # of query vectors a pass takes along
 BLOCK = 4096  # vectors an index block
@@ -168,6 +168,7 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str
         ids = got["id"].to_numpy()
         sets = {d: (ids[at], x) for d, (at, x) in integers(got["v"].combine_chunks()).items()} if got.num_rows else {}
         found.append(_pass(vectors, rows.sparkSession.sparkContext.broadcast(sets), k, block))
+    release(asked)
     every = reduce(DataFrame.unionByName, found)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
