@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import scores as S
 from orrery.operators import collect, contract, diversify, documents, gates, graph, rank
+from orrery.sources import anchors, parse
 
 
 def collect_bridges(works: DataFrame, refs: DataFrame, seeds: DataFrame, *, home: DataFrame | None = None, cap: int = 50, limit: int = 60, window: int = 10, used: DataFrame | None = None, home_topics: DataFrame | None = None, home_domains: DataFrame | None = None) -> DataFrame:
@@ -85,3 +86,27 @@ def delegated_document(materials: DataFrame, theme_text: str, *, count: int = 1,
     echoed = materials if "upstream_empty" in materials.columns else materials.withColumn("upstream_empty", F.array().cast("array<string>"))
     report = contract.submission_report(echoed, picked.select("id", (F.size("failures") > 0).alias("failed")))
     return entries, log, report
+
+
+def collect_repositories(found: DataFrame, signals: dict[str, DataFrame], readmes: DataFrame, *, include: list[str], as_of: Column, exclude: tuple[str, ...] = (), turns: tuple[int, ...] = (1,), limit: int = 30, count: int = 3, rich: bool = True) -> DataFrame:
+    """Anchors from repository searches: seats by turns over the search legs, signals, four pillars lifted in the pool, theme fit, rank.
+
+    found: leg, pos, payload (a repository's JSON); signals: issues, releases, runs, contributors as anchors.attach_signals takes
+    them; readmes: full_name, readme.
+    """
+    repos = parse.normalize_repos(found).join(readmes, "full_name", "left").withColumn("readme", F.coalesce("readme", F.lit("")))
+    names = found.select("leg", "pos", F.get_json_object("payload", "$.full_name").alias("full_name"))
+    seated = anchors.seat_by_turns(names, list(turns), limit=limit).select("full_name")
+    pool = repos.dropDuplicates(["full_name"]).join(F.broadcast(seated), "full_name")  # at most limit rows
+    scored = anchors.reliability(anchors.attach_signals(pool, **signals), as_of, rich=rich)
+    lifted = anchors.lift_pool(scored.withColumn("pool", F.lit("all")), "pool")
+    return rank_anchors(anchors.repos_to_works(lifted, include, exclude), count=count)
+
+
+def collect_facets(returned: DataFrame, used: DataFrame, keys: list[str], *, limit: int = 60, fair: bool = True, off_language: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(selected records in order, counts by facet and stage) of what semantic searches returned for each facet: rejected facets, home works,
+    supplements, used ids, duplicates, other languages last, and a share for every facet."""
+    stages = collect.facet_stages(returned, used)
+    buckets = collect.facet_buckets(stages.where("stage = 'kept'"), keys, off_language=off_language)
+    chosen = collect.facet_select(buckets, limit=limit, fair=fair)
+    return chosen, collect.facet_counts(stages, buckets, chosen)

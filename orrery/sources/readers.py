@@ -194,6 +194,34 @@ def read_pages(spark: SparkSession, fetch: Fetch, queries: Sequence[dict[str, An
     return spark.read.format(source.name()).load()
 
 
+def fetch_each(keys: DataFrame, fetch: Fetch, *, key: str = "key", param: str = "key", config: ReadConfig = ReadConfig(), absent: frozenset[int] = frozenset({404})) -> DataFrame:
+    """key, payload, error: one request a distinct key, as read-me files, releases, runs and full texts are asked for.
+
+    What is absent gives null and no error; a key that fails costs only itself; an exhausted budget ends the read.
+    """
+    one = keys.select(F.col(key).cast("string").alias("key")).where("key IS NOT NULL").distinct()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        client = Client(fetch, config)
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for k in batch.column(0).to_pylist():
+                payload, error = None, None
+                try:
+                    payload = json.dumps(client.get({param: k}), ensure_ascii=False)
+                except ReadError as e:
+                    if e.exhausted:
+                        raise
+                    error = None if e.status in absent else str(e)
+                for c, v in zip(out, (k, payload, error), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["key", "payload", "error"])
+
+    return one.mapInArrow(run, "key string, payload string, error string")
+
+
 def read_with_fallback(spark: SparkSession, fetch: Fetch, precise: dict[str, Any], generic: dict[str, Any], **options: Any) -> DataFrame:
     """The precise query's pages; if they are empty, the generic one's."""
     from orrery.operators.gates import fallback_if_empty

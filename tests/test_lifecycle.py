@@ -161,3 +161,27 @@ def test_documents_without_an_external_model(spark):
     assert by["bad"].relationship.startswith("（記入なし）") and by["bad"].summary.startswith("（記入なし）原文の冒頭") and by["bad"].hypothesis == "（記入なし）"
     assert {(r.id, r.what, tuple(r.fields)) for r in report.collect()} == {("x", "upstream_empty", ("venue",)), ("bad", "missing", ("cited_by_count",)), ("only", "score_only", ())}
     assert {r.id for r in log.collect()} == {"only"}
+
+
+def test_repositories_from_search_to_rank(spark):
+    import json
+
+    from orrery import pipelines
+
+    repo = lambda name, stars, pushed: json.dumps({"full_name": name, "html_url": f"https://h.org/{name}", "owner": {"login": "o"}, "description": "drift tool" if stars > 50 else "other", "stargazers_count": stars, "forks_count": 5, "pushed_at": pushed, "updated_at": pushed, "license": {"spdx_id": "MIT"}, "topics": []})
+    found = spark.createDataFrame([(0, i, repo(f"o/r{i}", 100 - i * 30, f"2024-0{i + 1}-01")) for i in range(4)] + [(1, 0, repo("o/r0", 100, "2024-01-01")), (1, 1, repo("o/k", 60, "2024-05-01"))], "leg int, pos int, payload string")
+    signals = {"issues": spark.createDataFrame([("o/r0", "o", 0, "closed", "b", "x", ["bug"], False)], "repo string, owner string, pos int, state string, body string, login string, labels array<string>, is_pr boolean"), "releases": spark.createDataFrame([("o/r0", "2024-01-01")], "repo string, published_at string"), "runs": spark.createDataFrame([("o/k", "success")], "repo string, conclusion string"), "contributors": spark.createDataFrame([("o/k", "x"), ("o/k", "o")], "repo string, login string")}
+    readmes = spark.createDataFrame([("o/r0", "install usage ``` a ``` ``` b ``` ``` c ```")], "full_name string, readme string")
+    got = pipelines.collect_repositories(found, signals, readmes, include=["drift"], as_of=F.lit("2024-06-01").cast("date"), turns=(1, 1), limit=4, count=4).collect()
+    assert len(got) == 4 and len({r.id for r in got}) == 4 and {"https://h.org/o/r0", "https://h.org/o/k"} <= {r.id for r in got}
+    assert [r.relevance > 0 for r in got] == sorted((r.relevance > 0 for r in got), reverse=True) and got[0].relevance > 0
+
+
+def test_facets_are_rejected_or_shared_out(spark):
+    from orrery import pipelines
+
+    rows = [(f, p, f * 100 + p, f == 2 and p < 9, True, False, f == 1 and p == 0, p != 1, f"t{p % 9}" if f == 3 else f"{f}-{p}", p) for f in (1, 2, 3) for p in range(10)]
+    returned = spark.createDataFrame(rows, "facet int, pos int, id int, home boolean, type_ok boolean, retracted boolean, supplement boolean, has_abstract boolean, tk string, standing int")
+    chosen, counts = pipelines.collect_facets(returned, spark.createDataFrame([(102,)], "id int"), ["tk"], limit=6)
+    assert {r.facet: (r.status, r.kept, r.selected, r.supplement_excluded) for r in counts.collect()} == {1: ("ok", 7, 3, 1), 2: ("home_converged", 0, 0, 0), 3: ("ok", 8, 3, 0)}
+    assert [r.id for r in chosen.orderBy("place").collect()][:2] == [103, 309]  # the better record of a key takes the first one's place

@@ -109,6 +109,23 @@ def test_failures_stay_apart(spark):
     assert both.count() == 2
 
 
+def test_one_request_a_key(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    keys = spark.createDataFrame([("a",), ("a",), ("gone",), ("bad",), (None,)], "key string")
+    got = readers.fetch_each(keys, by_key, config=readers.ReadConfig(interval=0.0, backoff=0.0))
+    assert sorted((r.key, r.payload, r.error is None) for r in got.collect() if r.key != "bad") == [("a", '{"name": "a"}', True), ("gone", None, True)]
+    assert "status 403" in next(r.error for r in got.collect() if r.key == "bad")
+
+
+def by_key(params):
+    k = params["key"]
+    return (200, {}, json.dumps({"name": k})) if k == "a" else (404, {}, "") if k == "gone" else (403, {}, "no")
+
+
 def test_lookups_and_names(spark):
     from pyspark.sql import functions as F
 
