@@ -163,28 +163,41 @@ def facet_stages(returned: DataFrame, used: DataFrame, *, home_share: int = 60,
 
 
 def facet_buckets(kept: DataFrame, keys: list[str], *, standing: str = "standing", off_language: Column | None = None) -> DataFrame:
-    """facet, slot in the facet's list, id: records that share a key take one slot, at the place of the first and held by the better one.
+    """facet, slot in the facet's list, id: records that share a key take one slot, in the facet and at the place of the first and held by the better one.
 
-    kept: facet, pos, id, the keys and standing, of one theme (some dozens of records a facet). With off_language
-    such records go to the end of their facet's list, in order.
+    kept: facet, pos, id, the keys and standing, of one theme (some dozens of records a facet). A record that meets a held one
+    registers no further key unless it takes the slot over. With off_language such records go to the end of their facet's
+    list, in order.
     """
-    rows = kept.withColumn("theme", F.lit(0)).withColumn("__at", F.row_number().over(W.orderBy("facet", "pos")))
-    held = diversify.keep_first_of_keys(rows, keys, pos="__at", standing=standing)
-    # a better record that came later keeps the facet of the place that it takes over
-    first = _places(rows, keys)
-    at = held.join(first, held["__at"] == first["__rep"], "left")
-    at = at.withColumn("facet", F.coalesce(F.col("__facet"), F.col("facet")))
-    last = F.lit(0) if off_language is None else F.coalesce(off_language, F.lit(False)).cast("int")
-    slot = F.row_number().over(W.partitionBy("facet").orderBy(last, "slot")) - 1
-    return at.withColumn("__slot", slot).select("facet", F.col("__slot").alias("slot"), "id", last.alias("off_language"))
-
-
-def _places(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """__rep, __facet: for each record the facet of the first record that it shares a key with, along the chain of keys."""
-    edges = dedup.key_edges(rows.select(F.col("__at").alias("id"), *keys), keys)
-    groups = dedup.duplicate_groups(rows.select(F.col("__at").alias("id")), edges)
-    facets = rows.select(F.col("__at").alias("grp"), F.col("facet").alias("__facet"))
-    return groups.join(facets, "grp").select(F.col("id").alias("__rep"), "__facet")
+    off = F.lit(False) if off_language is None else F.coalesce(off_language, F.lit(False))
+    listed = kept.select(F.lit(0).alias("theme"), "facet", "pos", "id", *keys, F.col(standing).alias("__standing"), off.alias("__off"))
+    kinds = dict(listed.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["facet", "pos"], kind="stable").reset_index(drop=True)
+        cols = [pdf[k].tolist() for k in keys]
+        better = pdf["__standing"].tolist()
+        first: list[int] = []
+        held: list[int] = []
+        seen: list[dict] = [{} for _ in keys]
+        for i in range(len(pdf)):
+            at = next((s[c[i]] for s, c in zip(seen, cols, strict=True) if c[i] and c[i] in s), None)
+            if at is None:
+                at = len(held)
+                first.append(i)
+                held.append(i)
+            elif better[i] > better[held[at]]:
+                held[at] = i
+            else:
+                continue
+            for s, c in zip(seen, cols, strict=True):
+                if c[i]:
+                    s.setdefault(c[i], at)
+        return pd.DataFrame({"facet": pdf["facet"].iloc[first].tolist(), "place": first, "id": pdf["id"].iloc[held].tolist(), "off": pdf["__off"].iloc[held].astype(int).tolist()})
+
+    rows = listed.groupBy("theme").applyInPandas(run, f"facet {kinds['facet']}, place int, id {kinds['id']}, off int")
+    slot = F.row_number().over(W.partitionBy("facet").orderBy("off", "place")) - 1
+    return rows.withColumn("slot", slot).select("facet", "slot", "id", F.col("off").alias("off_language"))
 
 
 def facet_select(buckets: DataFrame, *, limit: int, fair: bool = True) -> DataFrame:

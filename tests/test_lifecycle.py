@@ -63,6 +63,13 @@ def test_a_better_copy_takes_the_slot_and_its_facet(spark):
     assert got == {(1, 0): 20, (1, 1): 11, (2, 0): 21}
 
 
+def test_a_chain_of_keys_does_not_move_records(spark):
+    """A record that meets a held one by one key and drops out does not tie its other key to that slot."""
+    kept = spark.createDataFrame([(1, 0, 10, "a", "x", 5), (1, 1, 11, "a", "y", 1), (2, 0, 20, "b", "y", 1), (2, 1, 21, "c", "", 1)], "facet int, pos int, id int, tk string, ak string, standing int")
+    got = {(r.facet, r.slot): r.id for r in collect.facet_buckets(kept, ["tk", "ak"]).collect()}
+    assert got == {(1, 0): 10, (2, 0): 20, (2, 1): 21}
+
+
 def test_track_b_selection(spark):
     cand = spark.createDataFrame([(i, i, [f"n{i}"], "f") for i in range(6)], "id int, pos int, names array<string>, facet string")
     scores = spark.createDataFrame([(i, 0.8 - i * 0.1, 0.9, 0.8, True, False) for i in range(6)], "id int, purpose_sim double, mechanism_dist double, structural_depth double, has_causal_pm boolean, near boolean")
