@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from orrery.llm.common import arrow_map, extended, flat, materialize, pieces, ranges, release
+from orrery.llm.common import arrow_map, extended, flat, give_back, materialize, pieces, ranges, release
 from orrery.llm.words import prefix_hashes, second_prefix_hashes, span_hashes
 
 BROADCAST_BYTES = 128 << 20
 BUCKET_BYTES = 16 << 20
-PIECE_BYTES = 1 << 20
-SENT = 100_000  # words a task remembers to have sent
+PIECE_BYTES = 256 << 10
+SENT = 50_000  # words a task remembers to have sent
 #: The pre-tokenizer's word pattern of the vocabulary file, and its contractions.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SHORT = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -266,12 +266,15 @@ class PackedTable:
     """word -> ids in packed arrays by the words' hashes; words whose hashes meet stand apart, by their bytes."""
 
     def __init__(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, apart: dict[bytes, list[int]]) -> None:
-        ids = ids.astype(np.min_scalar_type(int(ids.max(initial=0))))
+        ids = ids.astype(np.min_scalar_type(int(ids.max(initial=0))), copy=False)
         order = np.argsort(keys, kind="stable")
-        starts = np.cumsum(sizes) - sizes
         self.keys = keys[order]
-        sizes = sizes[order]
-        self.ids = ids[ranges(starts[order], sizes)] if len(keys) else ids
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        starts, sizes = starts[order], sizes[order]
+        # a bounded part of the words at a time, so that no index of all ids stands beside them
+        parts = [ids[ranges(starts[i : i + 100_000], sizes[i : i + 100_000].astype(np.int64))] for i in range(0, len(keys), 100_000)]
+        self.ids = np.concatenate([ids[:0], *parts])
+        del starts, parts
         extra = list(apart.values())
         self.ids = np.concatenate([self.ids, np.array([i for x in extra for i in x], self.ids.dtype)])
         self.sizes = np.concatenate([sizes, np.array([len(x) for x in extra], sizes.dtype)])
@@ -308,22 +311,31 @@ def _clashes(keys: np.ndarray) -> set[int]:
 
 
 def packed(table: DataFrame) -> PackedTable:
+    """The whole table in packed arrays, made on the executors as narrow as its numbers allow."""
+    few = table.agg(F.max(F.length("ids"))).first()[0] or 0
+    size_kind = np.min_scalar_type(few // 4)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs, offs = flat(batch.column(1))
             ids = np.frombuffer(blobs.tobytes(), np.int32)
-            cols = [hash_words(batch.column(0)).tobytes(), (np.diff(offs) // 4).astype(np.uint16).tobytes(), ids.astype(np.uint16 if ids.max(initial=0) < 1 << 16 else np.int32).astype(np.int32).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=["keys", "sizes", "ids"])
-
-    got = arrow_map(table.select("word", "ids"), run, "keys binary, sizes binary, ids binary").toArrow()
-    join = lambda name, kind: np.frombuffer(b"".join(got[name].to_pylist()), kind)
-    keys, sizes, ids = join("keys", np.uint64), join("sizes", np.uint16).astype(np.int64), join("ids", np.int32)
+            short = ids.max(initial=0) < 1 << 16
+            cols = [hash_words(batch.column(0)).tobytes(), (np.diff(offs) // 4).astype(size_kind).tobytes(), (ids.astype(np.uint16) if short else ids).tobytes()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in cols), pa.array([short], pa.bool_())], names=["keys", "sizes", "ids", "short"])
+
+    got = arrow_map(table.select("word", "ids"), run, "keys binary, sizes binary, ids binary, short boolean").toArrow()
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in got["keys"])])
+    sizes = np.concatenate([np.zeros(0, size_kind), *(np.frombuffer(x.as_buffer(), size_kind) for x in got["sizes"])])
+    ids = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x.as_buffer(), np.uint16 if s.as_py() else np.int32) for x, s in zip(got["ids"], got["short"], strict=True))])
     del got
     apart: dict[bytes, list[int]] = {}
     if twice := _clashes(keys):  # two words with one hash: fetch those few by their words
         same = F.udf(lambda w: int(hash_words(pa.array([w], pa.string()))[0]) in twice, "boolean")
         apart = {r.word.encode("utf-8", "surrogatepass"): np.frombuffer(r.ids, np.int32).tolist() for r in table.where(same("word")).collect()}
-    return PackedTable(keys, sizes, ids, apart)
+    out = PackedTable(keys, sizes, ids, apart)
+    del keys, sizes, ids
+    give_back()
+    return out
 
 
 def packed_words(words: pa.Array, ids: list[bytes]) -> PackedTable:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A batch is cut into pieces of about this many bytes of text before numpy sees it.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 256 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ from orrery.llm.common import arrow_map, flat, id_crc, materialize, pieces, rele
 
 ORDER = 4
 SHARE, CONTEXTS = 2.0**-17, 1 << 20
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 256 << 10
 MEMO_BYTES = 24 << 20  # what a task keeps of code lengths at hand
 
 
@@ -63,7 +63,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in langs.unique().to_pylist():
             for piece in pieces(batch.filter(pc.equal(langs, lang)), "text", PIECE_BYTES):
                 held.setdefault(lang, []).append(np.unique(grams(piece.column(1))[0], return_counts=True))
-                if len(held[lang]) >= 8:
+                if len(held[lang]) >= 32:
                     held[lang] = [merged(held[lang])]
     for lang, parts in held.items():
         k, n = merged(parts)
