@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, decontam, hilbert, lang_id, minhash, quality, secrets, suffix_dedup, topk, url_filter
+from orrery.llm import bpe, collocations, decontam, divergence, exact_dedup, hilbert, lang_id, minhash, quality, secrets, suffix_dedup, topk, url_filter
 from orrery.llm.common import small_batches
 from orrery.llm.common import table as read_table
 
@@ -74,7 +74,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_hilbert_shards, op4_decontamination, op5_exact_top_k, op6_secret_scan, op7_near_duplicates, op8_quality, op9_bpe, op10_language_id)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_hilbert_shards, op4_decontamination, op5_exact_top_k, op6_secret_scan, op7_near_duplicates, op8_quality, op9_bpe, op10_language_id, op11_source_divergence, op12_collocations, op13_exact_dedup)}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""
@@ -126,4 +138,37 @@ ORACLE_SQL = {
         r(id, g) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, l.b FROM r JOIN links l ON l.a = r.g)
         SELECT s.doc_id, CAST(len(any_value(s.g)) AS BIGINT) AS n_shingles, min(r.g) AS component_id, s.doc_id = min(r.g) AS kept FROM s JOIN r ON r.id = s.doc_id GROUP BY s.doc_id
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        t AS (SELECT r, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        v AS (SELECT lang, count(*) AS v, sum(ln) AS lt FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        g AS (SELECT d.lang, d.source, coalesce(any_value(s.n), 0) AS n FROM d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s USING (lang, source) GROUP BY d.lang, d.source),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + v.v) AS p, 1 + 1000000000::HUGEINT * (k.ln + 1) // (v.lt + v.v) AS q
+              FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+        pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 200
+    """,
+    "op12_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        o AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM s, range(1, 6) AS u(m) WHERE i + m - 1 <= len(w)),
+        f AS (SELECT lang, phrase, any_value(m) AS m, count(*) AS f FROM o GROUP BY lang, phrase HAVING count(*) >= 100),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS x FROM f WHERE m > 1),
+        k AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, n.n, CAST(1000::HUGEINT * a * n.n // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+              FROM c, range(1, 5) AS u(k), f l, f r, n WHERE k < c.m AND l.lang = c.lang AND r.lang = c.lang AND n.lang = c.lang AND l.phrase = array_to_string(x[1 : k], ' ') AND r.phrase = array_to_string(x[k + 1 : ], ' ')),
+        inside AS (SELECT DISTINCT c.lang, array_to_string(x[i : i + q - 1], ' ') AS phrase, a FROM c, range(2, 5) AS u(q), range(1, 5) AS v(i) WHERE q < c.m AND i + q - 1 <= c.m),
+        gone AS (SELECT DISTINCT f.lang, f.phrase FROM f JOIN inside i ON i.lang = f.lang AND i.phrase = f.phrase WHERE 100 * i.a >= 100 * f.f),
+        best AS (SELECT * FROM k ANTI JOIN gone USING (lang, phrase) QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000
+    """,
+    "op13_exact_dedup": """
+        WITH e AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM e
+    """,
 }
