@@ -1,10 +1,11 @@
 """How far the sources of a language differ in their vocabulary: two-dimensional group-block tiling.
 
 A group is a (lang, source). Its counts over the language's kept terms are packed into one
-vector a vocabulary chunk. Groups fall into blocks; every pair of blocks is a task, to which
-the vectors of its groups are replicated. The task reads them chunk by chunk and adds up the
-submatrix of its pairs, so it holds two blocks of one chunk at a time, and columns that no
-vector of the two blocks has are settled by their number. All arithmetic is in whole numbers:
+vector a vocabulary chunk. Groups fall into blocks; every pair of blocks is a task (one for
+each stretch of chunks, where a language has many), to which the vectors of its groups are
+replicated. The task reads them chunk by chunk and adds up the submatrix of its pairs, so it
+holds two blocks of one chunk at a time, and columns that no vector of the two blocks has are
+settled by their number. All arithmetic is in whole numbers:
 shares are divided digit by digit (three at a time), so they are exact for sums below 9.2e15.
 
 Null text, lang and source count as empty; every (lang, source) that occurs has rows of the
@@ -33,6 +34,8 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 #: Terms of a chunk and groups of a block, about.
 CHUNK, BLOCK = 32768, 16
+#: Chunks that one task reads, one after another.
+STRETCH = 8
 #: Rows of (lang, source) in a broadcast; where there are more, they are joined by shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -98,8 +101,8 @@ def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
 class Tile:
     """The pairs of two blocks of one language's groups, added up chunk by chunk."""
 
-    def __init__(self, lang: str, rows: int, columns: int):
-        self.lang, self.blocks, self.terms, self.seen = lang, (rows, columns), 0, 0
+    def __init__(self, lang: str, rows: int, columns: int, stretch: int):
+        self.lang, self.blocks, self.stretch, self.terms, self.seen = lang, (rows, columns), stretch, 0, 0
         self.names: dict[int, list[str]] = {rows: [], columns: []}
         self.totals: dict[int, list[int]] = {rows: [], columns: []}
         self.slots: dict[tuple[int, int], int] = {}
@@ -141,7 +144,8 @@ class Tile:
     def rows(self) -> Iterator[tuple[str, str, str, int]]:
         a, b = self.blocks
         if self.terms:
-            left = self.terms - self.seen
+            # all columns count as absent once, in the first stretch; those that were there don't
+            left = (self.terms if self.stretch == 0 else 0) - self.seen
             self._add(np.zeros((len(self.names[a]), 1), np.int64), np.zeros((len(self.names[b]), 1), np.int64), left)
         for i, x in enumerate(self.names[a]):
             for j, y in enumerate(self.names[b]):
@@ -162,11 +166,11 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        narrow = {n: columns[n].to_pylist() for n in ("lang", "low", "high", "chunk", "block", "slot", "source", "total", "terms")}
+        narrow = {n: columns[n].to_pylist() for n in ("lang", "low", "high", "stretch", "chunk", "block", "slot", "source", "total", "terms")}
         for i in range(batch.num_rows):
             row = {n: v[i] for n, v in narrow.items()}
-            key = (row["lang"], row["low"], row["high"])
-            if tile is None or (tile.lang, *tile.blocks) != key:
+            key = (row["lang"], row["low"], row["high"], row["stretch"])
+            if tile is None or (tile.lang, *tile.blocks, tile.stretch) != key:
                 yield from done()
                 tile, at_chunk = Tile(*key), -1
             if row["chunk"] != at_chunk:
@@ -179,7 +183,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
-def divergence(docs: DataFrame, *, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+def divergence(docs: DataFrame, *, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, chunk: int = CHUNK, block: int = BLOCK, stretch: int = STRETCH) -> DataFrame:
     """lang, source, part, item, value, rank: how each source of a language differs from the others, and by which terms.
 
     Part pair: the other sources of the language with the divergence from them, largest first.
@@ -205,13 +209,14 @@ def divergence(docs: DataFrame, *, min_docs: int = MIN_DOCS, top_terms: int = TO
     small = F.broadcast(roster) if roster.count() <= BROADCAST_GROUPS else roster
 
     heads = roster.select("lang", "block", "slot", F.lit(-1).alias("chunk"), "source", "total", "terms", F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("array<bigint>").alias("n"))
+    heads = heads.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.lit((chunks - 1) // stretch))))
     packed = held.groupBy("lang", "source", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("v"))
     vectors = packed.join(small.select("lang", "source", "block", "slot"), ["lang", "source"]).select(
-        "lang", "block", "slot", "chunk", F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("terms"), F.col("v.at").alias("at"), F.col("v.n").alias("n")
+        "lang", "block", "slot", "chunk", F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("terms"), F.col("v.at").alias("at"), F.col("v.n").alias("n"), F.floor(F.col("chunk") / stretch).cast("int").alias("stretch")
     )
     sent = heads.unionByName(vectors).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
-    tasks = ("lang", "low", "high")
-    pairs = arrow_map(sent.repartition(*tasks).sortWithinPartitions(*tasks, "chunk", "block", "slot"), _tiles, TILES)
+    tasks = ("lang", "low", "high", "stretch")
+    pairs = arrow_map(sent.repartition(*tasks).sortWithinPartitions(*tasks, "chunk", "block", "slot"), _tiles, TILES).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
     p, q = share(F.col("n"), F.col("total") + F.col("terms")), share(F.col("lang_n"), F.col("lang_total") + F.col("terms"))
     of_group = held.select("lang", "source", "term", "n", "lang_n").join(small.select("lang", "source", "total", "terms", "lang_total"), ["lang", "source"])

@@ -67,7 +67,7 @@ def plain_divergence(rows, min_docs, top):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk": 2, "block": 1}, {"chunk": 3, "block": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 2, "block": 1}, {"chunk": 3, "block": 2, "stretch": 2}])
 def test_divergence_equals_plain_python(frame, corpus, sizes):
     got = [tuple(r) for r in divergence.divergence(frame, top_terms=5, **sizes).collect()]
     assert len(got) == len(set(got)) and set(got) == plain_divergence(corpus, 3, 5)
