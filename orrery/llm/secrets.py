@@ -18,6 +18,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,7 @@ BASE64_URL = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{20
 HEX_BLOB = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 LONG_RUN = 20  # only assign, signed tokens and PEM blocks fit into shorter runs of these characters
 MARKS = (b"eyJ", b"PRIVATE KEY-----")  # what signed tokens and PEM blocks hold
+NESTED = 100  # lists and objects of a token header at most; deeper texts are no headers
 #: The object identifiers that name an encryption by password.
 PASSWORD_OIDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 RUN_BYTES = np.zeros(256, bool)
@@ -52,26 +54,26 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def der_length(b: bytes, at: int) -> tuple[int, int] | None:
-    """(start of the content, end of the content) of the DER element at this place."""
-    if at + 2 > len(b):
+def der_length(b: bytes, at: int, until: int) -> tuple[int, int] | None:
+    """(start of the content, end of the content) of the DER element at this place, which ends there at the latest."""
+    if at + 2 > until:
         return None
     n, at = b[at + 1], at + 2
     if n >= 128:
         k = n & 127
-        if not 1 <= k <= 4 or at + k > len(b):
+        if not 1 <= k <= 4 or at + k > until:
             return None
         n, at = int.from_bytes(b[at : at + k], "big"), at + k
         if n < 128:
             return None
-    return (at, at + n) if at + n <= len(b) else None
+    return (at, at + n) if at + n <= until else None
 
 
 def der_parts(b: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
     """(tag, start, end) of the elements that fill the range exactly."""
     out = []
     while start < end:
-        span = der_length(b[:end], start)
+        span = der_length(b, start, end)
         if span is None:
             return None
         out.append((b[start], *span))
@@ -81,7 +83,7 @@ def der_parts(b: bytes, start: int, end: int) -> list[tuple[int, int, int]] | No
 
 def is_der_key(b: bytes) -> bool:
     """A private key in PKCS#1, PKCS#8 (plain or encrypted) or SEC1, with nested lengths that close exactly."""
-    top = der_length(b, 0) if b[:1] == b"\x30" else None
+    top = der_length(b, 0, len(b)) if b[:1] == b"\x30" else None
     if top is None or top[1] != len(b):
         return False
     parts = der_parts(b, *top)
@@ -128,8 +130,10 @@ def unbase64(s: str, *, url: bool = False) -> bytes | None:
 
 def is_token_header(s: str) -> bool:
     b = unbase64(s, url=True)
+    if not b or b.count(b"[") + b.count(b"{") > NESTED:
+        return False
     try:
-        head = json.loads(b) if b else None
+        head = json.loads(b)
     except ValueError:
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
@@ -138,11 +142,12 @@ def is_token_header(s: str) -> bool:
 def confirmed(text: str) -> list[tuple[str, int, int]]:
     """Spans that decoding and structure confirm; PEM blocks first, nothing is reported inside them again."""
     out = [("pem", *m.span()) for m in PEM.finditer(text) if (b := unbase64(re.sub(r"\s", "", m[2]))) and (is_der_key(b) or is_ssh_key(b))]
-    blocks = list(out)
+    begins, ends = [s for _, s, _ in out], [e for _, _, e in out]  # in order, apart from each other
     out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_token_header(m[1])]
     for pattern, decode in ((BASE64, unbase64), (BASE64_URL, lambda s: unbase64(s, url=True)), (HEX_BLOB, bytes.fromhex)):
         for m in pattern.finditer(text):
-            if any(s <= m.start() and m.end() <= e for _, s, e in blocks):
+            k = bisect_right(begins, m.start()) - 1
+            if k >= 0 and m.end() <= ends[k]:
                 continue
             b = decode(m[0])
             if b and (kind := "der" if is_der_key(b) else "ssh" if is_ssh_key(b) else ""):
