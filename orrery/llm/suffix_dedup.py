@@ -292,11 +292,14 @@ def _unpacked(b: bytes) -> bytes:
 
 
 def _piece_table(docs: DataFrame, leaders: DataFrame) -> DataFrame:
-    """piece, ids, offsets, data: the leading texts, packed; each once, however many rows repeat it."""
-    rows = docs.join(leaders.where("copies = 1"), "doc").select("doc", "text", "sha")
+    """piece, ids, offsets, data: the leading texts, packed; each once, however many rows repeat it.
+
+    Rows meet their leader by id and a hash of the text (h), so many texts without id, or under one, are dealt out too.
+    """
+    rows = docs.join(leaders.where("copies = 1"), ["doc", "h"]).select("doc", "text", "sha")
     again = leaders.where("copies > 1")
     if not again.isEmpty():  # only these texts are dealt by their key
-        repeats = docs.join(again, "doc").where(F.sha2("text", 256) == F.col("sha")).select("doc", "text", "sha")
+        repeats = docs.join(again, ["doc", "h"]).where(F.sha2("text", 256) == F.col("sha")).select("doc", "text", "sha")
         rows = rows.unionByName(repeats.groupBy("doc", "sha").agg(F.min("text").alias("text")).select("doc", "text", "sha"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,15 +485,15 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, with_kept: bool = Fal
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc"), text.alias("text"))
-    keys = materialize(source.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), what="keys")
+    keys = materialize(source.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("h")), what="keys")
     n = keys.count()
-    per_doc = keys.groupBy("sha", "doc").agg(F.max("n_bytes").alias("n_bytes"), F.count("*").alias("copies"))
-    lead = per_doc.groupBy("sha").agg(F.min(F.struct("doc", "copies")).alias("lead"), F.max("n_bytes").alias("n_bytes"))
-    leaders = materialize(lead.select("sha", "lead.doc", "lead.copies", "n_bytes"), what="leaders", files=files_for(n))
+    per_doc = keys.groupBy("sha", "doc").agg(F.max("n_bytes").alias("n_bytes"), F.max("h").alias("h"), F.count("*").alias("copies"))
+    lead = per_doc.groupBy("sha").agg(F.min(F.struct("doc", "copies")).alias("lead"), F.max("n_bytes").alias("n_bytes"), F.max("h").alias("h"))
+    leaders = materialize(lead.select("sha", "lead.doc", "lead.copies", "n_bytes", "h"), what="leaders", files=files_for(n))
     total = leaders.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = int(total // BUCKET) + 8
-    long = leaders.where(F.col("n_bytes") >= length).select("doc", "sha", "copies")
-    pieces = _piece_table(source.select("doc", "text"), long)
+    long = leaders.where(F.col("n_bytes") >= length).select("doc", "sha", "h", "copies")
+    pieces = _piece_table(source.select("doc", "text", F.xxhash64("text").alias("h")), long)
     free_shuffles(spark)
     repeated = materialize(repeated_anchors(pieces, buckets=buckets, length=length), what="anchors", files=files_for(n))
     free_shuffles(spark)
@@ -507,7 +510,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, with_kept: bool = Fal
     free_shuffles(spark)
     first = leaders.select(F.col("doc").alias("first"), "sha")
     # rows: leaders with their result; copies of an earlier text go whole; short texts stay whole
-    rows = keys.join(first, "sha").join(done, ["doc", "sha"], "left")
+    rows = keys.drop("h").join(first, "sha").join(done, ["doc", "sha"], "left")
     copy = (F.col("doc") != F.col("first")) & (F.col("n_bytes") >= length)
     empty = hashlib.sha256(b"").hexdigest()
     out = rows.select(
