@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.lineage import cut
 from orrery.operators import dedup
 
 
@@ -221,7 +222,7 @@ def keep_first_in_components(rows: DataFrame, keys: Sequence[str], *, key: str =
     heads = sure.where(F.col(lead) != "").groupBy(F.col(lead).alias("__k")).agg(F.min(F.struct(F.col(pos).alias("at"), "__sure", F.col(standing).alias("standing"))).alias("__head"))
     same = sure.drop("__sure").join(heads, F.col(lead) == F.col("__k"), "left")
     idle = F.col("__head.__sure") & (F.col(pos) > F.col("__head.at")) & (F.col(standing) <= F.col("__head.standing"))
-    live = same.where(~F.coalesce(idle, F.lit(False))).select(*rows.columns).persist()
+    live = cut(same.where(~F.coalesce(idle, F.lit(False))).select(*rows.columns))
     groups = dedup.duplicate_groups(live.select(key), dedup.key_edges(live, keys, key=key), key=key).select(F.col("id").alias("__id"), F.col("grp").alias("theme"))
     sizes = groups.groupBy("theme").agg(F.count("*").alias("__n"))
     listed = live.join(groups, F.col(key) == F.col("__id")).drop("__id").join(sizes, "theme")

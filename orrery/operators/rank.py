@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.lineage import cut
+
 CITATION_WEIGHT = 0.15
 
 
@@ -72,6 +74,18 @@ def anchor_places(rows: DataFrame, *, relevance: str = "relevance", score: str =
     return placed.withColumn("place", F.col("__start") + F.col("__own")).drop("__t", "__b", "__start", "__own")
 
 
+def places(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows plus place (from 1) in a total order, whatever the rows: ranges are sorted by themselves and counted.
+
+    One row a range, so the counts' window is as small as the number of partitions.
+    """
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_ = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()).withColumn("__own", own))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sorted_.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return sorted_.join(F.broadcast(starts), "__range").withColumn("place", F.col("__start") + F.col("__own") + 1).drop("__range", "__own", "__start")
+
+
 def leg_turns(legs: DataFrame, or_total: Column, n_legs: Column) -> DataFrame:
     """legs(keyword, total) plus own_turn: a keyword rarer than an equal share of the OR total keeps its own turn."""
     return legs.withColumn("own_turn", F.col("total") * n_legs < or_total)

@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
-from orrery.operators import gates, stats
+from orrery.lineage import cut
+from orrery.operators import dedup, gates, stats
 
 THEME = "struct<theme_overview:string,goal:string,why_problem:string,approach_type:string,assumptions:array<string>,scope:struct<field:string,scale:string,time_range:string>,keywords:struct<include:array<string>,exclude:array<string>>,concern:string>"
 #: Characters of a semantic query and of its shorter retry, facets of a theme, seeds that expansion needs and takes.
@@ -148,11 +149,32 @@ def semantic_leg(returned: DataFrame, *, work_type: str = "article") -> tuple[Da
     return rows.where("stage = 'kept'").drop("stage"), counts
 
 
-def lexical_baseline(found: DataFrame, keys: Sequence[str], *, per_query: int, limit: int) -> DataFrame:
-    """found (query, pos, id, keys) without what an earlier record shares an id or key with; a share a query, then the limit."""
-    rows = found
-    for k in ("id", *keys):
-        w = W.partitionBy(k).orderBy("query", "pos")
-        rows = rows.withColumn("__rn", F.when(T.text_or_empty(F.col(k)) == "", 1).otherwise(F.row_number().over(w))).where("__rn = 1").drop("__rn")
-    turn = F.row_number().over(W.partitionBy("query").orderBy("pos"))
-    return rows.withColumn("turn", turn).where(F.col("turn") <= per_query).orderBy("query", "pos").limit(limit)
+def lexical_baseline(found: DataFrame, keys: Sequence[str], *, per_query: int, limit: int, theme: str | None = None, per_page: int = 50) -> DataFrame:
+    """The records that queries collect one after another, with place (from 1): found (query, pos from 0, id, keys, abstract) in order of query and pos.
+
+    A record stays if it has an abstract and no record kept before has its id or one of its keys; a record that goes
+    holds no key. A query ends behind the page with which it has kept ``per_query`` records, and what it then leaves
+    unread holds no key either; ``limit`` ends a theme. Pages are settled for all themes at once; as a record depends on
+    earlier ones only, the queries' ends are found from the first query on, a round each at most.
+    """
+    t = [theme] if theme else []
+    rows = found.where(gates.has_abstract()).withColumn("__id", F.col("id").cast("string")).withColumn("__page", F.floor(F.col("pos") / per_page))
+    rows = cut(rows.withColumn("__at", F.struct(*t, "query", "pos", "id")))
+    while True:
+        kept = cut(dedup.first_of_all_keys(rows, ["__id", *keys], pos="__at", theme=theme))
+        pages = kept.groupBy(*t, "query", "__page").agg(F.count("*").alias("n"))
+        upto = pages.withColumn("n", F.sum("n").over(W.partitionBy(*t, "query").orderBy("__page")))
+        ends = upto.where(F.col("n") >= per_query).groupBy(*t, "query").agg(F.min("__page").alias("__end"))
+        unread = rows.join(ends, [*t, "query"]).where("__page > __end").groupBy(*t).agg(F.min("query").alias("query"))
+        # of each theme the first query that reads too far; the ends of later ones may still move
+        over = cut(unread.join(ends, [*t, "query"]))
+        if over.isEmpty():
+            break
+        cuts = over.select(*t, F.col("query").alias("__q"), "__end")
+        met = rows.join(cuts, t) if t else rows.join(F.broadcast(cuts), how="cross")  # one row without themes
+        rest = rows.join(cuts, t, "left_anti") if t else rows.where("false")
+        rows = cut(met.where((F.col("query") != F.col("__q")) | (F.col("__page") <= F.col("__end"))).select(*rows.columns).unionByName(rest))
+    place = F.row_number().over(W.partitionBy(*(t or [F.lit(0)])).orderBy("query", "pos"))
+    if not t:
+        kept = kept.orderBy("query", "pos").limit(limit)
+    return kept.withColumn("place", place).where(F.col("place") <= limit).drop("__id", "__page", "__at")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orrery.functions import scores as S
 from orrery.functions import text as T
 from orrery.operators import collect, contract, diagnostics, documents, gates, graph, rank, taxonomy, themes
-from orrery.plans.catalog import BASE_SQL, DOC_SQL, Frame, _docs, query, table
+from orrery.plans.catalog import BASE_SQL, DOC_SQL, KEY_SQL, Frame, _docs, query, table
 from orrery import sinks
 from orrery.sources import parse
 
@@ -303,11 +303,17 @@ def track_a_pre_rank(spark, sf):
     return documents.pre_rank(rows, ["the", "ing"], ["und"], count=20).select("id", "keyword_score")
 
 
-@query(DOC_SQL + r""", k AS (SELECT id, lang AS query, id AS pos, trim(regexp_replace(regexp_replace(lower(title), '&[a-z]+;', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS tk FROM d WHERE lang IS NOT NULL), u AS (SELECT *, row_number() OVER (PARTITION BY tk ORDER BY query, pos) AS rn FROM k), v AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS turn FROM u WHERE tk = '' OR rn = 1)
-SELECT query, id FROM v WHERE turn <= 20 ORDER BY query, pos LIMIT 60""")
+@query(KEY_SQL.replace("WITH d", "WITH RECURSIVE d") + """, f AS (SELECT k.id, lang AS query, row_number() OVER (PARTITION BY lang ORDER BY k.id) - 1 AS pos, tk, CASE WHEN length(ak) >= 200 THEN substr(ak, 1, 200) ELSE '' END AS ak, text FROM k JOIN d ON d.id = k.id WHERE lang IS NOT NULL),
+q AS (SELECT id, query, pos // 50 AS page, 't' || tk AS tk, 'a' || ak AS ak, row_number() OVER (ORDER BY query, pos) AS rn FROM f WHERE length(trim(coalesce(text, ''))) > 0),
+z(rn, query, page, n, stopped, keys, ids) AS (SELECT 0::BIGINT, '', 0::BIGINT, 0::BIGINT, false, []::VARCHAR[], []::BIGINT[] UNION ALL
+  SELECT y.rn, y.query, y.page, CASE WHEN take THEN y.n + 1 ELSE y.n END, y.stopped, CASE WHEN take THEN list_concat(y.keys, y.own) ELSE y.keys END, CASE WHEN take THEN list_append(y.ids, y.id) ELSE y.ids END
+  FROM (SELECT x.*, NOT x.stopped AND NOT list_has_any(x.keys, x.own) AS take
+        FROM (SELECT q.rn, q.query, q.page, q.id, CASE WHEN q.query <> z.query THEN 0 ELSE z.n END AS n, q.query = z.query AND (z.stopped OR q.page <> z.page AND z.n >= 60) AS stopped, list_filter([q.tk, q.ak], lambda v: length(v) > 1) AS own, z.keys, z.ids FROM z JOIN q ON q.rn = z.rn + 1) x) y),
+fin AS (SELECT ids FROM z ORDER BY rn DESC LIMIT 1) SELECT CAST(i AS INTEGER) AS place, ids[i] AS id FROM fin, range(1, least(len(ids), 200) + 1) AS u(i)""")
 def lexical_baseline(spark, sf):
-    rows = _docs(spark, sf).where("lang IS NOT NULL").select("id", F.col("lang").alias("query"), F.col("id").alias("pos"), T.title_key(F.col("title")).alias("tk"))
-    return themes.lexical_baseline(rows, ["tk"], per_query=20, limit=60).select("query", "id")
+    turn = F.row_number().over(rank.W.partitionBy("lang").orderBy("id")) - 1
+    rows = _docs(spark, sf).where("lang IS NOT NULL").select("id", F.col("lang").alias("query"), turn.alias("pos"), F.col("text").alias("abstract"), T.title_key(F.col("title")).alias("tk"), T.abstract_key(F.col("text")).alias("ak"))
+    return themes.lexical_baseline(rows, ["tk", "ak"], per_query=60, limit=200).select("place", "id")
 
 
 @query("""WITH v AS (SELECT o_orderkey AS id, o_custkey % 3 AS attempt, o_orderstatus <> 'P' AS complete, o_totalprice FROM orders) SELECT o_custkey AS id, CAST(list(o_orderkey ORDER BY o_orderstatus = 'P', o_orderkey)[1] AS BIGINT) AS attempt, bool_or(o_orderstatus <> 'P') AS complete FROM orders GROUP BY 1""")
@@ -350,9 +356,9 @@ def route_parameters(spark, sf):
     return spark.createDataFrame(rows, "route string, params string")
 
 
-@query("""WITH r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 1 ELSE 2 END DESC, o_orderkey) AS place FROM orders) SELECT id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 50""")
+@query("""WITH r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 1 ELSE 2 END DESC, o_orderkey) AS place FROM orders) SELECT id, CAST(place AS INTEGER) AS place FROM r""")
 def level_ordering(spark, sf):
     level = F.when(F.col("o_orderstatus") == "F", "高").when(F.col("o_orderstatus") == "O", "低").otherwise("?")
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), level.alias("level"), F.col("o_orderkey").alias("pos"))
     order = documents.level_order()
-    return o.orderBy(*order).limit(50).select("id", F.row_number().over(rank.W.orderBy(*order)).alias("place"))
+    return rank.places(o, *order).select("id", F.col("place").cast("int").alias("place"))

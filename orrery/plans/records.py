@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from orrery import sinks
 from orrery.functions import scores as S
 from orrery.functions import text as T
-from orrery.operators import collect, gates, graph, history, taxonomy
+from orrery.operators import collect, gates, history, rank, taxonomy
 from orrery.plans.catalog import BASE_SQL, DOC_SQL, Frame, _docs, query, table
 from orrery.sources import anchors, fulltext, parse, readers
 
@@ -30,11 +30,11 @@ def null_open_filters(spark, sf):
     return got.fillna(False, ["live", "outside", "inside"])
 
 
-@query(DOC_SQL + " SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN length(trim(coalesce(text, ''))) > 0 AND id % 3 <> 0 THEN 0 ELSE 1 END, id) AS INTEGER) AS place FROM d QUALIFY place <= 100")
+@query(DOC_SQL + " SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN length(trim(coalesce(text, ''))) > 0 AND id % 3 <> 0 THEN 0 ELSE 1 END, id) AS INTEGER) AS place FROM d")
 def abstract_first(spark, sf):
     rows = _docs(spark, sf).select("id", F.when(F.col("id") % 3 != 0, F.col("text")).alias("abstract"), F.col("id").alias("pos"))
     order = gates.abstract_first()
-    return rows.orderBy(*order).limit(100).select("id", F.row_number().over(graph.W.orderBy(*order)).alias("place"))
+    return rank.places(rows, *order).select("id", F.col("place").cast("int").alias("place"))
 
 
 @query(r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://openalex.org/W' || page_id WHEN 1 THEN 'w' || page_id WHEN 2 THEN 'https://doi.org/10.1/' || page_id WHEN 3 THEN 'W' || page_id || 'x' ELSE url END AS raw FROM pages)
