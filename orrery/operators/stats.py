@@ -21,6 +21,16 @@ def salient_terms(docs: DataFrame, *, text: str = "text", stop: Sequence[str] =
     return got.orderBy(F.col("df").desc(), F.col("tf").desc(), "term").limit(top)
 
 
+def salient_terms_by(docs: DataFrame, group: str, known: DataFrame, *, text: str = "text", stop: Sequence[str] = (), top: int = 6, least: int = 2) -> DataFrame:
+    """group, rank (from 0), term: salient_terms of every group at once; known: group, term to leave out. docs: group, id, text."""
+    words = docs.select(group, "id", F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))).alias("term"))
+    words = words.where(~F.col("term").isin(*stop)) if stop else words
+    per_doc = words.groupBy(group, "term", "id").agg(F.count("*").alias("c"))
+    got = per_doc.groupBy(group, "term").agg(F.count("*").alias("df"), F.sum("c").alias("tf")).where(F.col("df") >= least)
+    order = W.partitionBy(group).orderBy(F.col("df").desc(), F.col("tf").desc(), "term")
+    return got.join(known, [group, "term"], "left_anti").withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top).select(group, "rank", "term")
+
+
 def theme_profile(tags: DataFrame, *, top: int = 20) -> DataFrame:
     """name, weight, broad: broad names (level 0 or 1) and the heaviest names of level 1 and deeper. tags: name, level, score."""
     tags = tags.where("name <> ''")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import scores as S
 from orrery.functions import text as T
-from orrery.operators import collect, contract, diagnostics, documents, gates, graph, rank, taxonomy, themes
+from orrery.operators import collect, contract, diagnostics, documents, gates, graph, percolate, rank, taxonomy, themes
 from orrery.plans.catalog import BASE_SQL, DOC_SQL, KEY_SQL, Frame, _docs, query, table
 from orrery import sinks
 from orrery.sources import parse
@@ -280,6 +280,55 @@ def near_field_ladder(spark, sf):
     return themes.near_field(works, theme, limit=500, expand=False).select("id", "rung")
 
 
+PERCOLATE_SQL = DOC_SQL + r""", h AS (SELECT id, ' ' || trim(regexp_replace(lower(concat_ws(' ', title, text)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS h FROM d WHERE length(trim(coalesce(text, ''))) > 0 AND NOT starts_with(upper(title), 'RETRACTED:') AND NOT starts_with(upper(title), 'WITHDRAWN:')),
+t AS (SELECT conv_id AS theme, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')[1:4], lambda w: true) AS w FROM conversations WHERE turn = 0),
+q AS (SELECT theme, 0 AS rung, w[1:3] AS w, len(w) AS k FROM t WHERE len(w) >= 3 UNION ALL SELECT theme, greatest(least(len(w), 3) - 2, 0), w[1:2], len(w) FROM t WHERE len(w) >= 2 UNION ALL SELECT theme, least(len(w), 3) - 1, w[1:1], len(w) FROM t WHERE len(w) >= 1 UNION ALL SELECT theme, 3, w[4:4], len(w) FROM t WHERE len(w) >= 4),
+u AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY theme, array_to_string(w, ' ') ORDER BY rung) = 1),
+f AS (SELECT theme, id, min(rung) AS rung FROM u, h WHERE contains(h, ' ' || w[1] || ' ') AND (len(w) < 2 OR contains(h, ' ' || w[2] || ' ')) AND (len(w) < 3 OR contains(h, ' ' || w[3] || ' ')) GROUP BY theme, id)
+"""
+
+
+def _conversation_themes(spark, sf):
+    """A theme from each conversation's first turn: three keywords, the fourth word as goal."""
+    words = F.slice(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)), 1, 4)
+    rows = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("theme"), words.alias("w"))
+    return rows.select("theme", F.slice("w", 1, 3).alias("keywords_include"), F.lit(None).cast("string").alias("scope_field"), F.try_element_at("w", F.lit(4)).alias("goal"))
+
+
+def _doc_works(spark, sf):
+    return _docs(spark, sf).select("id", "title", F.col("text").alias("abstract"), F.lit(False).alias("is_retracted"), F.col("id").alias("pos"))
+
+
+@query(PERCOLATE_SQL + "SELECT theme, id, CAST(rung AS INTEGER) AS rung FROM f")
+def percolated_ladders(spark, sf):
+    works = gates.drop_retracted(_doc_works(spark, sf)).where(gates.has_abstract())
+    found = percolate.first_rungs(percolate.percolate(percolate.ladders(_conversation_themes(spark, sf)), works))
+    return found.select(F.col("query").alias("theme"), "id", "rung")
+
+
+@query(PERCOLATE_SQL + "SELECT theme, CAST(row_number() OVER (PARTITION BY theme ORDER BY rung, id) AS INTEGER) AS place, id, CAST(rung AS INTEGER) AS rung FROM f QUALIFY place <= 500")
+def near_fields(spark, sf):
+    return percolate.near_fields(_doc_works(spark, sf), _conversation_themes(spark, sf), expand=False).select("theme", "place", "id", "rung")
+
+
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM lineitem), n AS (SELECT id, count(*) AS n FROM r GROUP BY id),
+w AS (SELECT o_orderkey AS id, o_custkey % 26 AS field, year(o_orderdate) AS y, o_orderstatus AS kind, coalesce(n, 0) AS n FROM orders LEFT JOIN n ON n.id = o_orderkey)
+SELECT p_partkey AS part, w.id FROM part JOIN r ON r.ref IN (p_partkey, p_partkey + 1) JOIN w ON w.id = r.id WHERE field <> p_size % 26 AND (p_partkey % 3 <> 0 OR y >= 1995) AND (p_partkey % 4 <> 0 OR y <= 1996) AND (p_partkey % 5 <> 0 OR kind = 'F') AND (p_partkey % 2 <> 0 OR n < 5)
+UNION SELECT -1 - c_custkey, w.id FROM customer JOIN w ON field IN (c_nationkey, c_nationkey + 1) WHERE c_custkey % 50 = 0 AND kind = 'O'""")
+def percolated_filters(spark, sf):
+    refs = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("refs"))
+    works = table(spark, sf, "orders").join(refs, F.col("o_orderkey") == F.col("o"), "left").select(F.col("o_orderkey").alias("id"), F.lit("").alias("title"), F.lit("").alias("abstract"), (F.col("o_custkey") % 26).cast("string").alias("field_id"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("type"), "refs")
+    k, s = F.col("p_partkey"), lambda c: c.cast("string")
+    parts = table(spark, sf, "part").select(
+        k.alias("query"), F.array(s(k), s(k + 1)).alias("cites"), F.array(s(F.col("p_size") % 26)).alias("exclude_field_ids"), F.when(k % 3 == 0, 1995).alias("year_from"), F.when(k % 4 == 0, 1996).alias("year_to"),
+        F.when(k % 5 == 0, "F").alias("work_type"), F.when(k % 2 == 0, 5).alias("max_refs"),
+    )
+    n = F.col("c_nationkey")
+    fields = table(spark, sf, "customer").where("c_custkey % 50 = 0").select((-1 - F.col("c_custkey")).alias("query"), F.array(s(n), s(n + 1)).alias("field_ids"), F.lit("O").alias("work_type"))
+    queries = parts.unionByName(fields, allowMissingColumns=True).withColumn("rung", F.lit(0))
+    return percolate.percolate(queries, works).select(F.col("query").alias("part"), "id")
+
+
 @query(DOC_SQL + r""", s AS (SELECT id, CASE WHEN id % 9 = 0 OR starts_with(upper(coalesce(title, '')), 'RETRACTED:') OR starts_with(upper(coalesce(title, '')), 'WITHDRAWN:') THEN 'retracted' WHEN id % 4 = 1 THEN 'other_type' WHEN length(trim(coalesce(text, ''))) = 0 THEN 'no_abstract' ELSE 'kept' END AS stage FROM d)
 SELECT count(*) AS returned, count(*) FILTER (stage = 'retracted') AS retracted, count(*) FILTER (stage = 'other_type') AS other_type, count(*) FILTER (stage = 'no_abstract') AS no_abstract, count(*) FILTER (stage = 'kept') AS kept FROM s""")
 def semantic_leg_counts(spark, sf):
@@ -304,11 +353,11 @@ def track_a_pre_rank(spark, sf):
 
 
 @query(KEY_SQL.replace("WITH d", "WITH RECURSIVE d") + """, f AS (SELECT k.id, lang AS query, row_number() OVER (PARTITION BY lang ORDER BY k.id) - 1 AS pos, tk, CASE WHEN length(ak) >= 200 THEN substr(ak, 1, 200) ELSE '' END AS ak, text FROM k JOIN d ON d.id = k.id WHERE lang IS NOT NULL),
-q AS (SELECT id, query, pos // 50 AS page, 't' || tk AS tk, 'a' || ak AS ak, row_number() OVER (ORDER BY query, pos) AS rn FROM f WHERE length(trim(coalesce(text, ''))) > 0),
-z(rn, query, page, n, stopped, keys, ids) AS (SELECT 0::BIGINT, '', 0::BIGINT, 0::BIGINT, false, []::VARCHAR[], []::BIGINT[] UNION ALL
+q AS MATERIALIZED (SELECT id, query, pos // 50 AS page, list_filter([CASE WHEN tk <> '' THEN hash('t' || tk) END, CASE WHEN ak <> '' THEN hash('a' || ak) END], lambda v: v IS NOT NULL) AS own, row_number() OVER (ORDER BY query, pos) AS rn FROM f WHERE length(trim(coalesce(text, ''))) > 0),
+z(rn, query, page, n, stopped, keys, ids) AS (SELECT 0::BIGINT, '', 0::BIGINT, 0::BIGINT, false, []::UBIGINT[], []::BIGINT[] UNION ALL
   SELECT y.rn, y.query, y.page, CASE WHEN take THEN y.n + 1 ELSE y.n END, y.stopped, CASE WHEN take THEN list_concat(y.keys, y.own) ELSE y.keys END, CASE WHEN take THEN list_append(y.ids, y.id) ELSE y.ids END
   FROM (SELECT x.*, NOT x.stopped AND NOT list_has_any(x.keys, x.own) AS take
-        FROM (SELECT q.rn, q.query, q.page, q.id, CASE WHEN q.query <> z.query THEN 0 ELSE z.n END AS n, q.query = z.query AND (z.stopped OR q.page <> z.page AND z.n >= 60) AS stopped, list_filter([q.tk, q.ak], lambda v: length(v) > 1) AS own, z.keys, z.ids FROM z JOIN q ON q.rn = z.rn + 1) x) y),
+        FROM (SELECT q.rn, q.query, q.page, q.id, CASE WHEN q.query <> z.query THEN 0 ELSE z.n END AS n, q.query = z.query AND (z.stopped OR q.page <> z.page AND z.n >= 60) AS stopped, q.own, z.keys, z.ids FROM z JOIN q ON q.rn = z.rn + 1 WHERE len(z.ids) < 200) x) y),
 fin AS (SELECT ids FROM z ORDER BY rn DESC LIMIT 1) SELECT CAST(i AS INTEGER) AS place, ids[i] AS id FROM fin, range(1, least(len(ids), 200) + 1) AS u(i)""")
 def lexical_baseline(spark, sf):
     turn = F.row_number().over(rank.W.partitionBy("lang").orderBy("id")) - 1
