@@ -1,21 +1,28 @@
-"""Paged readers over an injected fetcher, as a Spark data source: retries, pacing, budget guard, failures kept apart.
-
-A fetcher takes the request's parameters and gives (status, headers, body); it runs on the executors. One partition
-reads one query (or one page of it with ``split``); pages of a query are read until one has no results.
+"""Paged readers over an injected fetcher, as a Spark data source: retries, one rate and one budget, failures kept apart.
+
+A fetcher takes the request's parameters and gives (status, headers, body); it runs on the executors. Queries are dealt
+to lanes, a partition each. All lanes share one rate: time is cut into slots of the pacing interval, and slot n belongs
+to lane n modulo the number of lanes. All lanes share one budget: it is dealt to them before the read begins, attempts
+that fail count too. A lane reads in rounds, the next page of each of its queries that had results on the page before,
+so a budget that ends early has read all queries to the same depth, and no page behind an empty one is asked for. A task
+that Spark starts again spends its share again.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, Not
 
 from orrery.functions import text as T
 
@@ -41,11 +48,15 @@ class ReadError(RuntimeError):
         self.status, self.exhausted = status, exhausted
 
     def __reduce__(self):
-        return _read_error, (str(self), self.status, self.exhausted)
+        return _read_error, (type(self), str(self), self.status, self.exhausted)
+
+
+def _read_error(kind: type[ReadError], message: str, status: int | None, exhausted: bool) -> ReadError:
+    return kind(message, status=status, exhausted=exhausted)
 
 
-def _read_error(message: str, status: int | None, exhausted: bool) -> ReadError:
-    return ReadError(message, status=status, exhausted=exhausted)
+class Unread(ReadError):
+    """The share of the budget is spent; what is left stays unread."""
 
 
 def meter(headers: dict[str, str]) -> dict[str, float | None] | None:
@@ -93,16 +104,51 @@ def budget_caveat(m: dict[str, float | None] | None) -> str:
     return f"low budget: {m['remaining']:g} of {m['limit']:g} left, {searches_left(m)} searches" if low_budget(m) else ""
 
 
+@dataclass(frozen=True)
+class Lane:
+    """One reader's part of a shared rate and budget: every lanes-th slot from start (seconds of the epoch) on, and so many requests (None: any)."""
+
+    index: int = 0
+    lanes: int = 1
+    start: float = 0.0
+    requests: int | None = None
+
+    def next_slot(self, now: float, interval: float, last: int) -> int:
+        """The number of the first own slot that has not begun to pass, behind the last one used."""
+        due = math.ceil(((now - self.start) / interval - self.index) / self.lanes - 1e-6)
+        return max(due, last + 1)
+
+    def begins(self, slot: int, interval: float) -> float:
+        return self.start + (slot * self.lanes + self.index) * interval
+
+
+def deal(lanes: int, requests: int | None, *, start: float | None = None) -> list[Lane]:
+    """So many lanes that together make at most so many requests."""
+    shares = [None] * lanes if requests is None else [requests // lanes + (i < requests % lanes) for i in range(lanes)]
+    begin = time.time() if start is None else start
+    return [Lane(i, lanes, begin, n) for i, n in enumerate(shares)]
+
+
 class Client:
-    """Requests one after another, paced, with bounded retries; counts what happened."""
+    """Requests one after another, paced, with bounded retries; counts what happened. With a lane it keeps to the lane's slots and share."""
 
-    def __init__(self, fetch: Fetch, config: ReadConfig = ReadConfig(), *, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.monotonic) -> None:
-        self.fetch, self.config, self.sleep, self.now = fetch, config, sleep, now
-        self.last, self.meter = None, None
+    def __init__(self, fetch: Fetch, config: ReadConfig = ReadConfig(), *, lane: Lane | None = None, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] | None = None) -> None:
+        self.fetch, self.config, self.sleep, self.lane = fetch, config, sleep, lane
+        self.now = now or (time.time if lane else time.monotonic)
+        self.last, self.meter, self.slot, self.sent = None, None, -1, 0
         self.stats = {"requests": 0, "retried": 0, "gave_up": 0, "gateway": 0}
 
     def _paced(self, params: dict[str, Any]) -> tuple[int | None, str]:
-        if self.last is not None and (wait := self.config.interval - (self.now() - self.last)) > 0:
+        lane, interval = self.lane, self.config.interval
+        if lane is not None and lane.requests is not None and self.sent >= lane.requests:
+            raise Unread("the budget is spent", exhausted=True)
+        self.sent += 1
+        if lane is not None and interval > 0:
+            self.slot = lane.next_slot(self.now(), interval, self.slot)
+            wait = lane.begins(self.slot, interval) - self.now()
+        else:
+            wait = 0 if self.last is None else interval - (self.now() - self.last)
+        if wait > 0:
             self.sleep(wait)
         self.last = self.now()
         try:
@@ -119,7 +165,13 @@ class Client:
             status, body = self._paced(params)
             tried += 1
             if status == 200:
-                return json.loads(body)
+                try:
+                    got = json.loads(body)
+                except (TypeError, ValueError, RecursionError):
+                    got = None
+                if not isinstance(got, dict):
+                    raise ReadError(f"answered with a broken body: {str(body)[:300]}", status=200)
+                return got
             if status == 429 and exhausted(self.meter):
                 self.stats["gave_up"] += 1
                 raise ReadError("the budget is exhausted", status=429, exhausted=True)
@@ -139,40 +191,130 @@ class Client:
     def pages(self, params: dict[str, Any], *, per_page: int, first: int = 1, last: int) -> Iterator[tuple[int, list]]:
         """(page, results) until a page has none."""
         for page in range(first, last + 1):
-            results = self.get({**params, "per-page": per_page, "page": page}).get("results") or []
+            results = self.page(params, per_page=per_page, page=page)
             if not results:
                 return
             yield page, results
 
+    def page(self, params: dict[str, Any], *, per_page: int, page: int) -> list:
+        results = self.get({**params, "per-page": per_page, "page": page}).get("results") or []
+        if not isinstance(results, list):
+            raise ReadError("answered with results that are no list", status=200)
+        return results
+
+
+class _LanePart(InputPartition):
+    def __init__(self, lane: Lane, queries: list[int]) -> None:
+        super().__init__(lane.index)
+        self.lane, self.queries = lane, queries
+
+
+#: Record columns of the source: name -> (type, path in a record, name of the request filter that asks for equal values).
+RECORD_COLUMNS: dict[str, tuple[str, tuple[str, ...], str]] = {
+    "publication_year": ("int", ("publication_year",), "publication_year"),
+    "type": ("string", ("type",), "type"),
+    "field_id": ("string", ("primary_topic", "field", "id"), "primary_topic.field.id"),
+    "topic_id": ("string", ("primary_topic", "id"), "primary_topic.id"),
+    "is_retracted": ("boolean", ("is_retracted",), "is_retracted"),
+    "cited_by_count": ("int", ("cited_by_count",), "cited_by_count"),
+    "referenced_works_count": ("int", ("referenced_works_count",), "referenced_works_count"),
+}
+PAGE_COLUMNS = "query int, page int, pos int, payload string, error string"
+
+
+def _at(record: Any, path: tuple[str, ...], kind: str) -> Any:
+    for p in path:
+        record = record.get(p) if isinstance(record, dict) else None
+    if kind == "string":
+        return None if record is None else str(record).rsplit("/", 1)[-1]
+    return record if isinstance(record, bool if kind == "boolean" else int) and isinstance(record, bool) == (kind == "boolean") else None
 
-class _Span(InputPartition):
-    def __init__(self, query: int, first: int, last: int) -> None:
-        super().__init__(query)
-        self.query, self.first, self.last = query, first, last
+
+def _shown(v: Any) -> str | None:
+    """A value as request filters write it; None where it has signs that mean something there."""
+    text = str(v).lower() if isinstance(v, bool) else str(v)
+    return text if isinstance(v, (bool, int, str)) and text and not set(text) & set(",|:!<>") else None
+
+
+def request_filter(f: Filter, columns: dict[str, tuple[str, tuple[str, ...], str]] = RECORD_COLUMNS) -> str | None:
+    """The part of the request's filter that asks for what a pushed filter on a record column keeps; None where there is none."""
+    negated, f = (True, f.child) if isinstance(f, Not) else (False, f)
+    known = columns.get(f.attribute[0]) if len(getattr(f, "attribute", ())) == 1 else None
+    if known is None:
+        return None
+    name, number = known[2], known[0] == "int"
+    if isinstance(f, EqualTo) and (v := _shown(f.value)) is not None:
+        return f"{name}:{'!' * negated}{v}"
+    if negated:
+        return None
+    if isinstance(f, In):
+        values = [_shown(v) for v in f.value]
+        return f"{name}:{'|'.join(values)}" if values and None not in values else None
+    if number and isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and isinstance(f.value, int):
+        return f"{name}:>{f.value - isinstance(f, GreaterThanOrEqual)}" if isinstance(f, (GreaterThan, GreaterThanOrEqual)) else f"{name}:<{f.value + isinstance(f, LessThanOrEqual)}"
+    return None
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, fetch: Fetch, config: ReadConfig, queries: Sequence[dict[str, Any]], per_page: int, max_pages: int, split: bool, isolate: bool) -> None:
-        self.fetch, self.config, self.queries, self.per_page, self.max_pages, self.split, self.isolate = fetch, config, list(queries), per_page, max_pages, split, isolate
+    def __init__(self, fetch: Fetch, config: ReadConfig, queries: Sequence[dict[str, Any]], per_page: int, max_pages: int, lanes: int, requests: int | None, isolate: bool, columns: dict) -> None:
+        self.fetch, self.config, self.queries, self.per_page, self.max_pages, self.lanes, self.requests, self.isolate, self.columns = fetch, config, list(queries), per_page, max_pages, lanes, requests, isolate, columns
+        self.asked, self.wanted = range(len(self.queries)), []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Filters on query and page limit what is read, those on record columns become request filters. The latter are
+        still evaluated behind the scan, where a server may read them more loosely; all others stay there alone."""
+        for f in filters:
+            at = getattr(f, "attribute", None)
+            if at == ("query",) and isinstance(f, (EqualTo, In)):
+                among = set(f.value) if isinstance(f, In) else {f.value}
+                self.asked = [q for q in self.asked if q in among]
+            elif at == ("page",) and isinstance(f, (LessThan, LessThanOrEqual)):
+                self.max_pages = min(self.max_pages, f.value - isinstance(f, LessThan))
+            else:
+                if self.columns and (part := request_filter(f, self.columns)) is not None:
+                    self.wanted.append(part)
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        spans = [(1, self.max_pages)] if not self.split else [(p, p) for p in range(1, self.max_pages + 1)]
-        return [_Span(q, a, b) for q in range(len(self.queries)) for a, b in spans]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        client = Client(self.fetch, self.config)
-        try:
-            for page, results in client.pages(self.queries[partition.query], per_page=self.per_page, first=partition.first, last=partition.last):
+        n = max(1, min(self.lanes, len(self.asked)))
+        return [_LanePart(lane, list(self.asked[lane.index :: n])) for lane in deal(n, self.requests)]
+
+    def params(self, query: int) -> dict[str, Any]:
+        own = self.queries[query]
+        every = ",".join([*([own["filter"]] if own.get("filter") else []), *self.wanted])
+        return {**own, "filter": every} if every else own
+
+    def read(self, partition: _LanePart) -> Iterator[tuple]:
+        client = Client(self.fetch, self.config, lane=partition.lane)
+        none = (None,) * len(self.columns)
+        open_, spent = list(partition.queries), None
+        for page in range(1, self.max_pages + 1):
+            going = []
+            for q in open_:
+                try:
+                    if spent is not None:
+                        raise spent
+                    results = client.page(self.params(q), per_page=self.per_page, page=page)
+                except ReadError as e:
+                    if not self.isolate or e.exhausted and not isinstance(e, Unread):
+                        raise
+                    spent = e if isinstance(e, Unread) else None
+                    yield q, page, -1, None, str(e), *none  # one query that fails or stays unread does not cost the others
+                    continue
                 for pos, r in enumerate(results):
-                    yield partition.query, page, pos, json.dumps(r, ensure_ascii=False), None
-        except ReadError as e:
-            if not self.isolate or e.exhausted:
-                raise
-            yield partition.query, partition.first, -1, None, str(e)  # one failed query does not cost the others
+                    yield q, page, pos, json.dumps(r, ensure_ascii=False), None, *(_at(r, path, kind) for kind, path, _ in self.columns.values())
+                if results:
+                    going.append(q)
+            open_ = going
 
 
-def paged_source(fetch: Fetch, queries: Sequence[dict[str, Any]], *, config: ReadConfig = ReadConfig(), per_page: int = 50, max_pages: int = 4, split: bool = False, isolate: bool = False, name: str = "paged_json") -> type[DataSource]:
-    """A data source over these queries: query, page, pos, payload, error. Register it, then spark.read.format(name).load()."""
+def paged_source(fetch: Fetch, queries: Sequence[dict[str, Any]], *, config: ReadConfig = ReadConfig(), per_page: int = 50, max_pages: int = 4, lanes: int = 8, requests: int | None = None, isolate: bool = False, columns: dict | None = None, name: str = "paged_json") -> type[DataSource]:
+    """A data source over these queries: query, page, pos, payload, error, and record columns (RECORD_COLUMNS or others) where they are asked for.
+
+    Together the lanes keep to config.interval and to the number of requests. With ``isolate`` a query that fails, or that the
+    requests don't reach, gives a row with its error instead of ending the read. Register it, then spark.read.format(name).load().
+    """
+    held = dict(columns or {})
 
     class Paged(DataSource):
         @classmethod
@@ -180,31 +322,51 @@ def paged_source(fetch: Fetch, queries: Sequence[dict[str, Any]], *, config: Rea
             return name
 
         def schema(self) -> str:
-            return "query int, page int, pos int, payload string, error string"
+            return ", ".join([PAGE_COLUMNS, *(f"{c} {kind}" for c, (kind, *_) in held.items())])
 
         def reader(self, schema) -> DataSourceReader:
-            return _Reader(fetch, config, queries, per_page, max_pages, split, isolate)
+            return _Reader(fetch, config, queries, per_page, max_pages, lanes, requests, isolate, held)
 
     return Paged
 
 
 def read_pages(spark: SparkSession, fetch: Fetch, queries: Sequence[dict[str, Any]], **options: Any) -> DataFrame:
+    """The source, loaded. Filters on its columns are pushed where spark.sql.python.filterPushdown.enabled is set, which this does."""
     source = paged_source(fetch, queries, **options)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(source)
     return spark.read.format(source.name()).load()
 
 
-def fetch_each(keys: DataFrame, fetch: Fetch, *, key: str = "key", param: str = "key", config: ReadConfig = ReadConfig(), absent: frozenset[int] = frozenset({404})) -> DataFrame:
+def theme_scan(spark: SparkSession, fetch: Fetch, queries: DataFrame, *, most: int = 1000, **options: Any) -> DataFrame:
+    """The pages of a table of queries (percolate.ladders: query, rung, anchor, route, field_ids), with theme and rung for query.
+
+    Each query costs a request at least, so more than ``most`` are refused. Filters on theme and rung don't reach the requests;
+    those on query, page and record columns do.
+    """
+    rows = queries.orderBy("query", "rung").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} queries")
+    from orrery.operators import gates, themes
+
+    asked = [themes.route_params(gates.StructuredQuery(anchor_terms=(r.anchor,), field_ids=tuple(r.field_ids or ()), route=r.route or "filter"), per_page=options.get("per_page", 50)) for r in rows]
+    names = spark.createDataFrame([(i, r["query"], r.rung) for i, r in enumerate(rows)], types.StructType([types.StructField("query", types.IntegerType()), types.StructField("theme", queries.schema["query"].dataType), types.StructField("rung", types.IntegerType())]))
+    return read_pages(spark, fetch, asked, **{"columns": RECORD_COLUMNS, "isolate": True} | options).join(F.broadcast(names), "query")
+
+
+def fetch_each(keys: DataFrame, fetch: Fetch, *, key: str = "key", param: str = "key", config: ReadConfig = ReadConfig(), absent: frozenset[int] = frozenset({404}), lanes: int = 8, requests: int | None = None) -> DataFrame:
     """key, payload, error: one request a distinct key, as read-me files, releases, runs and full texts are asked for.
 
-    What is absent gives null and no error; a key that fails costs only itself; an exhausted budget ends the read.
+    What is absent gives null and no error; a key that fails, or that the requests don't reach, costs only itself; an exhausted
+    budget of the server ends the read. All lanes keep to one rate.
     """
-    one = keys.select(F.col(key).cast("string").alias("key")).where("key IS NOT NULL").distinct()
+    one = keys.select(F.col(key).cast("string").alias("key")).where("key IS NOT NULL").distinct().repartition(lanes)
+    own = deal(lanes, requests)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        client = Client(fetch, config)
+        client = Client(fetch, config, lane=own[TaskContext.get().partitionId() % lanes])
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for k in batch.column(0).to_pylist():
@@ -212,7 +374,7 @@ def fetch_each(keys: DataFrame, fetch: Fetch, *, key: str = "key", param: str =
                 try:
                     payload = json.dumps(client.get({param: k}), ensure_ascii=False)
                 except ReadError as e:
-                    if e.exhausted:
+                    if e.exhausted and not isinstance(e, Unread):
                         raise
                     error = None if e.status in absent else str(e)
                 for c, v in zip(out, (k, payload, error), strict=True):

@@ -1,6 +1,8 @@
 """Paged readers over fetchers that are not there: pages, retries, budget, isolation, lookups."""
 
 import json
+import sys
+import time
 
 import pytest
 
@@ -81,17 +83,17 @@ def by_query(params):
     return 200, {}, json.dumps({"results": [{"id": f"{params['q']}-{page}-{i}"} for i in range(params["per-page"])] if page <= n else []})
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_pages_of_queries(spark, split):
+@pytest.mark.parametrize("lanes", [1, 2, 8])
+def test_pages_of_queries(spark, lanes):
     import sys
 
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    got = readers.read_pages(spark, by_query, [{"q": "many"}, {"q": "few"}, {"q": "none"}], per_page=2, max_pages=5, split=split, config=readers.ReadConfig(interval=0.0), name=f"pages_{split}")
+    got = readers.read_pages(spark, by_query, [{"q": "many"}, {"q": "few"}, {"q": "none"}], per_page=2, max_pages=5, lanes=lanes, config=readers.ReadConfig(interval=0.0), name=f"pages_{lanes}")
     rows = sorted((r.query, r.page, r.pos, json.loads(r.payload)["id"]) for r in got.collect())
     assert rows == [(0, p, i, f"many-{p}-{i}") for p in (1, 2, 3) for i in (0, 1)] + [(1, 1, i, f"few-1-{i}") for i in (0, 1)]
-    assert got.rdd.getNumPartitions() == (15 if split else 3)
+    assert got.rdd.getNumPartitions() == min(lanes, 3)
 
 
 def test_failures_stay_apart(spark):
@@ -140,3 +142,133 @@ def test_lookups_and_names(spark):
     assert row.select(readers.archived_pdfs(F.col("f")).alias("u")).first().u == ["https://web.archive.org/2", "https://archive.org/3", "http://a.org/1"]
     keys = spark.createDataFrame([("https://openalex.org/W12",), ("a b/é",), ("",)], "id string").select(readers.cache_key(F.col("id")).alias("k"), readers.repository_text(F.repeat(F.lit("x "), 200)).alias("t"))
     assert [r.k for r in keys.collect()] == ["W12", "_", "work"] and keys.first().t is None
+
+
+def noted(path, by=None):
+    """A fetcher that writes down when it was asked for what, whichever process asks."""
+
+    def fetch(params):
+        with open(path, "a") as f:
+            f.write(json.dumps([time.time(), params]) + "\n")
+        return (by or by_query)(params)
+
+    return fetch
+
+
+def notes(path):
+    return sorted(json.loads(line) for line in open(path))
+
+
+def by_value():
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def test_eight_lanes_keep_to_one_rate_and_one_budget(spark, tmp_path):
+    """16 queries of three pages in 8 partitions: requests come one interval apart over all of them, and no more than paid for."""
+    by_value()
+    log = str(tmp_path / "log")
+    got = readers.read_pages(spark, noted(log), [{"q": "many"}] * 16, per_page=1, max_pages=9, lanes=8, requests=37, isolate=True, config=readers.ReadConfig(interval=0.05), name="lanes_8")
+    assert got.rdd.getNumPartitions() == 8
+    open(log, "w").close()
+    rows = got.collect()
+    times = [t for t, _ in notes(log)]
+    assert len(times) == 37 == sum(r.error is None for r in rows)
+    gaps = [b - a for a, b in zip(times, times[1:])]
+    assert sum(g < 0.03 for g in gaps) <= 2  # the machine may wake a lane late
+    depth = {q: max(r.page for r in rows if r["query"] == q and r.error is None) for q in range(16)}
+    assert set(depth.values()) <= {2, 3} and sorted(r["query"] for r in rows if r.error) == list(range(16))
+
+
+def test_failed_attempts_are_paid_for(spark, tmp_path):
+    by_value()
+    log = str(tmp_path / "log")
+    got = readers.read_pages(spark, noted(log, lambda p: (503, {}, "busy")), [{"q": i} for i in range(4)], lanes=2, requests=5, isolate=True, config=readers.ReadConfig(interval=0.0, backoff=0.0), name="paid").collect()
+    assert len(notes(log)) == 5 and all(r.error for r in got) and {r["query"] for r in got} == {0, 1, 2, 3}
+    with pytest.raises(Exception, match="the budget is spent"):
+        readers.read_pages(spark, by_query, [{"q": "many"}], requests=1, per_page=1, config=readers.ReadConfig(interval=0.0), name="unpaid").collect()
+
+
+def test_slots_never_meet():
+    assert [x.requests for x in readers.deal(3, 10)] == [4, 3, 3] and readers.deal(2, None)[1].requests is None
+    lanes = readers.deal(3, None, start=100.0)
+    clock = [100.0]
+    clients = [readers.Client(lambda p: OK, readers.ReadConfig(interval=0.5), lane=x, sleep=lambda s: clock.__setitem__(0, clock[0] + s), now=lambda: clock[0]) for x in lanes]
+    begun = []
+    for i in range(9):
+        clients[i % 3].get({})
+        begun.append(round(clock[0], 6))
+    assert begun == [100.0 + 0.5 * i for i in range(9)]
+    clock[0] = 1000.1
+    clients[1].get({})
+    assert clock[0] == pytest.approx(1001.0) and readers.Lane(1, 3, 100.0).begins(600, 0.5) == pytest.approx(1000.5)
+
+
+@pytest.mark.parametrize("body", ["{broken", "[1]", "null", '{"results": 5}', "[" * 100_000])
+def test_a_broken_body_costs_its_own_query(spark, body):
+    by_value()
+    fetch = lambda p: (200, {}, body) if p["q"] == "bad" else by_query(p)
+    got = readers.read_pages(spark, fetch, [{"q": "bad"}, {"q": "few"}], per_page=1, max_pages=2, isolate=True, config=readers.ReadConfig(interval=0.0), name="bodies").collect()
+    assert sorted((r["query"], r.error is None) for r in got) == [(0, False), (1, True)]
+
+
+def record(params):
+    """Works by year and type; reads the request's filter for years only."""
+    years = range(2000, 2010)
+    for part in params.get("filter", "").split(","):
+        if part.startswith("publication_year:>"):
+            years = [y for y in years if y > int(part.split(">")[1])]
+    return 200, {}, json.dumps({"results": [{"id": f"W{y}", "publication_year": y, "type": "article" if y % 2 else "review", "primary_topic": {"field": {"id": "https://x.org/fields/17"}}} for y in years] if params["page"] == 1 else []})
+
+
+def test_filters_become_request_parameters(spark, tmp_path, capsys):
+    """Filters on query and page leave the plan, those on record columns are in the requests too; what can't be pushed stays behind the scan."""
+    from pyspark.sql import functions as F
+
+    by_value()
+    log = str(tmp_path / "log")
+    all_ = readers.read_pages(spark, noted(log, record), [{"filter": "type:x", "q": 0}, {"q": 1}, {"q": 2}], columns=readers.RECORD_COLUMNS, config=readers.ReadConfig(interval=0.0), name="pushed")
+    got = all_.where((F.col("query") < 9) & F.col("query").isin(0, 2) & (F.col("page") <= 1) & (F.col("publication_year") >= 2004) & (F.col("type") != "review") & (F.length("payload") > 3) & (F.col("field_id") == "17"))
+    rows = got.collect()
+    assert sorted((r["query"], r.publication_year) for r in rows) == [(q, y) for q in (0, 2) for y in (2005, 2007, 2009)] and {r.field_id for r in rows} == {"17"}
+    asked = [p for _, p in notes(log)]
+    assert {(p["q"], p["page"]) for p in asked} == {(0, 1), (2, 1)}
+    for p in asked:
+        parts = p["filter"].split(",")
+        assert set(parts) == ({"type:x"} if p["q"] == 0 else set()) | {"publication_year:>2003", "type:!review", "primary_topic.field.id:17"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "length(payload" in plan and "publication_year" in plan and "query#" in plan and "IN (0,2)" not in plan.split("BatchScan")[0]
+
+
+def test_request_filters():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan, LessThanOrEqual, Not, StringContains
+
+    f = readers.request_filter
+    assert f(EqualTo(("type",), "article")) == "type:article" and f(Not(EqualTo(("type",), "a"))) == "type:!a" and f(EqualTo(("is_retracted",), False)) == "is_retracted:false"
+    assert f(In(("topic_id",), ("T1", "T2"))) == "primary_topic.id:T1|T2" and f(LessThanOrEqual(("cited_by_count",), 5)) == "cited_by_count:<6" and f(LessThan(("publication_year",), 5)) == "publication_year:<5" and f(GreaterThan(("cited_by_count",), 5)) == "cited_by_count:>5"
+    assert f(EqualTo(("type",), "a|b")) is None and f(StringContains(("type",), "a")) is None and f(EqualTo(("payload",), "x")) is None and f(Not(In(("type",), ("a",)))) is None and f(In(("type",), ("a", "b,c"))) is None
+
+
+def test_themes_are_scanned_by_their_ladders(spark, tmp_path):
+    from orrery.operators import percolate
+
+    by_value()
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", ["deep", "nets"], None, "goal", ["17"]), ("b", [], "field", None, None)], "theme string, keywords_include array<string>, scope_field string, goal string, ids array<string>")
+    got = readers.theme_scan(spark, noted(log, record), percolate.ladders(rows, field_ids="ids"), config=readers.ReadConfig(interval=0.0), per_page=5, name="ladders")
+    kept = got.where("publication_year > 2007").collect()
+    assert {(r.theme, r.rung) for r in kept} == {("a", 0), ("a", 1), ("a", 2), ("b", 0)} and {r.publication_year for r in kept} == {2008, 2009}
+    first = next(p for _, p in notes(log) if "deep nets" in p["filter"])
+    assert first["filter"] == "title_and_abstract.search:deep nets,primary_topic.field.id:17,publication_year:>2007" and first["per-page"] == 5
+    with pytest.raises(ValueError):
+        readers.theme_scan(spark, record, percolate.ladders(rows), most=2, name="many")
+
+
+def test_keys_share_rate_and_requests(spark, tmp_path):
+    by_value()
+    log = str(tmp_path / "log")
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(30)], "key string")
+    got = readers.fetch_each(keys, noted(log, lambda p: (200, {}, "{}")), config=readers.ReadConfig(interval=0.02), lanes=4, requests=12).collect()
+    times = [t for t, _ in notes(log)]
+    assert len(times) <= 12 and len(got) == 30 and sum(r.error is None for r in got) == len(times) and all(r.error == "the budget is spent" for r in got if r.error)
