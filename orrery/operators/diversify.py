@@ -1,7 +1,8 @@
-"""Order-dependent selections, one grouped-map call a theme over frames that are bounded before (a few hundred rows).
+"""Order-dependent selections, one grouped-map call a theme over frames that are bounded before (a few hundred rows),
+and in rounds over whole tables and many themes at once.
 
-Each group is one theme's candidate list; many themes run in parallel. Lists that are not
-bounded by their own operator must be cut by rank first.
+In the first form each group is one theme's candidate list; many themes run in parallel. Lists
+that are not bounded by their own operator must be cut by rank first, or take the second form.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.lineage import cut
@@ -55,6 +57,85 @@ def farthest_first(rows: DataFrame, k: int, *, theme: str = "theme", pos: str =
     return _per_theme(rows, pick, theme)
 
 
+#: Themes whose chosen rows are broadcast in a round; more are joined by theme. Rounds between two cuts of the lineage.
+BROADCAST_THEMES, CUT_EVERY = 50_000, 8
+
+
+def farthest_first_rounds(rows: DataFrame, k: int, *, theme: str = "theme", pos: str = "pos", names: str = "names") -> DataFrame:
+    """farthest_first over whole tables: rows of any number a theme, pos unique in it. No Python, one aggregation a round.
+
+    Every row carries its similarity to the nearest row chosen so far; a round takes the least of each theme (ties to the
+    smaller pos) and compares that one row with all others through the names they share.
+    """
+    named = rows.withColumn("__names", F.array_distinct(F.coalesce(names, F.array().cast("array<string>"))))
+    sizes = rows.groupBy(theme).agg(F.count("*").alias("__n"))
+    few = sizes.where(F.col("__n") <= k).select(theme)
+    short = rows.join(few, theme, "left_semi").withColumn("slot", (F.row_number().over(W.partitionBy(theme).orderBy(pos)) - 1).cast("int"))
+    live = cut(named.join(few, theme, "left_anti").select(theme, pos, "__names", F.lit(0.0).alias("__near")))
+    small = F.broadcast if sizes.count() <= BROADCAST_THEMES else (lambda d: d)
+    chosen = None
+    for slot in range(k):
+        first = F.struct("__near", pos)
+        pick = cut(live.groupBy(theme).agg(F.min(first).getField(pos).alias("__pos"), F.min_by("__names", first).alias("__own"), F.lit(slot).alias("slot")))
+        chosen = pick.drop("__own") if chosen is None else chosen.unionByName(pick.drop("__own"))
+        shared = F.size(F.array_intersect("__names", "__own"))
+        near = F.when(shared > 0, shared / (F.size("__names") + F.size("__own") - shared)).otherwise(0.0)
+        live = live.join(small(pick.drop("slot")), theme).where(F.col(pos) != F.col("__pos")).withColumn("__near", F.greatest("__near", near)).select(theme, pos, "__names", "__near")
+        if slot % CUT_EVERY == CUT_EVERY - 1:
+            live = cut(live)
+    taken = chosen.select(F.col(theme).alias("__theme"), "__pos", "slot") if chosen is not None else None
+    if taken is None:
+        return short.where("false")
+    long = rows.join(taken, (F.col(theme) == F.col("__theme")) & (F.col(pos) == F.col("__pos"))).drop("__theme", "__pos")
+    return short.unionByName(long.select(*short.columns))
+
+
+def assigned_in_rounds(pairs: DataFrame, *order: Column, quota: int, theme: str = "theme", turn: str = "turn", key: str = "id") -> DataFrame:
+    """The pairs by which bridges in turn take up to quota candidates each that no earlier bridge took, best first in the given order.
+
+    pairs: theme, turn, id (once a bridge) and what the order needs. Every candidate proposes to its first bridge that has not
+    turned it down, every bridge keeps its best; who is turned down proposes to the next in the round after. That ends
+    in what bridges would take one after another, for all themes at once, in as many rounds as there are turns at most.
+    """
+    live = cut(pairs)
+    proposal = F.row_number().over(W.partitionBy(theme, key).orderBy(turn)) == 1
+    place = F.row_number().over(W.partitionBy(theme, turn).orderBy(*order, key))
+    while True:
+        asked = live.withColumn("__asked", proposal)
+        placed = asked.where("__asked").withColumn("__place", place)
+        lost = cut(placed.where(F.col("__place") > quota).select(theme, turn, key))
+        if lost.isEmpty():
+            return placed.drop("__asked", "__place")
+        live = cut(live.join(lost, [theme, turn, key], "left_anti"))
+
+
+def fair_shares(pages: DataFrame, spare: DataFrame, *, quota: int, limit: int, theme: str = "theme") -> DataFrame:
+    """theme, slot, id, bridge (null: from the spare list): collect.fair_share for many themes at once.
+
+    pages: theme, turn (int), kind, pos, id; spare: theme, pos, id. Bridges take their share in turn, lower kinds first; the spare list
+    fills up to the limit.
+    """
+    best = (F.col("kind").asc(), F.col("pos").asc())
+    taken = assigned_in_rounds(pages.select(theme, "turn", "kind", "pos", "id"), *best, quota=quota, theme=theme)
+    return _filled(taken, spare.select(theme, F.lit(None).cast("int").alias("turn"), F.lit(0).alias("kind"), "pos", "id"), limit=limit, theme=theme)
+
+
+def bridge_quotas(pairs: DataFrame, *, per_bridge: int, limit: int, theme: str = "theme") -> DataFrame:
+    """theme, slot, id, bridge_pos: bridge_quota for many themes at once. pairs: theme, bridge_pos, pos, id."""
+    rows = pairs.select(theme, F.col("bridge_pos").alias("turn"), F.lit(0).alias("kind"), "pos", "id")
+    taken = assigned_in_rounds(rows, F.col("pos").asc(), quota=per_bridge, theme=theme)
+    return _filled(taken, rows, limit=limit, theme=theme).withColumnRenamed("bridge", "bridge_pos")
+
+
+def _filled(taken: DataFrame, spare: DataFrame, *, limit: int, theme: str) -> DataFrame:
+    """Taken pairs by turn, then what the spare pairs add, each id once, up to the limit."""
+    both = taken.withColumn("__late", F.lit(0)).unionByName(spare.withColumn("__late", F.lit(1)))
+    order = (F.col("__late"), F.col("turn"), F.col("kind"), F.col("pos"), F.col("id"))
+    once = both.withColumn("__rn", F.row_number().over(W.partitionBy(theme, "id").orderBy(*order))).where("__rn = 1")
+    slot = F.row_number().over(W.partitionBy(theme).orderBy(*order)) - 1
+    return once.withColumn("slot", slot.cast("int")).where(F.col("slot") < limit).select(theme, "slot", "id", F.col("turn").alias("bridge"))
+
+
 def mmr(rows: DataFrame, count: int, *, lam: float = 0.7, same_facet: float = 0.18, theme: str = "theme", pos: str = "pos", score: str = "score", names: str = "names", facet: str = "facet") -> DataFrame:
     """Maximal marginal relevance: score against the highest redundancy with what is chosen."""
 

@@ -134,10 +134,16 @@ def bridge_sizes(cand_hits: DataFrame, sizes: DataFrame) -> DataFrame:
 def shared_reference_pairs(refs: DataFrame, *, percent: int = DUP_JACCARD_PERCENT, least: int = DUP_MIN_REFS) -> DataFrame:
     """a, b: works with near-identical reference lists, through their rarest references only.
 
-    Lists of similarity p share one of the n - ceil(p n) + 1 rarest references of either, so only
-    those are joined; a hub that every list has is never paired out.
+    Works with the same list are one node: they give a star to the smallest of them, and only that one is
+    compared with other lists, so n equal lists give n - 1 rows. Lists of similarity p share one of the
+    n - ceil(p n) + 1 rarest references of either, so only those are joined; a hub that every list has is
+    never paired out.
     """
-    size = refs.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    lists = refs.groupBy("id").agg(F.sort_array(F.collect_list("ref")).alias("list")).where(F.size("list") >= least)
+    nodes = lists.groupBy("list").agg(F.min("id").alias("a"), F.count("*").alias("works"))
+    stars = lists.join(nodes.where("works > 1"), "list").where("a <> id").select("a", F.col("id").alias("b"))
+    refs = nodes.select(F.col("a").alias("id"), F.explode("list").alias("ref"))
+    size = nodes.select(F.col("a").alias("id"), F.size("list").cast("long").alias("n"))
     df = refs.groupBy("ref").agg(F.count("*").alias("df"))
     own = refs.join(size, "id").join(df, "ref")
     rn = F.row_number().over(W.partitionBy("id").orderBy("df", "ref"))
@@ -147,4 +153,4 @@ def shared_reference_pairs(refs: DataFrame, *, percent: int = DUP_JACCARD_PERCEN
     cand = x.join(y, (F.col("x.ref") == F.col("y.ref")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
     both = cand.join(refs.select(F.col("id").alias("a"), "ref"), "a").join(refs.select(F.col("id").alias("b"), "ref"), ["b", "ref"])
     inter = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    return inter.where(F.col("k") * 100 >= (F.col("na") + F.col("nb") - F.col("k")) * percent).select("a", "b")
+    return stars.unionByName(inter.where(F.col("k") * 100 >= (F.col("na") + F.col("nb") - F.col("k")) * percent).select("a", "b"))

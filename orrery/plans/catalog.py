@@ -303,6 +303,42 @@ def maxmin_select(spark, sf):
     return diversify.farthest_first(_bounded(spark, sf), 20).select("slot", "id")
 
 
+@query(TAG_SQL.replace("WITH t", "WITH RECURSIVE t") + """, nm AS (SELECT id, list(DISTINCT name) AS names FROM t GROUP BY id), w AS MATERIALIZED (SELECT o_orderpriority AS theme, o_orderkey AS id, coalesce(names, []::VARCHAR[]) AS names FROM orders LEFT JOIN nm ON nm.id = o_orderkey),
+r(slot, theme, id, names, near, pick) AS (SELECT 0, theme, id, names, 0::DOUBLE, id = min(id) OVER (PARTITION BY theme) FROM w UNION ALL
+  SELECT slot + 1, theme, id, names, near, row_number() OVER (PARTITION BY theme ORDER BY near, id) = 1 FROM (
+    SELECT a.slot, a.theme, a.id, a.names, greatest(a.near, CASE WHEN len(list_intersect(a.names, b.names)) > 0 THEN len(list_intersect(a.names, b.names)) / (len(a.names) + len(b.names) - len(list_intersect(a.names, b.names)))::DOUBLE ELSE 0 END) AS near
+    FROM r a JOIN r b ON a.theme = b.theme AND b.pick AND NOT a.pick WHERE a.slot < 7))
+SELECT theme, CAST(slot AS INTEGER) AS slot, id FROM r WHERE pick""")
+def maxmin_whole(spark, sf):
+    names = _tags(spark, sf).groupBy("id").agg(F.collect_set("name").alias("names"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("theme"), F.col("o_orderkey").alias("pos")).join(names, "id", "left")
+    return diversify.farthest_first_rounds(rows, 8).select("theme", "slot", "id")
+
+
+SHARES_SQL = """WITH RECURSIVE r AS (SELECT DISTINCT l_partkey AS ref, l_orderkey AS id FROM lineitem), w AS (SELECT p_brand AS theme, ref, id, o_totalprice AS cites, CAST(o_custkey % 3 AS INTEGER) AS kind FROM r JOIN part ON ref = p_partkey JOIN orders ON id = o_orderkey),
+b AS (SELECT p_brand AS theme, p_partkey AS ref, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS turn FROM part QUALIFY turn < 50),
+g AS (SELECT theme, turn, id, kind, row_number() OVER (PARTITION BY theme, turn ORDER BY cites DESC, id) AS pos FROM w JOIN b USING (theme, ref) QUALIFY pos <= 12),
+l AS MATERIALIZED (SELECT theme, turn, list(id ORDER BY kind, pos) AS ids FROM g GROUP BY theme, turn), s AS (SELECT DISTINCT theme, id, cites FROM w SEMI JOIN b USING (theme, ref)), e AS (SELECT theme, list(id ORDER BY cites DESC, id)[1:150] AS ids FROM s GROUP BY theme),
+z(theme, turn, got) AS (SELECT DISTINCT theme, -1::BIGINT, []::BIGINT[] FROM b UNION ALL
+  SELECT z.theme, z.turn + 1, list_concat(z.got, list_slice(list_filter(coalesce(l.ids, []::BIGINT[]), lambda x: NOT list_contains(z.got, x)), 1, greatest(least(3, 130 - len(z.got)), 0))) FROM z LEFT JOIN l ON l.theme = z.theme AND l.turn = z.turn + 1 WHERE z.turn < 49),
+f AS (SELECT z.theme, list_concat(got, list_filter(e.ids, lambda x: NOT list_contains(got, x)))[1:130] AS ids FROM z JOIN e ON e.theme = z.theme WHERE turn = 49)
+SELECT theme, CAST(i - 1 AS INTEGER) AS slot, ids[i] AS id FROM f, range(1, len(ids) + 1) AS u(i)"""
+
+
+@query(SHARES_SQL)
+def fair_shares_by_brand(spark, sf):
+    """A fair share of every brand's candidates: its first 50 parts are the bridges, orders the candidates."""
+    refs = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("ref"), F.col("l_orderkey").alias("id")).distinct()
+    parts = table(spark, sf, "part").select(F.col("p_brand").alias("theme"), F.col("p_partkey").alias("ref"))
+    bridges = parts.withColumn("turn", F.row_number().over(graph.W.partitionBy("theme").orderBy("ref")) - 1).where("turn < 50")
+    works = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("cites"), (F.col("o_custkey") % 3).cast("int").alias("kind"))
+    into = refs.join(bridges, "ref").join(works, "id")
+    best = graph.W.partitionBy("theme", "turn").orderBy(F.col("cites").desc(), "id")
+    pages = into.withColumn("pos", F.row_number().over(best)).where("pos <= 12")
+    spare = into.select("theme", "id", "cites").distinct().withColumn("pos", F.row_number().over(graph.W.partitionBy("theme").orderBy(F.col("cites").desc(), "id"))).where("pos <= 150")
+    return diversify.fair_shares(pages, spare, quota=3, limit=130).select("theme", "slot", "id")
+
+
 @query(LIST_SQL + """, r(slot, id, chosen) AS (SELECT 0, id, [id] FROM c WHERE pos = 1 UNION ALL
   SELECT r.slot + 1, x.id, list_append(chosen, x.id) FROM r, LATERAL (SELECT c.id FROM c JOIN s ON s.a = c.id WHERE list_contains(r.chosen, s.b) AND NOT list_contains(r.chosen, c.id) GROUP BY c.id, c.pos, c.score
     ORDER BY 0.7::DOUBLE * c.score - (1 - 0.7::DOUBLE) * max(CASE WHEN s.named THEN s.sim WHEN s.same THEN 0.18::DOUBLE ELSE 0 END) DESC, c.pos LIMIT 1) x WHERE r.slot < 9)
@@ -534,7 +570,8 @@ def request_telemetry(spark, sf):
     return telemetry.windowed_rates(table(spark, sf, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("""WITH refs AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS ref FROM lineitem), n AS (SELECT id, count(*) AS n FROM refs GROUP BY id HAVING count(*) >= 10)
+@query("""WITH refs AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS ref FROM lineitem), l AS (SELECT id, count(*) AS n, md5(CAST(list(ref ORDER BY ref) AS VARCHAR)) AS h FROM refs GROUP BY id HAVING count(*) >= 10), m AS (SELECT *, min(id) OVER (PARTITION BY n, h) AS rep FROM l), n AS (SELECT id, n FROM m WHERE id = rep)
+SELECT rep AS a, id AS b FROM m WHERE id <> rep UNION ALL
 SELECT x.id AS a, y.id AS b FROM refs x JOIN refs y ON x.ref = y.ref AND x.id < y.id JOIN n nx ON nx.id = x.id JOIN n ny ON ny.id = y.id GROUP BY 1, 2 HAVING count(*) * 100 >= (any_value(nx.n) + any_value(ny.n) - count(*)) * 18""")
 def shared_reference_pairs(spark, sf):
     refs = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("ref")).distinct()

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import dedup, rank, themes
+from orrery.operators import dedup, diversify, graph, rank, themes
 
 
 def in_order(rows):
@@ -95,6 +95,62 @@ def test_places_number_every_row(spark):
     assert [r.id for r in sorted(got, key=lambda r: r.place)] == [r[0] for r in want] and sorted(r.place for r in got) == list(range(1, 3001))
 
 
+def test_farthest_first_rounds_equal_the_list(spark):
+    rng = random.Random(8)
+    rows = [(t, p, f"{t}{p}", [rng.choice("abcdefghij") for _ in range(rng.randint(0, 5))] if rng.random() < 0.9 else None) for t, n in (("x", 60), ("y", 7), ("z", 12), ("one", 1)) for p in rng.sample(range(500), n)]
+    df = spark.createDataFrame(rows, "theme string, pos int, id string, names array<string>").repartition(4)
+    for k in (1, 12):
+        want = {(r.theme, r.slot, r.id) for r in diversify.farthest_first(df, k).collect()}
+        got = diversify.farthest_first_rounds(df, k)
+        assert {(r.theme, r.slot, r.id) for r in got.collect()} == want and "Python" not in got._jdf.queryExecution().toString()
+
+
+def shares_in_turn(pages, spare, quota, limit):
+    got = {}
+    for turn in sorted({r[0] for r in pages}):
+        taken = 0
+        for _, _, _, i in sorted(r for r in pages if r[0] == turn):
+            if taken >= quota or len(got) >= limit:
+                break
+            if i not in got:
+                got[i] = turn
+                taken += 1
+    for _, i in sorted(spare):
+        if len(got) >= limit:
+            break
+        got.setdefault(i, None)
+    return [(slot, i, b) for slot, (i, b) in enumerate(got.items())]
+
+
+def test_fair_shares_of_a_thousand_themes(spark):
+    rng = random.Random(2)
+    pages, spare, want = [], [], []
+    for theme in range(1000):
+        mine = [(turn, rng.randint(0, 2), pos, i) for turn in range(rng.randint(0, 6)) for pos, i in enumerate(rng.sample(range(15), rng.randint(0, 8)))]
+        rest = list(enumerate(rng.sample(range(25), rng.randint(0, 12))))
+        pages += [(theme, *r) for r in mine]
+        spare += [(theme, *r) for r in rest]
+        want += [(theme, *r) for r in shares_in_turn(mine, rest, 2, 9)]
+    got = diversify.fair_shares(spark.createDataFrame(pages, "theme int, turn int, kind int, pos int, id int"), spark.createDataFrame(spare, "theme int, pos int, id int"), quota=2, limit=9)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_bridge_quotas_equal_the_list(spark):
+    rng = random.Random(3)
+    rows = [(t, b, pos, i) for t in range(40) for b in range(rng.randint(1, 6)) for pos, i in enumerate(rng.sample(range(12), rng.randint(0, 9)))]
+    df = spark.createDataFrame(rows, "theme int, bridge_pos int, pos int, id int").repartition(3)
+    for quota, limit in ((1, 100), (3, 7)):
+        assert sorted(map(tuple, diversify.bridge_quotas(df, per_bridge=quota, limit=limit).collect())) == sorted(map(tuple, diversify.bridge_quota(df, per_bridge=quota, limit=limit).collect()))
+
+
+def test_equal_reference_lists_are_one_node(spark):
+    """10,000 equal lists give 9,999 edges, and one more to a list nearly the same."""
+    same = spark.range(10_000).select(F.format_string("W%05d", "id").alias("id"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: i.cast("string"))).alias("ref"))
+    near = spark.range(1).select(F.lit("X").alias("id"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(21)), lambda i: i.cast("string"))).alias("ref"))
+    got = graph.shared_reference_pairs(same.unionByName(near)).collect()
+    assert len(got) == 10_000 and {r.a for r in got} == {"W00000"} and len({r.b for r in got}) == 10_000
+
+
 def test_components_are_finished_or_refused(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     nodes = spark.range(303).toDF("id")
