@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from orrery.functions import text as T
 from orrery.sources.parse import clean_latex
+from orrery.sources.pdf import text_of_pdf
 
 #: Limits of excerpts and of texts taken from PDF.
 EXCERPT, PDF_LEAST, PDF_PROSE, MEMBER_BYTES, ARCHIVE_BYTES = 4000, 400, 0.85, 8 << 20, 64 << 20
 #: Parts of an article that are not prose.
 NOT_PROSE = frozenset({"ref-list", "fig", "table-wrap", "disp-formula", "inline-formula", "math", "tex-math", "xref", "fn", "ack", "label"})
-_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "", "f": "", "\n": ""}
 
 
 def gunzipped(data: bytes, limit: int) -> bytes:
@@ -76,49 +76,6 @@ def prose_of_jats(data: bytes) -> str:
     return " ".join(" ".join(out).split())
 
 
-def _literals(stream: str) -> str:
-    """Shown strings of a content stream: (...) with escapes and nesting, a space for each text operator that moves on."""
-    out: list[str] = []
-    at, n = 0, len(stream)
-    while at < n:
-        c = stream[at]
-        if c == "(":
-            depth, at = 1, at + 1
-            while at < n and depth:
-                c = stream[at]
-                if c == "\\" and at + 1 < n:
-                    if m := re.compile(r"[0-7]{1,3}").match(stream, at + 1):
-                        out.append(chr(int(m[0], 8) & 255))
-                        at = m.end()
-                        continue
-                    out.append(_ESCAPES.get(stream[at + 1], stream[at + 1]))
-                    at += 2
-                    continue
-                depth += (c == "(") - (c == ")")
-                if depth:
-                    out.append(c)
-                at += 1
-        else:
-            if c == "T" and stream[at : at + 2] in ("Td", "TD", "T*", "Tm"):
-                out.append(" ")
-            at += 1
-    return "".join(out)
-
-
-def text_of_pdf(data: bytes) -> str:
-    if data[:5] != b"%PDF-":
-        return ""
-    parts = []
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\n?endstream", data, re.S):
-        try:
-            raw = zlib.decompressobj().decompress(m[1], MEMBER_BYTES)
-        except zlib.error:
-            raw = m[1] if b"Tj" in m[1] or b"TJ" in m[1] else b""
-        if b"Tj" in raw or b"TJ" in raw:
-            parts.append(_literals(raw.decode("latin-1")))
-    return " ".join(" ".join(parts).split())
-
-
 READERS: dict[str, Callable[[bytes], str]] = {"eprint": tex_of_eprint, "jats": prose_of_jats, "pdf": text_of_pdf}
 
 
