@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
+from orrery.operators import gates
 
 ECHO = ("title", "abstract", "year", "venue", "cited_by_count")
 
@@ -95,6 +98,50 @@ def _of_source(empty: Column, marked: Column) -> Column:
     return F.filter(empty, lambda c: F.array_contains(marked, c) | F.array_contains(there, c))
 
 
+#: What a model's row must have, and the label of a connection without one.
+REQUIRED, UNLABELLED = ("id", "purpose_sim", "mechanism_dist"), "構造的接続"
+MODEL_ROW = "struct<id:string,purpose_level:string,purpose_sim:string,mechanism_dist:string,purpose_pct:string,connection_label:string,serendipity_rationale:string,paper_purpose:string,paper_mechanism:string,paper_finding:string>"
+
+
+def model_rows(answers: DataFrame, payload: str = "payload") -> DataFrame:
+    """The score rows of models' answers (a JSON array each), with the answers' other columns: id, purpose_sim, mechanism_dist, purpose_pct, fine_rank, the texts, complete.
+
+    A named level gives its value, else the number, 0 where there is none; a row without an id or with a distance that is no
+    number goes; complete rows have a label and a rationale. An answer that is no array gives no rows.
+    """
+    kept = [c for c in answers.columns if c != payload]
+    rows = answers.select(*kept, F.explode(F.from_json(payload, "array<string>")).alias("one")).select(*kept, F.from_json("one", MODEL_ROW).alias("m"))  # an item that is no object spoils only itself
+    m = lambda c: F.col(f"m.{c}")
+    number = lambda c, instead: F.coalesce(F.when(m(c).isNull(), instead), F.expr(f"try_cast(m.{c} AS DOUBLE)"))
+    unit = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
+    level = F.lit(None).cast("double")
+    for name, v in gates.LEVELS.items():
+        level = F.when(F.lower(F.trim(m("purpose_level"))) == name, v).otherwise(level)
+    purpose = unit(F.coalesce(level, number("purpose_sim", 0.0), F.lit(0.0)))
+    pct = F.coalesce(F.greatest(F.least(F.expr("try_cast(try_cast(m.purpose_pct AS DOUBLE) AS INT)"), F.lit(100)), F.lit(0)), F.lit(0))
+    text = lambda c: T.text_or_empty(m(c))
+    rows = rows.where(m("id").isNotNull() & (m("id") != "")).withColumn("__d", number("mechanism_dist", 0.0)).where("__d IS NOT NULL AND NOT isnan(__d)")
+    return rows.select(
+        *kept, m("id").alias("id"), purpose.alias("purpose_sim"), unit(F.col("__d")).alias("mechanism_dist"), pct.alias("purpose_pct"), F.round(pct / 100.0 * unit(F.col("__d")), 4).alias("fine_rank"),
+        F.when(text("connection_label") == "", UNLABELLED).otherwise(m("connection_label")).alias("connection_label"), text("serendipity_rationale").alias("serendipity_rationale"),
+        text("paper_purpose").alias("paper_purpose"), text("paper_mechanism").alias("paper_mechanism"), text("paper_finding").alias("paper_finding"), ((text("connection_label") != "") & (text("serendipity_rationale") != "")).alias("complete"),
+    )
+
+
+def missing_fields(rows: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
+    """rows' id, pos and missing (array): those that lack a required field."""
+    gaps = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
+    return rows.select("id", "pos", gaps.alias("missing")).where(F.size("missing") > 0)
+
+
+def checked(rows: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
+    """rows, unless one lacks a required field: then an error that names the first one and its field. An action."""
+    first = missing_fields(rows, required).orderBy("pos").limit(1).collect()
+    if first:
+        raise ValueError(f"candidate #{first[0].pos} lacks the required field '{first[0].missing[0]}'")
+    return rows
+
+
 def submission_report(rows: DataFrame, rendered: DataFrame) -> DataFrame:
     """id, what, fields of what a caller should know of its rows: score_only, unwritten, upstream_empty, missing.
 

@@ -56,6 +56,51 @@ def search_legs(keywords: Sequence[str], exclude: Sequence[str], as_of: dt.date,
     return legs + ([(t.strip('"'), search_text([t], exclude, as_of)) for t in own] if len(own) > 1 else [])
 
 
+def search_terms_of(keywords: Column, *, quote_hyphen: bool = False) -> Column:
+    """search_terms of a column of keywords (array<string>)."""
+    clean = F.filter(F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: T.collapse_ws(F.translate(T.text_or_empty(k), '"', " "))), lambda k: k != "")
+    once = F.filter(clean, lambda k, i: F.array_position(F.transform(clean, F.lower), F.lower(k)) == i + 1)
+    quoted = F.transform(once, lambda k: F.when(k.contains(" ") | (k.contains("-") if quote_hyphen else F.lit(False)), F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k))
+    few = F.slice(quoted, 1, OPERATORS + 1)
+    chars = lambda n: F.aggregate(F.slice(few, F.lit(1), n), F.lit(0), lambda a, t: a + F.length(t))
+    fitting = F.filter(F.sequence(F.lit(1), F.greatest(F.size(few), F.lit(1))), lambda n: chars(n) <= QUERY_CHARS)
+    return T.once(F.slice(few, F.lit(1), F.greatest(F.size(fitting), F.lit(1))), lambda t: t)
+
+
+def search_text_of(terms: Column, exclude: Column, as_of: Column) -> Column:
+    """search_text of columns; terms as search_terms_of gives them, exclude as keywords."""
+    left = F.greatest(F.lit(OPERATORS + 1) - F.size(terms), F.lit(0))
+    nots = F.transform(F.slice(search_terms_of(exclude), F.lit(1), left), lambda t: F.concat(F.lit("NOT "), t))
+    since = F.concat(F.lit("pushed:>"), F.date_sub(as_of, PUSHED_WITHIN_DAYS).cast("string"))
+    return F.array_join(F.concat(F.array(F.array_join(terms, " OR "), F.lit("in:name,description,readme")), nots, F.array(since)), " ")
+
+
+def legs_of(themes: DataFrame, as_of: Column, *, include: str = "keywords_include", exclude: str = "keywords_exclude", key: str = "theme") -> DataFrame:
+    """key, leg, label, text: search_legs of a whole table of themes."""
+    own = search_terms_of(F.col(include), quote_hyphen=True)
+    leg = lambda label, terms: F.struct(label.alias("label"), search_text_of(terms, F.col(exclude), as_of).alias("text"))
+    first = F.array(leg(F.lit(ALL_LEG), search_terms_of(F.col(include))))
+    each = F.when(F.size(own) > 1, F.transform(own, lambda t: leg(F.trim(t, F.lit('"')), F.array(t)))).otherwise(F.slice(first, 1, 0))
+    return themes.select(key, F.posexplode(F.concat(first, each)).alias("leg", "e")).select(key, "leg", "e.label", "e.text")
+
+
+def turns_of(totals: DataFrame, *, key: str = "theme") -> DataFrame:
+    """totals (key, leg, total) plus turns: leg_turns of every theme at once."""
+    w = W.partitionBy(key)
+    either, n = F.max(F.when(F.col("leg") == 0, F.col("total"))).over(w), F.count("*").over(w) - 1
+    rows = totals.withColumn("__or", either).withColumn("__n", n)
+    keep = F.coalesce((F.col("total") * F.col("__n") < F.col("__or")).cast("int"), F.lit(0))
+    rows = rows.withColumn("__keep", F.when(F.col("leg") > 0, keep).otherwise(0)).withColumn("__kept", F.sum("__keep").over(w))
+    turns = F.when(F.coalesce("__or", F.lit(0)) == 0, 1).when(F.col("leg") == 0, F.greatest(F.lit(1), F.col("__n") - F.col("__kept"))).otherwise(F.col("__keep"))
+    return rows.withColumn("turns", F.when(F.col("__n") == 0, 1).otherwise(turns).cast("int")).select(*totals.columns, "turns")
+
+
+def known_source(name: Column) -> Column:
+    """The source that a name stands for, whatever its case; null where none is."""
+    names = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    return names[F.lower(F.trim(T.text_or_empty(name)))]
+
+
 def search_predicate(terms: Sequence[str], exclude: Sequence[str], as_of: Column, *, text: Column, pushed: Column) -> Column:
     """The same search over a table of repositories."""
     hay = T.padded(text)
