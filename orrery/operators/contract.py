@@ -118,7 +118,7 @@ def model_rows(answers: DataFrame, payload: str = "payload") -> DataFrame:
     for name, v in gates.LEVELS.items():
         level = F.when(F.lower(F.trim(m("purpose_level"))) == name, v).otherwise(level)
     purpose = unit(F.coalesce(level, number("purpose_sim", 0.0), F.lit(0.0)))
-    pct = F.coalesce(F.greatest(F.least(F.expr("try_cast(try_cast(m.purpose_pct AS DOUBLE) AS INT)"), F.lit(100)), F.lit(0)), F.lit(0))
+    pct = F.greatest(F.least(F.coalesce(F.expr("try_cast(try_cast(m.purpose_pct AS DOUBLE) AS INT)"), F.lit(0)), F.lit(100)), F.lit(0))
     text = lambda c: T.text_or_empty(m(c))
     rows = rows.where(m("id").isNotNull() & (m("id") != "")).withColumn("__d", number("mechanism_dist", 0.0)).where("__d IS NOT NULL AND NOT isnan(__d)")
     return rows.select(
