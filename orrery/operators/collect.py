@@ -69,7 +69,7 @@ def citation_scope(works: DataFrame, seeds: DataFrame, *, home_fields: DataFrame
     rows = works.where(~F.coalesce(F.col("retracted"), F.lit(False)) & (F.col("n_refs") < max_refs))
     if work_type is not None:
         rows = rows.where(gates.type_allowed(F.col("type"), work_type))
-    rows = rows.join(F.broadcast(seeds.select("id")), "id", "left_anti")
+    rows = rows.join(seeds.select("id"), "id", "left_anti")
     if used is not None:
         rows = rows.join(used.select(F.col(used.columns[0]).alias("id")), "id", "left_anti")
     for home, c in ((home_fields, "field"), (home_topics, "topic")):

@@ -20,6 +20,13 @@ def z_score(value: Column, *group: str) -> Column:
     return F.when(sd == 0, 0.0).otherwise((value - F.avg(value).over(w)) / sd)
 
 
+def z_scores(rows: DataFrame, value: str, *, group: Sequence[str] = (), name: str = "z") -> DataFrame:
+    """rows plus the z_score of a column; means and deviations are aggregated and joined, so no task gathers a group."""
+    aggs = [F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s")]
+    joined = rows.join(rows.groupBy(*group).agg(*aggs), list(group)) if group else rows.crossJoin(F.broadcast(rows.agg(*aggs)))  # one row without groups
+    return joined.withColumn(name, F.when(F.col("__s") == 0, 0.0).otherwise((F.col(value) - F.col("__m")) / F.col("__s"))).select(*rows.columns, name)
+
+
 def hybrid_score(rows: DataFrame, channels: Sequence[str], cites: str, *, weight: float = CITATION_WEIGHT, group: Sequence[str] = ()) -> DataFrame:
     """rows plus hybrid: mean z-score of the channels that have any signal, with the citations' z-score at a small weight.
 

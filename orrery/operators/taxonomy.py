@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 def load_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """subfield_id, name, field_id from a JSON array of string triples."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<array<string>>")).alias("r"))
-    return raw.select(F.col("r")[0].alias("subfield_id"), F.col("r")[1].alias("name"), F.col("r")[2].alias("field_id"))
+    return parse_taxonomy(spark.read.text(path, wholetext=True))
+
+
+def parse_taxonomy(raw: DataFrame, value: str = "value") -> DataFrame:
+    """subfield_id, name, field_id of the triples in JSON texts."""
+    return raw.select(F.explode(F.from_json(value, "array<array<string>>")).alias("r")).select(F.col("r")[0].alias("subfield_id"), F.col("r")[1].alias("name"), F.col("r")[2].alias("field_id"))
 
 
 def vocabulary(seen: DataFrame, taxonomy: DataFrame) -> DataFrame:

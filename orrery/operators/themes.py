@@ -24,8 +24,13 @@ SEMANTIC_CHARS, SEMANTIC_RETRY_CHARS, FACETS, PRF_LEAST, PRF_POOL = 1200, 600, 3
 
 def load_themes(spark: SparkSession, path: str) -> DataFrame:
     """One theme a JSON file; unknown keys are ignored, a file that is no object gives nulls."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", THEME).alias("t"))
-    return raw.select("t.theme_overview", "t.goal", "t.why_problem", "t.approach_type", "t.assumptions", F.col("t.scope.field").alias("scope_field"), F.col("t.scope.scale").alias("scale"), F.col("t.scope.time_range").alias("time_range"), F.col("t.keywords.include").alias("keywords_include"), F.col("t.keywords.exclude").alias("keywords_exclude"), "t.concern")
+    return parse_themes(spark.read.text(path, wholetext=True))
+
+
+def parse_themes(raw: DataFrame, value: str = "value") -> DataFrame:
+    """raw's other columns and the theme that each JSON text holds."""
+    kept = [c for c in raw.columns if c != value]
+    return raw.select(*kept, F.from_json(value, THEME).alias("t")).select(*kept, "t.theme_overview", "t.goal", "t.why_problem", "t.approach_type", "t.assumptions", F.col("t.scope.field").alias("scope_field"), F.col("t.scope.scale").alias("scale"), F.col("t.scope.time_range").alias("time_range"), F.col("t.keywords.include").alias("keywords_include"), F.col("t.keywords.exclude").alias("keywords_exclude"), "t.concern")
 
 
 def _terms(c: Column) -> Column:

@@ -15,7 +15,7 @@ def collect_bridges(works: DataFrame, refs: DataFrame, seeds: DataFrame, *, home
     """Candidates across shared references: seed groups, three-tier pool, fair share with backfill, hybrid rank, head window.
 
     works: id, field, cites, and where they are known domain, topic, type, n_refs and retracted; seeds: works' rows, with dk
-    and tk (keys of DOI and title) where they are known.
+    and tk (keys of DOI and title) where they are known; refs: id, ref, and at (the place in the work's list) where it is known.
     """
     home = graph.dominant(seeds, "field").select("field") if home is None else home
     known = {"domain": "string", "topic": "string", "type": "string", "n_refs": "int", "retracted": "boolean"}
@@ -23,8 +23,9 @@ def collect_bridges(works: DataFrame, refs: DataFrame, seeds: DataFrame, *, home
     keyed = seeds.select("id", "cites", *[F.col(c) if c in seeds.columns else F.lit("").alias(c) for c in ("dk", "tk")])
     listed = keyed.withColumn("pos", F.row_number().over(W.orderBy(F.col("cites").desc(), "id")))  # a roster
     groups = collect.seed_groups(listed, refs)
-    own = graph.edges_of(seeds, refs)
-    pool = collect.pool_of_groups(groups, own.withColumn("at", F.lit(0)), cap=cap)
+    placed = graph.edges_of(seeds, refs).withColumn("at", F.col("at") if "at" in refs.columns else F.lit(0))
+    own, refs = placed.select("id", "ref"), refs.select("id", "ref")
+    pool = collect.pool_of_groups(groups, placed, cap=cap)
     kind = "article" if "type" in works.columns else None
     found = collect.collect_candidates(full, refs, seeds, pool, home_fields=home, home_topics=home_topics, home_domains=home_domains, used=used, limit=limit, work_type=kind)
     cited = works.join(F.broadcast(found.select("id")), "id")
@@ -94,10 +95,12 @@ def collect_repositories(found: DataFrame, signals: dict[str, DataFrame], readme
     found: leg, pos, payload (a repository's JSON); signals: issues, releases, runs, contributors as anchors.attach_signals takes
     them; readmes: full_name, readme.
     """
-    repos = parse.normalize_repos(found).join(readmes, "full_name", "left").withColumn("readme", F.coalesce("readme", F.lit("")))
+    first = F.row_number().over(W.partitionBy("full_name").orderBy("leg", "pos")) == 1  # a repository of several legs as the first one gives it
+    once = found.withColumn("full_name", F.get_json_object("payload", "$.full_name")).withColumn("__first", first).where("__first")
+    repos = parse.normalize_repos(once).join(readmes, "full_name", "left").withColumn("readme", F.coalesce("readme", F.lit("")))
     names = found.select("leg", "pos", F.get_json_object("payload", "$.full_name").alias("full_name"))
     seated = anchors.seat_by_turns(names, list(turns), limit=limit).select("full_name")
-    pool = repos.dropDuplicates(["full_name"]).join(F.broadcast(seated), "full_name")  # at most limit rows
+    pool = repos.join(F.broadcast(seated), "full_name")  # at most limit rows
     scored = anchors.reliability(anchors.attach_signals(pool, **signals), as_of, rich=rich)
     lifted = anchors.lift_pool(scored.withColumn("pool", F.lit("all")), "pool")
     return rank_anchors(anchors.repos_to_works(lifted, include, exclude), count=count)

@@ -397,14 +397,6 @@ def naive_fill(spark, sf):
     return documents.naive_fill(head(7, F.col("o_totalprice").desc()), head(40, "o_orderdate"), count=20)
 
 
-@query("""SELECT 'a' AS route, 'title_and_abstract.search:x y,primary_topic.field.id:17|13,from_publication_date:2015-01-01,type:article,referenced_works_count:<100' AS params UNION ALL SELECT 'b', 'primary_topic.field.id:17|13;x y' UNION ALL SELECT 'c', 'publication_year:2015-2020;x y' UNION ALL SELECT 'd', ';x y'""")
-def route_parameters(spark, sf):
-    q = gates.StructuredQuery(anchor_terms=("x", "y"), field_ids=("17", "13"), year_from=2015, work_type="article", max_refs=100)
-    shown = lambda p: p.get("filter", "") + ";" + str(p.get("search", p.get("search.semantic", "")))
-    rows = [("a", themes.route_params(q)["filter"]), ("b", shown(themes.route_params(q.fallback()))), ("c", shown(themes.route_params(gates.StructuredQuery(anchor_terms=("x y",), year_from=2015, year_to=2020, field_ids=("17",), route="semantic")))), ("d", shown(themes.route_params(gates.StructuredQuery(anchor_terms=("x", "y"), route="search"))))]
-    return spark.createDataFrame(rows, "route string, params string")
-
-
 @query("""WITH r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 1 ELSE 2 END DESC, o_orderkey) AS place FROM orders) SELECT id, CAST(place AS INTEGER) AS place FROM r""")
 def level_ordering(spark, sf):
     level = F.when(F.col("o_orderstatus") == "F", "高").when(F.col("o_orderstatus") == "O", "低").otherwise("?")

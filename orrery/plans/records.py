@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from orrery import sinks
 from orrery.functions import scores as S
 from orrery.functions import text as T
-from orrery.operators import collect, gates, history, rank, taxonomy
+from orrery.operators import collect, gates, graph, history, rank, taxonomy
 from orrery.plans.catalog import BASE_SQL, DOC_SQL, Frame, _docs, query, table
 from orrery.sources import anchors, fulltext, parse, readers
 
@@ -197,14 +195,6 @@ def work_domains(spark, sf):
     return Frame(spark, sf).works.select("id", collect.domain_of(F.col("field")).alias("domain"))
 
 
-@query("""SELECT 'repo' AS what, '"deep learning" OR drift in:name,description,readme NOT toy pushed:>1998-07-01' AS text UNION ALL SELECT 'hyphen', '"self-play"' UNION ALL SELECT 'turns', '1,1,0' UNION ALL SELECT 'sources', 'github,kaggle' UNION ALL SELECT 'band', '高,中,低'""")
-def search_texts(spark, sf):
-    terms = anchors.search_terms([" deep  learning", "drift", "Drift", ""])
-    bands = spark.createDataFrame([(70, 0), (40, 1), (39, 2)], "s int, i int").select("i", S.quality_band(F.col("s")).alias("b")).orderBy("i").collect()
-    rows = [("repo", anchors.search_text(terms, ["toy"], dt.date(2000, 1, 2))), ("hyphen", anchors.search_terms(["self-play"], quote_hyphen=True)[0]), ("turns", ",".join(map(str, anchors.leg_turns([100, 10, 90])))), ("sources", ",".join(anchors.sources_of(["GH", "kaggle", "?"]))), ("band", ",".join(r.b for r in bands))]
-    return spark.createDataFrame(rows, "what string, text string")
-
-
 @query("""WITH p AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_linenumber = 1) SELECT p_partkey AS id, p_name AS title, p.id IS NULL AS missing FROM part LEFT JOIN p ON p.id = p_partkey""")
 def read_by_id(spark, sf):
     asked = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("title"))
@@ -256,12 +246,6 @@ def dominant_topics(spark, sf):
     return graph.dominant(Frame(spark, sf).candidates.select(F.col("field").cast("long").alias("topic")), "topic", top=5)
 
 
-@query("""SELECT 0 AS leg, '全語 OR' AS label, 'drift OR self-play in:name,description,readme NOT toy pushed:>1998-07-01' AS text UNION ALL SELECT 1, 'drift', 'drift in:name,description,readme NOT toy pushed:>1998-07-01' UNION ALL SELECT 2, 'self-play', '"self-play" in:name,description,readme NOT toy pushed:>1998-07-01'""")
-def search_legs(spark, sf):
-    legs = anchors.search_legs(["drift", "self-play"], ["toy"], dt.date(2000, 1, 2))
-    return spark.createDataFrame([(i, *leg) for i, leg in enumerate(legs)], "leg int, label string, text string")
-
-
 @query("""WITH c AS (SELECT user_id % 7 AS model, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 500 END AS i, event_id % 90 AS o FROM events) SELECT CAST(model AS VARCHAR) AS model, count(*) AS calls, CAST(coalesce(sum(i), 0) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(coalesce(sum(i), 0) + sum(o) AS BIGINT) AS total_tokens FROM c GROUP BY 1""")
 def token_usage(spark, sf):
     from orrery.streaming import telemetry
