@@ -1,9 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words by numpy over whole batches; each distinct word is encoded once by
-the public tokenizer's model; ids come back to the texts by the words' positions. Decoding
-joins ids to the pieces of the vocabulary and the pieces of a text, as the tokenizer (which
-has no decoder) does, with one space.
+the public tokenizer's model, and its ids are joined to the vocabulary's pieces once; ids and
+pieces come back to the texts by the words' positions. A text decodes to its pieces, joined by
+one space, as the tokenizer (which has no decoder) does it.
 
 Words meet the table by 64-bit hashes. Every hash that is looked up must be in the table, else
 the job fails; words that share a hash are told apart by their bytes.
@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -198,7 +198,7 @@ def vocabulary(path: str) -> list[str]:
 
 
 class Joined:
-    """Strings of ids, each followed by a space, as packed bytes: what ids are joined to."""
+    """Strings, each followed by a space, as packed bytes."""
 
     def __init__(self, strings: list[str]) -> None:
         blobs = [s.encode("utf-8", "surrogatepass") + b" " for s in strings]
@@ -215,10 +215,9 @@ class Joined:
 
 
 @lru_cache(2)
-def joined(path: str) -> tuple[Joined, Joined]:
-    """Ids as decimal numbers, and as pieces."""
-    names = vocabulary(path)
-    return Joined([str(i) for i in range(len(names))]), Joined(names)
+def decimals(path: str) -> Joined:
+    """Ids as decimal numbers."""
+    return Joined([str(i) for i in range(len(vocabulary(path)))])
 
 
 def hash_words(words: pa.Array) -> np.ndarray:
@@ -250,40 +249,77 @@ def distinct_words(docs: DataFrame, path: str, *, text: str = "text") -> DataFra
 
 
 def word_table(words: DataFrame, path: str) -> DataFrame:
-    """word, ids (int32 packed): each word is encoded once."""
+    """word, ids (int32 packed), said: each word is encoded once, and its ids are joined to the vocabulary's pieces once.
+
+    said is the word's pieces joined by one space. The vocabulary is a table of fixed size, and the only broadcast side.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = splitter(path).ids
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 words = batch.slice(at, 20_000).column(0)
-                yield pa.RecordBatch.from_arrays([words, pa.array([np.array(x, np.int32).tobytes() for x in ids(words.to_pylist())], pa.binary())], names=["word", "ids"])
+                yield pa.RecordBatch.from_arrays([words, pa.array(ids(words.to_pylist()), pa.list_(pa.int32()))], names=["word", "ids"])
+
+    encoded = arrow_map(words, run, "word string, ids array<int>")
+    at = encoded.select("word", F.posexplode_outer("ids").alias("pos", "id"))
+    met = at.join(F.broadcast(_piece_rows(words.sparkSession, path)), F.col("id") == F.col("__id"), "left")
+    # gathered by word again: its ids in order, and what they are joined to
+    own = met.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "__piece"))).alias("e")).select("word", F.filter("e", lambda e: e["id"].isNotNull()).alias("e"))
+    return arrow_map(own.select("word", F.transform("e", lambda e: e["id"]).alias("ids"), F.array_join(F.transform("e", lambda e: e["__piece"]), " ").alias("said")), _with_packed_ids, "word string, ids binary, said string")
+
+
+def _with_packed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        numbers = batch.column(1)
+        first = np.asarray(numbers.offsets).astype(np.int64) * 4
+        blobs = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer((first - first[0]).astype(np.int32)), pa.py_buffer(np.asarray(numbers.flatten()).astype(np.int32).tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), blobs, batch.column(2)], names=["word", "ids", "said"])
+
+
+def _piece_rows(spark: SparkSession, path: str) -> DataFrame:
+    """__id, __piece of the whole vocabulary."""
+    return spark.createDataFrame(list(enumerate(vocabulary(path))), "__id int, __piece string")
+
 
-    return arrow_map(words, run, "word string, ids binary")
+class _Spans:
+    """Runs of numbers or bytes, one a word, in packed arrays; the last words stand in the order in which they come."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray, order: np.ndarray, extra: list) -> None:
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        starts, sizes = starts[order], sizes[order]
+        # a bounded part of the words at a time, so that no index of all values stands beside them
+        parts = [values[ranges(starts[i : i + 100_000], sizes[i : i + 100_000].astype(np.int64))] for i in range(0, len(order), 100_000)]
+        self.values = np.concatenate([values[:0], *parts, np.array([x for e in extra for x in e], values.dtype)])
+        self.sizes = np.concatenate([sizes.astype(np.int64), np.array([len(e) for e in extra], np.int64)])
+        self.sizes = self.sizes.astype(np.min_scalar_type(int(self.sizes.max(initial=0))))
+
+    def at(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the words' values one after another, how many each word has)."""
+        if not hasattr(self, "starts"):
+            self.starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(np.uint32 if len(self.values) < 1 << 32 else np.int64)
+        sizes = self.sizes[entry].astype(np.int64)
+        return self.values[ranges(self.starts[entry].astype(np.int64), sizes)], sizes
 
 
 class PackedTable:
-    """word -> ids in packed arrays by the words' hashes; words whose hashes meet stand apart, by their bytes."""
+    """word -> ids and pieces in packed arrays by the words' hashes; words whose hashes meet stand apart, by their bytes.
 
-    def __init__(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, apart: dict[bytes, list[int]]) -> None:
-        ids = ids.astype(np.min_scalar_type(int(ids.max(initial=0))), copy=False)
+    said: every word's pieces as bytes, each word's with a space behind.
+    """
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, said: np.ndarray, said_sizes: np.ndarray, apart: dict[bytes, tuple[list[int], bytes]]) -> None:
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        starts = np.cumsum(sizes, dtype=np.int64) - sizes
-        starts, sizes = starts[order], sizes[order]
-        # a bounded part of the words at a time, so that no index of all ids stands beside them
-        parts = [ids[ranges(starts[i : i + 100_000], sizes[i : i + 100_000].astype(np.int64))] for i in range(0, len(keys), 100_000)]
-        self.ids = np.concatenate([ids[:0], *parts])
-        del starts, parts
         extra = list(apart.values())
-        self.ids = np.concatenate([self.ids, np.array([i for x in extra for i in x], self.ids.dtype)])
-        self.sizes = np.concatenate([sizes, np.array([len(x) for x in extra], sizes.dtype)])
-        self.sizes = self.sizes.astype(np.min_scalar_type(int(self.sizes.max(initial=0))))
+        most = max([int(ids.max(initial=0)), *(max(i, default=0) for i, _ in extra)])
+        self.ids = _Spans(ids.astype(np.min_scalar_type(most), copy=False), sizes, order, [i for i, _ in extra])
+        self.said = _Spans(said, said_sizes, order, [s for _, s in extra])
         self.apart = {w: len(keys) + i for i, w in enumerate(apart)}
         self.shared = hash_words(pa.array(list(apart), pa.binary())) if apart else np.zeros(0, np.uint64)
 
-    def look_up(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words one after another, how many each word has)."""
+    def look_up(self, words: Words) -> np.ndarray:
+        """The entry of every word."""
         uniq, inverse = np.unique(words.hashes, return_inverse=True)
         at = np.searchsorted(self.keys, uniq)
         known = at < len(self.keys)
@@ -295,14 +331,7 @@ class PackedTable:
             entry[k] = self.apart.get(words.low[words.starts[k] : words.ends[k]].tobytes(), -1)
         if (entry < 0).any():
             raise RuntimeError(f"{int((entry < 0).sum())} words are not in the word table")
-        starts = self._starts()
-        sizes = self.sizes[entry].astype(np.int64)
-        return self.ids[ranges(starts[entry], sizes)].astype(np.int64), sizes
-
-    def _starts(self) -> np.ndarray:
-        if not hasattr(self, "starts"):
-            self.starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(np.uint32 if len(self.ids) < 1 << 32 else np.int64)
-        return self.starts
+        return entry
 
 
 def _clashes(keys: np.ndarray) -> set[int]:
@@ -312,53 +341,78 @@ def _clashes(keys: np.ndarray) -> set[int]:
 
 def packed(table: DataFrame) -> PackedTable:
     """The whole table in packed arrays, made on the executors as narrow as its numbers allow."""
-    few = table.agg(F.max(F.length("ids"))).first()[0] or 0
-    size_kind = np.min_scalar_type(few // 4)
+    few, long = table.agg(F.max(F.length("ids")), F.max(F.octet_length("said"))).first()
+    size_kind, said_kind = np.min_scalar_type((few or 0) // 4), np.min_scalar_type((long or 0) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs, offs = flat(batch.column(1))
             ids = np.frombuffer(blobs.tobytes(), np.int32)
             short = ids.max(initial=0) < 1 << 16
-            cols = [hash_words(batch.column(0)).tobytes(), (np.diff(offs) // 4).astype(size_kind).tobytes(), (ids.astype(np.uint16) if short else ids).tobytes()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in cols), pa.array([short], pa.bool_())], names=["keys", "sizes", "ids", "short"])
+            said, said_sizes = _spaced(batch.column(2), np.diff(offs))
+            cols = [hash_words(batch.column(0)).tobytes(), (np.diff(offs) // 4).astype(size_kind).tobytes(), (ids.astype(np.uint16) if short else ids).tobytes(), said.tobytes(), said_sizes.astype(said_kind).tobytes()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in cols), pa.array([short], pa.bool_())], names=["keys", "sizes", "ids", "said", "said_sizes", "short"])
 
-    got = arrow_map(table.select("word", "ids"), run, "keys binary, sizes binary, ids binary, short boolean").toArrow()
-    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in got["keys"])])
-    sizes = np.concatenate([np.zeros(0, size_kind), *(np.frombuffer(x.as_buffer(), size_kind) for x in got["sizes"])])
+    got = arrow_map(table.select("word", "ids", "said"), run, "keys binary, sizes binary, ids binary, said binary, said_sizes binary, short boolean").toArrow()
+    whole = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in got[c])])
+    keys, sizes, said, said_sizes = whole("keys", np.uint64), whole("sizes", size_kind), whole("said", np.uint8), whole("said_sizes", said_kind)
     ids = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x.as_buffer(), np.uint16 if s.as_py() else np.int32) for x, s in zip(got["ids"], got["short"], strict=True))])
     del got
-    apart: dict[bytes, list[int]] = {}
+    behind = lambda s, n: s.encode("utf-8", "surrogatepass") + b" " * (n > 0)
+    apart: dict[bytes, tuple[list[int], bytes]] = {}
     if twice := _clashes(keys):  # two words with one hash: fetch those few by their words
         same = F.udf(lambda w: int(hash_words(pa.array([w], pa.string()))[0]) in twice, "boolean")
-        apart = {r.word.encode("utf-8", "surrogatepass"): np.frombuffer(r.ids, np.int32).tolist() for r in table.where(same("word")).collect()}
-    out = PackedTable(keys, sizes, ids, apart)
-    del keys, sizes, ids
+        apart = {r.word.encode("utf-8", "surrogatepass"): (np.frombuffer(r.ids, np.int32).tolist(), behind(r.said, len(r.ids))) for r in table.where(same("word")).collect()}
+    out = PackedTable(keys, sizes, ids, said, said_sizes, apart)
+    del keys, sizes, ids, said, said_sizes
     give_back()
     return out
 
 
-def packed_words(words: pa.Array, ids: list[bytes]) -> PackedTable:
+def _spaced(said: pa.Array, n_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the words' pieces with a space behind each word that has ids, their sizes)."""
+    data, offs = flat(said)
+    spaces = np.cumsum(n_ids > 0)
+    out = np.full(len(data) + int(spaces[-1] if len(spaces) else 0), 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(spaces - (n_ids > 0), np.diff(offs))] = data
+    return out, np.diff(offs) + (n_ids > 0)
+
+
+def packed_words(words: pa.Array, ids: list[bytes], said: pa.Array) -> PackedTable:
     """The same from words at hand."""
     keys = hash_words(words)
     twice = _clashes(keys)
-    apart = {w.encode("utf-8", "surrogatepass"): np.frombuffer(i, np.int32).tolist() for w, i, k in zip(words.to_pylist(), ids, keys.tolist(), strict=True) if k in twice} if twice else {}
-    return PackedTable(keys, np.array([len(i) // 4 for i in ids], np.int64), np.frombuffer(b"".join(ids), np.int32), apart)
+    rows = zip(words.to_pylist(), ids, said.to_pylist(), keys.tolist(), strict=True)
+    apart = {w.encode("utf-8", "surrogatepass"): (np.frombuffer(i, np.int32).tolist(), s.encode("utf-8", "surrogatepass") + b" " * (len(i) > 0)) for w, i, s, k in rows if k in twice} if twice else {}
+    return PackedTable(keys, np.array([len(i) // 4 for i in ids], np.int64), np.frombuffer(b"".join(ids), np.int32), *_spaced(said, np.array([len(i) for i in ids], np.int64)), apart)
+
 
+class Coded:
+    """The words of some texts with their entries in the table."""
 
-def _ids_of(words: Words, table: PackedTable) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, first): the ids of text i are first[i]:first[i + 1]."""
-    ids, sizes = table.look_up(words)
-    return ids, np.concatenate([[0], np.cumsum(sizes)])[words.first]
+    def __init__(self, words: Words, table: PackedTable) -> None:
+        self.first, self.table, self.entry = words.first, table, table.look_up(words)
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): the ids of text i are first[i]:first[i + 1]."""
+        ids, sizes = self.table.ids.at(self.entry)
+        return ids.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])[self.first]
+
+    def decoded(self) -> list[bytes]:
+        """Each text's pieces, joined by one space."""
+        said, sizes = self.table.said.at(self.entry)
+        at, whole = np.concatenate([[0], np.cumsum(sizes)])[self.first].tolist(), said.tobytes()
+        return [whole[s : max(s, e - 1)] for s, e in zip(at[:-1], at[1:], strict=True)]
 
 
-def _digest_rows(ids: np.ndarray, first: np.ndarray, path: str) -> list[pa.Array]:
-    numbers, names = joined(path)
+def _digest_rows(coded: Coded, path: str) -> list[pa.Array]:
+    ids, first = coded.ids()
     sha = lambda texts: pa.array([hashlib.sha256(b).hexdigest() for b in texts], pa.string())
-    return [pa.array(np.diff(first), pa.int64()), sha(numbers.texts(ids, first)), sha(names.texts(ids, first))]
+    return [pa.array(np.diff(first), pa.int64()), sha(decimals(path).texts(ids, first)), sha(coded.decoded())]
 
 
-def _id_rows(ids: np.ndarray, first: np.ndarray, path: str) -> list[pa.Array]:
+def _id_rows(coded: Coded, path: str) -> list[pa.Array]:
+    ids, first = coded.ids()
     return [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))]
 
 
@@ -377,10 +431,10 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str] |
     at = held.index(text)
 
     table = materialize(word_table(distinct_words(docs, path, text=text), path), what="words")
-    size = table.agg(F.coalesce(F.sum(F.length("ids") / 2 + 13), F.lit(0))).first()[0]
+    size = table.agg(F.coalesce(F.sum(F.length("ids") / 2 + F.octet_length("said") + 15), F.lit(0))).first()[0]
 
     def emit(piece: pa.RecordBatch, own: PackedTable) -> pa.RecordBatch:
-        got = rows(*_ids_of(splitter(path).words(piece.column(at)), own), path)
+        got = rows(Coded(splitter(path).words(piece.column(at)), own), path)
         return pa.RecordBatch.from_arrays([*piece.columns[: len(kept)], *got], names=schema.names)
 
     if size <= broadcast_bytes:
@@ -417,7 +471,7 @@ def _encode_by_bucket(source: DataFrame, table: DataFrame, path: str, text: str,
     pairs = arrow_map(dealt.select("__bucket", text), words_of, "__bucket int, word string").distinct().join(table, "word")
 
     def meet(docs: pa.Table, words: pa.Table) -> pa.Table:
-        own = packed_words(words["word"].combine_chunks(), words["ids"].to_pylist())
+        own = packed_words(words["word"].combine_chunks(), words["ids"].to_pylist(), words["said"].combine_chunks())
         rows = docs.drop_columns(["__bucket"]).combine_chunks().to_batches()
         out = [emit(p, own) for b in rows for p in pieces(b, text, PIECE_BYTES)]
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([], to_arrow_schema(schema))
@@ -434,8 +488,7 @@ def decode(rows: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
     spark = rows.sparkSession
     kept = [c for c in rows.columns if c != "decoded"]
     numbered = materialize(rows.select(*kept).withColumn("__row", F.monotonically_increasing_id()), what="rows")
-    pieces_of = spark.createDataFrame(list(enumerate(vocabulary(path))), "__id int, __piece string")
     at = numbered.select("__row", F.posexplode(ids).alias("__pos", "__id"))
-    own = at.join(F.broadcast(pieces_of), "__id").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__pos", "__piece"))).alias("__pieces"))
+    own = at.join(F.broadcast(_piece_rows(spark, path)), "__id").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__pos", "__piece"))).alias("__pieces"))
     text = F.array_join(F.transform(F.coalesce("__pieces", F.array().cast("array<struct<__pos:int,__piece:string>>")), lambda p: p.getField("__piece")), " ")
     return numbered.join(own, "__row", "left").select(*kept, F.when(F.col(ids).isNotNull(), text).alias("decoded"))

@@ -14,6 +14,12 @@ from orrery.llm import bpe, decontam, hilbert, lang_id, quality, secrets, suffix
 from orrery.llm.queries import tokenizer_path
 
 
+def at_hand(known, split, path):
+    """The packed table of words at hand."""
+    ids, names = split.ids(known), bpe.vocabulary(path)
+    return bpe.packed_words(pa.array(known, pa.string()), [np.array(x, np.int32).tobytes() for x in ids], pa.array([" ".join(names[i] for i in x) for x in ids], pa.string()))
+
+
 def test_words_equal_the_library():
     """Fuzzed texts: words, ids and both digests as the library gives them."""
     path = tokenizer_path()
@@ -25,10 +31,11 @@ def test_words_equal_the_library():
     words = [[w.low[w.starts[k] : w.ends[k]].tobytes().decode() for k in range(w.first[i], w.first[i + 1])] for i in range(len(texts))]
     assert words == [split.slow(x or "") for x in texts]
     known = sorted({x for ws in words for x in ws})
-    table = bpe.packed_words(pa.array(known, pa.string()), [np.array(x, np.int32).tobytes() for x in split.ids(known)])
-    ids, first = bpe._ids_of(w, table)
+    table = at_hand(known, split, path)
+    coded = bpe.Coded(w, table)
+    ids, first = coded.ids()
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    _, a, b = bpe._digest_rows(ids, first, path)
+    _, a, b = bpe._digest_rows(coded, path)
     for i, x in enumerate(texts):
         want = split.tokenizer.encode(x or "", add_special_tokens=False).ids
         assert ids[first[i] : first[i + 1]].tolist() == want
@@ -42,17 +49,29 @@ def test_words_that_share_a_hash_stand_apart(monkeypatch):
     monkeypatch.setattr(bpe, "span_hashes", lambda *x: real(*x) % np.uint64(3))
     split = bpe.splitter(path)
     known = ["one", "two", "three", "four", "five", "sixteen", "unhelpful"]
-    table = bpe.packed_words(pa.array(known, pa.string()), [np.array(x, np.int32).tobytes() for x in split.ids(known)])
-    ids, first = bpe._ids_of(split.words(pa.array(["five two unhelpful", "one sixteen"])), table)
-    assert ids[: first[1]].tolist() == split.tokenizer.encode("five two unhelpful", add_special_tokens=False).ids
+    table = at_hand(known, split, path)
+    coded = bpe.Coded(split.words(pa.array(["five two unhelpful", "one sixteen"])), table)
+    ids, first = coded.ids()
+    want = split.tokenizer.encode("five two unhelpful", add_special_tokens=False).ids
+    assert ids[: first[1]].tolist() == want and coded.decoded()[0].decode() == split.tokenizer.decode(want, skip_special_tokens=False)
     with pytest.raises(RuntimeError):
         table.look_up(split.words(pa.array(["absent from it", "or this"])))
     monkeypatch.undo()
-    whole = bpe.packed_words(pa.array(known, pa.string()), [b""] * len(known))
+    whole = at_hand(known, split, path)
     with pytest.raises(RuntimeError):
         whole.look_up(split.words(pa.array(["absent"])))
 
 
+def test_a_word_without_ids_leaves_no_space():
+    path = tokenizer_path()
+    split = bpe.splitter(path)
+    ids = split.ids(["one", "two"])
+    names = bpe.vocabulary(path)
+    said = pa.array([" ".join(names[i] for i in ids[0]), "", " ".join(names[i] for i in ids[1])], pa.string())
+    table = bpe.packed_words(pa.array(["one", "gap", "two"], pa.string()), [np.array(x, np.int32).tobytes() for x in (ids[0], [], ids[1])], said)
+    assert bpe.Coded(split.words(pa.array(["one gap two", "gap", "gap one gap"])), table).decoded() == [f"{said[0]} {said[2]}".encode(), b"", str(said[0]).encode()]
+
+
 @pytest.mark.parametrize("n", range(5, 13))
 def test_short_items_meet_every_allowed_substitution(n):
     """All sets of substitutions that the share allows, for every item length, through the index itself."""
