@@ -73,6 +73,14 @@ def needs_fulltext(is_oa: Column, abstract: Column, short: int = 280) -> Column:
     return F.coalesce(is_oa, F.lit(False)) & (F.length(F.coalesce(abstract, F.lit(""))) < short)
 
 
+def open_access(is_oa: Column, *hints: Column) -> Column:
+    """Open by flag, or by any url or id that only open works have."""
+    out = F.coalesce(is_oa, F.lit(False))
+    for h in hints:
+        out = out | (T.text_or_empty(h) != "")
+    return out
+
+
 def malformed_ids(ids: DataFrame, c: str = "id") -> DataFrame:
     """ids plus canonical W-number and whether the id can be one."""
     w = F.regexp_extract(F.col(c), r"^(?:https?://openalex\.org/)?([Ww]\d+)$", 1)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import scores as S
-from orrery.operators import collect, contract, diversify, documents, gates, graph, rank
+from orrery.operators import collect, contract, diversify, documents, gates, graph, rank, render
 from orrery.sources import anchors, parse
 
 
@@ -65,6 +65,20 @@ def rank_anchors(works: DataFrame, *, count: int = 3) -> DataFrame:
     return scored.orderBy(*rank.anchor_order()).limit(count)
 
 
+def anchor_document(works: DataFrame, theme: DataFrame, *, count: int = 3, section: str = "Track A", title: str = render.TITLE) -> DataFrame:
+    """theme, document: the report of the best anchors, filled without any external model. theme: one row of themes.load_themes with theme."""
+    ranked = rank_anchors(works, count=count)
+    entries = documents.anchor_entries(ranked, count=count).join(ranked.drop("level", "anchor_rank_score"), "id")
+    blank = [F.lit(None).cast("string").alias(c) for c in ("relationship", "summary", "hypothesis", "caution", "doi") if c not in entries.columns]
+    spec = theme.select("theme", "concern", F.coalesce("assumptions", F.array().cast("array<string>")).alias("assumptions"))
+    rows = documents.fill(entries.select("*", *blank).join(F.broadcast(spec), how="cross"), concern=F.col("concern"), assumptions=F.col("assumptions"))  # one theme
+    shown = {"relevance": F.round("relevance", 2), "anchor_rank_score": F.round("anchor_rank_score", 1), "relevance_tier": (F.col("relevance") > 0).cast("int"), "reliability_score": F.col("reliability_score"), "theme_fit_score": F.col("theme_fit_score")}
+    meta = F.create_map(*[x for k, v in shown.items() for x in (F.lit(k), v.cast("string"))])
+    none = F.lit(None).cast("array<struct<keyword:string,where:string,credit:double>>")
+    placed = rows.select("*", F.lit(0).alias("section"), F.map_filter(meta, lambda _, v: v.isNotNull()).alias("meta"), none.alias("matched"), F.lit(None).cast("int").alias("n_keywords"))
+    return render.documents(render.document_blocks(theme, theme.select("theme", F.lit(0).alias("section"), F.lit(section).alias("title")), placed, title=title))
+
+
 def bridge_document(works: DataFrame, refs: DataFrame, seeds: DataFrame, overlap: DataFrame, *, count: int = 3, concern: str = "", assumptions: tuple[str, ...] = (), **scope) -> DataFrame:
     """Filled entries of the first count bridge candidates, without any external model. overlap: id, inter, union_n, near."""
     found = collect_bridges(works, refs, seeds, **scope).drop("slot", "theme", "pos")

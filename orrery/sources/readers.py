@@ -158,7 +158,8 @@ class Client:
         self.meter = meter(headers) or self.meter
         return status, body
 
-    def get(self, params: dict[str, Any]) -> dict[str, Any]:
+    def get(self, params: dict[str, Any], shapes: tuple[type, ...] = (dict,)) -> Any:
+        """The JSON that answers a request, of one of these shapes."""
         self.stats["requests"] += 1
         began, tried = self.now(), 0
         while True:
@@ -169,7 +170,7 @@ class Client:
                     got = json.loads(body)
                 except (TypeError, ValueError, RecursionError):
                     got = None
-                if not isinstance(got, dict):
+                if not isinstance(got, shapes):
                     raise ReadError(f"answered with a broken body: {str(body)[:300]}", status=200)
                 return got
             if status == 429 and exhausted(self.meter):
@@ -360,7 +361,13 @@ def fetch_each(keys: DataFrame, fetch: Fetch, *, key: str = "key", param: str =
     What is absent gives null and no error; a key that fails, or that the requests don't reach, costs only itself; an exhausted
     budget of the server ends the read. All lanes keep to one rate.
     """
-    one = keys.select(F.col(key).cast("string").alias("key")).where("key IS NOT NULL").distinct().repartition(lanes)
+    one = keys.select(F.col(key).cast("string").alias("key")).where("key IS NOT NULL").distinct()
+    return fetch_rows(one.select("key", F.create_map(F.lit(param), F.col("key")).alias("params")), fetch, config=config, absent=absent, lanes=lanes, requests=requests)
+
+
+def fetch_rows(asked: DataFrame, fetch: Fetch, *, config: ReadConfig = ReadConfig(), absent: frozenset[int] = frozenset({404}), lanes: int = 8, requests: int | None = None) -> DataFrame:
+    """key, payload, error: one request a row of asked (key, params: map<string,string>); bodies may be lists as well as objects."""
+    one = asked.select(F.col("key").cast("string").alias("key"), "params").repartition(lanes)
     own = deal(lanes, requests)
 
     def run(batches: Iterator) -> Iterator:
@@ -369,10 +376,10 @@ def fetch_each(keys: DataFrame, fetch: Fetch, *, key: str = "key", param: str =
         client = Client(fetch, config, lane=own[TaskContext.get().partitionId() % lanes])
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for k in batch.column(0).to_pylist():
+            for k, params in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 payload, error = None, None
                 try:
-                    payload = json.dumps(client.get({param: k}), ensure_ascii=False)
+                    payload = json.dumps(client.get(dict(params or []), (dict, list)), ensure_ascii=False)
                 except ReadError as e:
                     if e.exhausted and not isinstance(e, Unread):
                         raise
