@@ -210,6 +210,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
             continue
         shared = spark.sparkContext.broadcast(SeedIndex(got["item_id"].combine_chunks(), got["text"].combine_chunks(), masks, least, window, share))
         found = arrow_map(source, scan(shared), schema)
+        if blocks > 1:  # a pass is written before the next block is sent, so one block is out at a time
+            found = materialize(found, what="overlaps")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 

@@ -52,3 +52,15 @@ def test_many_texts_without_id_or_under_one(spark):
     assert len(got) == len(rows) and time.monotonic() - began < 120
     removed = [(r.doc_id, r.n_removed >= 130) for r in got if r.n_removed]
     assert sorted(removed, key=str) == [(5, True), (None, True)]
+
+
+def test_benchmark_in_many_blocks(spark, docs):
+    """A benchmark in blocks gives the rows that one block gives, with one broadcast out at a time."""
+    from orrery.llm import decontam
+
+    rng = random.Random(7)
+    texts = [r.text for r in docs.where("text IS NOT NULL").collect() if len(r.text.split()) > 20]
+    items = [(i, " ".join(rng.choice(texts).split()[3:17])) for i in range(40)] + [(40, None), (41, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontam.contaminated(docs, bench).collect()), key=str)
+    assert whole and sorted(map(tuple, decontam.contaminated(docs, bench, block_bytes=500).collect()), key=str) == whole
