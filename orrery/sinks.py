@@ -1,4 +1,4 @@
-"""Sinks: JSON lines of candidate materials, text reports, the cache of full texts."""
+"""Sinks: JSON lines of candidate materials and text reports."""
 
 from __future__ import annotations
 
@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 from orrery.functions import text as T
 
 
+#: Fixed value: characters that a cut abstract keeps at least.
+ABSTRACT_LEAST = 200
+
+
+def material_options(lean: object = None, chars: object = None) -> dict[str, object]:
+    """Options of material() from what a caller asks for: no cut for 0, nothing or what is no number, else at least ABSTRACT_LEAST."""
+    try:
+        cut = int(chars or 0)
+    except (TypeError, ValueError):
+        cut = 0
+    return {"lean": bool(lean), "abstract_chars": max(cut, ABSTRACT_LEAST) if cut > 0 else None}
+
+
 def material(*, abstract_chars: int | None = None, lean: bool = False) -> Column:
     """A work as one JSON text; lean leaves out concepts and references; a cut abstract carries its full length."""
     whole = T.text_or_empty(F.col("abstract"))
@@ -84,15 +97,6 @@ def render_markdown(ranked: DataFrame, title: str, *, pos: str = "pos", limit: i
     return "\n\n".join([f"# {title}", *blocks]) + "\n"
 
 
-def write_fulltext_cache(rows: DataFrame, path: str) -> None:
-    """id, source, text, resolved; misses are kept, so they are not asked again."""
-    rows.select("id", "source", "text", "resolved").write.mode("append").parquet(path)
-
-
-def uncached(ids: DataFrame, cache: DataFrame) -> DataFrame:
-    return ids.join(cache.select("id"), "id", "left_anti")
-
-
 def size_by_field(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     """field, chars: how much each field weighs in JSON."""
     sums = rows.agg(*[F.sum(F.length(F.to_json(F.struct(c)))).alias(c) for c in fields])

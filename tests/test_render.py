@@ -108,3 +108,9 @@ def test_pool_lines(spark):
     got = [r.line for r in render.pool_lines(["a", "b", "c"], counts, totals, legs=legs).orderBy("pos").collect()]
     assert got == ["legs", "プール内訳（取得 6 件のうち各キーワードに一致した件数。括弧内は 名前/説明/topics・README）: a 6（5・1） / b 3（0・3） / c 0（0・0）", "名前/説明/topics に一致したものがプールに 1 件も無いキーワード: b（README の言及のみ 3 件） / c（README を含め 0 件）", "取得失敗: README 2 件・issue 0 件（403）"]
     assert render.pool_lines(["a"], counts.limit(0), totals.withColumn("measured", F.lit(0)), legs=legs).collect() == []
+
+
+def test_material_options():
+    from orrery import sinks
+
+    assert [sinks.material_options(1, c)["abstract_chars"] for c in (None, 0, "x", -5, 50, "300")] == [None, None, None, None, 200, 300] and sinks.material_options()["lean"] is False
