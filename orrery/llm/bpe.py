@@ -291,8 +291,9 @@ class _Spans:
         # a bounded part of the words at a time, so that no index of all values stands beside them
         parts = [values[ranges(starts[i : i + 100_000], sizes[i : i + 100_000].astype(np.int64))] for i in range(0, len(order), 100_000)]
         self.values = np.concatenate([values[:0], *parts, np.array([x for e in extra for x in e], values.dtype)])
-        self.sizes = np.concatenate([sizes.astype(np.int64), np.array([len(e) for e in extra], np.int64)])
-        self.sizes = self.sizes.astype(np.min_scalar_type(int(self.sizes.max(initial=0))))
+        more = np.array([len(e) for e in extra], np.int64)
+        most = max(int(sizes.max(initial=0)), int(more.max(initial=0)))
+        self.sizes = np.concatenate([sizes.astype(np.min_scalar_type(most)), more.astype(np.min_scalar_type(most))])
 
     def at(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the words' values one after another, how many each word has)."""
@@ -308,13 +309,17 @@ class PackedTable:
     said: every word's pieces as bytes, each word's with a space behind.
     """
 
-    def __init__(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, said: np.ndarray, said_sizes: np.ndarray, apart: dict[bytes, tuple[list[int], bytes]]) -> None:
+    def __init__(self, keys: np.ndarray, ids: Callable[[], tuple[np.ndarray, np.ndarray]], said: Callable[[], tuple[np.ndarray, np.ndarray]], apart: dict[bytes, tuple[list[int], bytes]]) -> None:
+        """ids and said give values and sizes by word; each is asked for when the one before is packed and gone."""
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
         extra = list(apart.values())
-        most = max([int(ids.max(initial=0)), *(max(i, default=0) for i, _ in extra)])
-        self.ids = _Spans(ids.astype(np.min_scalar_type(most), copy=False), sizes, order, [i for i, _ in extra])
-        self.said = _Spans(said, said_sizes, order, [s for _, s in extra])
+        values, sizes = ids()
+        most = max([int(values.max(initial=0)), *(max(i, default=0) for i, _ in extra)])
+        self.ids = _Spans(values.astype(np.min_scalar_type(most), copy=False), sizes, order, [i for i, _ in extra])
+        del values, sizes
+        give_back()
+        self.said = _Spans(*said(), order, [s for _, s in extra])
         self.apart = {w: len(keys) + i for i, w in enumerate(apart)}
         self.shared = hash_words(pa.array(list(apart), pa.binary())) if apart else np.zeros(0, np.uint64)
 
@@ -340,42 +345,59 @@ def _clashes(keys: np.ndarray) -> set[int]:
 
 
 def packed(table: DataFrame) -> PackedTable:
-    """The whole table in packed arrays, made on the executors as narrow as its numbers allow."""
+    """The whole table in packed arrays, made on the executors as narrow as its numbers allow; ids and pieces come one after the other."""
     few, long = table.agg(F.max(F.length("ids")), F.max(F.octet_length("said"))).first()
     size_kind, said_kind = np.min_scalar_type((few or 0) // 4), np.min_scalar_type((long or 0) + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs, offs = flat(batch.column(1))
             ids = np.frombuffer(blobs.tobytes(), np.int32)
             short = ids.max(initial=0) < 1 << 16
-            said, said_sizes = _spaced(batch.column(2), np.diff(offs))
-            cols = [hash_words(batch.column(0)).tobytes(), (np.diff(offs) // 4).astype(size_kind).tobytes(), (ids.astype(np.uint16) if short else ids).tobytes(), said.tobytes(), said_sizes.astype(said_kind).tobytes()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in cols), pa.array([short], pa.bool_())], names=["keys", "sizes", "ids", "said", "said_sizes", "short"])
+            cols = [hash_words(batch.column(0)).tobytes(), (np.diff(offs) // 4).astype(size_kind).tobytes(), (ids.astype(np.uint16) if short else ids).tobytes()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in cols), pa.array([short], pa.bool_())], names=["keys", "sizes", "ids", "short"])
 
-    got = arrow_map(table.select("word", "ids", "said"), run, "keys binary, sizes binary, ids binary, said binary, said_sizes binary, short boolean").toArrow()
-    whole = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in got[c])])
-    keys, sizes, said, said_sizes = whole("keys", np.uint64), whole("sizes", size_kind), whole("said", np.uint8), whole("said_sizes", said_kind)
+    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.bitwise_xor.reduce(hash_words(batch.column(0)), keepdims=True)
+            cols = [keys.tobytes(), *(c.tobytes() for c in _spaced(batch.column(2), np.diff(flat(batch.column(1))[1]), said_kind))]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=["mark", "said", "said_sizes"])
+
+    whole = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in c)])
+    words = table.select("word", "ids", "said")
+    got = arrow_map(words, coded, "keys binary, sizes binary, ids binary, short boolean").toArrow()
+    marks = [int(np.bitwise_xor.reduce(np.frombuffer(x.as_buffer(), np.uint64))) for x in got["keys"]]
+    keys, sizes = whole(got["keys"], np.uint64), whole(got["sizes"], size_kind)
     ids = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x.as_buffer(), np.uint16 if s.as_py() else np.int32) for x, s in zip(got["ids"], got["short"], strict=True))])
     del got
+    give_back()
     behind = lambda s, n: s.encode("utf-8", "surrogatepass") + b" " * (n > 0)
     apart: dict[bytes, tuple[list[int], bytes]] = {}
     if twice := _clashes(keys):  # two words with one hash: fetch those few by their words
         same = F.udf(lambda w: int(hash_words(pa.array([w], pa.string()))[0]) in twice, "boolean")
         apart = {r.word.encode("utf-8", "surrogatepass"): (np.frombuffer(r.ids, np.int32).tolist(), behind(r.said, len(r.ids))) for r in table.where(same("word")).collect()}
-    out = PackedTable(keys, sizes, ids, said, said_sizes, apart)
-    del keys, sizes, ids, said, said_sizes
+    held = [(ids, sizes)]
+    del ids, sizes
+
+    def said_of() -> tuple[np.ndarray, np.ndarray]:
+        got = arrow_map(words, spoken, "mark binary, said binary, said_sizes binary").toArrow()
+        if [int(np.frombuffer(x.as_buffer(), np.uint64)[0]) for x in got["mark"]] != marks:
+            raise RuntimeError("the word table came in another order")
+        return whole(got["said"], np.uint8), whole(got["said_sizes"], said_kind)
+
+    out = PackedTable(keys, held.pop, said_of, apart)
+    del keys
     give_back()
     return out
 
 
-def _spaced(said: pa.Array, n_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spaced(said: pa.Array, n_ids: np.ndarray, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of the words' pieces with a space behind each word that has ids, their sizes)."""
     data, offs = flat(said)
     spaces = np.cumsum(n_ids > 0)
     out = np.full(len(data) + int(spaces[-1] if len(spaces) else 0), 32, np.uint8)
     out[np.arange(len(data)) + np.repeat(spaces - (n_ids > 0), np.diff(offs))] = data
-    return out, np.diff(offs) + (n_ids > 0)
+    return out, (np.diff(offs) + (n_ids > 0)).astype(kind)
 
 
 def packed_words(words: pa.Array, ids: list[bytes], said: pa.Array) -> PackedTable:
@@ -384,7 +406,8 @@ def packed_words(words: pa.Array, ids: list[bytes], said: pa.Array) -> PackedTab
     twice = _clashes(keys)
     rows = zip(words.to_pylist(), ids, said.to_pylist(), keys.tolist(), strict=True)
     apart = {w.encode("utf-8", "surrogatepass"): (np.frombuffer(i, np.int32).tolist(), s.encode("utf-8", "surrogatepass") + b" " * (len(i) > 0)) for w, i, s, k in rows if k in twice} if twice else {}
-    return PackedTable(keys, np.array([len(i) // 4 for i in ids], np.int64), np.frombuffer(b"".join(ids), np.int32), *_spaced(said, np.array([len(i) for i in ids], np.int64)), apart)
+    sizes = np.array([len(i) // 4 for i in ids], np.int64)
+    return PackedTable(keys, lambda: (np.frombuffer(b"".join(ids), np.int32), sizes), lambda: _spaced(said, sizes), apart)
 
 
 class Coded:
