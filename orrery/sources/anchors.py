@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import scores as S
 from orrery.functions import text as T
+from orrery.lineage import cut
 from orrery.sources.parse import hub_license
 
 #: Search limits, source names.
@@ -127,12 +129,22 @@ def leg_turns(totals: Sequence[int | None]) -> list[int]:
 def seat_by_turns(legs: DataFrame, turns: Sequence[int], *, limit: int, key: str = "full_name", leg: str = "leg", pos: str = "pos") -> DataFrame:
     """Weighted round-robin over legs; each repository once, at its first seat. legs: leg, pos, key.
 
-    Leg l seats turns[l] rows a round, so row i of leg l sits in round i div turns[l].
+    Leg l seats turns[l] rows a round, so row i of leg l sits in round i div turns[l]. Only heads of the legs are ever
+    ranked: they are lengthened until the rounds that they fill have enough repositories, so no task holds a leg.
     """
+    seated = [(n, turn) for n, turn in enumerate(turns) if turn > 0]
+    names = [c for c in legs.columns if c in (key, leg)]
+    own, first = F.row_number().over(W.partitionBy(leg).orderBy(pos, *names)) - 1, F.row_number().over(W.partitionBy(key).orderBy("__round", leg, "__own"))
     weight = F.element_at(F.array(*[F.lit(t) for t in turns]), F.col(leg) + 1)
-    own = F.row_number().over(W.partitionBy(leg).orderBy(pos)) - 1
-    dealt = legs.where(weight > 0).withColumn("__own", own).withColumn("__round", F.floor(F.col("__own") / weight))
-    first = F.row_number().over(W.partitionBy(key).orderBy("__round", leg, "__own"))
+    most = 4 * max(limit, 1)
+    while True:
+        heads = [legs.where(F.col(leg) == n).orderBy(pos, *names).limit(most) for n, _ in seated] or [legs.limit(0)]
+        dealt = cut(reduce(DataFrame.unionByName, heads).withColumn("__own", own).withColumn("__round", F.floor(F.col("__own") / weight)))
+        held = {r[0]: r[1] for r in dealt.groupBy(leg).agg(F.count("*")).collect()}
+        ends = [most // turn for n, turn in seated if held.get(n, 0) == most]
+        if not ends or dealt.where(F.col("__round") < min(ends)).select(key).distinct().limit(limit).count() == limit:
+            break
+        most *= 8
     return dealt.withColumn("__n", first).where("__n = 1").orderBy("__round", leg, "__own").limit(limit).drop("__own", "__round", "__n")
 
 
