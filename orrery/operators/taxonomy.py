@@ -34,6 +34,11 @@ def _phrases(themes: DataFrame, text: str, longest: int) -> DataFrame:
     return themes.withColumn("__phrase", F.explode(F.array_distinct(runs))).where("__phrase <> ''")
 
 
+def _dealt(themes: DataFrame) -> DataFrame:
+    """themes over as many tasks as shuffles have: a small file of short rows would give all its phrases to one."""
+    return themes.repartition(int(themes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *themes.columns)
+
+
 def _longest(names: DataFrame, name: str) -> int:
     """Words of the longest name; a taxonomy's names are short."""
     return names.agg(F.coalesce(F.max(F.size(F.split(_normal(F.col(name)), " "))), F.lit(1))).first()[0]
@@ -42,7 +47,7 @@ def _longest(names: DataFrame, name: str) -> int:
 def resolve_strict(themes: DataFrame, vocab: DataFrame, *, text: str = "scope_field", key: str = "subfield_id") -> DataFrame:
     """themes x ids whose name is the text or a whole phrase of it: the text's phrases meet the names in an equi-join."""
     named = vocab.select(_normal(F.col("name")).alias("__phrase"), key).where("__phrase <> ''").distinct()
-    return _phrases(themes, text, _longest(vocab, "name")).join(named, "__phrase").select(*themes.columns, key).distinct()
+    return _phrases(_dealt(themes), text, _longest(vocab, "name")).join(named, "__phrase").select(*themes.columns, key).distinct()
 
 
 def resolve_fields(themes: DataFrame, fields: DataFrame, aliases: DataFrame, *, text: str = "scope_field") -> DataFrame:
@@ -50,7 +55,7 @@ def resolve_fields(themes: DataFrame, fields: DataFrame, aliases: DataFrame, *,
     t = F.lower(F.trim(F.coalesce(F.col(text), F.lit(""))))
     named = aliases.select(_normal(F.col("alias")).alias("__phrase"), (F.length("alias") < 4).alias("__short"), "field_id").unionByName(fields.select(_normal(F.col("name")).alias("__phrase"), F.lit(False).alias("__short"), "field_id")).where("__phrase <> ''").distinct()
     longest = max(_longest(aliases, "alias"), _longest(fields, "name"))
-    by_phrase = _phrases(themes, text, longest).join(named, "__phrase").where(~F.col("__short") | (_normal(F.col(text)) == F.col("__phrase"))).select(*themes.columns, "field_id")
+    by_phrase = _phrases(_dealt(themes), text, longest).join(named, "__phrase").where(~F.col("__short") | (_normal(F.col(text)) == F.col("__phrase"))).select(*themes.columns, "field_id")
     # the text within a name: the fields of a taxonomy are a few dozen rows
     within = themes.join(F.broadcast(fields), (F.length(t) >= 4) & F.lower("name").contains(t)).select(*themes.columns, "field_id")
     return by_phrase.unionByName(within).distinct()
