@@ -3,9 +3,9 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from orrery.operators import graph
+from orrery.sources import anchors
 
 
 @pytest.mark.parametrize("percent", [18, 60, 90])
@@ -23,3 +23,10 @@ def test_pairs_of_lists_are_counted_and_never_travel(spark, percent):
     refs = spark.createDataFrame([(w, r) for w, m in lists.items() for r in m], "id string, ref int").repartition(3)
     got = [(r.a, r.b) for r in graph.shared_reference_pairs(refs, percent=percent, block=4).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_heads_of_legs_are_lengthened_until_they_suffice(spark):
+    """A leg that names one repository 400 times before the next: its first head has one repository only."""
+    rows = [(0, i, "same") for i in range(400)] + [(0, 400 + i, f"a{i}") for i in range(9)] + [(1, i, "same") for i in range(500)]
+    got = anchors.seat_by_turns(spark.createDataFrame(rows, "leg int, pos int, full_name string"), [2, 1], limit=5)
+    assert [r.full_name for r in got.collect()] == ["same", "a0", "a1", "a2", "a3"]
