@@ -84,3 +84,55 @@ def test_nothing_to_percolate(spark, works):
     none = spark.createDataFrame([], QUERY)
     assert percolate.percolate(none, works).collect() == []
     assert percolate.percolate(spark.createDataFrame(asked(), QUERY), works.limit(0)).collect() == []
+
+
+def _shuffled(df) -> int:
+    """Rows that the plan's exchanges wrote."""
+    df.collect()
+    sizes, todo = [], [df._jdf.queryExecution().executedPlan().finalPhysicalPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "ShuffleQueryStageExec":
+            sizes.append(node.shuffle().metrics().apply("shuffleRecordsWritten").value())
+            node = node.plan()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return sum(sizes)
+
+
+@pytest.mark.parametrize("block", [10**6, 7])
+def test_first_rungs_are_settled_in_the_row_of_a_work(spark, works, block):
+    """Every pair, and none travels; blocks of classes give the same."""
+    q = spark.createDataFrame(asked(), QUERY).withColumn("rung", F.col("query")).withColumn("query", F.col("query") % 6)
+    rows = [(r["query"], r.rung, *r[2:]) for r in q.collect()]
+    want = {}
+    for r in sorted(rows, key=lambda r: r[1]):
+        for w in as_query(r).apply(works).select("id").collect():
+            want.setdefault((r[0], w.id), r[1])
+    got = percolate.percolate(q, works, block=block, first=True)
+    found = [(r["query"], r.id, r.rung) for r in got.collect()]
+    assert len(found) == len(want) and {(a, b): c for a, b, c in found} == want
+    assert _shuffled(got) == 0
+
+
+def test_first_matches_of_works_whose_id_repeats(spark):
+    works = spark.createDataFrame([(1, "deep", "x"), (1, "deep nets", "x"), (2, "deep", "x"), (3, "nets", "x")], "id int, title string, abstract string")
+    rows = spark.createDataFrame([("t", ["deep", "nets"])], "theme string, keywords_include array<string>").withColumn("scope_field", F.lit("")).withColumn("goal", F.lit("nets"))
+    assert sorted((r.id, r.rung) for r in percolate.first_matches(percolate.ladders(rows), works).collect()) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_equal_queries_are_one_class_until_their_matches_are_found(spark, works):
+    q = spark.range(500).select(F.col("id").alias("query"), F.lit(0).alias("rung"), F.array(F.lit("17"), F.lit("13")).alias("field_ids"))
+    got = percolate.percolate(q, works)
+    assert got.count() == 500 * works.where("field_id IN ('17', '13')").count() and _shuffled(got) == 0
+
+
+@pytest.mark.parametrize("head", [20, 10**6])
+def test_first_places_in_rounds(spark, works, head):
+    """Rounds by position find what one pass over all works finds, and hold few matches."""
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate([["deep", "nets", "graphs"], ["of"], ["absent", "art"], ["c3po", "state"]])], "theme int, keywords_include array<string>").withColumn("scope_field", F.lit("")).withColumn("goal", F.lit("the"))
+    q = percolate.ladders(rows)
+    every = percolate.first_rungs(percolate.percolate(q, works)).join(works.select("id", "pos"), "id").collect()
+    got = percolate.first_places(q, works, limit=12, head=head).collect()
+    for t in range(4):
+        want = sorted((r.rung, r.pos, r.id) for r in every if r["query"] == t)[:12]
+        assert [(r.rung, r.pos, r.id) for r in sorted((r for r in got if r["query"] == t), key=lambda r: r.place)] == want
