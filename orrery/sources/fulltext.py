@@ -94,7 +94,8 @@ def read_bytes(rows: DataFrame, kind: str, *, content: str = "content") -> DataF
 
 
 def excerpt(c: Column, limit: int = EXCERPT) -> Column:
-    return T.cap_at_sentence(T.collapse_ws(c), limit)
+    # the white space of a text is collapsed once, not for every look at it
+    return T.once(T.collapse_ws(c), lambda t: T.cap_at_sentence(t, limit))
 
 
 def full_texts(rows: DataFrame, kind: str, *, source: str, content: str = "content") -> DataFrame:
