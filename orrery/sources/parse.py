@@ -21,19 +21,38 @@ REPO = (
 )
 
 
+def inverted_index(text: Column) -> Column:
+    """Each word of a text, split at single spaces, with its places from 0 in order; null for a null text.
+
+    Expressed on the text itself: (word, place) pairs are sorted, and each run of one word is cut out as an entry.
+    Nothing leaves the row.
+    """
+    pairs = F.sort_array(F.transform(F.split(text, " "), lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+
+    def entries(pairs: Column) -> Column:
+        n = F.size(pairs)
+        later = F.filter(F.slice(F.sequence(F.lit(0), n - 1), 2, n), lambda i: pairs[i]["w"] != pairs[i - 1]["w"])  # where runs begin, but the first
+        run = lambda a, b: F.struct(pairs[a]["w"].alias("word"), F.transform(F.slice(pairs, a + 1, b - a), lambda q: q["p"]).alias("at"))
+        return T.once(later, lambda h: F.zip_with(F.concat(F.array(F.lit(0)), h), F.concat(h, F.array(n)), run))
+
+    return F.map_from_entries(T.once(pairs, entries))
+
+
 def restore_abstract(index: Column) -> Column:
     """Words back in their places: the first word of the index wins a place, holes are empty words.
 
-    Expressed on the map itself: entries become (place, order, word), sorted; each one is zipped with the one
-    before it, repeats of a place vanish and gaps become empty words. Nothing leaves the row.
+    Expressed on the map itself: entries become (place, order, word), sorted once; each one is zipped with the one
+    before it, repeats of a place vanish and gaps become the spaces between empty words. Nothing leaves the row.
     """
     entries = F.map_entries(index)
     flat = F.flatten(F.transform(entries, lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("o"), e["key"].alias("w")))))
-    spots = F.sort_array(flat)
     start = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("o"), F.lit("").alias("w")))
-    none = F.array().cast("array<string>")
-    step = lambda s, q: F.when(s.isNull() | (s["p"] == q["p"]), none).otherwise(F.concat(F.array_repeat(F.lit(""), s["p"] - q["p"] - 1), F.array(s["w"])))
-    words = F.flatten(F.zip_with(spots, F.concat(start, spots), step))
+
+    def step(s: Column, q: Column) -> Column:
+        gap = s["p"] - q["p"]
+        return F.when(gap == 1, s["w"]).when(gap != 0, F.concat(F.repeat(F.lit(" "), gap - 1), s["w"]))
+
+    words = T.once(F.sort_array(flat), lambda spots: F.when(F.get(spots, F.lit(0))["p"].isNotNull(), F.zip_with(spots, F.concat(start, spots), step)))
     return F.when(index.isNull(), "").otherwise(F.coalesce(F.array_join(words, " "), F.lit("")))
 
 

@@ -1,5 +1,7 @@
 """Golden cases of the discovery operators on literal rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +172,22 @@ def test_restore_abstract(spark):
     assert (got[1].id, got[1].abstract, got[1].year, got[1].concepts) == ("", "", 0, [])
 
 
+def test_restored_places_of_any_index(spark):
+    """Against the plain loop: gaps, places of several words, words without a place."""
+    rng = random.Random(3)
+    maps = [None, {}, {"a": []}, {"a": [5]}, {"": [0, 2]}, {" ": [1], "x y": [0]}] + [{w: [rng.randint(0, 20) for _ in range(rng.randint(0, 5))] for w in rng.sample(["a", "b", "", "é", " ", "zz"], rng.randint(0, 5))} for _ in range(100)]
+
+    def plain(entries):
+        at = {}
+        for word, places in entries or []:
+            for p in places:
+                at.setdefault(p, word)
+        return " ".join(at.get(i, "") for i in range(max(at, default=-1) + 1))
+
+    got = spark.createDataFrame([(m,) for m in maps], "m map<string,array<int>>").select(F.map_entries("m").alias("m"), parse.restore_abstract(F.col("m")).alias("v")).collect()
+    assert [r.v for r in got] == [plain(r.m) for r in got] and [r.m if r.m is None else {w: p for w, p in r.m} for r in got] == maps
+
+
 def test_markup_and_readme(spark):
     assert one(spark, parse.html_text(F.col("t")), t="<p>a &amp; b</p><script>x<y</script><b>c</b>") == "a & b c"
     assert one(spark, parse.decode_readme(F.col("t")), t="aGVs\nbG8=") == "hello"

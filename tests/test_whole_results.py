@@ -1,8 +1,12 @@
 """Queries that must return every row of their job: small tables that hold what the driver tables lack."""
 
+import random
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from orrery.plans import catalog
+from orrery.sources import parse
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -89,3 +93,19 @@ def test_multi_key_first_wins_is_the_sequential_rule(spark, tmp_path):
     got = catalog.multi_key_first_wins(spark, sf).collect()
     assert sorted(r.id for r in got) == sorted(i for _, i in slots)
     assert len({(r.theme, r.slot) for r in got}) == len(got)
+
+
+def test_restored_texts_stay_in_their_rows(spark, tmp_path):
+    """Null texts, rows without an id and rows that share one are all there, and nothing is shuffled for the index."""
+    rng = random.Random(8)
+    texts = [None, "", " ", "  a  a ", "a", "b a b\na b", "é e é É", " ".join(rng.choice(["x", "y", "", "zé", "\t"]) for _ in range(3000)), " ".join(map(str, range(3000)))]
+    rows = [(i // 2 if i else None, t, "en", "web", 0) for i, t in enumerate(texts + texts)]
+    got = catalog.inverted_index_restore(spark, stored(spark, tmp_path, "documents", rows, DOCS))
+    assert sorted(map(repr, got.collect())) == sorted(repr(Row(id=r[0], restored=r[1])) for r in rows)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_holds_every_place_of_every_word(spark):
+    texts = ["the end of the day of", "", " a", "one", None, "w " * 50]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(parse.inverted_index(F.col("text")).alias("index")).collect()]
+    assert got == [None if t is None else {w: [i for i, x in enumerate(t.split(" ")) if x == w] for w in t.split(" ")} for t in texts]
