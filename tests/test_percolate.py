@@ -136,3 +136,22 @@ def test_first_places_in_rounds(spark, works, head):
     for t in range(4):
         want = sorted((r.rung, r.pos, r.id) for r in every if r["query"] == t)[:12]
         assert [(r.rung, r.pos, r.id) for r in sorted((r for r in got if r["query"] == t), key=lambda r: r.place)] == want
+
+
+@pytest.mark.parametrize(("first", "steps"), [(False, 10**6), (True, 10**6), (True, 3)])
+def test_words_alone_are_looked_up_once_a_work(spark, works, first, steps):
+    """Words, phrases, repeated words and equal queries; no pair of a work and a filed query is made."""
+    anchors = ["deep", "state-of-the-art graphs", "graphs graphs", "the art of", "Zürich", "absent", "deep nets", "nets", "日本", " ".join(f"nets {w}" for w in "deep graphs of the art state c3po zürich deep".split())]
+    rows = [(f"q{i % 4}", i, a) for i, a in enumerate([*anchors, *anchors])]
+    q = spark.createDataFrame(rows, "query string, rung int, anchor string")
+    want = []
+    for query, rung, anchor in rows:
+        want += [(query, rung, r.id) for r in gates.StructuredQuery(anchor_terms=(anchor,)).apply(works).select("id").collect()]
+    if first:
+        least = {}
+        for query, rung, i in sorted(want, key=lambda r: r[1]):
+            least.setdefault((query, i), rung)
+        want = [(query, rung, i) for (query, i), rung in least.items()]
+    got = percolate.percolate(q, works, first=first, steps=steps)
+    assert sorted((r["query"], r.rung, r.id) for r in got.collect()) == sorted(want) and want
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString() and _shuffled(got) == 0
