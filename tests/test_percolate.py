@@ -155,3 +155,13 @@ def test_words_alone_are_looked_up_once_a_work(spark, works, first, steps):
     got = percolate.percolate(q, works, first=first, steps=steps)
     assert sorted((r["query"], r.rung, r.id) for r in got.collect()) == sorted(want) and want
     assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString() and _shuffled(got) == 0
+
+
+def test_queries_without_anchors_are_written_once(spark, works, monkeypatch):
+    """No table of single queries is written where there are no words to look up: only their classes."""
+    written, plain = [], percolate.cut
+    monkeypatch.setattr(percolate, "cut", lambda d: written.append(d.columns) or plain(d))
+    q = spark.range(20).select(F.col("id").alias("query"), F.lit(0).alias("rung"), F.array(F.lit("W1"), F.lit("W2")).alias("cites"))
+    got = percolate.percolate(q, works, broadcast=0)
+    assert got.count() == 20 * works.where("array_contains(refs, 'W1') OR array_contains(refs, 'W2')").count()
+    assert written == [["file", "q", "members", "kind"]]
